@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import MONEY, MONEY_SUM, TOTAL, money_eps
+from ledgerloom.functions.money import MONEY_SUM, money_eps
 from ledgerloom.operators.balances import Filters, order_balances, order_filter, payment_filter
 from ledgerloom.sources.schemas import ORDER_STATUSES
 
@@ -86,11 +86,13 @@ def order_stats(t) -> DataFrame:
 
 def master_counts(t) -> DataFrame:
     """Active products, active clients, active users (three one-row aggregates side by side)."""
-    products = t["products"].agg(F.count_if(F.col("is_active")).alias("products"))
+    one = F.lit(1).alias("_k")
+    products = t["products"].agg(F.count_if(F.col("is_active")).alias("products")).select(one, "products")
     clients = t["parties"].agg(
-        F.count_if(F.col("is_active") & (F.col("party_type") == "client")).alias("clients"))
-    users = t["users"].agg(F.count_if(F.col("is_active")).alias("users"))
-    return products.crossJoin(clients).crossJoin(users)  # 1 x 1 x 1 rows
+        F.count_if(F.col("is_active") & (F.col("party_type") == "client")).alias("clients")).select(one, "clients")
+    users = t["users"].agg(F.count_if(F.col("is_active")).alias("users")).select(one, "users")
+    # three one-row aggregates side by side (equi-join on a constant key: 1 x 1 x 1 rows)
+    return products.join(clients, "_k").join(users, "_k").drop("_k")
 
 
 def _with_client_name(b: DataFrame, parties: DataFrame) -> DataFrame:
@@ -262,5 +264,3 @@ def payment_history(t, f: Filters | None = None, balances: DataFrame | None = No
     hist = adv.unionByName(pay)
     return payment_filter(hist, f).orderBy(F.col("payment_date").desc(), F.col("id").desc())
 
-
-_ = (MONEY, TOTAL)

@@ -1 +1,104 @@
-"""Registered queries (q_access)."""
+"""Registered access queries (role matrix, effective permissions, restricted views, document checks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import access as A
+from ledgerloom.operators import fulfilment as FU
+from ledgerloom.plans.catalog import register, with_ctes
+from ledgerloom.plans.q_fulfilment import ORDER_LIST_SQL
+
+EFFECTIVE_SQL = """SELECT u.id AS user_id, p.permission_key
+FROM users u JOIN role_permissions rp ON rp.role_id = u.role_id JOIN permissions p ON p.id = rp.permission_id
+WHERE u.is_active"""
+
+
+@register("role_permissions_matrix", with_ctes(
+    """SELECT r.id, r.name, COALESCE(k.permission_keys, '') AS permission_keys, COALESCE(u.n, 0) AS active_users
+    FROM roles r
+    LEFT JOIN (SELECT rp.role_id, string_agg(p.permission_key, ',' ORDER BY p.permission_key) AS permission_keys
+               FROM role_permissions rp JOIN permissions p ON p.id = rp.permission_id GROUP BY rp.role_id) k
+      ON k.role_id = r.id
+    LEFT JOIN (SELECT role_id, COUNT(*) AS n FROM users WHERE is_active GROUP BY role_id) u ON u.role_id = r.id"""))
+def q_role_permissions_matrix(t):
+    """Role -> sorted permission keys, with active users per role."""
+    return A.role_permissions_matrix(t).select("id", "name", "permission_keys", "active_users")
+
+
+@register("effective_permissions", with_ctes(EFFECTIVE_SQL))
+def q_effective_permissions(t):
+    """(user, permission) pairs of active users."""
+    return A.effective_permissions(t)
+
+
+@register("users_with_roles", with_ctes(
+    """SELECT u.id, u.name, u.email, u.role_id, r.name AS role_name, u.is_active
+    FROM users u JOIN roles r ON r.id = u.role_id"""))
+def q_users_with_roles(t):
+    """Users with role names."""
+    return A.users_with_roles(t)
+
+
+@register("gate_pass_users", with_ctes(
+    f"""SELECT user_id,
+      bool_or(permission_key = 'gate_pass.view') AND NOT bool_or(permission_key = 'documents.preview')
+        AND NOT bool_or(permission_key = 'orders.edit') AS gate_pass_only,
+      bool_or(permission_key IN ('orders.edit', 'gate_pass.edit')) AS can_edit_gate_pass
+    FROM ({EFFECTIVE_SQL}) e GROUP BY user_id"""))
+def q_gate_pass_users(t):
+    """P7 predicate + V10 any-of check over every active user's permission set."""
+    sets = A.user_permission_sets(t)
+    return sets.select("user_id", A.gate_pass_only(F.col("permissions")).alias("gate_pass_only"),
+                       A.has_any(F.col("permissions"), "orders.edit", "gate_pass.edit").alias("can_edit_gate_pass"))
+
+
+@register("order_list_gate_pass", with_ctes(
+    f"""SELECT id, invoice_number, status, contract_date, client_name, total_packages, total_net_weight,
+      total_gross_weight FROM ({ORDER_LIST_SQL}) x""", "alloc_active"))
+def q_order_list_gate_pass(t):
+    """The order list as a gate-pass-only user sees it."""
+    return A.restrict(FU.order_list(t), "order_list", ["orders.view", "gate_pass.view", "gate_pass.edit"])
+
+
+@register("document_authorization", with_ctes(
+    """SELECT e.id, e.on_order, e.target_id, e.user_id, e.action_name, e.document_type,
+      CASE WHEN u.id IS NULL THEN 'unauthenticated'
+        WHEN e.action_name NOT IN ('previewed', 'printed', 'downloaded')
+          OR (e.on_order AND e.document_type NOT IN ('sale_contract', 'customs_packing_list',
+            'customs_commercial_invoice', 'client_packing_list', 'client_commercial_invoice', 'gate_pass',
+            'bl_instructions', 'certificate_of_origin'))
+          OR (NOT e.on_order AND e.document_type NOT IN ('customs_packing_list', 'customs_commercial_invoice',
+            'client_packing_list', 'client_commercial_invoice', 'gate_pass', 'bl_instructions',
+            'certificate_of_origin'))
+          OR (e.on_order AND e.document_type <> 'sale_contract') THEN 'invalid'
+        WHEN NOT (CASE WHEN e.document_type = 'gate_pass'
+            THEN (CASE WHEN e.action_name <> 'previewed' THEN COALESCE(f.gp_print, FALSE) ELSE COALESCE(f.gp_view, FALSE) END)
+              OR (CASE WHEN e.action_name <> 'previewed' THEN COALESCE(f.doc_print, FALSE) ELSE COALESCE(f.doc_preview, FALSE) END)
+            ELSE (CASE WHEN e.action_name <> 'previewed' THEN COALESCE(f.doc_print, FALSE) ELSE COALESCE(f.doc_preview, FALSE) END) END) THEN 'denied'
+        ELSE 'allowed' END AS outcome,
+      CASE WHEN u.id IS NULL THEN 'unknown or inactive user'
+        WHEN e.action_name NOT IN ('previewed', 'printed', 'downloaded')
+          OR (e.on_order AND e.document_type NOT IN ('sale_contract', 'customs_packing_list',
+            'customs_commercial_invoice', 'client_packing_list', 'client_commercial_invoice', 'gate_pass',
+            'bl_instructions', 'certificate_of_origin'))
+          OR (NOT e.on_order AND e.document_type NOT IN ('customs_packing_list', 'customs_commercial_invoice',
+            'client_packing_list', 'client_commercial_invoice', 'gate_pass', 'bl_instructions',
+            'certificate_of_origin')) THEN 'invalid action or document type'
+        WHEN e.on_order AND e.document_type <> 'sale_contract' THEN 'shipping documents come from a shipment'
+        WHEN NOT (CASE WHEN e.document_type = 'gate_pass'
+            THEN (CASE WHEN e.action_name <> 'previewed' THEN COALESCE(f.gp_print, FALSE) ELSE COALESCE(f.gp_view, FALSE) END)
+              OR (CASE WHEN e.action_name <> 'previewed' THEN COALESCE(f.doc_print, FALSE) ELSE COALESCE(f.doc_preview, FALSE) END)
+            ELSE (CASE WHEN e.action_name <> 'previewed' THEN COALESCE(f.doc_print, FALSE) ELSE COALESCE(f.doc_preview, FALSE) END) END)
+          THEN 'missing permission' END AS reason
+    FROM document_events e
+    LEFT JOIN (SELECT id FROM users WHERE is_active) u ON u.id = e.user_id
+    LEFT JOIN (SELECT user_id,
+        COALESCE(bool_or(permission_key = 'documents.preview'), FALSE) AS doc_preview,
+        COALESCE(bool_or(permission_key = 'documents.print'), FALSE) AS doc_print,
+        COALESCE(bool_or(permission_key = 'gate_pass.view'), FALSE) AS gp_view,
+        COALESCE(bool_or(permission_key = 'gate_pass.print'), FALSE) AS gp_print
+      FROM (""" + EFFECTIVE_SQL + """) ep GROUP BY user_id) f ON f.user_id = e.user_id"""))
+def q_document_authorization(t):
+    """V9: document action authorisation for every document event."""
+    return A.authorize_document_actions(t["document_events"], t)

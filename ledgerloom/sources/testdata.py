@@ -178,7 +178,17 @@ SELECT o.id * 100 + i.line_number % 3 + k.k * 10 AS request_id,
   cast(i.quantity * CASE WHEN k.k = 0 THEN 0.5 ELSE 0.6 END AS decimal(12,3)) AS quantity
 FROM {export_order_items} i
 JOIN {export_orders} o ON o.id = i.export_order_id
-CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k"""),
+JOIN (SELECT 0 AS k, 1 AS one UNION ALL SELECT 1 AS k, 1 AS one) k ON k.one = 1"""),
+    ("request_containers", """
+SELECT request_id, container_index,
+  CASE WHEN request_id % 11 = 0 AND container_index = 1
+    THEN concat('cn-', cast(request_id AS string), '-0')
+    ELSE concat('CN-', cast(request_id AS string), '-', cast(container_index AS string)) END AS container_number
+FROM (SELECT DISTINCT request_id, container_index FROM {shipment_requests}) r
+WHERE NOT (request_id % 19 = 0 AND container_index = 1)
+UNION ALL
+SELECT DISTINCT request_id, 5, concat('CN-', cast(request_id AS string), '-5')
+FROM {shipment_requests} WHERE request_id % 13 = 0"""),
 ]
 
 # The permission catalogue (key, module, action), in catalogue order; id = position.
