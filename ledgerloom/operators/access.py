@@ -111,12 +111,13 @@ def restrict(df: DataFrame, view: str, permissions: Iterable[str]) -> DataFrame:
     return out
 
 
-def users_with_roles(t) -> DataFrame:
+def users_with_roles(t, ordered: bool = False) -> DataFrame:
     """Users with their role name, by name."""
     u, r = t["users"], t["roles"]
     return (u.join(r.select(F.col("id").alias("_rid"), F.col("name").alias("role_name")),
                    u["role_id"] == F.col("_rid"), "inner")
-            .select("id", "name", "email", "role_id", "role_name", "is_active").orderBy("name", "id"))
+            .select("id", "name", "email", "role_id", "role_name", "is_active")
+            .transform(lambda d: d.orderBy("name", "id") if ordered else d))
 
 
 def _user_flags(t) -> DataFrame:

@@ -214,18 +214,26 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
 
     def fold(pdf):
         import pandas as pd
-        eps = 0.1  # 0.0001 in thousandths
-        left = dict(zip(pdf["export_order_item_id"], pdf["left"]))
-        out = []
-        for rid, g in pdf.sort_values(["request_id", "export_order_item_id"]).groupby("request_id", sort=True):
-            need = list(zip(g["export_order_item_id"], g["requested"]))
-            if all(q <= left[i] + eps for i, q in need):
-                for i, q in need:
-                    left[i] -= q
-                out.append((rid, "accepted", None))
-            else:
-                out.append((rid, "rejected", "short"))
-        return pd.DataFrame(out, columns=["request_id", "outcome", "reason"])
+        pdf = pdf.sort_values(["request_id", "export_order_item_id"], kind="stable")
+        rid = pdf["request_id"].to_numpy()
+        item = pdf["export_order_item_id"].to_numpy()
+        need = pdf["requested"].to_numpy()
+        left = dict(zip(item.tolist(), pdf["left"].to_numpy().tolist()))
+        ids, outcomes, reasons = [], [], []
+        n, i = len(rid), 0
+        while i < n:
+            j = i
+            while j < n and rid[j] == rid[i]:
+                j += 1
+            ok = all(need[k] <= left[item[k]] for k in range(i, j))  # integer thousandths: exact
+            if ok:
+                for k in range(i, j):
+                    left[item[k]] -= need[k]
+            ids.append(int(rid[i]))
+            outcomes.append("accepted" if ok else "rejected")
+            reasons.append(None if ok else "short")
+            i = j
+        return pd.DataFrame({"request_id": ids, "outcome": outcomes, "reason": reasons})
 
     hard = hard_rows.groupBy("client_id").applyInPandas(
         fold, schema="request_id long, outcome string, reason string")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import QTY_SUM, qty_eps
+from ledgerloom.functions.ordering import sort_if
 from ledgerloom.functions.text import contract_number_expr
 from ledgerloom.operators.balances import line_value
 from ledgerloom.operators.running import running_sum
@@ -38,7 +39,8 @@ def _with_allocated(items: DataFrame, alloc: DataFrame) -> DataFrame:
             .withColumn("allocated_quantity", F.coalesce(F.col("allocated_quantity"), F.lit(0).cast(QTY_SUM))))
 
 
-def available_lines(t, client_id: int | None = None, exclude_shipment_id: int | None = None) -> DataFrame:
+def available_lines(t, client_id: int | None = None, exclude_shipment_id: int | None = None,
+                    ordered: bool | None = None) -> DataFrame:
     """R5 (+P3, P5): open contract lines of non-cancelled contracts with quantity left > 0.0001."""
     o = t["export_orders"].filter(F.col("status") != "cancelled")
     if client_id is not None:
@@ -51,21 +53,22 @@ def available_lines(t, client_id: int | None = None, exclude_shipment_id: int |
              .join(p, i["product_id"] == p["_pid"], "inner"))
     lines = _with_allocated(lines, allocated_qty(t, exclude_shipment_id))
     left = (F.col("quantity") - F.col("allocated_quantity"))
-    return (lines.filter(left > qty_eps())  # HAVING without GROUP BY = a filter on derived columns
+    out = (lines.filter(left > qty_eps())  # HAVING without GROUP BY = a filter on derived columns
             .select(F.col("id").alias("export_order_item_id"), "product_id",
                     F.col("quantity").alias("contract_quantity"), "quantity_unit", "units_per_carton",
                     "net_weight_per_carton", "gross_weight_per_carton", "client_price_per_carton",
                     "customs_price_per_kg", "is_sample", "product_name", "contract_id", "client_id",
                     "invoice_number", "contract_number", "contract_date", "currency", "allocated_quantity",
-                    left.cast(QTY_SUM).alias("remaining_quantity"), "line_number")
-            .orderBy("contract_date", "contract_id", "line_number"))
+                    left.cast(QTY_SUM).alias("remaining_quantity"), "line_number"))
+    return sort_if(out, client_id is not None if ordered is None else ordered,
+                   "contract_date", "contract_id", "line_number")
 
 
 def _party_names(t, role: str) -> DataFrame:
     return t["parties"].select(F.col("id").alias(f"_{role}_id"), F.col("name").alias(f"{role}_name"))
 
 
-def order_list(t) -> DataFrame:
+def order_list(t, ordered: bool = False) -> DataFrame:
     """A11 + T7: order roll-up (packages, weights, value, contracted, allocated incl. drafts)."""
     items = _with_allocated(t["export_order_items"], allocated_qty(t))
     q = F.col("quantity")
@@ -84,13 +87,13 @@ def order_list(t) -> DataFrame:
          .join(per_order, o["id"] == per_order["export_order_id"], "left"))
     zero = {"total_packages": QTY_SUM, "total_net_weight": WEIGHT, "total_gross_weight": WEIGHT,
             "client_value": VALUE, "contracted_quantity": QTY_SUM, "shipped_quantity": QTY_SUM}
-    return (j.select("id", "invoice_number", "sales_contract_number", "status", "contract_date", "currency",
-                     "client_name", "customs_consignee_name",
-                     *[F.coalesce(F.col(k), F.lit(0).cast(v)).alias(k) for k, v in zero.items()])
-            .orderBy(F.col("id").desc()))
+    out = j.select("id", "invoice_number", "sales_contract_number", "status", "contract_date", "currency",
+                   "client_name", "customs_consignee_name",
+                   *[F.coalesce(F.col(k), F.lit(0).cast(v)).alias(k) for k, v in zero.items()])
+    return sort_if(out, ordered, F.col("id").desc())
 
 
-def shipment_list(t) -> DataFrame:
+def shipment_list(t, ordered: bool = False) -> DataFrame:
     """A12 + T7: shipment roll-up with COUNT(DISTINCT contract) and container count."""
     a = t["shipment_allocations"]
     i = t["export_order_items"].select(F.col("id").alias("_iid"), "export_order_id", "net_weight_per_carton",
@@ -111,14 +114,14 @@ def shipment_list(t) -> DataFrame:
     j = (s.join(c, s["client_id"] == c["_client_id"], "inner")
          .join(per_ship, s["id"] == per_ship["shipment_id"], "left")
          .join(containers, s["id"] == containers["_csid"], "left"))
-    return (j.select("id", "shipment_number", "status", "shipment_date", "currency", "client_name",
+    out = (j.select("id", "shipment_number", "status", "shipment_date", "currency", "client_name",
                      F.coalesce("contract_count", F.lit(0)).alias("contract_count"),
                      F.coalesce("container_count", F.lit(0)).alias("container_count"),
                      F.coalesce("total_packages", F.lit(0).cast(QTY_SUM)).alias("total_packages"),
                      F.coalesce("total_net_weight", F.lit(0).cast(WEIGHT)).alias("total_net_weight"),
                      F.coalesce("total_gross_weight", F.lit(0).cast(WEIGHT)).alias("total_gross_weight"),
-                     F.coalesce("client_value", F.lit(0).cast(VALUE)).alias("client_value"))
-            .orderBy(F.col("id").desc()))
+                     F.coalesce("client_value", F.lit(0).cast(VALUE)).alias("client_value")))
+    return sort_if(out, ordered, F.col("id").desc())
 
 
 def order_header(t) -> DataFrame:
@@ -161,7 +164,7 @@ def line_measures(df: DataFrame, qty: str = "quantity", with_remaining: bool = T
                                    * F.col("customs_price_per_kg")).cast(CUSTOMS)))
 
 
-def order_lines(t) -> DataFrame:
+def order_lines(t, ordered: bool = False) -> DataFrame:
     """P12 + P10: items with product attributes, allocated quantity and line measures, by line."""
     i = t["export_order_items"].select("id", "export_order_id", "product_id", "line_number", "quantity",
                                        "quantity_unit", "units_per_carton", "net_weight_per_carton",
@@ -173,7 +176,7 @@ def order_lines(t) -> DataFrame:
                              F.col("pieces_per_unit").alias("product_pieces_per_unit"),
                              F.col("package_type").alias("product_package_type"))
     j = _with_allocated(i.join(p, i["product_id"] == p["_pid"], "inner").drop("_pid"), allocated_qty(t))
-    return line_measures(j).orderBy("export_order_id", "line_number")
+    return sort_if(line_measures(j), ordered, "export_order_id", "line_number")
 
 
 def shipment_lines(t, shipment_id: int | None = None) -> DataFrame:
@@ -197,8 +200,8 @@ def shipment_lines(t, shipment_id: int | None = None) -> DataFrame:
          .join(p, F.col("product_id") == p["_pid"], "inner")
          .join(o, F.col("export_order_id") == o["contract_id"], "inner")
          .drop("_scid", "_iid", "_pid", "export_order_id"))
-    return (line_measures(j, with_remaining=False)
-            .orderBy("shipment_id", "container_line_number", "line_number"))
+    return sort_if(line_measures(j, with_remaining=False), shipment_id is not None,
+                   "shipment_id", "container_line_number", "line_number")
 
 
 def carton_ranges(lines: DataFrame, partition: str, order: list[str], qty: str = "quantity",
@@ -284,8 +287,8 @@ def shipment_containers_of(t, shipment_id: int | None = None) -> DataFrame:
     sc = t["shipment_containers"]
     if shipment_id is not None:
         sc = sc.filter(F.col("shipment_id") == F.lit(shipment_id))
-    return sc.select("id", "shipment_id", "line_number", "container_number", "container_type", "cbm") \
-        .orderBy("shipment_id", "line_number")
+    return sort_if(sc.select("id", "shipment_id", "line_number", "container_number", "container_type", "cbm"),
+                   shipment_id is not None, "shipment_id", "line_number")
 
 
 def order_detail(t) -> DataFrame:

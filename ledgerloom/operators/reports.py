@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY_SUM, money_eps
+from ledgerloom.functions.ordering import sort_if
 from ledgerloom.operators.balances import Filters, order_balances, order_filter, payment_filter
 from ledgerloom.sources.schemas import ORDER_STATUSES
 
@@ -113,10 +114,10 @@ def top_clients(t, f: Filters | None = None, balances: DataFrame | None = None,
             .select("client_id", "client_name", "currency", "order_count", "total_amount", "remaining_amount"))
 
 
-def sales(t, f: Filters | None = None, balances: DataFrame | None = None) -> DataFrame:
+def sales(t, f: Filters | None = None, balances: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """T4: every balance column plus client name, newest first."""
     b = order_filter(balances if balances is not None else order_balances(t), f)
-    return _with_client_name(b, t["parties"]).orderBy(F.col("contract_date").desc(), F.col("id").desc())
+    return sort_if(_with_client_name(b, t["parties"]), ordered, F.col("contract_date").desc(), F.col("id").desc())
 
 
 AGING_BUCKETS = [(0, "Current"), (30, "1-30 days"), (60, "31-60 days"), (90, "61-90 days")]
@@ -125,7 +126,7 @@ OVER_90 = "Over 90 days"
 
 
 def receivables(t, as_of: date | str, f: Filters | None = None,
-                balances: DataFrame | None = None) -> DataFrame:
+                balances: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """Open balances aged from valid_until (else contract date) to ``as_of``."""
     b = order_filter(balances if balances is not None else order_balances(t), f)
     b = _with_client_name(b, t["parties"]).filter(F.col("remaining_amount") > money_eps())
@@ -133,9 +134,9 @@ def receivables(t, as_of: date | str, f: Filters | None = None,
     bucket = F.when(days <= AGING_BUCKETS[0][0], AGING_BUCKETS[0][1])
     for bound, label in AGING_BUCKETS[1:]:
         bucket = bucket.when(days <= bound, label)
-    return (b.withColumn("days_outstanding", F.greatest(days, F.lit(0)))
-            .withColumn("aging_bucket", bucket.otherwise(OVER_90))
-            .orderBy(F.col("days_outstanding").desc(), F.col("remaining_amount").desc(), F.col("id")))
+    out = (b.withColumn("days_outstanding", F.greatest(days, F.lit(0)))
+           .withColumn("aging_bucket", bucket.otherwise(OVER_90)))
+    return sort_if(out, ordered, F.col("days_outstanding").desc(), F.col("remaining_amount").desc(), F.col("id"))
 
 
 def aging_summary(t, as_of: date | str, f: Filters | None = None) -> DataFrame:
@@ -179,7 +180,7 @@ def ledger_orders(t, client_id: int | None = None, balances: DataFrame | None =
     b = b.filter(F.col("status") != "cancelled")
     if client_id is not None:
         b = b.filter(F.col("client_id") == F.lit(client_id))
-    return b.orderBy(F.col("client_id"), F.col("contract_date").desc(), F.col("id").desc())
+    return sort_if(b, client_id is not None, F.col("contract_date").desc(), F.col("id").desc())
 
 
 def ledger_payments(t, client_id: int | None = None) -> DataFrame:
@@ -187,12 +188,11 @@ def ledger_payments(t, client_id: int | None = None) -> DataFrame:
     j = _payments_enriched(t)
     if client_id is not None:
         j = j.filter(F.col("client_id") == F.lit(client_id))
-    return (j.select("id", "client_id", "order_id", "amount", "payment_date", "reference_number",
-                     "recorded_by")
-            .orderBy(F.col("client_id"), F.col("payment_date").desc(), F.col("id").desc()))
+    out = j.select("id", "client_id", "order_id", "amount", "payment_date", "reference_number", "recorded_by")
+    return sort_if(out, client_id is not None, F.col("payment_date").desc(), F.col("id").desc())
 
 
-def client_ledger(t, balances: DataFrame | None = None) -> DataFrame:
+def client_ledger(t, balances: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """Every active client with per-currency count/total/paid/remaining (NULL row when none)."""
     b = (balances if balances is not None else order_balances(t)).filter(F.col("status") != "cancelled")
     per = (b.groupBy("client_id", "currency")
@@ -202,8 +202,8 @@ def client_ledger(t, balances: DataFrame | None = None) -> DataFrame:
                 F.sum("remaining_amount").cast("decimal(30,7)").alias("remaining_amount")))
     p = (t["parties"].filter((F.col("party_type") == "client") & F.col("is_active"))
          .select(F.col("id").alias("party_id"), F.col("name").alias("party_name"), "country"))
-    return (p.join(per, p["party_id"] == per["client_id"], "left").drop("client_id")
-            .orderBy("party_name", "party_id", "currency"))
+    out = p.join(per, p["party_id"] == per["client_id"], "left").drop("client_id")
+    return sort_if(out, ordered, "party_name", "party_id", "currency")
 
 
 def client_ledger_nested(t, balances: DataFrame | None = None) -> DataFrame:
@@ -224,10 +224,10 @@ def currencies(t) -> DataFrame:
             .orderBy("currency"))
 
 
-def report_clients(t) -> DataFrame:
+def report_clients(t, ordered: bool = False) -> DataFrame:
     """A26 (clients): active clients by name."""
     return (t["parties"].filter((F.col("party_type") == "client") & F.col("is_active"))
-            .select("id", "name").orderBy("name", "id"))
+            .select("id", "name").transform(lambda d: sort_if(d, ordered, "name", "id")))
 
 
 def report_statuses(spark) -> DataFrame:
@@ -241,7 +241,8 @@ def report_filters(t) -> dict[str, DataFrame]:
     return {"clients": report_clients(t), "currencies": currencies(t), "statuses": report_statuses(spark)}
 
 
-def payment_history(t, f: Filters | None = None, balances: DataFrame | None = None) -> DataFrame:
+def payment_history(t, f: Filters | None = None, balances: DataFrame | None = None,
+                    ordered: bool = False) -> DataFrame:
     """Calculated opening advances UNION ALL real receipts, filtered on payment date, newest first."""
     b = balances if balances is not None else order_balances(t)
     adv = (_with_client_name(b, t["parties"])
@@ -262,5 +263,5 @@ def payment_history(t, f: Filters | None = None, balances: DataFrame | None = No
                    F.col("amount").cast(MONEY_SUM).alias("amount"), "reference_number",
                    F.lit(None).cast("string").alias("notes"), "recorded_by"))
     hist = adv.unionByName(pay)
-    return payment_filter(hist, f).orderBy(F.col("payment_date").desc(), F.col("id").desc())
+    return sort_if(payment_filter(hist, f), ordered, F.col("payment_date").desc(), F.col("id").desc())
 

@@ -22,6 +22,28 @@ def _cols(items: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
 
 
+def _null_free(df: DataFrame, names: Sequence[str], prefix: str):
+    """Each key -> (is-null flag, value with NULL replaced by a typed default).  Plain equality on the
+    pair is null-safe equality on the key, and the window's hash partitioning on the same columns is
+    reused by the join (no extra shuffle of the large side)."""
+    cols = []
+    types = dict(df.dtypes)
+    for i, name in enumerate(names):
+        t = types[name]
+        if t.startswith(("decimal", "int", "bigint", "smallint", "tinyint", "double", "float")):
+            default = F.lit(0).cast(t)
+        elif t == "date":
+            default = F.lit("1970-01-01").cast("date")
+        elif t == "boolean":
+            default = F.lit(False)
+        else:
+            default = F.lit("").cast(t)
+        df = (df.withColumn(f"{prefix}n{i}", F.col(name).isNull())
+              .withColumn(f"{prefix}v{i}", F.coalesce(F.col(name), default)))
+        cols += [f"{prefix}n{i}", f"{prefix}v{i}"]
+    return df, cols
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column | str, out: str,
                 chunk: Sequence | None = None, exclusive: bool = False,
                 result_type: str | None = None) -> DataFrame:
@@ -31,34 +53,30 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
     be non-decreasing along ``order``.  ``exclusive`` leaves out the row itself."""
     val = F.col(value) if isinstance(value, str) else value
     chunk_exprs = _cols(chunk) if chunk is not None else _cols(order[:1])
-    chunk_names = [f"_c{i}" for i in range(len(chunk_exprs))]
     base = df.withColumn("_rv", val)
-    for name, expr in zip(chunk_names, chunk_exprs):
-        base = base.withColumn(name, expr)
-    local_w = (Window.partitionBy(*keys, *chunk_names).orderBy(*_cols(order))
+    chunk_names = []
+    for i, expr in enumerate(chunk_exprs):
+        base = base.withColumn(f"_c{i}", expr)
+        chunk_names.append(f"_c{i}")
+    base, part = _null_free(base, list(keys) + chunk_names, "_p")
+    key_part = part[: 2 * len(keys)]
+    local_w = (Window.partitionBy(*part).orderBy(*_cols(order))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = base.withColumn("_local", F.sum("_rv").over(local_w))
-    totals = base.groupBy(*keys, *chunk_names).agg(F.sum("_rv").alias("_ct"))
-    chunk_w = (Window.partitionBy(*keys).orderBy(*[F.col(c) for c in chunk_names])
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (totals.withColumn("_off", F.coalesce(F.sum("_ct").over(chunk_w), F.lit(0)))
-               .select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                       *[F.col(c).alias(f"_k{c}") for c in chunk_names], "_off"))
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        cond = c if cond is None else cond & c
-    for c in chunk_names:
-        e = F.col(c).eqNullSafe(F.col(f"_k{c}"))
-        cond = e if cond is None else cond & e
-    joined = local.join(offsets, cond, "inner")
+    totals = base.groupBy(*part).agg(F.sum("_rv").alias("_ct"))
+    # chunk offsets: per key, the sum of all earlier chunks (one row per key and chunk)
+    chunk_order = []
+    for flag, val in zip(part[2 * len(keys)::2], part[2 * len(keys) + 1::2]):
+        chunk_order += [F.col(flag).desc(), F.col(val).asc()]  # NULL chunks first, like the row order
+    chunk_w = Window.partitionBy(*key_part).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_ct").over(chunk_w), F.lit(0))).drop("_ct")
+    joined = local.join(offsets, part, "inner")
     total = F.col("_local") + F.col("_off")
     if exclusive:
         total = total - F.col("_rv")
     if result_type:
         total = total.cast(result_type)
-    drop = ["_rv", "_local", "_off", *chunk_names, *[f"_k_{k}" for k in keys], *[f"_k{c}" for c in chunk_names]]
-    return joined.withColumn(out, total).drop(*drop)
+    return joined.withColumn(out, total).drop("_rv", "_local", "_off", *chunk_names, *part)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "line_number",

@@ -25,24 +25,31 @@ def percent_text(pct: Column) -> Column:
 
 
 def statement_transactions(t, balances: DataFrame | None = None) -> DataFrame:
-    """The three transaction kinds as one relation (no ordering yet)."""
+    """The three transaction kinds as one relation (no ordering yet).
+
+    Order and advance rows come from one pass over the balances (an array of two rows per order,
+    exploded), so the balance relation is computed once."""
     b = (balances if balances is not None else order_balances(t)).filter(F.col("status") != "cancelled")
-    common = [F.col("client_id"), F.col("id").alias("order_id"), "invoice_number", "currency"]
-    orders = b.select(F.concat(F.lit("order-"), F.col("id").cast("string")).alias("id"),
-                      F.col("contract_date").alias("date"), F.lit(1).alias("sort_order"), *common,
-                      F.lit("order").alias("type"), F.lit("Export order").alias("description"),
-                      F.lit(None).cast("string").alias("reference_number"),
-                      F.lit(None).cast("string").alias("recorded_by"),
-                      F.col("order_total").cast(AMOUNT).alias("debit"), F.lit(0).cast(AMOUNT).alias("credit"))
     pct = percent_text(F.col("advance_percentage"))
-    advances = (b.filter(F.col("opening_advance") > money_eps())
-                .select(F.concat(F.lit("advance-"), F.col("id").cast("string")).alias("id"),
-                        F.col("contract_date").alias("date"), F.lit(2).alias("sort_order"), *common,
-                        F.lit("opening_advance").alias("type"),
-                        F.concat(F.lit("Opening advance "), pct, F.lit("%")).alias("description"),
-                        F.concat(F.lit("Advance "), pct, F.lit("%")).alias("reference_number"),
-                        F.lit(None).cast("string").alias("recorded_by"),
-                        F.lit(0).cast(AMOUNT).alias("debit"), F.col("opening_advance").cast(AMOUNT).alias("credit")))
+    oid = F.col("id").cast("string")
+    null_s = F.lit(None).cast("string")
+    order_row = F.struct(F.concat(F.lit("order-"), oid).alias("id"), F.lit(1).alias("sort_order"),
+                         F.lit("order").alias("type"), F.lit("Export order").alias("description"),
+                         null_s.alias("reference_number"),
+                         F.col("order_total").cast(AMOUNT).alias("debit"), F.lit(0).cast(AMOUNT).alias("credit"))
+    advance_row = F.when(F.col("opening_advance") > money_eps(), F.struct(
+        F.concat(F.lit("advance-"), oid).alias("id"), F.lit(2).alias("sort_order"),
+        F.lit("opening_advance").alias("type"),
+        F.concat(F.lit("Opening advance "), pct, F.lit("%")).alias("description"),
+        F.concat(F.lit("Advance "), pct, F.lit("%")).alias("reference_number"),
+        F.lit(0).cast(AMOUNT).alias("debit"), F.col("opening_advance").cast(AMOUNT).alias("credit")))
+    rows = (b.select(F.col("contract_date").alias("date"), "client_id", F.col("id").alias("order_id"),
+                     "invoice_number", "currency",
+                     F.explode(F.filter(F.array(order_row, advance_row), lambda r: r.isNotNull())).alias("r"))
+            .select(F.col("r.id").alias("id"), "date", F.col("r.sort_order").alias("sort_order"), "client_id",
+                    "order_id", "invoice_number", "currency", F.col("r.type").alias("type"),
+                    F.col("r.description").alias("description"), F.col("r.reference_number").alias("reference_number"),
+                    null_s.alias("recorded_by"), F.col("r.debit").alias("debit"), F.col("r.credit").alias("credit")))
     o = (t["export_orders"].filter(F.col("status") != "cancelled")
          .select(F.col("id").alias("_oid"), F.col("client_id"), "invoice_number", "currency"))
     u = t["users"].select(F.col("id").alias("_uid"), F.col("name").alias("recorded_by"))
@@ -55,7 +62,7 @@ def statement_transactions(t, balances: DataFrame | None = None) -> DataFrame:
                     F.lit("payment").alias("type"), F.lit("Received payment").alias("description"),
                     "reference_number", "recorded_by",
                     F.lit(0).cast(AMOUNT).alias("debit"), F.col("amount").cast(AMOUNT).alias("credit")))
-    return orders.unionByName(advances).unionByName(pays)
+    return rows.unionByName(pays)
 
 
 def client_statement(t, client_id: int | None = None, balances: DataFrame | None = None) -> DataFrame:
@@ -67,7 +74,10 @@ def client_statement(t, client_id: int | None = None, balances: DataFrame | None
     # chunks = (date, kind): a hot client is cut into at most 3 x (days) independent windows
     out = running_sum(tx, ["client_id", "currency"], ["date", "sort_order", "id"], "_delta",
                       "running_balance", chunk=["date", "sort_order"], result_type=BALANCE)
-    return out.drop("_delta").orderBy("client_id", "date", "sort_order", "id")
+    out = out.drop("_delta")
+    # one client's statement is returned in statement order; the all-clients form stays unsorted
+    # (a global sort of every transaction would be a full range shuffle for no consumer)
+    return out.orderBy("date", "sort_order", "id") if client_id is not None else out
 
 
 def statement_summary(t, client_id: int | None = None, balances: DataFrame | None = None) -> DataFrame:

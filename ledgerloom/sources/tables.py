@@ -9,12 +9,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import path_exists
 from ledgerloom.sources import schemas
 from ledgerloom.sources.testdata import build_views
 
 
 class Tables(dict):
-    """Name -> DataFrame bundle; attribute access for readability (``t.export_orders``)."""
+    """Name -> DataFrame bundle; attribute access for readability (``t.export_orders``).
+
+    An optional ``source`` mapping supplies tables on first access (lazy test-data views)."""
+
+    def __init__(self, *args, source=None, **kwargs):
+        super().__init__(*args, **kwargs)
+        self._source = source
+
+    def __missing__(self, name: str) -> DataFrame:
+        if self._source is None:
+            raise KeyError(name)
+        df = self._source[name]
+        self[name] = df
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -23,14 +37,54 @@ class Tables(dict):
             raise AttributeError(name) from exc
 
     def replace(self, **frames: DataFrame) -> "Tables":
-        out = Tables(self)
+        out = Tables(self, source=self._source)
         out.update(frames)
         return out
 
 
+_VIEW_CACHE: dict[tuple[int, str], object] = {}
+
+
+DOMAIN_MARKER = "_DOMAIN_TABLES"
+
+
+class StoredViews(dict):
+    """Domain tables stored as one parquet folder each (written by ``materialize_domain``)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__()
+        self._spark, self._path = spark, path
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self._spark.read.parquet(os.path.join(self._path, name))
+        self[name] = df
+        return df
+
+
 def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
-    """Domain tables derived from the driver's parquet files."""
-    return Tables(build_views(spark, sf_dir))
+    """Domain tables for a data folder: stored domain tables when the folder holds them, else derived
+    from the driver's raw parquet files (lazy plans, shared per session)."""
+    key = (id(spark), sf_dir.rstrip("/"))  # views hold the session, so the id stays unique
+    views = _VIEW_CACHE.get(key)
+    if views is None:
+        if path_exists(spark, os.path.join(sf_dir, DOMAIN_MARKER)):
+            views = StoredViews(spark, sf_dir)
+        else:
+            views = build_views(spark, sf_dir)
+        _VIEW_CACHE[key] = views
+    return Tables(source=views)
+
+
+def materialize_domain(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """Write every domain view derived from ``sf_dir`` to ``out_dir`` (one parquet folder each)."""
+    from ledgerloom.sources.testdata import VIEWS
+    views = build_views(spark, sf_dir)
+    names = [n for n, _ in VIEWS] + ["permissions", "roles", "role_permissions"]
+    for name in names:
+        views[name].write.mode("overwrite").parquet(os.path.join(out_dir, name))
+    spark.createDataFrame([(sf_dir,)], "source string").write.mode("overwrite") \
+        .parquet(os.path.join(out_dir, DOMAIN_MARKER))
+    return out_dir
 
 
 def load_tables(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> Tables:
@@ -38,7 +92,7 @@ def load_tables(spark: SparkSession, path: str, names: Iterable[str] | None = No
     out = Tables()
     for name in names or schemas.SCHEMAS:
         target = os.path.join(path, name)
-        if not os.path.exists(target) and "://" not in target:
+        if not path_exists(spark, target):
             continue
         df = spark.read.parquet(target)
         out[name] = conform(df, schemas.SCHEMAS[name]) if name in schemas.SCHEMAS else df

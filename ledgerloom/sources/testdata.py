@@ -284,23 +284,42 @@ def oracle_prelude() -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in RAW_TABLES}
+class LazyViews(dict):
+    """Domain views built on first use (with their dependencies); each is a lazy query plan."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark = spark
+        self._sf_dir = sf_dir
+        self._sql = dict(VIEWS)
 
-def build_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All domain views as lazily-planned DataFrames."""
-    frames: dict[str, DataFrame] = dict(read_raw(spark, sf_dir))
-    for name, sql in VIEWS:
-        needed = {k: frames[k] for k in _placeholders(sql)}
-        frames[name] = spark.sql(sql, **needed)
-    perms = [(i + 1, k, m, a) for i, (k, m, a) in enumerate(PERMISSIONS)]
-    frames["permissions"] = spark.createDataFrame(
-        perms, "id bigint, permission_key string, module_name string, action_name string")
-    frames["roles"] = spark.createDataFrame(ROLES, "id bigint, name string")
-    frames["role_permissions"] = spark.createDataFrame(
-        role_permission_pairs(), "role_id bigint, permission_id bigint")
-    return frames
+    def __missing__(self, name: str) -> DataFrame:
+        spark = self._spark
+        if name in RAW_TABLES:
+            df = spark.read.parquet(os.path.join(self._sf_dir, f"{name}.parquet"))
+        elif name in self._sql:
+            sql = self._sql[name]
+            df = spark.sql(sql, **{k: self[k] for k in _placeholders(sql)})
+        elif name == "permissions":
+            perms = [(i + 1, k, m, a) for i, (k, m, a) in enumerate(PERMISSIONS)]
+            df = spark.createDataFrame(perms, "id bigint, permission_key string, module_name string, action_name string")
+        elif name == "roles":
+            df = spark.createDataFrame(ROLES, "id bigint, name string")
+        elif name == "role_permissions":
+            df = spark.createDataFrame(role_permission_pairs(), "role_id bigint, permission_id bigint")
+        else:
+            raise KeyError(name)
+        self[name] = df
+        return df
+
+    def __contains__(self, name) -> bool:
+        return dict.__contains__(self, name) or name in self._sql or name in RAW_TABLES \
+            or name in ("permissions", "roles", "role_permissions")
+
+
+def build_views(spark: SparkSession, sf_dir: str) -> LazyViews:
+    """All domain views, planned lazily on first access."""
+    return LazyViews(spark, sf_dir)
 
 
 def _placeholders(sql: str) -> set[str]:
