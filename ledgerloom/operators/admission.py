@@ -51,6 +51,8 @@ def account_usage(t) -> DataFrame:
 
 def max_sequence(existing: DataFrame, year_col: str = "sequence_year", seq_col: str = "sequence_number") -> DataFrame:
     """Current max sequence per year."""
+    if seq_col not in existing.columns:
+        existing = existing.withColumn(seq_col, F.lit(0))
     return existing.groupBy(F.col(year_col).alias("_year")).agg(F.max(seq_col).alias("_max_seq"))
 
 
