@@ -17,6 +17,7 @@ from ledgerloom.operators import quality as Q
 from ledgerloom.operators.backfill import parse_packaging
 from ledgerloom.operators.fulfilment import carton_ranges
 from ledgerloom.operators.running import number_rows
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources import sinks
 from ledgerloom.sources.schemas import PACKAGE_TYPES
 from ledgerloom.sources.tables import Tables
@@ -117,20 +118,23 @@ def ingest_orders(t: Tables, headers: DataFrame, items: DataFrame, prefix: str,
     hv = _drop(hv, rejected)
     hv = Q.check_bank_account(hv, t["bank_accounts"])
     rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account"))
-    hv = _drop(hv.drop("bank_account_ok", "bank_reason"), rejected)
-    iv = _drop(iv, rejected).join(hv.select("request_id"), "request_id", "left_semi")
+    rejected = cut_lineage(rejected)  # step boundary: keeps later plans small and restartable
+    hv = cut_lineage(_drop(hv.drop("bank_account_ok", "bank_reason"), rejected))
+    iv = cut_lineage(_drop(iv, rejected).join(hv.select("request_id"), "request_id", "left_semi"))
     # item normalisation decides the remaining rejects before any number is consumed
     probe_ids = hv.select("request_id", F.lit(0).cast("bigint").alias("export_order_id"))
     _, bad = _order_items(iv, t["products"], probe_ids)
+    bad = cut_lineage(bad)
     rejected = rejected.unionByName(bad)
     hv = _drop(hv, bad)
     hv = hv.withColumn("sequence_year", F.lit(year))
     numbered = G.assign_numbers(hv, t["export_orders"], prefix, order=["request_id"])
-    numbered = _new_ids(numbered, t["export_orders"], ["request_id"])
+    numbered = cut_lineage(_new_ids(numbered, t["export_orders"], ["request_id"]))
     order_ids = numbered.select("request_id", F.col("id").alias("export_order_id"))
     new_items, _ = _order_items(_drop(iv, bad), t["products"], order_ids)
-    new_items = _new_ids(new_items.drop("id") if "id" in new_items.columns else new_items,
-                         t["export_order_items"], ["request_id", "item_index"])
+    new_items = cut_lineage(new_items)
+    new_items = cut_lineage(_new_ids(new_items.drop("id") if "id" in new_items.columns else new_items,
+                                     t["export_order_items"], ["request_id", "item_index"]))
     new_orders = numbered.select(
         "id", "invoice_number", "sequence_number", "sequence_year", "client_id", "customs_consignee_id",
         "bank_account_id", F.lit(created_by).cast("bigint").alias("created_by"), F.lit("draft").alias("status"),
@@ -156,13 +160,15 @@ def apply_order_edits(t: Tables, headers: DataFrame, items: DataFrame) -> tuple[
     hv = _drop(hv, rejected)
     hv = Q.check_bank_account(hv, t["bank_accounts"])
     rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account"))
-    hv = _drop(hv.drop("bank_account_ok", "bank_reason"), rejected)
+    rejected = cut_lineage(rejected)
+    hv = cut_lineage(_drop(hv.drop("bank_account_ok", "bank_reason"), rejected))
     order_ids = hv.select("request_id", F.col("order_id").alias("export_order_id"))
     new_items, bad = _order_items(_drop(iv, rejected), t["products"], order_ids)
+    bad = cut_lineage(bad)
     rejected = rejected.unionByName(bad)
     hv = _drop(hv, bad)
-    new_items = _drop(new_items, bad)
-    new_items = _new_ids(new_items, t["export_order_items"], ["request_id", "item_index"])
+    new_items = cut_lineage(_drop(new_items, bad))
+    new_items = cut_lineage(_new_ids(new_items, t["export_order_items"], ["request_id", "item_index"]))
     cols = ["client_id", "customs_consignee_id", "bank_account_id", "contract_date", "valid_until",
             "sales_contract_number", "advance_percentage", "currency"]
     patch = hv.select(F.col("order_id").alias("id"), *cols)
@@ -185,9 +191,10 @@ def _validate_shipments(requests, containers, allocations):
     rejected = (_rejects(sr, F.concat(F.lit("invalid shipment: "), Q.errors_text()))
                 .unionByName(_rejects(cr, F.concat(F.lit("invalid container: "), Q.errors_text())))
                 .unionByName(_rejects(ar, F.concat(F.lit("invalid allocation: "), Q.errors_text()))))
-    rejected = rejected.unionByName(_shipment_structure_rejects(
-        _drop(cv, rejected), _drop(av, rejected).select("request_id", "export_order_item_id", "container_index")))
-    return _drop(sv, rejected), _drop(cv, rejected), _drop(av, rejected), rejected
+    rejected = cut_lineage(rejected.unionByName(_shipment_structure_rejects(
+        _drop(cv, rejected), _drop(av, rejected).select("request_id", "export_order_item_id", "container_index"))))
+    return (cut_lineage(_drop(sv, rejected)), cut_lineage(_drop(cv, rejected)), cut_lineage(_drop(av, rejected)),
+            rejected)
 
 
 def _structure_rows(t: Tables, ids: DataFrame, cv: DataFrame, av: DataFrame):
@@ -195,14 +202,14 @@ def _structure_rows(t: Tables, ids: DataFrame, cv: DataFrame, av: DataFrame):
 
     ids: request_id -> shipment_id."""
     cv = cv.join(ids, "request_id")
-    cv = number_rows(cv, ["request_id"], ["container_index"], "line_number",
-                     chunk=[F.floor(F.col("container_index") / 4096)])
-    cv = _new_ids(cv, t["shipment_containers"], ["request_id", "container_index"])
-    av = number_rows(av.join(ids.select("request_id"), "request_id", "left_semi"), ["request_id"], ["alloc_index"],
-                     "line_number", chunk=[F.floor(F.col("alloc_index") / 4096)])
+    cv = cut_lineage(number_rows(cv, ["request_id"], ["container_index"], "line_number",
+                                 chunk=[F.floor(F.col("container_index") / 4096)]))
+    cv = cut_lineage(_new_ids(cv, t["shipment_containers"], ["request_id", "container_index"]))
+    av = cut_lineage(number_rows(av.join(ids.select("request_id"), "request_id", "left_semi"), ["request_id"],
+                                 ["alloc_index"], "line_number", chunk=[F.floor(F.col("alloc_index") / 4096)]))
     cmap = cv.select("request_id", "container_index", F.col("id").alias("shipment_container_id"), "shipment_id")
-    av = _new_ids(av.join(cmap, ["request_id", "container_index"]), t["shipment_allocations"],
-                  ["request_id", "alloc_index"])
+    av = cut_lineage(_new_ids(av.join(cmap, ["request_id", "container_index"]), t["shipment_allocations"],
+                              ["request_id", "alloc_index"]))
     first = cv.filter(F.col("line_number") == 1).select("request_id", "container_number", "container_type", "cbm")
     containers = cv.select("id", "shipment_id", "line_number", "container_number", "container_type", "cbm")
     allocations = av.select("id", "shipment_id", "shipment_container_id", "export_order_item_id", "line_number",
@@ -223,10 +230,11 @@ def ingest_shipments(t: Tables, requests: DataFrame, containers: DataFrame, allo
     allocations: request_id, alloc_index + ALLOCATION_RULES."""
     sv, cv, av, rejected = _validate_shipments(requests, containers, allocations)
     admitted = G.admit_shipments(t, av.join(sv.select("request_id", "client_id"), "request_id"))
-    rejected = rejected.unionByName(_rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason")))
+    rejected = cut_lineage(rejected.unionByName(
+        _rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason"))))
     sv = _drop(sv, rejected).withColumn("sequence_year", F.lit(year))
     numbered = G.assign_numbers(sv, t["shipments"], "SHP", order=["request_id"], out="shipment_number")
-    numbered = _new_ids(numbered, t["shipments"], ["request_id"])
+    numbered = cut_lineage(_new_ids(numbered, t["shipments"], ["request_id"]))
     ids = numbered.select("request_id", F.col("id").alias("shipment_id"))
     new_c, new_a, first = _structure_rows(t, ids, _drop(cv, rejected), _drop(av, rejected))
     header = numbered.join(first, "request_id", "left").select(
@@ -252,8 +260,9 @@ def apply_shipment_edits(t: Tables, requests: DataFrame, containers: DataFrame,
     others = t["shipment_allocations"].join(own, F.col("shipment_id") == F.col("_own"), "left_anti")
     admitted = G.admit_shipments(t.replace(shipment_allocations=others),
                                  av.join(sv.select("request_id", "client_id"), "request_id"))
-    rejected = rejected.unionByName(_rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason")))
-    sv = _drop(sv, rejected)
+    rejected = cut_lineage(rejected.unionByName(
+        _rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason"))))
+    sv = cut_lineage(_drop(sv, rejected))
     ids = sv.select("request_id", "shipment_id")
     new_c, new_a, first = _structure_rows(t, ids, _drop(cv, rejected), _drop(av, rejected))
     patch = sv.join(first, "request_id", "left").select(

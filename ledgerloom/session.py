@@ -12,8 +12,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
+              driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName("ledgerloom")
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     builder = (
