@@ -105,3 +105,19 @@ def test_payment_history_union(spark):
     assert h["advance-1"]["reference_number"] == "Advance 30.00%"
     assert h["advance-1"]["amount"] == Dm("30.00") and h["payment-5"]["payment_type"] == "later_receipt"
     assert R.payment_history(t, Filters(date_from="2024-01-11")).select(F.col("id")).collect()[0][0] == "payment-5"
+
+
+def test_bundles(spark):
+    from ledgerloom.plans import bundles
+    t = ledger(spark, [order(1, currency="USD"), order(2, currency="EUR", status="cancelled")],
+               [item(1, 1, "1", "10"), item(2, 2, "1", "20")], [payment(1, 1, "2.00")])
+    ex = bundles.executive(t)
+    assert [r["currency"] for r in ex["currencySummary"].collect()] == ["USD"]
+    assert ex["topClients"].count() == 1 and ex["monthlySales"].count() == 1
+    bundles.release(ex)
+    db = bundles.dashboard(t, "2024-03-01")
+    assert db["stats"].collect()[0]["total"] == 2 and db["recentOrders"].count() == 2
+    assert db["recentPayments"].collect()[0]["amount"] == Dm("2.00")
+    bundles.release(db)
+    st = bundles.client_statement(t, 1)
+    assert st["party"].collect()[0]["name"] == "Acme" and st["transactions"].count() == 2
