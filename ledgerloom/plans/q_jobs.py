@@ -100,6 +100,7 @@ FKS = [
     ("shipments.consignee", "shipments", "customs_consignee_id", "parties", False),
     ("shipments.notify", "shipments", "also_notify_party_id", "parties", True),
     ("allocations.container", "shipment_allocations", "shipment_container_id", "shipment_containers", True),
+    ("allocations.legacy_container", "shipment_allocations", "shipment_container_id", "legacy_containers", True),
     ("allocations.item", "shipment_allocations", "export_order_item_id", "export_order_items", False),
     ("users.role", "users", "role_id", "roles", False),
 ]
