@@ -136,3 +136,45 @@ def test_payment_stream_matches_batch(spark):
     expect = {r["request_id"]: r["outcome"] for r in admit_payments(t, batch).collect()}
     assert got == expect == {1: "accepted", 2: "exceeds", 3: "exceeds", 4: "accepted"}
     assert spark.read.parquet(pay).count() == 2
+
+
+def test_apply_order_edits(spark):
+    t = ledger(spark, [order(1), order(2, status="shipped"), order(3)],
+               [item(1, 1, "1", "10"), item(2, 2, "1", "10"), item(3, 3, "1", "10")],
+               [__import__("fixtures").payment(1, 3, "9.00")])
+    hdr = spark.createDataFrame([
+        (1, 1, "1", "100", "1", "2024-03-01", None, None, "0", "USD"),   # ok: items replaced
+        (2, 2, "1", "100", "1", "2024-03-01", None, None, "0", "USD"),   # shipped: not editable
+        (3, 3, "1", "100", "1", "2024-03-01", None, None, "0", "USD"),   # total 5 < received 9
+    ], "request_id long, order_id long, " + HDR.split(", ", 1)[1])
+    itm = spark.createDataFrame([(1, 0, "1", "4", None, "1", "1", "2", "0", False),
+                                 (1, 1, "1", "1", None, "1", "1", "2", "0", True),
+                                 (2, 0, "1", "1", None, "1", "1", "1", "0", False),
+                                 (3, 0, "1", "1", None, "1", "1", "5", "0", False)], ITM)
+    out, rej = I.apply_order_edits(t, hdr, itm)
+    reasons = {r["request_id"]: r["reason"] for r in rej.collect()}
+    assert set(reasons) == {2, 3} and reasons[3] == "received payments would exceed the total"
+    lines = out["export_order_items"].filter("export_order_id = 1").orderBy("line_number").collect()
+    assert [(r["quantity"], r["carton_start"], r["carton_end"]) for r in lines] == [
+        (Dm("4"), 1, 4), (Dm("1"), 5, 5)]
+    assert out["export_order_items"].filter("export_order_id = 3").count() == 1  # untouched
+
+
+def test_load_conform_and_audit(spark, tmp_path):
+    from ledgerloom.sources import sinks, tables
+    raw = spark.createDataFrame([(1, "Acme", "client")], "ID long, name string, party_type string")
+    c = tables.conform(raw, __import__("ledgerloom.sources.schemas", fromlist=["x"]).SCHEMAS["parties"])
+    assert c.columns[0] == "id" and c.schema["is_active"].dataType.simpleString() == "boolean"
+    root = str(tmp_path / "ledger")
+    c.write.parquet(os.path.join(root, "parties"))
+    t = tables.load_tables(spark, root)
+    assert list(t) == ["parties"] and t["parties"].collect()[0]["name"] == "Acme"
+    assert tables.active(t["parties"].fillna({"is_active": True}), party_type="supplier").count() == 0
+    assert tables.by_id(t["parties"], 1).count() == 1
+    ev = spark.createDataFrame([(1, 5, "printed", "2024-01-02 10:00:00")],
+                               "id long, user_id long, action_name string, created_at string") \
+        .withColumn("created_at", F.to_timestamp("created_at"))
+    sinks.append_audit(ev, os.path.join(root, "audit"))
+    sinks.append_audit(ev, os.path.join(root, "audit"))
+    back = spark.read.parquet(os.path.join(root, "audit"))
+    assert back.count() == 2 and "event_date" in back.columns
