@@ -7,9 +7,8 @@ uncontended key set-based (prefix sums) and fold just the contended ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom.functions.money import MONEY_EPS, QTY_EPS, QTY_SUM, money_eps
 from ledgerloom.functions.text import pad3
@@ -88,30 +87,34 @@ def assign_numbers(new: DataFrame, existing: DataFrame, prefix: str, year_col: s
 
 # ---------------------------------------------------------------- G2 payments
 
-_PAY_OUT = T.StructType([
-    T.StructField("request_id", T.LongType()), T.StructField("outcome", T.StringType()),
-    T.StructField("remaining_before", T.DecimalType(30, 7)), T.StructField("remaining_after", T.DecimalType(30, 7)),
-])
-
-
-def _fold_payments(reqs: Column, start: Column) -> Column:
-    """Sequential rule over one contended order's requests sorted by arrival (JVM higher-order fn)."""
-    eps = F.lit(MONEY_EPS).cast("decimal(5,4)")
-    init = F.struct(start.cast(STATE).alias("r"),
-                    F.array().cast(T.ArrayType(_PAY_OUT)).alias("out"))
-
-    def step(acc, x):
-        r = acc["r"]
-        amt = x["amount"].cast(STATE)
-        paid = r <= eps
-        exceeds = (amt - r) > eps
-        outcome = F.when(paid, F.lit("fully_paid")).when(exceeds, F.lit("exceeds")).otherwise(F.lit("accepted"))
-        after = F.when(paid | exceeds, r).otherwise(F.greatest(r - amt, F.lit(0).cast(STATE))).cast(STATE)
-        rec = F.struct(x["request_id"].cast("bigint").alias("request_id"), outcome.alias("outcome"),
-                       r.cast(STATE).alias("remaining_before"), after.alias("remaining_after"))
-        return F.struct(after.alias("r"), F.concat(acc["out"], F.array(rec)).alias("out"))
-
-    return F.aggregate(reqs, init, step, lambda acc: acc["out"])
+def _payment_scan(batches):
+    """Sequential payment rule over rows sorted by (order_id, request_id), streamed batch by batch:
+    only the current order's remaining amount is carried, never the order's requests."""
+    import pandas as pd
+    from decimal import Decimal
+
+    eps = Decimal(MONEY_EPS)
+    current, r = None, None
+    for pdf in batches:
+        ids, outcomes, before, after = [], [], [], []
+        for oid, rid, amt, r0 in zip(pdf["order_id"], pdf["request_id"], pdf["amount"], pdf["_r0"]):
+            if oid != current:
+                current, r = oid, Decimal(r0)
+            before.append(r)
+            if r <= eps:
+                outcomes.append("fully_paid")
+            elif Decimal(amt) - r > eps:
+                outcomes.append("exceeds")
+            else:
+                outcomes.append("accepted")
+                r = max(r - Decimal(amt), Decimal(0))
+            after.append(r)
+            ids.append(int(rid))
+        yield pd.DataFrame({"request_id": ids, "outcome": outcomes, "remaining_before": before,
+                            "remaining_after": after})
+
+
+_SCAN_SCHEMA = "request_id long, outcome string, remaining_before decimal(30,7), remaining_after decimal(30,7)"
 
 
 def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> DataFrame:
@@ -145,13 +148,11 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
                        (F.col("_r0") - F.col("_before_sum")).cast(STATE).alias("remaining_before"),
                        (F.col("_r0") - F.col("_before_sum") - F.col("amount")).cast(STATE).alias("remaining_after"))
     hard = live.filter(~fits)
-    folded = (hard.groupBy("order_id", "_r0")
-              .agg(_fold_payments(F.array_sort(F.collect_list(F.struct("request_id", "amount"))), F.col("_r0"))
-                   .alias("_res"))
-              .select("order_id", F.explode("_res").alias("x"))
-              .select(F.col("x.request_id").alias("request_id"), F.col("x.outcome").alias("outcome"),
-                      F.col("x.remaining_before").alias("remaining_before"),
-                      F.col("x.remaining_after").alias("remaining_after")))
+    # contended orders: one ordered scan per order; the partition holds many orders, memory holds
+    # one Arrow batch plus the running remaining amount (the external sort spills if needed)
+    folded = (hard.select("order_id", "request_id", "amount", "_r0")
+              .repartition("order_id").sortWithinPartitions("order_id", "request_id")
+              .mapInPandas(_payment_scan, _SCAN_SCHEMA))
     hard_out = (hard.select("request_id", "order_id", "amount")
                 .join(folded, "request_id", "inner")
                 .select("request_id", "order_id", "amount", "outcome", "remaining_before", "remaining_after"))
@@ -214,36 +215,54 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
                                  F.round(F.col("requested") * 1000).cast("bigint").alias("requested"),
                                  F.round(F.col("left") * 1000).cast("bigint").alias("left"))
 
-    def fold(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values(["request_id", "export_order_item_id"], kind="stable")
-        rid = pdf["request_id"].to_numpy()
-        item = pdf["export_order_item_id"].to_numpy()
-        need = pdf["requested"].to_numpy()
-        left = dict(zip(item.tolist(), pdf["left"].to_numpy().tolist()))
-        ids, outcomes, reasons = [], [], []
-        n, i = len(rid), 0
-        while i < n:
-            j = i
-            while j < n and rid[j] == rid[i]:
-                j += 1
-            ok = all(need[k] <= left[item[k]] for k in range(i, j))  # integer thousandths: exact
-            if ok:
-                for k in range(i, j):
-                    left[item[k]] -= need[k]
-            ids.append(int(rid[i]))
-            outcomes.append("accepted" if ok else "rejected")
-            reasons.append(None if ok else "short")
-            i = j
-        return pd.DataFrame({"request_id": ids, "outcome": outcomes, "reason": reasons})
-
-    hard = hard_rows.groupBy("client_id").applyInPandas(
-        fold, schema="request_id long, outcome string, reason string")
+    # contended requests: one ordered scan per client (rows sorted by client, request, line); the
+    # scan carries the client's remaining quantities and the rows of the request being decided
+    hard = (hard_rows.repartition("client_id")
+            .sortWithinPartitions("client_id", "request_id", "export_order_item_id")
+            .mapInPandas(_allocation_scan, "request_id long, outcome string, reason string"))
     static_out = static.select("request_id", F.lit("rejected").alias("outcome"), "reason")
     res = static_out.unionByName(easy).unionByName(hard)
     return client.join(res, "request_id", "inner")
 
 
+def _allocation_scan(batches):
+    """Sequential all-or-nothing rule in integer thousandths over rows sorted by
+    (client_id, request_id, line); state = remaining per line of the current client."""
+    import pandas as pd
+
+    client, left = None, {}
+    pending_id, pending = None, []
+    out_ids, out_outcome, out_reason = [], [], []
+
+    def decide():
+        ok = all(q <= left[i] for i, q in pending)
+        if ok:
+            for i, q in pending:
+                left[i] -= q
+        out_ids.append(int(pending_id))
+        out_outcome.append("accepted" if ok else "rejected")
+        out_reason.append(None if ok else "short")
+
+    for pdf in batches:
+        for cid, rid, item, need, rem in zip(pdf["client_id"], pdf["request_id"], pdf["export_order_item_id"],
+                                             pdf["requested"], pdf["left"]):
+            if pending and rid != pending_id:
+                decide()
+                pending = []
+            if cid != client:
+                client, left = cid, {}
+            left.setdefault(item, int(rem))
+            pending_id = rid
+            pending.append((item, int(need)))
+        if out_ids:
+            yield pd.DataFrame({"request_id": out_ids, "outcome": out_outcome, "reason": out_reason})
+            out_ids, out_outcome, out_reason = [], [], []
+    if pending:
+        decide()
+    if out_ids:
+        yield pd.DataFrame({"request_id": out_ids, "outcome": out_outcome, "reason": out_reason})
+
+
 # ---------------------------------------------------------------- G4-G9 state rules
 
 def apply_order_status(t, requests: DataFrame, now) -> DataFrame:
