@@ -165,9 +165,9 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
     """Allocation requests (request_id, client_id, export_order_item_id, quantity, ...), each
     request all-or-nothing, decided in request_id order within a client.
 
-    Reasons: missing line, foreign client, cancelled contract (set-based); short (quantity left) —
-    uncontended lines pass set-based, contended clients are folded in a grouped pandas function
-    whose memory is bounded by one client's contended requests."""
+    Reasons, in the original's order (any missing line first, then line by line in id order: foreign
+    client, cancelled contract, short).  Static reasons are set-based; lines whose total demand fits
+    are uncontended and pass set-based; only contended lines are scanned in request order."""
     from ledgerloom.operators.fulfilment import allocated_qty
 
     items = t["export_order_items"].select(F.col("id").alias("_iid"), F.col("export_order_id").alias("_ioid"),
@@ -186,56 +186,71 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
     line_reason = (F.when(F.col("_iid").isNull(), "missing line")
                    .when(F.col("_oclient") != F.col("client_id"), "foreign client")
                    .when(F.col("_ostatus") == "cancelled", "cancelled contract"))
-    # first static reason per request, in the rule order
+    # static reasons: any missing line wins; otherwise the first failing line by id decides
     rank = (F.when(line_reason == "missing line", 1).when(line_reason == "foreign client", 2)
             .when(line_reason == "cancelled contract", 3))
-    # missing lines are checked first; otherwise the first failing line by id decides the reason
     static = (j.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
               .groupBy("request_id").agg(F.max(F.col("_rank") == 1).alias("_missing"),
                                          F.min(F.struct("export_order_item_id", "_rank")).alias("_first"))
-              .select("request_id", F.when(F.col("_missing"), "missing line")
+              .select("request_id", F.col("_missing"),
+                      F.col("_first.export_order_item_id").alias("_first_bad"),
+                      F.when(F.col("_missing"), "missing line")
                       .when(F.col("_first._rank") == 2, "foreign client").otherwise("cancelled contract")
                       .alias("reason")))
     ok = j.join(static, "request_id", "left_anti")
     # contended lines: total demand of statically valid requests exceeds what is left
     demand = ok.groupBy("export_order_item_id").agg(F.sum("requested").alias("_demand"), F.first("_left").alias("_l"))
-    cont_lines = demand.filter(F.col("_demand") > F.col("_l") + F.lit(QTY_EPS).cast("decimal(5,4)")) \
-        .select(F.col("export_order_item_id").alias("_cl"))
-    ok = ok.join(cont_lines.withColumn("_contended", F.lit(True)),
-                 ok["export_order_item_id"] == cont_lines["_cl"], "left")
-    req_cont = ok.groupBy("request_id").agg(F.max(F.coalesce("_contended", F.lit(False))).alias("_rc"))
-    easy = req_cont.filter(~F.col("_rc")).select("request_id", F.lit("accepted").alias("outcome"),
-                                                 F.lit(None).cast("string").alias("reason"))
-    hard_rows = (ok.join(req_cont.filter(F.col("_rc")), "request_id", "left_semi")
-                 .filter(F.col("_contended"))
+    cont_lines = (demand.filter(F.col("_demand") > F.col("_l") + F.lit(QTY_EPS).cast("decimal(5,4)"))
+                  .select(F.col("export_order_item_id").alias("_cl"), F.lit(True).alias("_contended")))
+    marked = j.join(cont_lines, j["export_order_item_id"] == cont_lines["_cl"], "left") \
+        .join(static, "request_id", "left")
+    # rows the ordered scan must see: contended lines of statically valid requests, and contended
+    # lines *before the first static failure* of a statically rejected request (an earlier shortage
+    # decides its reason; it never consumes)
+    scan_row = F.coalesce(F.col("_contended"), F.lit(False)) & (
+        F.col("reason").isNull()
+        | (~F.col("_missing") & (F.col("export_order_item_id") < F.col("_first_bad"))))
+    hard_rows = (marked.filter(scan_row)
                  .select("client_id", "request_id", "export_order_item_id",
-                         F.col("requested").cast("double").alias("requested"), F.col("_left").cast("double").alias("left")))
-    # decimal quantities have ≤ 3 decimals: the fold works in integer thousandths (exact)
-    hard_rows = hard_rows.select("client_id", "request_id", "export_order_item_id",
-                                 F.round(F.col("requested") * 1000).cast("bigint").alias("requested"),
-                                 F.round(F.col("left") * 1000).cast("bigint").alias("left"))
-
-    # contended requests: one ordered scan per client (rows sorted by client, request, line); the
-    # scan carries the client's remaining quantities and the rows of the request being decided
+                         # decimal quantities have ≤ 3 decimals: integer thousandths are exact
+                         (F.col("requested") * 1000).cast("bigint").alias("requested"),
+                         (F.col("_left") * 1000).cast("bigint").alias("left"),
+                         F.col("reason").alias("static_reason")))
+    in_scan = hard_rows.select("request_id").distinct()
+    valid_ids = ok.select("request_id").distinct()
+    easy = valid_ids.join(in_scan, "request_id", "left_anti").select(
+        "request_id", F.lit("accepted").alias("outcome"), F.lit(None).cast("string").alias("reason"))
+    static_out = static.join(in_scan, "request_id", "left_anti").select(
+        "request_id", F.lit("rejected").alias("outcome"), "reason")
+    # one ordered scan per client (rows sorted by client, request, line); the scan carries the
+    # client's remaining quantities and the rows of the request being decided — never the group
     hard = (hard_rows.repartition("client_id")
             .sortWithinPartitions("client_id", "request_id", "export_order_item_id")
             .mapInPandas(_allocation_scan, "request_id long, outcome string, reason string"))
-    static_out = static.select("request_id", F.lit("rejected").alias("outcome"), "reason")
     res = static_out.unionByName(easy).unionByName(hard)
     return client.join(res, "request_id", "inner")
 
 
 def _allocation_scan(batches):
     """Sequential all-or-nothing rule in integer thousandths over rows sorted by
-    (client_id, request_id, line); state = remaining per line of the current client."""
+    (client_id, request_id, line); state = remaining per line of the current client.
+
+    A row with ``static_reason`` belongs to a request already rejected by a later line; it is
+    reported short if one of these earlier lines is short, else with its static reason, and it never
+    consumes."""
     import pandas as pd
 
     client, left = None, {}
-    pending_id, pending = None, []
+    pending_id, pending, pending_static = None, [], None
     out_ids, out_outcome, out_reason = [], [], []
 
     def decide():
         ok = all(q <= left[i] for i, q in pending)
+        if pending_static is not None:
+            out_ids.append(int(pending_id))
+            out_outcome.append("rejected")
+            out_reason.append(pending_static if ok else "short")
+            return
         if ok:
             for i, q in pending:
                 left[i] -= q
@@ -244,8 +259,8 @@ def _allocation_scan(batches):
         out_reason.append(None if ok else "short")
 
     for pdf in batches:
-        for cid, rid, item, need, rem in zip(pdf["client_id"], pdf["request_id"], pdf["export_order_item_id"],
-                                             pdf["requested"], pdf["left"]):
+        for cid, rid, item, need, rem, st in zip(pdf["client_id"], pdf["request_id"], pdf["export_order_item_id"],
+                                                 pdf["requested"], pdf["left"], pdf["static_reason"]):
             if pending and rid != pending_id:
                 decide()
                 pending = []
@@ -253,6 +268,7 @@ def _allocation_scan(batches):
                 client, left = cid, {}
             left.setdefault(item, int(rem))
             pending_id = rid
+            pending_static = st if isinstance(st, str) else None
             pending.append((item, int(need)))
         if out_ids:
             yield pd.DataFrame({"request_id": out_ids, "outcome": out_outcome, "reason": out_reason})
