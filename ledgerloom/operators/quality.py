@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import js_trim
+from ledgerloom.sources.schemas import ORDER_STATUSES, PARTY_TYPES
 
 DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -140,6 +141,38 @@ PAYMENT_RULES = [
 ]
 
 
+
+# Request rules for the master data and report filters.
+PARTY_RULES = [
+    Rule("party_type", "enum", domain=PARTY_TYPES), Rule("name", "text", min_len=2),
+    Rule("contact_person", "text", required=False, nullable=True),
+    Rule("email", "email", required=False, nullable=True),
+    Rule("phone", "text", required=False, nullable=True), Rule("country", "text", required=False, nullable=True),
+]
+BANK_ACCOUNT_RULES = [
+    Rule("account_name", "text", min_len=2), Rule("beneficiary_name", "text", min_len=2),
+    Rule("bank_name", "text", min_len=2), Rule("account_number", "text", required=False, nullable=True),
+    Rule("iban", "text", required=False, nullable=True), Rule("swift_code", "text", required=False, nullable=True),
+    Rule("currency", "text", default="USD"),
+]
+USER_RULES = [
+    Rule("name", "text", min_len=2), Rule("email", "email"), Rule("role_id", "id"),
+    Rule("phone", "text", required=False, nullable=True),
+]
+GATE_PASS_RULES = [
+    Rule("clearing_agent_id", "id", nullable=True),
+    *[Rule(c, "text", required=False, nullable=True) for c in (
+        "transporter_name", "transporter_contact", "transporter_phone", "truck_number", "driver_name",
+        "driver_phone", "loading_address", "delivery_address")],
+]
+REPORT_FILTER_RULES = [
+    Rule("date_from", "date", nullable=True), Rule("date_to", "date", nullable=True),
+    Rule("client_id", "id", nullable=True), Rule("status", "enum", required=False, nullable=True,
+                                                 domain=ORDER_STATUSES + [""]),
+    Rule("currency", "text", required=False, nullable=True, max_len=10),
+]
+
+
 def validate_payments(raw: DataFrame) -> DataFrame:
     """V1 on payment requests: every request with coerced values, validity flag and error text."""
     values, errs = [], []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY_EPS
-from ledgerloom.functions.text import blank_to_null
+from ledgerloom.functions.text import blank_to_null, seal_list
 from ledgerloom.operators import admission as G
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators.backfill import parse_packaging
@@ -318,3 +318,32 @@ def ingest_products(t: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:
 
 
 _ = MONEY_EPS
+
+
+GATE_PASS_COLUMNS = ["clearing_agent_id", "transporter_name", "transporter_contact", "transporter_phone",
+                     "truck_number", "driver_name", "driver_phone", "loading_address", "delivery_address",
+                     "seal_numbers"]
+
+
+def apply_gate_pass(t: Tables, patches: DataFrame, target: str = "export_orders") -> tuple[Tables, DataFrame]:
+    """S8 (gate pass): patches (request_id, id, gate-pass fields, seal_numbers text) -> updated table.
+
+    Blank texts are stored as NULL and seal numbers as a JSON list.  Shipments accept the update
+    only while not shipped/completed/cancelled; unknown ids and blocked rows come back rejected."""
+    pv, pr = Q.validate(patches, Q.GATE_PASS_RULES, keep=["request_id", "id", "seal_numbers"])
+    rejected = _rejects(pr, F.concat(F.lit("invalid gate pass: "), Q.errors_text()))
+    pv = _drop(pv, rejected)
+    patch = pv.select("request_id", "id", "clearing_agent_id",
+                      *[blank_to_null(c).alias(c) for c in GATE_PASS_COLUMNS[1:-1]],
+                      seal_list(F.col("seal_numbers")).alias("seal_numbers"))
+    table = t[target]
+    for c in GATE_PASS_COLUMNS:
+        if c not in table.columns:
+            table = table.withColumn(c, F.lit(None).cast("bigint" if c.endswith("_id") else "string"))
+    where = None
+    if target == "shipments":
+        where = ~F.col("status").isin("shipped", "completed", "cancelled")
+    updated, missing = sinks.update_by_key(table, patch.drop("request_id"), ["id"], GATE_PASS_COLUMNS, where=where)
+    rejected = rejected.unionByName(
+        _rejects(patch.join(missing.select("id"), "id", "left_semi"), "not found or cannot be edited"))
+    return t.replace(**{target: updated}), _first_reason(rejected)

@@ -184,3 +184,40 @@ def test_order_status_rules(spark):
                                   "request_id long, order_id long, client_id long, advance_percentage decimal(5,2)")
     er = {r["request_id"]: r["reason"] for r in G.check_order_edits(t, edits).collect()}
     assert er == {1: "client fixed once paid", 2: "has shipment allocations", 3: None}
+
+
+def test_master_data_rules(spark):
+    parties = spark.createDataFrame([(1, "client", "Acme", "a@b.co"), (2, "vendor", "X", "nope")],
+                                    "request_id long, party_type string, name string, email string")
+    ok, bad = Q.validate(parties, [r for r in Q.PARTY_RULES if r.field in ("party_type", "name", "email")],
+                         keep=["request_id"])
+    assert [r["request_id"] for r in ok.collect()] == [1]
+    assert Q.errors_text("errors") is not None
+    errs = bad.select(Q.errors_text().alias("e")).collect()[0]["e"]
+    assert errs == "party_type:not allowed;name:shorter than 2;email:invalid e-mail"
+    filters = spark.createDataFrame([("2024-01-01", "", "", "", "USD"), ("x", "", "0", "lost", "")],
+                                    "date_from string, date_to string, client_id string, status string, "
+                                    "currency string")
+    ok, bad = Q.validate(filters, Q.REPORT_FILTER_RULES)
+    assert ok.count() == 1 and bad.count() == 1
+
+
+def test_gate_pass_update(spark):
+    from ledgerloom.plans.ingest import apply_gate_pass
+    shipments = [(1, "S1", 1, 100, None, None, "draft", D(2024, 1, 1), 2024, 1, "USD"),
+                 (2, "S2", 1, 100, None, None, "shipped", D(2024, 1, 1), 2024, 2, "USD")]
+    t = ledger(spark, [order(1)], shipments=shipments)
+    patches = spark.createDataFrame([(1, 1, "", "Truck Co", " ", "A1,, B2\nC3 "), (2, 2, None, "T", None, None),
+                                     (3, 9, None, "T", None, None)],
+                                    "request_id long, id long, clearing_agent_id string, transporter_name string, "
+                                    "driver_name string, seal_numbers string")
+    for c in ("transporter_contact", "transporter_phone", "truck_number", "driver_phone", "loading_address",
+              "delivery_address"):
+        patches = patches.withColumn(c, F.lit(None).cast("string"))
+    out, rej = apply_gate_pass(t, patches, "shipments")
+    assert {r["request_id"] for r in rej.collect()} == {2, 3}
+    s1 = out["shipments"].filter("id = 1").collect()[0]
+    assert s1["transporter_name"] == "Truck Co" and s1["driver_name"] is None
+    assert s1["seal_numbers"] == '["A1","B2","C3"]' and s1["clearing_agent_id"] is None
+    out2, rej2 = apply_gate_pass(t, patches.filter("request_id <> 3"), "export_orders")
+    assert rej2.count() == 1  # order 2 does not exist
