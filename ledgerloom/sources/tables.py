@@ -75,13 +75,17 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(source=views)
 
 
-def materialize_domain(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
-    """Write every domain view derived from ``sf_dir`` to ``out_dir`` (one parquet folder each)."""
+def materialize_domain(spark: SparkSession, sf_dir: str, out_dir: str, max_records_per_file: int = 25000) -> str:
+    """Write every domain view derived from ``sf_dir`` to ``out_dir`` (one parquet folder each).
+
+    Files are capped at ``max_records_per_file`` rows so a table is several files, as stored tables
+    are, and scans split across tasks."""
     from ledgerloom.sources.testdata import VIEWS
     views = build_views(spark, sf_dir)
     names = [n for n, _ in VIEWS] + ["permissions", "roles", "role_permissions"]
     for name in names:
-        views[name].write.mode("overwrite").parquet(os.path.join(out_dir, name))
+        (views[name].write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+         .parquet(os.path.join(out_dir, name)))
     spark.createDataFrame([(sf_dir,)], "source string").write.mode("overwrite") \
         .parquet(os.path.join(out_dir, DOMAIN_MARKER))
     return out_dir
