@@ -44,42 +44,59 @@ def _null_free(df: DataFrame, names: Sequence[str], prefix: str):
     return df, cols
 
 
+HOT_ROWS = 1_000_000  # a key with more rows than this is cut into chunks; others run one window
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column | str, out: str,
                 chunk: Sequence | None = None, exclusive: bool = False,
-                result_type: str | None = None) -> DataFrame:
+                result_type: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``out`` = Σ value over the rows of the same key up to and including this row.
 
     ``order`` must be a total order within a key; ``chunk`` (default: the first order column) must
-    be non-decreasing along ``order``.  ``exclusive`` leaves out the row itself."""
+    be non-decreasing along ``order``.  ``exclusive`` leaves out the row itself.
+
+    Keys with more than ``hot_rows`` rows (found by a partially aggregated count; the hot list has at
+    most rows / hot_rows entries) are cut into chunks with per-chunk offsets; every other key is one
+    window partition whose only chunk has offset 0.  At scale this is one large shuffle plus a small
+    hot-key side."""
     val = F.col(value) if isinstance(value, str) else value
     chunk_exprs = _cols(chunk) if chunk is not None else _cols(order[:1])
     base = df.withColumn("_rv", val)
+    base, key_part = _null_free(base, list(keys), "_k")
+    hot = (base.groupBy(*key_part).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_rows).select(*key_part, F.lit(True).alias("_hot")))
+    # broadcast with a proven bound: at most (row count / hot_rows) hot keys
+    base = base.join(F.broadcast(hot), key_part, "left")
+    is_hot = F.col("_hot").isNotNull()
     chunk_names = []
     for i, expr in enumerate(chunk_exprs):
-        base = base.withColumn(f"_c{i}", expr)
+        base = base.withColumn(f"_c{i}", F.when(is_hot, expr))  # NULL (one chunk) for cold keys
         chunk_names.append(f"_c{i}")
-    base, part = _null_free(base, list(keys) + chunk_names, "_p")
-    key_part = part[: 2 * len(keys)]
+    base, chunk_part = _null_free(base, chunk_names, "_q")
+    part = key_part + chunk_part
     local_w = (Window.partitionBy(*part).orderBy(*_cols(order))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = base.withColumn("_local", F.sum("_rv").over(local_w))
-    totals = base.groupBy(*part).agg(F.sum("_rv").alias("_ct"))
-    # chunk offsets: per key, the sum of all earlier chunks (one row per key and chunk)
+    # explicit exchange on (key, chunk): an input already hash-partitioned by the key alone would
+    # otherwise satisfy the window's clustering and keep a hot key in one task
+    local = base.repartition(*part).withColumn("_local", F.sum("_rv").over(local_w))
+    totals = base.filter(is_hot).groupBy(*part).agg(F.sum("_rv").alias("_ct"))
+    # chunk offsets of hot keys: the sum of all earlier chunks (one row per hot key and chunk)
     chunk_order = []
-    for flag, val in zip(part[2 * len(keys)::2], part[2 * len(keys) + 1::2]):
-        chunk_order += [F.col(flag).desc(), F.col(val).asc()]  # NULL chunks first, like the row order
+    for flag, v in zip(chunk_part[::2], chunk_part[1::2]):
+        chunk_order += [F.col(flag).desc(), F.col(v).asc()]  # NULL chunks first, like the row order
     chunk_w = Window.partitionBy(*key_part).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_ct").over(chunk_w), F.lit(0))).drop("_ct")
-    joined = local.join(offsets, part, "inner")
-    total = F.col("_local") + F.col("_off")
+    joined = local.join(offsets, part, "left")
+    total = F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))
     if exclusive:
         total = total - F.col("_rv")
     if result_type:
         total = total.cast(result_type)
-    return joined.withColumn(out, total).drop("_rv", "_local", "_off", *chunk_names, *part)
+    return joined.withColumn(out, total).drop("_rv", "_local", "_off", "_hot", *chunk_names, *part)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "line_number",
-                chunk: Sequence | None = None) -> DataFrame:
+                chunk: Sequence | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """1-based row number within a key, skew-safe (running count; ``order`` must be total)."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk=chunk, result_type="int")
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk=chunk, result_type="int",
+                       hot_rows=hot_rows)

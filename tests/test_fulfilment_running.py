@@ -87,12 +87,15 @@ def test_running_sum_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "k string, o int, v int, rid int")
     for chunk in (None, [F.floor(F.col("o") / 7)], [F.lit(0)]):
         for exclusive in (False, True):
-            got = running_sum(df, ["k"], ["o", "rid"], "v", "rs", chunk=chunk, exclusive=exclusive)
-            got = {r["rid"]: r["rs"] for r in got.collect()}
-            assert got == _brute(rows, exclusive)
+            for hot_rows in (100, 10_000_000):  # hot key chunked / everything one window
+                got = running_sum(df, ["k"], ["o", "rid"], "v", "rs", chunk=chunk, exclusive=exclusive,
+                                  hot_rows=hot_rows)
+                got = {r["rid"]: r["rs"] for r in got.collect()}
+                assert got == _brute(rows, exclusive)
 
 
 def test_number_rows(spark):
     df = spark.createDataFrame([(1, 30), (1, 10), (2, 5), (1, 20)], "g int, o int")
-    got = sorted((r["g"], r["o"], r["n"]) for r in number_rows(df, ["g"], ["o"], "n").collect())
-    assert got == [(1, 10, 1), (1, 20, 2), (1, 30, 3), (2, 5, 1)]
+    for hot in (1, 100):
+        got = sorted((r["g"], r["o"], r["n"]) for r in number_rows(df, ["g"], ["o"], "n", hot_rows=hot).collect())
+        assert got == [(1, 10, 1), (1, 20, 2), (1, 30, 3), (2, 5, 1)]
