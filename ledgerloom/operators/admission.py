@@ -96,7 +96,7 @@ def _payment_scan(batches):
     eps = Decimal(MONEY_EPS)
     current, r = None, None
     for pdf in batches:
-        ids, outcomes, before, after = [], [], [], []
+        ids, orders, amounts, outcomes, before, after = [], [], [], [], [], []
         for oid, rid, amt, r0 in zip(pdf["order_id"], pdf["request_id"], pdf["amount"], pdf["_r0"]):
             if oid != current:
                 current, r = oid, Decimal(r0)
@@ -110,11 +110,14 @@ def _payment_scan(batches):
                 r = max(r - Decimal(amt), Decimal(0))
             after.append(r)
             ids.append(int(rid))
-        yield pd.DataFrame({"request_id": ids, "outcome": outcomes, "remaining_before": before,
-                            "remaining_after": after})
+            orders.append(int(oid))
+            amounts.append(amt)
+        yield pd.DataFrame({"request_id": ids, "order_id": orders, "amount": amounts, "outcome": outcomes,
+                            "remaining_before": before, "remaining_after": after})
 
 
-_SCAN_SCHEMA = "request_id long, outcome string, remaining_before decimal(30,7), remaining_after decimal(30,7)"
+_SCAN_SCHEMA = ("request_id long, order_id long, amount decimal(14,2), outcome string, "
+                "remaining_before decimal(30,7), remaining_after decimal(30,7)")
 
 
 def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> DataFrame:
@@ -153,9 +156,7 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
     folded = (hard.select("order_id", "request_id", "amount", "_r0")
               .repartition("order_id").sortWithinPartitions("order_id", "request_id")
               .mapInPandas(_payment_scan, _SCAN_SCHEMA))
-    hard_out = (hard.select("request_id", "order_id", "amount")
-                .join(folded, "request_id", "inner")
-                .select("request_id", "order_id", "amount", "outcome", "remaining_before", "remaining_after"))
+    hard_out = folded.select("request_id", "order_id", "amount", "outcome", "remaining_before", "remaining_after")
     return static.unionByName(easy).unionByName(hard_out)
 
 

@@ -103,6 +103,21 @@ def load_tables(spark: SparkSession, path: str, names: Iterable[str] | None = No
     return out
 
 
+def load_jdbc_table(spark: SparkSession, url: str, table: str, name: str, partition_column: str | None = None,
+                    lower: int | None = None, upper: int | None = None, partitions: int = 64,
+                    properties: Mapping[str, str] | None = None) -> DataFrame:
+    """S1 (optional source): one ledger table from a relational database, read in parallel ranges of
+    a numeric key when given, and conformed to the declared schema."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    for k, v in (properties or {}).items():
+        reader = reader.option(k, v)
+    if partition_column is not None:
+        reader = (reader.option("partitionColumn", partition_column).option("lowerBound", lower)
+                  .option("upperBound", upper).option("numPartitions", partitions))
+    df = reader.load()
+    return conform(df, schemas.SCHEMAS[name]) if name in schemas.SCHEMAS else df
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """S3: project onto a target schema; missing columns become typed NULLs, extra columns drop."""
     present = {c.lower(): c for c in df.columns}
