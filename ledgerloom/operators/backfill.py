@@ -48,12 +48,13 @@ def backfill_packing(products: DataFrame) -> DataFrame:
     pieces_per_unit, 0.  pieces/pack is stored in pieces_per_unit and packs/carton in
     units_per_carton; the JSON is rewritten to the two canonical keys."""
     details = F.from_json(F.coalesce(F.col("packaging_details"), F.lit("{}")), "map<string,string>")
-    pick = lambda k: details.getItem(k).cast("decimal(12,3)")
+    # a JSON column cannot hold unparseable text: such rows are left as they are (not migrated)
+    pick = lambda k: details.getItem(k).try_cast("decimal(12,3)")
     pieces = F.coalesce(pick("pieces_per_pack"), pick("pieces_per_box"), F.col("units_per_carton"),
                         F.lit(0).cast("decimal(12,3)")).cast("decimal(12,3)")
     packs = F.coalesce(pick("packs_per_carton"), pick("jars_per_carton"), F.col("pieces_per_unit"),
                        F.lit(0).cast("decimal(12,3)")).cast("decimal(12,3)")
-    legacy = F.col("package_type") == "Carton"
+    legacy = (F.col("package_type") == "Carton") & details.isNotNull()
     js = F.concat(F.lit('{"pieces_per_pack":'), number_text(pieces), F.lit(',"packs_per_carton":'),
                   number_text(packs), F.lit("}"))
     return products.select(

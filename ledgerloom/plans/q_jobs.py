@@ -357,25 +357,30 @@ def q_backfill_allocation_containers(t):
 
 @register("backfill_packing", with_ctes(
     f"""SELECT id,
-      CASE WHEN package_type = 'Carton' THEN 'Jar' ELSE package_type END AS package_type,
-      {D("CASE WHEN package_type = 'Carton' THEN pieces ELSE pieces_per_unit END")} AS pieces_per_unit,
-      {D("CASE WHEN package_type = 'Carton' THEN packs ELSE units_per_carton END")} AS units_per_carton,
-      CASE WHEN package_type = 'Carton' THEN concat('{{"pieces_per_pack":',
+      CASE WHEN legacy THEN 'Jar' ELSE package_type END AS package_type,
+      {D("CASE WHEN legacy THEN pieces ELSE pieces_per_unit END")} AS pieces_per_unit,
+      {D("CASE WHEN legacy THEN packs ELSE units_per_carton END")} AS units_per_carton,
+      CASE WHEN legacy THEN concat('{{"pieces_per_pack":',
           regexp_replace(regexp_replace(CAST(CAST(pieces AS DECIMAL(20,6)) AS VARCHAR), '0+$', ''), '\\.$', ''),
           ',"packs_per_carton":',
           regexp_replace(regexp_replace(CAST(CAST(packs AS DECIMAL(20,6)) AS VARCHAR), '0+$', ''), '\\.$', ''), '}}')
         ELSE packaging_details END AS packaging_details
     FROM (SELECT *,
-        CAST(COALESCE(TRY_CAST(json_extract_string(COALESCE(packaging_details, '{{}}'), '$.pieces_per_pack') AS DECIMAL(12,3)),
-          TRY_CAST(json_extract_string(COALESCE(packaging_details, '{{}}'), '$.pieces_per_box') AS DECIMAL(12,3)),
+        package_type = 'Carton' AND json_valid(COALESCE(packaging_details, '{{}}')) AS legacy,
+        CAST(COALESCE(TRY_CAST(json_extract_string(CASE WHEN json_valid(COALESCE(packaging_details, '{{}}'))
+          THEN COALESCE(packaging_details, '{{}}') END, '$.pieces_per_pack') AS DECIMAL(12,3)),
+          TRY_CAST(json_extract_string(CASE WHEN json_valid(COALESCE(packaging_details, '{{}}'))
+            THEN COALESCE(packaging_details, '{{}}') END, '$.pieces_per_box') AS DECIMAL(12,3)),
           units_per_carton, 0) AS DECIMAL(12,3)) AS pieces,
-        CAST(COALESCE(TRY_CAST(json_extract_string(COALESCE(packaging_details, '{{}}'), '$.packs_per_carton') AS DECIMAL(12,3)),
-          TRY_CAST(json_extract_string(COALESCE(packaging_details, '{{}}'), '$.jars_per_carton') AS DECIMAL(12,3)),
+        CAST(COALESCE(TRY_CAST(json_extract_string(CASE WHEN json_valid(COALESCE(packaging_details, '{{}}'))
+            THEN COALESCE(packaging_details, '{{}}') END, '$.packs_per_carton') AS DECIMAL(12,3)),
+          TRY_CAST(json_extract_string(CASE WHEN json_valid(COALESCE(packaging_details, '{{}}'))
+            THEN COALESCE(packaging_details, '{{}}') END, '$.jars_per_carton') AS DECIMAL(12,3)),
           pieces_per_unit, 0) AS DECIMAL(12,3)) AS packs
-      FROM products WHERE id % 5 <> 4) p"""))
+      FROM products) p"""))
 def q_backfill_packing(t):
-    """Legacy Carton packing migrated to Jar (JSON-held products only)."""
-    p = t["products"].filter(F.col("id") % 5 != 4)
+    """Legacy Carton packing migrated to Jar; rows whose packaging text is not JSON stay as they are."""
+    p = t["products"]
     return B.backfill_packing(p).select("id", "package_type", "pieces_per_unit", "units_per_carton",
                                         "packaging_details")
 
