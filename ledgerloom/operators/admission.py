@@ -191,9 +191,9 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
     rank = (F.when(line_reason == "missing line", 1).when(line_reason == "foreign client", 2)
             .when(line_reason == "cancelled contract", 3))
     static = (j.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
-              .groupBy("request_id").agg(F.max(F.col("_rank") == 1).alias("_missing"),
-                                         F.min(F.struct("export_order_item_id", "_rank")).alias("_first"))
-              .select("request_id", F.col("_missing"),
+              .groupBy("request_id", "client_id").agg(F.max(F.col("_rank") == 1).alias("_missing"),
+                                                      F.min(F.struct("export_order_item_id", "_rank")).alias("_first"))
+              .select("request_id", "client_id", F.col("_missing"),
                       F.col("_first.export_order_item_id").alias("_first_bad"),
                       F.when(F.col("_missing"), "missing line")
                       .when(F.col("_first._rank") == 2, "foreign client").otherwise("cancelled contract")
@@ -204,7 +204,7 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
     cont_lines = (demand.filter(F.col("_demand") > F.col("_l") + F.lit(QTY_EPS).cast("decimal(5,4)"))
                   .select(F.col("export_order_item_id").alias("_cl"), F.lit(True).alias("_contended")))
     marked = j.join(cont_lines, j["export_order_item_id"] == cont_lines["_cl"], "left") \
-        .join(static, "request_id", "left")
+        .join(static.drop("client_id"), "request_id", "left")
     # rows the ordered scan must see: contended lines of statically valid requests, and contended
     # lines *before the first static failure* of a statically rejected request (an earlier shortage
     # decides its reason; it never consumes)
@@ -218,18 +218,17 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
                          (F.col("_left") * 1000).cast("bigint").alias("left"),
                          F.col("reason").alias("static_reason")))
     in_scan = hard_rows.select("request_id").distinct()
-    valid_ids = ok.select("request_id").distinct()
+    valid_ids = ok.select("request_id", "client_id").distinct()
     easy = valid_ids.join(in_scan, "request_id", "left_anti").select(
-        "request_id", F.lit("accepted").alias("outcome"), F.lit(None).cast("string").alias("reason"))
+        "request_id", "client_id", F.lit("accepted").alias("outcome"), F.lit(None).cast("string").alias("reason"))
     static_out = static.join(in_scan, "request_id", "left_anti").select(
-        "request_id", F.lit("rejected").alias("outcome"), "reason")
+        "request_id", "client_id", F.lit("rejected").alias("outcome"), "reason")
     # one ordered scan per client (rows sorted by client, request, line); the scan carries the
     # client's remaining quantities and the rows of the request being decided — never the group
     hard = (hard_rows.repartition("client_id")
             .sortWithinPartitions("client_id", "request_id", "export_order_item_id")
-            .mapInPandas(_allocation_scan, "request_id long, outcome string, reason string"))
-    res = static_out.unionByName(easy).unionByName(hard)
-    return client.join(res, "request_id", "inner")
+            .mapInPandas(_allocation_scan, "request_id long, client_id long, outcome string, reason string"))
+    return static_out.unionByName(easy).unionByName(hard)
 
 
 def _allocation_scan(batches):
@@ -243,10 +242,11 @@ def _allocation_scan(batches):
 
     client, left = None, {}
     pending_id, pending, pending_static = None, [], None
-    out_ids, out_outcome, out_reason = [], [], []
+    out_ids, out_clients, out_outcome, out_reason = [], [], [], []
 
     def decide():
         ok = all(q <= left[i] for i, q in pending)
+        out_clients.append(int(client))
         if pending_static is not None:
             out_ids.append(int(pending_id))
             out_outcome.append("rejected")
@@ -263,7 +263,7 @@ def _allocation_scan(batches):
         for cid, rid, item, need, rem, st in zip(pdf["client_id"], pdf["request_id"], pdf["export_order_item_id"],
                                                  pdf["requested"], pdf["left"], pdf["static_reason"]):
             if pending and rid != pending_id:
-                decide()
+                decide()  # before the client switch: the pending request belongs to the old client
                 pending = []
             if cid != client:
                 client, left = cid, {}
@@ -272,12 +272,14 @@ def _allocation_scan(batches):
             pending_static = st if isinstance(st, str) else None
             pending.append((item, int(need)))
         if out_ids:
-            yield pd.DataFrame({"request_id": out_ids, "outcome": out_outcome, "reason": out_reason})
-            out_ids, out_outcome, out_reason = [], [], []
+            yield pd.DataFrame({"request_id": out_ids, "client_id": out_clients, "outcome": out_outcome,
+                                "reason": out_reason})
+            out_ids, out_clients, out_outcome, out_reason = [], [], [], []
     if pending:
         decide()
     if out_ids:
-        yield pd.DataFrame({"request_id": out_ids, "outcome": out_outcome, "reason": out_reason})
+        yield pd.DataFrame({"request_id": out_ids, "client_id": out_clients, "outcome": out_outcome,
+                            "reason": out_reason})
 
 
 # ---------------------------------------------------------------- G4-G9 state rules
