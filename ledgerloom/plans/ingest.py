@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import MONEY_EPS
 from ledgerloom.functions.text import blank_to_null, seal_list
 from ledgerloom.operators import admission as G
 from ledgerloom.operators import quality as Q
@@ -317,8 +316,6 @@ def ingest_products(t: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:
     return t.replace(products=sinks.append(t["products"], pv.drop("request_id"))), _first_reason(rejected)
 
 
-_ = MONEY_EPS
-
 
 GATE_PASS_COLUMNS = ["clearing_agent_id", "transporter_name", "transporter_contact", "transporter_phone",
                      "truck_number", "driver_name", "driver_phone", "loading_address", "delivery_address",
