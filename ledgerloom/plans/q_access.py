@@ -15,7 +15,8 @@ WHERE u.is_active"""
 
 
 @register("role_permissions_matrix", with_ctes(
-    """SELECT r.id, r.name, COALESCE(k.permission_keys, '') AS permission_keys, COALESCE(u.n, 0) AS active_users
+    """SELECT CAST(r.id AS BIGINT) AS id, r.name, COALESCE(k.permission_keys, '') AS permission_keys,
+      COALESCE(u.n, 0) AS active_users
     FROM roles r
     LEFT JOIN (SELECT rp.role_id, string_agg(p.permission_key, ',' ORDER BY p.permission_key) AS permission_keys
                FROM role_permissions rp JOIN permissions p ON p.id = rp.permission_id GROUP BY rp.role_id) k

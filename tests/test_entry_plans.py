@@ -10,6 +10,8 @@ import __spark_entry__ as E
 from conftest import SF001
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+              "BOOLEAN": "boolean"}
 
 
 def test_entry_runs(spark):
@@ -50,11 +52,14 @@ def duck():
 def test_oracle_parity_sf0001(spark, duck, name):
     df = E.queries()[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
-    res = duck.execute(E.oracle_sql()[name])
-    dcols = [d[0] for d in res.description]
-    drows = res.fetchall()
+    rel = duck.sql(E.oracle_sql()[name])
+    dcols = rel.columns
+    drows = rel.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert _canon(df.columns, srows) == _canon(dcols, drows)
+    # column types agree too (engine names mapped)
+    stypes = dict(df.dtypes)
+    assert {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)} == stypes
 
 
 def _plan(df):
