@@ -45,7 +45,8 @@ def statement_transactions(t, balances: DataFrame | None = None) -> DataFrame:
         F.lit(0).cast(AMOUNT).alias("debit"), F.col("opening_advance").cast(AMOUNT).alias("credit")))
     rows = (b.select(F.col("contract_date").alias("date"), "client_id", F.col("id").alias("order_id"),
                      "invoice_number", "currency",
-                     F.explode(F.filter(F.array(order_row, advance_row), lambda r: r.isNotNull())).alias("r"))
+                     F.explode(F.array(order_row, advance_row)).alias("r"))
+            .filter(F.col("r").isNotNull())  # advances at or below 0.004 are NULL entries
             .select(F.col("r.id").alias("id"), "date", F.col("r.sort_order").alias("sort_order"), "client_id",
                     "order_id", "invoice_number", "currency", F.col("r.type").alias("type"),
                     F.col("r.description").alias("description"), F.col("r.reference_number").alias("reference_number"),
