@@ -123,8 +123,8 @@ _SCAN_SCHEMA = ("request_id long, order_id long, amount decimal(14,2), outcome s
 def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> DataFrame:
     """Payment requests (request_id = arrival order, order_id, amount) -> outcome per request.
 
-    unknown_order / cancelled / fully_paid (remaining ≤ 0.004) / exceeds (amount − remaining > 0.004)
-    / accepted (consumes).  Orders whose requests all fit are decided with a prefix sum; only
+    invalid_amount (≤ 0) / unknown_order / cancelled / fully_paid (remaining ≤ 0.004) /
+    exceeds (amount − remaining > 0.004) / accepted (consumes).  Orders whose requests all fit are decided with a prefix sum; only
     contended orders run the sequential fold."""
     totals = order_totals(t, ["id", "status", "advance_percentage"])
     bal = with_balances(totals, payment_totals(t["order_payments"]) if include_existing else None)
@@ -134,11 +134,14 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
                           F.col("order_id").cast("bigint").alias("order_id"),
                           F.col("amount").cast("decimal(14,2)").alias("amount"))
     j = req.join(start, req["order_id"] == start["_oid"], "left")
-    static = (j.filter(F.col("_oid").isNull() | (F.col("_status") == "cancelled"))
+    # a request must carry a positive amount (validated before any order is looked at)
+    bad_amount = F.col("amount").isNull() | (F.col("amount") <= 0)
+    static = (j.filter(bad_amount | F.col("_oid").isNull() | (F.col("_status") == "cancelled"))
               .select("request_id", "order_id", "amount",
-                      F.when(F.col("_oid").isNull(), "unknown_order").otherwise("cancelled").alias("outcome"),
+                      F.when(bad_amount, "invalid_amount").when(F.col("_oid").isNull(), "unknown_order")
+                      .otherwise("cancelled").alias("outcome"),
                       F.col("_r0").alias("remaining_before"), F.col("_r0").alias("remaining_after")))
-    live = j.filter(F.col("_oid").isNotNull() & (F.col("_status") != "cancelled"))
+    live = j.filter(~bad_amount & F.col("_oid").isNotNull() & (F.col("_status") != "cancelled"))
     # per-order demand: total, and the last request's amount (partial aggregation, no skew)
     demand = live.groupBy(F.col("order_id").alias("_doid")).agg(
         F.sum("amount").cast(STATE).alias("_total"),

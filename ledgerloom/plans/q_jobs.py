@@ -183,15 +183,18 @@ ADMIT_SQL = with_ctes(
     f"""SELECT request_id, order_id, {D('amount')} AS amount, outcome, {D('rb')} AS remaining_before,
       {D('ra')} AS remaining_after FROM fold
     UNION ALL
-    SELECT q.id, q.export_order_id, {D('q.amount')}, CASE WHEN s.order_id IS NULL THEN 'unknown_order' ELSE 'cancelled' END,
+    SELECT q.id, q.export_order_id, {D('q.amount')},
+      CASE WHEN q.amount IS NULL OR q.amount <= 0 THEN 'invalid_amount'
+        WHEN s.order_id IS NULL THEN 'unknown_order' ELSE 'cancelled' END,
       {D('s.r0')}, {D('s.r0')}
     FROM order_payments q LEFT JOIN pay_start s ON s.order_id = q.export_order_id
-    WHERE s.order_id IS NULL OR s.status = 'cancelled'""", "o_totals", extra={
+    WHERE q.amount IS NULL OR q.amount <= 0 OR s.order_id IS NULL OR s.status = 'cancelled'""", "o_totals", extra={
         "pay_start": """SELECT id AS order_id, status, CAST(GREATEST(CAST(order_total
             - ROUND(order_total * advance_percentage * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(30,7)),
             CAST(0 AS DECIMAL(30,7))) AS DECIMAL(30,7)) AS r0 FROM o_totals""",
         "pay_req": """SELECT id AS request_id, export_order_id AS order_id, amount,
-            row_number() OVER (PARTITION BY export_order_id ORDER BY id) AS rn FROM order_payments""",
+            row_number() OVER (PARTITION BY export_order_id ORDER BY id) AS rn FROM order_payments
+            WHERE amount > 0""",
         "fold": f"""SELECT q.request_id, q.order_id, q.amount, q.rn, s.r0 AS rb, {_PAY_STEP.format(r='s.r0')}
             FROM pay_req q JOIN pay_start s ON s.order_id = q.order_id WHERE q.rn = 1 AND s.status <> 'cancelled'
             UNION ALL

@@ -78,6 +78,9 @@ def test_assign_numbers(spark):
 def _fold_payments(reqs, start):
     out, rem = {}, dict(start)
     for rid, oid, amt in sorted(reqs):
+        if amt <= 0:
+            out[rid] = "invalid_amount"
+            continue
         if oid not in rem:
             out[rid] = "unknown_order"
             continue
@@ -100,10 +103,12 @@ def test_admit_payments_fixture(spark):
                [payment(1, 1, "30.00")])
     req = spark.createDataFrame([(10, 1, Dm("50")), (11, 1, Dm("30")), (12, 1, Dm("20.004")), (13, 1, Dm("1")),
                                  (14, 2, Dm("1")), (15, 3, Dm("1")), (16, 9, Dm("1")), (17, 4, Dm("4")),
-                                 (18, 4, Dm("6"))], "request_id long, order_id long, amount decimal(14,2)")
+                                 (18, 4, Dm("6")), (19, 4, Dm("0")), (20, 9, Dm("-1"))],
+                                "request_id long, order_id long, amount decimal(14,2)")
     got = {r["request_id"]: r["outcome"] for r in G.admit_payments(t, req).collect()}
     assert got == {10: "accepted", 11: "exceeds", 12: "accepted", 13: "fully_paid", 14: "cancelled",
-                   15: "fully_paid", 16: "unknown_order", 17: "accepted", 18: "accepted"}
+                   15: "fully_paid", 16: "unknown_order", 17: "accepted", 18: "accepted",
+                   19: "invalid_amount", 20: "invalid_amount"}
 
 
 def test_admit_payments_matches_fold_sf0001(spark, t001):
