@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import MONEY_EPS, QTY_EPS, QTY_SUM, money_eps
 from ledgerloom.functions.text import pad3
 from ledgerloom.operators.balances import order_totals, payment_totals, with_balances
-from ledgerloom.operators.running import number_rows, running_sum
+from ledgerloom.operators.running import HOT_ROWS, number_rows, running_sum
 
 STATE = "decimal(30,7)"
 
@@ -145,11 +145,14 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
     # per-order demand: total, and the last request's amount (partial aggregation, no skew)
     demand = live.groupBy(F.col("order_id").alias("_doid")).agg(
         F.sum("amount").cast(STATE).alias("_total"),
-        F.max_by("amount", "request_id").cast(STATE).alias("_last"))
+        F.max_by("amount", "request_id").cast(STATE).alias("_last"),
+        F.count(F.lit(1)).alias("_n"))
+    hot_orders = demand.filter(F.col("_n") > HOT_ROWS).select(F.col("_doid").alias("order_id"))
     live = live.join(demand, live["order_id"] == demand["_doid"], "inner")
     fits = (F.col("_total") <= F.col("_r0")) & ((F.col("_r0") - F.col("_total") + F.col("_last")) > money_eps())
-    easy = running_sum(live.filter(fits), ["order_id"], ["request_id"], "amount", "_before_sum",
-                       chunk=[F.floor(F.col("request_id") / 1048576)], exclusive=True, result_type=STATE)
+    easy = running_sum(live.filter(fits).drop("_n"), ["order_id"], ["request_id"], "amount", "_before_sum",
+                       chunk=[F.floor(F.col("request_id") / 1048576)], exclusive=True, result_type=STATE,
+                       hot_keys=hot_orders)
     easy = easy.select("request_id", "order_id", "amount", F.lit("accepted").alias("outcome"),
                        (F.col("_r0") - F.col("_before_sum")).cast(STATE).alias("remaining_before"),
                        (F.col("_r0") - F.col("_before_sum") - F.col("amount")).cast(STATE).alias("remaining_after"))

@@ -49,7 +49,8 @@ HOT_ROWS = 1_000_000  # a key with more rows than this is cut into chunks; other
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column | str, out: str,
                 chunk: Sequence | None = None, exclusive: bool = False,
-                result_type: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                result_type: str | None = None, hot_rows: int = HOT_ROWS,
+                hot_keys: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = Σ value over the rows of the same key up to and including this row.
 
     ``order`` must be a total order within a key; ``chunk`` (default: the first order column) must
@@ -63,8 +64,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
     chunk_exprs = _cols(chunk) if chunk is not None else _cols(order[:1])
     base = df.withColumn("_rv", val)
     base, key_part = _null_free(base, list(keys), "_k")
-    hot = (base.groupBy(*key_part).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows).select(*key_part, F.lit(True).alias("_hot")))
+    if hot_keys is None:
+        hot = (base.groupBy(*key_part).agg(F.count(F.lit(1)).alias("_n"))
+               .filter(F.col("_n") > hot_rows).select(*key_part, F.lit(True).alias("_hot")))
+    else:  # the caller already knows the hot keys (e.g. from an aggregate it computes anyway)
+        hk, _ = _null_free(hot_keys.select(*keys), list(keys), "_k")
+        hot = hk.select(*key_part).distinct().withColumn("_hot", F.lit(True))
     # broadcast with a proven bound: at most (row count / hot_rows) hot keys
     base = base.join(F.broadcast(hot), key_part, "left")
     is_hot = F.col("_hot").isNotNull()

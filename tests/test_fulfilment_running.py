@@ -94,6 +94,14 @@ def test_running_sum_matches_brute_force(spark):
                 assert got == _brute(rows, exclusive)
 
 
+def test_running_sum_with_given_hot_keys(spark):
+    rows = [("hot" if i % 3 else "x", i % 17, 1, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o int, v int, rid int")
+    hot = spark.createDataFrame([("hot",)], "k string")
+    got = running_sum(df, ["k"], ["o", "rid"], "v", "rs", chunk=[F.floor(F.col("o") / 5)], hot_keys=hot)
+    assert {r["rid"]: r["rs"] for r in got.collect()} == _brute(rows)
+
+
 def test_number_rows(spark):
     df = spark.createDataFrame([(1, 30), (1, 10), (2, 5), (1, 20)], "g int, o int")
     for hot in (1, 100):
