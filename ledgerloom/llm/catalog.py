@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe
-from ledgerloom.llm.columns import table
+from ledgerloom.llm import bpe, langid
+from ledgerloom.llm.columns import crc_mod, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text; documents whose id hashes to 1 of 3 are never learned."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(True))
+    model = langid.train(docs.filter(~held_out))
+    rows = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("held_out", held_out)
+    return langid.identify(rows, model, keep=("doc_id", "held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
