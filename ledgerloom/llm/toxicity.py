@@ -34,10 +34,14 @@ BUCKET_BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature that fewer sample documents show gets no weight (it could only learn them by heart).
 LEAST_DOCUMENTS = 8
+#: Standard errors by which a feature's log odds must exceed 0.
+LEAST_SURPLUS = 3.0
+KEEP_SENTENCES = 0.5
 EPOCHS = 8
-RATE = 0.3
-DECAY = 1e-4
-START_BIAS = -5.0
+RATE = 0.1
+DECAY = 1e-3
+START_BIAS = -6.0
+START_SHARE = 1.0
 
 _BUCKETS = 1 << BUCKET_BITS
 _BREAK = np.zeros(256, bool)
@@ -122,17 +126,28 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], true_count
     held, learn = (order[:len(y) // 5], order[len(y) // 5:]) if len(y) >= 50 else (order, order)
     if len(set(y[held])) < 2 or len(set(y[learn])) < 2:
         held = learn = order
-    shown = np.zeros(_BUCKETS, np.int64)
+    shown = np.zeros((2, _BUCKETS))
     for i in learn:
-        shown[np.unique(bags[i][0])] += 1
-    usable = shown >= LEAST_DOCUMENTS
+        shown[y[i], np.unique(bags[i][0])] += 1
+    usable = shown.sum(axis=0) >= LEAST_DOCUMENTS
     weight = float(np.clip((y[learn] == 0).sum() / (y[learn] == 1).sum(), 1, 10))
     w, seen, bias, bias_seen = model.weights, np.full(_BUCKETS, 1e-3), START_BIAS, 1.0
+    # Features that toxic documents show clearly more often, starting from that surplus of log odds.
+    odds = np.log((shown[1] + 0.5) / (shown[0] + 0.5)) - np.log(((y[learn] == 1).sum() + 1) / ((y[learn] == 0).sum() + 1))
+    surplus = odds - LEAST_SURPLUS * np.sqrt(1 / (shown[1] + 0.5) + 1 / (shown[0] + 0.5))
+    usable = usable & (surplus > 0)
+    w[:] = np.where(usable, START_SHARE * surplus, 0)
     for _ in range(EPOCHS):
         for i in rng.permutation(learn):
             bucket, begin = bags[i]
             if len(begin) < 2:
                 continue
+            if y[i]:  # half of the sentences at a time, lest the plainest one explain all others away
+                size = np.diff(begin)
+                stay = rng.random(len(size)) < KEEP_SENTENCES
+                if not stay.any():
+                    continue
+                bucket, begin = bucket[np.repeat(stay, size)], np.concatenate([[0], np.cumsum(size[stay])])
             p = _sigmoid(np.add.reduceat(w[bucket], begin[:-1]) + bias)
             if y[i]:
                 log_clean = np.log1p(-np.minimum(p, 1 - 1e-12)).sum()
