@@ -46,8 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text; documents whose id hashes to 0 of 5 are never learned."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(True))
-    labels = pick(table(spark, sf_dir, "labels"), {"doc_id": "long", "toxic": "int"})
-    model = toxicity.train(pick(docs, {"doc_id": "long", "text": "string"}).filter(~held_out).join(labels, "doc_id"))
+    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
     return (toxicity.score(docs, model)
             .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                     "n_sentences", "worst_start", "worst_end", "worst_score"))

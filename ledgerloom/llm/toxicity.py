@@ -182,11 +182,18 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], true_count
     return model
 
 
-def train(labelled: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
-    """Fit on a bounded sample of (doc_id, text, toxic) rows."""
-    ship_package(labelled.sparkSession)
-    rows = pick(labelled, {"doc_id": "long", "text": "string", "toxic": "int"}).filter("toxic in (0, 1)")
+def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
+    """Fit on a bounded sample of documents (doc_id, text) with labels (doc_id, toxic).
+
+    The sample is drawn among the labels of present documents (ids only), so it is small enough to be
+    broadcast to the texts: its expected size is at most the two bounds.
+    """
+    ship_package(docs.sparkSession)
+    docs = pick(docs, {"doc_id": "long", "text": "string"})
+    labels = pick(labels, {"doc_id": "long", "toxic": "int"}).filter("toxic in (0, 1)")
+    rows = labels.join(docs.select("doc_id").distinct(), "doc_id")
     counts = class_counts(rows.select("toxic"), "toxic")
+    sample = bounded_sample(rows, "toxic", "doc_id", counts, {1: sample_toxic, 0: sample_clean})
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -197,7 +204,7 @@ def train(labelled: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: i
                 yield pa.RecordBatch.from_arrays([part.column(1).slice(start, stop - start), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
                                                  names=["toxic", "bucket", "begin"])
 
-    found = (bounded_sample(rows, "toxic", "doc_id", counts, {1: sample_toxic, 0: sample_clean}).select("text", "toxic")
+    found = (docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
              .mapInArrow(run, "toxic int, bucket binary, begin binary").collect())
     found.sort(key=lambda r: (r["toxic"], bytes(r["bucket"]), bytes(r["begin"])))
     return fit([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["begin"], np.int32)) for r in found],
