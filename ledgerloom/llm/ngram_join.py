@@ -5,24 +5,24 @@ fewer than five words make one shingle).  Two documents are linked when the Jacc
 sets is at least the threshold.
 
 1. One pass hashes every whole text: a key of the shingle set and, for each tree of the forest, a label
-   of ``MOST_DEPTH`` MinHash values.  Documents with equal sets form one *text*, kept by its least id
-   and weighted by its number of documents; the sets themselves are written to the shared folder.
+   of MinHash values.  Documents with equal sets form one *text*, kept by its least id and weighted by
+   its number of documents.
 2. In each tree texts are sorted by label; texts with a common prefix of a label share a trie node.
-   Matched prefixes are shortened from the deepest one until pairs at the threshold are found with the
-   target recall; nodes at that depth join their texts to the node's least text (a star, not all pairs).
-   Connected stars are candidate groups.
-3. Candidate groups are verified on exact sets.  Large groups are cut into blocks of texts by size and
-   hash, and pairs of blocks (only those whose set sizes can reach the threshold) are compared in
-   separate tasks.  A task gives each text its number of linked documents and the least text that it
-   is joined to, never pairs.
+   Matched prefixes are shortened from the deepest one until pairs at the threshold meet in some tree
+   with the target recall; a node at that depth joins its texts to its least text (a star, not all
+   pairs).  Connected stars are candidate groups.
+3. Candidate groups are verified on exact sets, made from the candidates' texts only.  A group is cut
+   into bands of set size (a text can reach the threshold in its own band and the two beside it), and
+   large bands into blocks; each pair of blocks is one task.  A task gives each text its number of
+   linked documents and the least text that it is joined to, never pairs.
 4. Classes are the connected components of exact links.
 
 Result: one row per document with its class (the least doc_id of it), its number of linked documents,
 copies included, and the class's numbers of documents and texts.
 
 Defined cases: null text is the empty text; texts without a word share no shingle and are linked to
-nothing, not even to one another; a repeated doc_id stays one row per input row, each a document
-of its own; rows with a null doc_id are kept as unlinked documents whose class is null.
+nothing, not even to one another; a repeated row is one more document of its text; rows that share a
+doc_id but not a text share their links; rows with a null doc_id are kept, alone, with a null class.
 """
 
 from __future__ import annotations
@@ -45,10 +45,11 @@ THRESHOLD = 0.8
 TREES = 24
 MOST_DEPTH = 8
 TARGET_RECALL = 0.999
-#: Texts per block of a large candidate group.
-BLOCK = 256
-#: Similarity bands of set sizes: a text meets only texts of its own and the neighbouring bands.
-ROUNDS = 40
+#: Shingles and texts per block of a large band.
+BLOCK_SHINGLES = 200_000
+BLOCK_TEXTS = 1024
+#: Rounds that the component search may take (each at least halves the longest path).
+ROUNDS = 60
 
 _U = np.uint64
 
@@ -99,30 +100,38 @@ def signatures(hashes: np.ndarray, begin: np.ndarray, trees: int, depth: int) ->
 
 
 def sketch(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
-    """doc_id, set key (two 64-bit numbers), number of shingles, prefix hash per tree, and the set."""
-    ship_package(docs.sparkSession)
-
+    """id, set key (two 64-bit numbers) and the prefix hash of each tree, of texts with a shingle."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for start, stop, batch in batches(part.column(1)):
                 hashes, begin = shingle_sets(batch, words)
-                size = np.diff(begin)
-                full = np.flatnonzero(size > 0)
-                rows = len(full)
-                if not rows:
+                full = np.flatnonzero(np.diff(begin) > 0)
+                if not len(full):
                     continue
                 signature = signatures(hashes, begin, trees, depth)
                 labels = np.array([_combine(signature[t * depth:(t + 1) * depth]) for t in range(trees)])
                 with np.errstate(over="ignore"):
                     key = [np.add.reduceat(mix(hashes + _U(c)), begin[:-1][full]) for c in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(start, stop - start).take(pa.array(full)),
-                     pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pa.array(size[full]),
-                     pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * trees, pa.int32()), pa.array(labels.T.ravel().view(np.int64))),
-                     pa.array([hashes[begin[i]:begin[i + 1]].tobytes() for i in full], pa.binary())],
-                    names=["id", "k1", "k2", "n", "labels", "grams"])
+                    [part.column(0).slice(start, stop - start).take(pa.array(full)), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * trees, pa.int32()), pa.array(labels.T.ravel().view(np.int64)))],
+                    names=["id", "k1", "k2", "labels"])
+
+    return docs.mapInArrow(run, "id long, k1 long, k2 long, labels array<long>")
+
+
+def exact_sets(texts: DataFrame, words: int) -> DataFrame:
+    """id, root, weight, n and the set of rows (id, root, weight, text)."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for start, stop, batch in batches(part.column(3)):
+                hashes, begin = shingle_sets(batch, words)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i).slice(start, stop - start) for i in range(3)]
+                    + [pa.array(np.diff(begin)), pa.array([hashes[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())],
+                    names=["id", "root", "weight", "n", "grams"])
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, n long, labels array<long>, grams binary")
+    return texts.select("id", "root", "weight", "text").mapInArrow(run, "id long, root long, weight long, n long, grams binary")
 
 
 def components(edges: DataFrame, base: str, rounds: int = ROUNDS) -> DataFrame:
@@ -222,69 +231,69 @@ def _verified(threshold: float):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, trees: int = TREES,
-         most_depth: int = MOST_DEPTH, recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
+         most_depth: int = MOST_DEPTH, recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id, n_links, class_docs, class_texts of every document; see the module text."""
     spark = docs.sparkSession
+    ship_package(spark)
     base = scratch_path(spark, f"ngram-join-{uuid.uuid4().hex}")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
     docs = pick(docs, {"doc_id": "long", "text": "string"})
     depth = prefix_depth(threshold, trees, most_depth, recall)
-    sketch(docs.filter("doc_id is not null"), trees, depth, words).write.parquet(f"{base}/sketch")
-    rows = spark.read.parquet(f"{base}/sketch")
+    rows = stored(sketch(docs.filter("doc_id is not null"), trees, depth, words), "sketch")
     # Equal sets: one text, kept by its least document.
     texts = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    member = rows.select("id", "k1", "k2").join(texts, ["k1", "k2"]).select("id", "rep", "weight")
-    member.write.parquet(f"{base}/member")
-    member = spark.read.parquet(f"{base}/member")
-    reps = member.filter("id = rep").select("id", "weight").distinct()
+    member = stored(rows.select("id", "k1", "k2").join(texts, ["k1", "k2"]).select("id", "rep"), "member")
+    reps = member.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")).withColumnRenamed("rep", "id")
     # Trie nodes at the chosen depth: a star from each node's texts to its least text.
-    nodes = (rows.join(reps.select("id"), "id", "left_semi").select("id", F.posexplode("labels").alias("tree", "label")))
+    nodes = (rows.join(reps, "id", "left_semi").select("id", F.posexplode("labels").alias("tree", "label")))
     heads = nodes.groupBy("tree", "label").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last")
-    stars = nodes.join(heads, ["tree", "label"]).filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(stars, f"{base}/candidates")
-    # Sets of the candidates only, once each.
-    sets = (rows.select("id", "n", "grams").join(reps, "id").join(groups.withColumnRenamed("node", "id"), "id")
-            .dropDuplicates(["id"]))
-    sets.write.parquet(f"{base}/sets")
-    sets = spark.read.parquet(f"{base}/sets")
-    # Band of set size: sizes in a ratio of at least the threshold lie in the same or adjoining bands.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(threshold)) + F.lit(1e-9)).cast("int")
+    stars = nodes.join(heads.drop("last"), ["tree", "label"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    groups = components(stars, f"{base}/candidates").withColumnRenamed("node", "id")
+    chosen = groups.join(reps, "id")
+    sets = stored(exact_sets(docs.withColumnRenamed("doc_id", "id").join(chosen, "id").dropDuplicates(["id", "text"]), words), "sets").filter("n > 0")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold))) + F.lit(1e-9)).cast("int")
     sets = sets.withColumn("band", band)
-    cells = (sets.groupBy("root", "band").agg(F.count(F.lit(1)).alias("size"))
-             .select("root", "band", F.ceil(F.col("size") / block).cast("int").alias("parts")))
+    cells = (sets.groupBy("root", "band").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+             .select("root", "band", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")))
     above = cells.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = cells.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    sized = (sets.join(cells, ["root", "band"]).join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
-             .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
-    # Where a text goes: its own block, the other blocks of its band, the blocks of the bands beside it.
-    none = F.expr("cast(array() as array<struct<low:int,p:int,q:int,up:boolean,side:int,same:boolean>>)")
+    cells = cells.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
+    sized = sets.join(cells, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
+    # A task compares blocks p and q of one band, or (up) block p of a band with block q of the next.
     def cell(low, p, q, up, side, same):
-        return F.struct(low.cast("int").alias("low"), p.cast("int").alias("p"), q.cast("int").alias("q"),
-                        F.lit(up).alias("up"), side.cast("int").alias("side"), same.alias("same"))
-
-    own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: cell(
-        F.col("band"), F.least(x, F.col("part")), F.greatest(x, F.col("part")), False,
-        (x < F.col("part")).cast("int"), x == F.col("part")))
-    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda x: cell(
-        F.col("band"), F.col("part"), x, True, F.lit(0), F.lit(False)))).otherwise(none)
-    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda x: cell(
-        F.col("band") - 1, x, F.col("part"), True, F.lit(1), F.lit(False)))).otherwise(none)
-    placed = (sized.select("root", "id", "weight", "grams", F.explode(F.concat(own, up, down)).alias("c"))
-              .select("root", "id", "weight", "grams", "c.*"))
-    found = (placed.groupBy("root", "low", "p", "q", "up")
-             .applyInPandas(_verified(threshold), "id long, linked long, joined long"))
-    found.write.parquet(f"{base}/found")
-    found = spark.read.parquet(f"{base}/found")
+        return F.struct(low.cast("int").alias("low"), p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(up).alias("up"),
+                        side.cast("int").alias("side"), same.alias("same"))
+
+    def each(count, make):
+        return F.transform(F.filter(F.sequence(F.lit(0), F.coalesce(count, F.lit(0))), lambda x: x < F.coalesce(count, F.lit(0))), make)
+
+    own = each(F.col("parts"), lambda x: cell(F.col("band"), F.least(x, F.col("part")), F.greatest(x, F.col("part")), False, x < F.col("part"), x == F.col("part")))
+    up = each(F.col("above"), lambda x: cell(F.col("band"), F.col("part"), x, True, F.lit(0), F.lit(False)))
+    down = each(F.col("below"), lambda x: cell(F.col("band") - 1, x, F.col("part"), True, F.lit(1), F.lit(False)))
+    placed = sized.select("root", "id", "weight", "grams", F.explode(F.concat(own, up, down)).alias("c")).select("root", "id", "weight", "grams", "c.*")
+    found = stored(placed.groupBy("root", "low", "p", "q", "up")
+                   .applyInPandas(_verified(threshold), "id long, linked long, joined long"), "found")
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
-    classes = components(found.select(F.col("id").alias("a"), F.col("joined").alias("b")), f"{base}/classes")
-    text_class = (reps.join(linked, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
-                  .select(F.col("id").alias("rep"), F.coalesce("root", "id").alias("class_id"), "weight",
-                          F.coalesce("linked", F.lit(0)).alias("linked")))
+    classes = components(found.select(F.col("id").alias("a"), F.col("joined").alias("b")), f"{base}/classes").withColumnRenamed("node", "id")
+    text_class = (reps.join(linked, "id", "left").join(classes, "id", "left")
+                  .select(F.col("id").alias("rep"), F.coalesce("root", "id").alias("class_id"), "weight", F.coalesce("linked", F.lit(0)).alias("linked")))
     sizes = text_class.groupBy("class_id").agg(F.sum("weight").alias("class_docs"), F.count(F.lit(1)).alias("class_texts"))
-    text_class = text_class.join(sizes, "class_id")
-    full = (member.select("id", "rep").join(text_class, "rep")
+    full = (member.join(text_class.join(sizes, "class_id"), "rep")
             .select(F.col("id").alias("doc_id"), "class_id", (F.col("linked") + F.col("weight") - 1).alias("n_links"), "class_docs", "class_texts"))
     # Documents without a shingle, or without an id, are alone.
-    alone = docs.select("doc_id", "text").filter(F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    alone = docs.filter(F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    one = F.lit(1).cast("long")
     return full.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-                                         F.lit(1).cast("long").alias("class_docs"), F.lit(1).cast("long").alias("class_texts")))
+                                         one.alias("class_docs"), one.alias("class_texts")))
+
+
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents whose id is their class's least one (one row each), and those without an id."""
+    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id is null"))
