@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, ngram_join, toxicity
+from ledgerloom.llm import bpe, fingerprint, langid, ngram_join, toxicity
 from ledgerloom.llm.columns import crc_mod, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every whole text and of its edited text, and how alike they are."""
+    return fingerprint.edit_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text; documents whose id hashes to 1 of 3 are never learned."""
