@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, fingerprint, langid, ngram_join, toxicity
+from ledgerloom.llm import ann, bpe, fingerprint, langid, mixing, ngram_join, toxicity
 from ledgerloom.llm.columns import crc_mod, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot of every document's block in the mix of sources at tempered weights."""
+    docs = pick(table(spark, sf_dir, "documents"), {"doc_id": "long", "lang": "string", "source": "string", "n_chars": "long"})
+    return (mixing.mix(docs).withColumnRenamed("_slot", "slot").withColumnRenamed("_start", "chars_before").drop("lang"))
+
+
+@query
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors by cosine of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 @query
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every whole text and of its edited text, and how alike they are."""
