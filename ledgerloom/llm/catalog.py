@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, fingerprint, langid, mixing, ngram_join, toxicity
+from ledgerloom.llm import ann, bpe, fingerprint, langid, lm, mixing, ngram_join, toxicity
 from ledgerloom.llm.columns import crc_mod, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,17 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+@query
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text; documents whose id hashes to 0 of 10 are never learned."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(True))
+    model = lm.train(docs.filter(~held_out))
+    rows = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("held_out", held_out)
+    return (lm.score(rows, model, keep=("doc_id", "held_out"))
+            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"))
+
+
 @query
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every whole text and of its edited text, and how alike they are."""
