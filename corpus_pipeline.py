@@ -1,6 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Import errors are not caught here; ``__spark_entry__`` decides whether the pipeline is registered.
+Every stage but the last returns the columns of ``documents`` for the rows that it keeps; the mixing
+stage keeps all rows and returns them in the mixed order.  Import errors are not caught here:
+``__spark_entry__`` decides whether the pipeline is registered.
 """
 
 from __future__ import annotations
@@ -9,18 +11,51 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe
+from ledgerloom.llm import bpe, langid, mixing, ngram_join, quality
 from ledgerloom.llm.catalog import vocabulary
+from ledgerloom.llm.columns import pick, table
 from ledgerloom.session import scratch_path
 
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised with confidence; the model learns from their labels."""
+    docs = pick(docs, COLUMNS)
+    found = langid.identify(docs, langid.train(docs), keep=tuple(COLUMNS))
+    return found.filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality by their text and their site."""
+    docs = pick(docs, COLUMNS)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model, F.col("source"), F.col("lang")).filter("_kept").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    docs = pick(docs, COLUMNS)
+    return ngram_join.keep_one(docs, ngram_join.join(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix of sources at tempered weights."""
+    return mixing.mixed(pick(docs, COLUMNS))
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left."""
+    """Token ids of every whole text, as digests."""
     return bpe.digests(docs, vocabulary())
 
 
 STAGES = [
+    ("language ID", languages),
+    ("quality classifier", good),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing sources", mixed),
     ("byte-level BPE", encode),
 ]
 
@@ -30,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with a Parquet table between each two."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     base = scratch_path(spark, f"pipeline-{uuid.uuid4().hex}")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         path = os.path.join(base, str(number))

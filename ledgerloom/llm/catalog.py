@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, fingerprint, langid, lm, mixing, ngram_join, toxicity
+from ledgerloom.llm import ann, bpe, fingerprint, langid, lm, mixing, ngram_join, quality, token_counts, toxicity
 from ledgerloom.llm.columns import crc_mod, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text: its own evidence and the shrunken rates of its source and section."""
+    docs = pick(table(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string", "lang": "string", "source": "string"})
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return (quality.classify(docs, model, F.col("source"), F.col("lang"), carry=["doc_id", "source", "lang"])
+            .withColumnsRenamed({"_evidence": "evidence", "_host_rate": "host_rate", "_path_rate": "path_rate", "_quality": "quality", "_kept": "kept"}))
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot of every document's block in the mix of sources at tempered weights."""
@@ -72,6 +81,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model, keep=("doc_id", "held_out"))
 
 
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by encoded length, with the sums that answer every context limit."""
+    return token_counts.histogram(bpe.token_lengths(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 @query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word shingles, similarity of 0.8 or more."""
