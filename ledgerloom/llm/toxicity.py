@@ -33,9 +33,9 @@ SAMPLE_CLEAN = 4500
 BUCKET_BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature that fewer sample documents show gets no weight (it could only learn them by heart).
-LEAST_DOCUMENTS = 8
+LEAST_DOCUMENTS = 3
 #: Standard errors by which a feature's log odds must exceed 0.
-LEAST_SURPLUS = 3.0
+LEAST_SURPLUS = 2.5
 KEEP_SENTENCES = 0.5
 EPOCHS = 8
 RATE = 0.1
