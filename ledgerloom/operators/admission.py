@@ -7,13 +7,18 @@ uncontended key set-based (prefix sums) and fold just the contended ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY_EPS, QTY_EPS, QTY_SUM, money_eps
 from ledgerloom.functions.text import pad3
 from ledgerloom.operators.balances import order_totals, payment_totals, with_balances
-from ledgerloom.operators.running import HOT_ROWS, number_rows, running_sum
+from ledgerloom.operators.components import components
+from ledgerloom.operators.running import id_block, number_rows, running_sum
+from ledgerloom.session import cut_lineage, scratch_path, ship_package
+from ledgerloom.sources.sinks import update_by_key
 
 STATE = "decimal(30,7)"
 
@@ -51,7 +56,7 @@ def account_usage(t) -> DataFrame:
 def max_sequence(existing: DataFrame, year_col: str = "sequence_year", seq_col: str = "sequence_number") -> DataFrame:
     """Current max sequence per year."""
     if seq_col not in existing.columns:
-        existing = existing.withColumn(seq_col, F.lit(0))
+        raise ValueError(f"missing column {seq_col}: numbering would start again")
     return existing.groupBy(F.col(year_col).alias("_year")).agg(F.max(seq_col).alias("_max_seq"))
 
 
@@ -76,7 +81,7 @@ def assign_numbers(new: DataFrame, existing: DataFrame, prefix: str, year_col: s
     order = order or ["id"]
     mx = max_sequence(existing, year_col)
     numbered = number_rows(new, [year_col], order, "_rank",
-                           chunk=[F.floor(F.col(order[0]) / 1048576)])
+                           chunk=[id_block(order[0])])
     j = numbered.join(mx, numbered[year_col] == mx["_year"], "left")
     seq = (F.coalesce(F.col("_max_seq"), F.lit(0)) + F.col("_rank")).cast("int")
     return (j.withColumn("sequence_number", seq)
@@ -120,12 +125,34 @@ _SCAN_SCHEMA = ("request_id long, order_id long, amount decimal(14,2), outcome s
                 "remaining_before decimal(30,7), remaining_after decimal(30,7)")
 
 
+def _of_orders(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of the given orders only (ids: order_id)."""
+    wanted = ids.select(F.col("order_id").cast("bigint").alias("_want")).filter("_want is not null").distinct()
+    return df.join(wanted, df[key] == wanted["_want"], "left_semi")
+
+
+def requested_orders(t, requests: DataFrame):
+    """The orders, items and payments that a batch of requests (order_id) touches, and nothing else."""
+    return _with(t, export_orders=_of_orders(t["export_orders"], "id", requests),
+                 export_order_items=_of_orders(t["export_order_items"], "export_order_id", requests),
+                 order_payments=_of_orders(t["order_payments"], "export_order_id", requests))
+
+
+def _with(t, **frames):
+    """The table bundle (or plain dict) with some tables replaced."""
+    return t.replace(**frames) if hasattr(t, "replace") else {**t, **frames}
+
+
 def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> DataFrame:
     """Payment requests (request_id = arrival order, order_id, amount) -> outcome per request.
 
     invalid_amount (≤ 0) / unknown_order / cancelled / fully_paid (remaining ≤ 0.004) /
-    exceeds (amount − remaining > 0.004) / accepted (consumes).  Orders whose requests all fit are decided with a prefix sum; only
-    contended orders run the sequential fold."""
+    exceeds (amount − remaining > 0.004) / accepted (consumes).  Only the requested orders are read.
+    An order's leading requests are accepted with a prefix sum as long as they all fit; the rest of its
+    requests, from the first that does not, go through the ordered scan, which starts with what the
+    prefix left."""
+    ship_package(requests.sparkSession)
+    t = requested_orders(t, requests)
     totals = order_totals(t, ["id", "status", "advance_percentage"])
     bal = with_balances(totals, payment_totals(t["order_payments"]) if include_existing else None)
     start = bal.select(F.col("id").alias("_oid"), F.col("status").alias("_status"),
@@ -142,24 +169,24 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
                       .otherwise("cancelled").alias("outcome"),
                       F.col("_r0").alias("remaining_before"), F.col("_r0").alias("remaining_after")))
     live = j.filter(~bad_amount & F.col("_oid").isNotNull() & (F.col("_status") != "cancelled"))
-    # per-order demand: total, and the last request's amount (partial aggregation, no skew)
-    demand = live.groupBy(F.col("order_id").alias("_doid")).agg(
-        F.sum("amount").cast(STATE).alias("_total"),
-        F.max_by("amount", "request_id").cast(STATE).alias("_last"),
-        F.count(F.lit(1)).alias("_n"))
-    hot_orders = demand.filter(F.col("_n") > HOT_ROWS).select(F.col("_doid").alias("order_id"))
-    live = live.join(demand, live["order_id"] == demand["_doid"], "inner")
-    fits = (F.col("_total") <= F.col("_r0")) & ((F.col("_r0") - F.col("_total") + F.col("_last")) > money_eps())
-    easy = running_sum(live.filter(fits).drop("_n"), ["order_id"], ["request_id"], "amount", "_before_sum",
-                       chunk=[F.floor(F.col("request_id") / 1048576)], exclusive=True, result_type=STATE,
-                       hot_keys=hot_orders)
-    easy = easy.select("request_id", "order_id", "amount", F.lit("accepted").alias("outcome"),
-                       (F.col("_r0") - F.col("_before_sum")).cast(STATE).alias("remaining_before"),
-                       (F.col("_r0") - F.col("_before_sum") - F.col("amount")).cast(STATE).alias("remaining_after"))
-    hard = live.filter(~fits)
-    # contended orders: one ordered scan per order; the partition holds many orders, memory holds
-    # one Arrow batch plus the running remaining amount (the external sort spills if needed)
-    folded = (hard.select("order_id", "request_id", "amount", "_r0")
+    live = running_sum(live.select("request_id", "order_id", "amount", "_r0"), ["order_id"], ["request_id"], "amount",
+                       "_before_sum", chunk=[id_block("request_id")], exclusive=True, result_type=STATE)
+    before = F.col("_r0") - F.col("_before_sum")
+    # the prefix sum is exact up to the first request that does not fit (or meets a paid order)
+    live = live.withColumn("_fits", (before > money_eps()) & (F.col("amount") <= before))
+    first_bad = live.filter(~F.col("_fits")).groupBy(F.col("order_id").alias("_boid")).agg(F.min("request_id").alias("_bad"))
+    live = live.join(first_bad, live["order_id"] == first_bad["_boid"], "left")
+    in_prefix = F.col("_bad").isNull() | (F.col("request_id") < F.col("_bad"))
+    easy = live.filter(in_prefix).select(
+        "request_id", "order_id", "amount", F.lit("accepted").alias("outcome"), before.cast(STATE).alias("remaining_before"),
+        (before - F.col("amount")).cast(STATE).alias("remaining_after"))
+    # what the prefix left is the sum before the first request that does not fit
+    left = live.filter(F.col("request_id") == F.col("_bad")).select(F.col("order_id").alias("_loid"), before.cast(STATE).alias("_left"))
+    hard = live.filter(~in_prefix).select("request_id", "order_id", "amount")
+    hard = hard.join(left.dropDuplicates(["_loid"]), hard["order_id"] == F.col("_loid"), "inner")
+    # one ordered scan per order; the partition holds many orders, memory holds one Arrow batch plus
+    # the running remaining amount (the external sort spills if needed)
+    folded = (hard.select("order_id", "request_id", "amount", F.col("_left").alias("_r0"))
               .repartition("order_id").sortWithinPartitions("order_id", "request_id")
               .mapInPandas(_payment_scan, _SCAN_SCHEMA))
     hard_out = folded.select("request_id", "order_id", "amount", "outcome", "remaining_before", "remaining_after")
@@ -168,158 +195,224 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
 
 # ---------------------------------------------------------------- G3 allocations
 
-def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = None) -> DataFrame:
+def _own_lines(t, edits: DataFrame, per_line: DataFrame) -> DataFrame:
+    """(request_id, shipment_id, line, own) of edits (request_id, shipment_id): every line that the shipment
+    holds now, with its quantity, or that any edit of it asks for (own 0)."""
+    e = edits.select("request_id", F.col("shipment_id").alias("_esid")).filter("_esid is not null").distinct()
+    a = t["shipment_allocations"].select(F.col("shipment_id").alias("_asid"), "export_order_item_id", F.col("quantity").cast(QTY_SUM).alias("_own"))
+    ids = e.select("_esid").distinct()
+    held = a.join(ids, a["_asid"] == ids["_esid"], "left_semi")
+    asked = per_line.join(e, "request_id").select(F.col("_esid").alias("_asid"), "export_order_item_id", F.lit(0).cast(QTY_SUM).alias("_own"))
+    lines = held.unionByName(asked).groupBy("_asid", "export_order_item_id").agg(F.sum("_own").cast(QTY_SUM).alias("own"))
+    return (e.join(lines, e["_esid"] == lines["_asid"], "inner")
+            .select("request_id", F.col("_esid").alias("shipment_id"), "export_order_item_id", "own"))
+
+
+def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = None, edits: DataFrame | None = None) -> DataFrame:
     """Allocation requests (request_id, client_id, export_order_item_id, quantity, ...), each
-    request all-or-nothing, decided in request_id order within a client.
+    request all-or-nothing, decided in request_id order.
 
     Reasons, in the original's order (any missing line first, then line by line in id order: foreign
-    client, cancelled contract, short).  Static reasons are set-based; lines whose total demand fits
-    are uncontended and pass set-based; only contended lines are scanned in request order."""
+    client, cancelled contract, short).  ``edits`` (request_id, shipment_id) are requests that replace a
+    shipment's allocations: its own quantities count as free for that request alone, and are given back
+    only if it is accepted.
+
+    Lines on which even the sum of all demands fits are decided set-based; requests meeting on the other
+    lines are scanned in order, one scan per group of lines that requests connect."""
     from ledgerloom.operators.fulfilment import allocated_qty
 
-    items = t["export_order_items"].select(F.col("id").alias("_iid"), F.col("export_order_id").alias("_ioid"),
-                                           F.col("quantity").alias("_qty"))
-    orders = t["export_orders"].select(F.col("id").alias("_ooid"), F.col("client_id").alias("_oclient"),
-                                       F.col("status").alias("_ostatus"))
-    alloc = allocated_qty(t, exclude_shipment_id).withColumnRenamed("export_order_item_id", "_aiid")
+    ship_package(requests.sparkSession)
+    rq = F.col("requested")
+    per_line = (requests.groupBy("request_id", "export_order_item_id")
+                .agg(F.sum("quantity").cast(QTY_SUM).alias("requested"), F.max("client_id").alias("client_id")))
+    if edits is not None:
+        clients = per_line.groupBy("request_id").agg(F.max("client_id").alias("_client"))
+        own = _own_lines(t, edits, per_line)
+        per_line = (per_line.join(own, ["request_id", "export_order_item_id"], "full").join(clients, "request_id")
+                    .select("request_id", "export_order_item_id", F.coalesce(rq, F.lit(0)).cast(QTY_SUM).alias("requested"),
+                            F.col("_client").alias("client_id"), rq.isNotNull().alias("asked"), "shipment_id",
+                            F.coalesce("own", F.lit(0)).cast(QTY_SUM).alias("own")))
+    else:
+        per_line = per_line.select("*", F.lit(True).alias("asked"), F.lit(None).cast("bigint").alias("shipment_id"), F.lit(0).cast(QTY_SUM).alias("own"))
+    # only the lines that the batch names, with what is left of each
+    named = per_line.select(F.col("export_order_item_id").alias("_want")).filter("_want is not null").distinct()
+    items = t["export_order_items"].select(F.col("id").alias("_iid"), F.col("export_order_id").alias("_ioid"), F.col("quantity").alias("_qty"))
+    items = items.join(named, items["_iid"] == named["_want"], "left_semi")
+    orders = t["export_orders"].select(F.col("id").alias("_ooid"), F.col("client_id").alias("_oclient"), F.col("status").alias("_ostatus"))
+    a = t["shipment_allocations"]
+    alloc = allocated_qty(_with(t, shipment_allocations=a.join(named, a["export_order_item_id"] == named["_want"], "left_semi")),
+                          exclude_shipment_id).withColumnRenamed("export_order_item_id", "_aiid")
     lines = (items.join(orders, items["_ioid"] == orders["_ooid"], "inner")
              .join(alloc, F.col("_iid") == F.col("_aiid"), "left")
              .select("_iid", "_oclient", "_ostatus",
                      (F.col("_qty") - F.coalesce(F.col("allocated_quantity"), F.lit(0))).cast(QTY_SUM).alias("_left")))
-    per_line = requested_per_line(requests)
     j = per_line.join(lines, per_line["export_order_item_id"] == lines["_iid"], "left")
-    client = requests.select("request_id", "client_id").distinct()
-    j = j.join(client, "request_id", "inner")
-    line_reason = (F.when(F.col("_iid").isNull(), "missing line")
-                   .when(F.col("_oclient") != F.col("client_id"), "foreign client")
-                   .when(F.col("_ostatus") == "cancelled", "cancelled contract"))
-    # static reasons: any missing line wins; otherwise the first failing line by id decides
-    rank = (F.when(line_reason == "missing line", 1).when(line_reason == "foreign client", 2)
-            .when(line_reason == "cancelled contract", 3))
-    static = (j.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
-              .groupBy("request_id", "client_id").agg(F.max(F.col("_rank") == 1).alias("_missing"),
-                                                      F.min(F.struct("export_order_item_id", "_rank")).alias("_first"))
-              .select("request_id", "client_id", F.col("_missing"),
-                      F.col("_first.export_order_item_id").alias("_first_bad"),
-                      F.when(F.col("_missing"), "missing line")
-                      .when(F.col("_first._rank") == 2, "foreign client").otherwise("cancelled contract")
-                      .alias("reason")))
-    ok = j.join(static, "request_id", "left_anti")
-    # contended lines: total demand of statically valid requests exceeds what is left
-    demand = ok.groupBy("export_order_item_id").agg(F.sum("requested").alias("_demand"), F.first("_left").alias("_l"))
-    cont_lines = (demand.filter(F.col("_demand") > F.col("_l") + F.lit(QTY_EPS).cast("decimal(5,4)"))
-                  .select(F.col("export_order_item_id").alias("_cl"), F.lit(True).alias("_contended")))
-    marked = j.join(cont_lines, j["export_order_item_id"] == cont_lines["_cl"], "left") \
-        .join(static.drop("client_id"), "request_id", "left")
-    # rows the ordered scan must see: contended lines of statically valid requests, and contended
-    # lines *before the first static failure* of a statically rejected request (an earlier shortage
-    # decides its reason; it never consumes)
-    scan_row = F.coalesce(F.col("_contended"), F.lit(False)) & (
-        F.col("reason").isNull()
-        | (~F.col("_missing") & (F.col("export_order_item_id") < F.col("_first_bad"))))
-    hard_rows = (marked.filter(scan_row)
-                 .select("client_id", "request_id", "export_order_item_id",
-                         # decimal quantities have ≤ 3 decimals: integer thousandths are exact
-                         (F.col("requested") * 1000).cast("bigint").alias("requested"),
-                         (F.col("_left") * 1000).cast("bigint").alias("left"),
-                         F.col("reason").alias("static_reason")))
-    in_scan = hard_rows.select("request_id").distinct()
-    valid_ids = ok.select("request_id", "client_id").distinct()
-    easy = valid_ids.join(in_scan, "request_id", "left_anti").select(
-        "request_id", "client_id", F.lit("accepted").alias("outcome"), F.lit(None).cast("string").alias("reason"))
-    static_out = static.join(in_scan, "request_id", "left_anti").select(
-        "request_id", "client_id", F.lit("rejected").alias("outcome"), "reason")
-    # one ordered scan per client (rows sorted by client, request, line); the scan carries the
-    # client's remaining quantities and the rows of the request being decided — never the group
-    hard = (hard_rows.repartition("client_id")
-            .sortWithinPartitions("client_id", "request_id", "export_order_item_id")
-            .mapInPandas(_allocation_scan, "request_id long, client_id long, outcome string, reason string"))
-    return static_out.unionByName(easy).unionByName(hard)
+    rank = F.when(F.col("asked"), F.when(F.col("_iid").isNull(), 1).when(F.col("_oclient") != F.col("client_id"), 2)
+                  .when(F.col("_ostatus") == "cancelled", 3))
+    # per request: a missing line wins; otherwise the first failing line by id
+    decided = j.withColumn("_rank", rank).groupBy("request_id").agg(
+        F.max("client_id").alias("_rclient"), F.max(F.col("_rank") == 1).alias("_missing"),
+        F.min(F.when(F.col("_rank").isNotNull(), F.struct("export_order_item_id", "_rank"))).alias("_first"))
+    reason = (F.when(F.col("_missing"), "missing line").when(F.col("_first._rank") == 2, "foreign client")
+              .when(F.col("_first._rank") == 3, "cancelled contract"))
+    decided = decided.select("request_id", "_rclient", F.coalesce("_missing", F.lit(False)).alias("_missing"),
+                             F.col("_first.export_order_item_id").alias("_first_bad"), reason.alias("_reason"))
+    j = j.join(decided, "request_id")
+    # a rejected request still says "short" if one of its lines before the failing one is short then
+    reaches = F.col("_reason").isNull() | (~F.col("_missing") & (F.col("export_order_item_id") < F.col("_first_bad")))
+    j = j.withColumn("_reaches", reaches & F.col("_iid").isNotNull())
+    demand = j.filter("_reaches").groupBy(F.col("export_order_item_id").alias("_dl")).agg(
+        F.sum(F.when(F.col("_reason").isNull(), rq).otherwise(F.lit(0))).alias("_sum"),
+        F.max(F.when(F.col("_reason").isNotNull(), rq).otherwise(F.lit(0))).alias("_most"), F.max("_left").alias("_dleft"))
+    tight = (demand.filter(F.col("_sum") + F.col("_most") > F.col("_dleft") + F.lit(QTY_EPS).cast("decimal(5,4)"))
+             .select("_dl", F.lit(True).alias("_tight")))
+    j = j.join(tight, j["export_order_item_id"] == tight["_dl"], "left").withColumn("_scan", F.col("_reaches") & F.coalesce("_tight", F.lit(False)))
+    rows = cut_lineage(j.filter("_scan").select(
+        F.col("_rclient").alias("client_id"), "request_id", "export_order_item_id", "shipment_id",
+        # quantities have at most 3 decimals: integer thousandths are exact
+        (rq * 1000).cast("bigint").alias("requested"), (F.col("own") * 1000).cast("bigint").alias("own"),
+        (F.col("_left") * 1000).cast("bigint").alias("left"), F.col("_reason").alias("static_reason")))
+    # lines that a request connects are one group; a line met by single-line requests only is its own
+    heads = rows.groupBy("request_id").agg(F.min("export_order_item_id").alias("b"))
+    edges = rows.join(heads, "request_id").select(F.col("export_order_item_id").alias("a"), "b")
+    groups = components(edges, scratch_path(rows.sparkSession, f"line-groups-{uuid.uuid4().hex}"))
+    grouped = (rows.join(groups, rows["export_order_item_id"] == groups["node"], "left")
+               .withColumn("line_group", F.coalesce("root", "export_order_item_id")))
+    # the scan carries a group's remaining quantities and the rows of the request being decided
+    scanned = (grouped.select("line_group", "client_id", "request_id", "export_order_item_id", "shipment_id", "requested", "own", "left", "static_reason")
+               .repartition("line_group").sortWithinPartitions("line_group", "request_id", "export_order_item_id")
+               .mapInPandas(_allocation_scan, "request_id long, client_id long, outcome string, reason string"))
+    in_scan = rows.select("request_id").distinct()
+    rest = decided.join(in_scan, "request_id", "left_anti").select(
+        "request_id", F.col("_rclient").alias("client_id"), F.when(F.col("_reason").isNull(), "accepted").otherwise("rejected").alias("outcome"),
+        F.col("_reason").alias("reason"))
+    return rest.unionByName(scanned)
 
 
 def _allocation_scan(batches):
     """Sequential all-or-nothing rule in integer thousandths over rows sorted by
-    (client_id, request_id, line); state = remaining per line of the current client.
+    (line_group, request_id, line); state = what is left of each line and held by each edited shipment.
 
-    A row with ``static_reason`` belongs to a request already rejected by a later line; it is
-    reported short if one of these earlier lines is short, else with its static reason, and it never
-    consumes."""
+    A row with ``static_reason`` belongs to a request rejected by a later line; it is reported short
+    if one of these earlier lines is short, else with its static reason, and it never consumes."""
     import pandas as pd
 
-    client, left = None, {}
-    pending_id, pending, pending_static = None, [], None
-    out_ids, out_clients, out_outcome, out_reason = [], [], [], []
+    group, left, held = None, {}, {}
+    request, client, static, pending = None, None, None, []
+    out = {"request_id": [], "client_id": [], "outcome": [], "reason": []}
 
     def decide():
-        ok = all(q <= left[i] for i, q in pending)
-        out_clients.append(int(client))
-        if pending_static is not None:
-            out_ids.append(int(pending_id))
-            out_outcome.append("rejected")
-            out_reason.append(pending_static if ok else "short")
-            return
-        if ok:
-            for i, q in pending:
-                left[i] -= q
-        out_ids.append(int(pending_id))
-        out_outcome.append("accepted" if ok else "rejected")
-        out_reason.append(None if ok else "short")
+        enough = all(need == 0 or need <= left[line] + held.get((ship, line), 0) for line, ship, need in pending)
+        accepted = enough and static is None
+        if accepted:
+            for line, ship, need in pending:
+                left[line] += held.get((ship, line), 0) - need
+                if ship is not None:
+                    held[ship, line] = need
+        out["request_id"].append(int(request))
+        out["client_id"].append(int(client))
+        out["outcome"].append("accepted" if accepted else "rejected")
+        out["reason"].append(None if accepted else static if enough else "short")
 
     for pdf in batches:
-        for cid, rid, item, need, rem, st in zip(pdf["client_id"], pdf["request_id"], pdf["export_order_item_id"],
-                                                 pdf["requested"], pdf["left"], pdf["static_reason"]):
-            if pending and rid != pending_id:
-                decide()  # before the client switch: the pending request belongs to the old client
+        for g, cid, rid, line, ship, need, own, rem, st in pdf.itertuples(index=False):
+            if pending and rid != request:
+                decide()  # before the group switch: the pending request belongs to the old group
                 pending = []
-            if cid != client:
-                client, left = cid, {}
-            left.setdefault(item, int(rem))
-            pending_id = rid
-            pending_static = st if isinstance(st, str) else None
-            pending.append((item, int(need)))
-        if out_ids:
-            yield pd.DataFrame({"request_id": out_ids, "client_id": out_clients, "outcome": out_outcome,
-                                "reason": out_reason})
-            out_ids, out_clients, out_outcome, out_reason = [], [], [], []
+            if g != group:
+                group, left, held = g, {}, {}
+            ship = None if pd.isna(ship) else int(ship)
+            left.setdefault(line, int(rem))
+            if ship is not None:
+                held.setdefault((ship, line), int(own))
+            request, client, static = rid, cid, st if isinstance(st, str) else None
+            pending.append((line, ship, int(need)))
+        if out["request_id"]:
+            yield pd.DataFrame(out)
+            out = {k: [] for k in out}
     if pending:
         decide()
-    if out_ids:
-        yield pd.DataFrame({"request_id": out_ids, "client_id": out_clients, "outcome": out_outcome,
-                            "reason": out_reason})
+    if out["request_id"]:
+        yield pd.DataFrame(out)
 
 
 # ---------------------------------------------------------------- G4-G9 state rules
 
+def _first_cancel(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the first request that cancels it (rows flagged _cancels); everything later meets a
+    cancelled record.  One row per key by partial aggregation, no ordered scan."""
+    return (rows.filter("_cancels").groupBy(F.col(key).alias("_ck")).agg(F.min("request_id").alias("_cancelled_at")))
+
+
 def apply_order_status(t, requests: DataFrame, now) -> DataFrame:
-    """Requests (request_id, order_id, status) against the stored order state."""
-    o = t["export_orders"]
+    """Requests (request_id, order_id, status), applied in request_id order to the stored orders.
+
+    Cancelled is terminal: after the first accepted cancellation of an order, only further
+    cancellations of it are accepted.  ``current_status`` is what the order had before the batch;
+    ``new_status`` what it has after the request."""
+    ids = requests.select("order_id")
+    o = _of_orders(t["export_orders"], "id", ids)
     confirmed = o["confirmed_at"] if "confirmed_at" in o.columns else F.lit(None).cast("timestamp")
     o = o.select(F.col("id").alias("_oid"), F.col("status").alias("current_status"), confirmed.alias("confirmed_at"))
-    active_alloc = allocation_counts(t, active_only=True).withColumnRenamed("export_order_id", "_aoid")
-    pays = payment_counts(t).select(F.col("export_order_id").alias("_poid"), "payment_count")
-    j = (requests.join(o, requests["order_id"] == o["_oid"], "left")
+    near = _with(t, export_order_items=_of_orders(t["export_order_items"], "export_order_id", ids),
+                 order_payments=_of_orders(t["order_payments"], "export_order_id", ids))
+    active_alloc = allocation_counts(near, active_only=True).withColumnRenamed("export_order_id", "_aoid")
+    pays = payment_counts(near).select(F.col("export_order_id").alias("_poid"), "payment_count")
+    j = (requests.select("request_id", "order_id", "status").join(o, requests["order_id"] == o["_oid"], "left")
          .join(active_alloc, F.col("order_id") == F.col("_aoid"), "left")
          .join(pays, F.col("order_id") == F.col("_poid"), "left"))
-    cancelling = (F.col("status") == "cancelled") & (F.col("current_status") != "cancelled")
+    allocated, paid = F.coalesce("allocation_count", F.lit(0)) > 0, F.coalesce("payment_count", F.lit(0)) > 0
+    j = j.withColumn("_cancels", F.col("_oid").isNotNull() & (F.col("status") == "cancelled") & ~allocated & ~paid
+                     & (F.col("current_status") != "cancelled"))
+    first = _first_cancel(j, "order_id")
+    j = j.join(first, j["order_id"] == first["_ck"], "left")
+    is_cancelled = (F.col("current_status") == "cancelled") | F.coalesce(F.col("request_id") > F.col("_cancelled_at"), F.lit(False))
+    cancelling = (F.col("status") == "cancelled") & ~is_cancelled
     reason = (F.when(F.col("_oid").isNull(), "order not found")
-              .when((F.col("current_status") == "cancelled") & (F.col("status") != "cancelled"),
-                    "a cancelled order cannot be reopened")
-              .when(cancelling & (F.coalesce("allocation_count", F.lit(0)) > 0),
-                    "active shipment allocations")
-              .when(cancelling & (F.coalesce("payment_count", F.lit(0)) > 0), "recorded payments"))
-    ok = reason.isNull()
-    stamp = F.when(ok & (F.col("status") == "confirmed") & F.col("confirmed_at").isNull(),
-                   F.lit(now).cast("timestamp")).otherwise(F.col("confirmed_at"))
-    return j.select("request_id", "order_id", F.col("status").alias("requested_status"), "current_status",
-                    ok.alias("accepted"), reason.alias("reason"),
-                    F.when(ok, F.col("status")).otherwise(F.col("current_status")).alias("new_status"),
-                    stamp.alias("confirmed_at"))
+              .when(is_cancelled & (F.col("status") != "cancelled"), "a cancelled order cannot be reopened")
+              .when(cancelling & allocated, "active shipment allocations")
+              .when(cancelling & paid, "recorded payments"))
+    j = j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).withColumn("_cancelled", is_cancelled)
+    # a refused request leaves the order as the last accepted one made it
+    before = _status_before(j, "order_id")
+    confirms = F.col("accepted") & (F.col("status") == "confirmed")
+    return before.select("request_id", "order_id", F.col("status").alias("requested_status"), "current_status", "accepted", "reason",
+                         F.when(F.col("_oid").isNull(), F.lit(None)).when(F.col("accepted"), F.col("status"))
+                         .when(F.col("_cancelled"), F.lit("cancelled")).otherwise(F.coalesce("_before", "current_status")).alias("new_status"),
+                         F.when(confirms & F.col("confirmed_at").isNull(), F.lit(now).cast("timestamp")).otherwise(F.col("confirmed_at")).alias("confirmed_at"))
+
+
+def _status_before(rows: DataFrame, key: str) -> DataFrame:
+    """Add _before: the status of the last accepted request of the key before this one.
+
+    Windows per block of request ids, and the last accepted status of the earlier blocks."""
+    rows = rows.withColumn("_blk", id_block("request_id")).withColumn("_set", F.when(F.col("accepted"), F.col("status")))
+    inside = Window.partitionBy(key, "_blk").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.filter("accepted").groupBy(F.col(key).alias("_ek"), F.col("_blk").alias("_eb")).agg(F.max_by("status", "request_id").alias("_end"))
+    starts = rows.select(F.col(key).alias("_ek"), F.col("_blk").alias("_eb")).distinct().join(ends, ["_ek", "_eb"], "left")
+    earlier = Window.partitionBy("_ek").orderBy("_eb").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_ek", "_eb", F.last("_end", ignorenulls=True).over(earlier).alias("_start"))
+    rows = rows.withColumn("_in", F.last("_set", ignorenulls=True).over(inside))
+    return (rows.join(starts, (F.col(key) == F.col("_ek")) & (F.col("_blk") == F.col("_eb")), "left")
+            .withColumn("_before", F.coalesce("_in", "_start")))
+
+
+def order_status_table(t, requests: DataFrame, now) -> DataFrame:
+    """G4 (write): the orders after the batch, with the status of each order's last accepted request."""
+    o = t["export_orders"]
+    if "confirmed_at" not in o.columns:
+        o = o.withColumn("confirmed_at", F.lit(None).cast("timestamp"))
+    done = apply_order_status(t, requests, now).filter("accepted")
+    patch = done.groupBy(F.col("order_id").alias("id")).agg(F.max_by("requested_status", "request_id").alias("status"),
+                                                            F.max("confirmed_at").alias("confirmed_at"))
+    return update_by_key(o, patch, ["id"], ["status", "confirmed_at"])[0]
 
 
 def check_order_edits(t, requests: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Edit requests (request_id, order_id, client_id, advance_percentage [, proposed items]).
 
     Without proposed items the current items are kept (revised total = current total)."""
+    t = requested_orders(t, requests)
     o = t["export_orders"].select(F.col("id").alias("_oid"), F.col("status").alias("_status"),
                                   F.col("client_id").alias("_client"))
     allocs = allocation_counts(t).withColumnRenamed("export_order_id", "_aoid")
@@ -349,6 +442,7 @@ def check_order_edits(t, requests: DataFrame, items: DataFrame | None = None) ->
 
 def check_order_deletes(t, ids: DataFrame) -> DataFrame:
     """Ids (order_id) -> deletable unless shipped/completed, allocated (any status) or paid."""
+    t = requested_orders(t, ids)
     o = t["export_orders"].select(F.col("id").alias("_oid"), F.col("status").alias("_status"))
     allocs = allocation_counts(t).withColumnRenamed("export_order_id", "_aoid")
     pays = payment_counts(t).withColumnRenamed("export_order_id", "_poid")
@@ -363,15 +457,26 @@ def check_order_deletes(t, ids: DataFrame) -> DataFrame:
 
 
 def apply_shipment_status(t, requests: DataFrame) -> DataFrame:
-    """Cancelled is terminal; anything else allowed."""
+    """Requests (request_id, shipment_id, status) in request_id order; cancelled is terminal, also
+    within the batch, anything else allowed."""
     s = t["shipments"].select(F.col("id").alias("_sid"), F.col("status").alias("current_status"))
-    j = requests.join(s, requests["shipment_id"] == s["_sid"], "left")
+    j = requests.select("request_id", "shipment_id", "status").join(s, requests["shipment_id"] == s["_sid"], "left")
+    j = j.withColumn("_cancels", F.col("_sid").isNotNull() & (F.col("status") == "cancelled"))
+    first = _first_cancel(j, "shipment_id")
+    j = j.join(first, j["shipment_id"] == first["_ck"], "left")
+    is_cancelled = (F.col("current_status") == "cancelled") | F.coalesce(F.col("request_id") > F.col("_cancelled_at"), F.lit(False))
     reason = (F.when(F.col("_sid").isNull(), "shipment not found")
-              .when((F.col("current_status") == "cancelled") & (F.col("status") != "cancelled"),
-                    "a cancelled shipment cannot be reopened"))
+              .when(is_cancelled & (F.col("status") != "cancelled"), "a cancelled shipment cannot be reopened"))
     return j.select("request_id", "shipment_id", "current_status", F.col("status").alias("requested_status"),
                     reason.isNull().alias("accepted"), reason.alias("reason"),
-                    F.when(reason.isNull(), F.col("status")).otherwise(F.col("current_status")).alias("new_status"))
+                    F.when(reason.isNull(), F.col("status")).when(is_cancelled, F.lit("cancelled")).otherwise(F.col("current_status")).alias("new_status"))
+
+
+def shipment_status_table(t, requests: DataFrame) -> DataFrame:
+    """G7 (write): the shipments after the batch."""
+    done = apply_shipment_status(t, requests).filter("accepted")
+    patch = done.groupBy(F.col("shipment_id").alias("id")).agg(F.max_by("requested_status", "request_id").alias("status"))
+    return update_by_key(t["shipments"], patch, ["id"], ["status"])[0]
 
 
 def check_shipment_changes(shipments: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ledgerloom.functions.money import QTY_SUM, qty_eps
 from ledgerloom.functions.ordering import sort_if
 from ledgerloom.functions.text import contract_number_expr
 from ledgerloom.operators.balances import line_value
-from ledgerloom.operators.running import running_sum
+from ledgerloom.operators.running import LINE_BLOCK_BITS, id_block, running_sum
 
 WEIGHT = "decimal(26,6)"
 VALUE = "decimal(30,7)"
@@ -219,16 +219,19 @@ def carton_ranges(lines: DataFrame, partition: str, order: list[str], qty: str =
 
 def shipment_cartons(t) -> DataFrame:
     """W3 on shipment lines: numbering restarts in every container, in allocation-line order."""
+    # numbered on the bare allocations (blocks of 4,096 lines keep a hot container spread out), so that
+    # the wide line columns are joined only to the result
+    a = t["shipment_allocations"].select("id", "shipment_container_id", "line_number", "quantity")
+    numbered = carton_ranges(a, "shipment_container_id", ["line_number", "id"], chunk=[id_block("line_number", LINE_BLOCK_BITS)])
+    ranges = numbered.select(F.col("id").alias("_aid"), "carton_start", "carton_end")
     lines = shipment_lines(t)
-    # chunks of 4096 allocation lines keep a hot container spread over many window partitions
-    return carton_ranges(lines, "shipment_container_id", ["line_number", "id"],
-                         chunk=[F.floor(F.col("line_number") / 4096)])
+    return lines.join(ranges, lines["id"] == ranges["_aid"], "inner").drop("_aid")
 
 
 def item_cartons(t) -> DataFrame:
     """Carton ranges of contract items per order, in line order."""
     i = t["export_order_items"].select("id", "export_order_id", "line_number", "quantity")
-    return carton_ranges(i, "export_order_id", ["line_number", "id"], chunk=[F.floor(F.col("line_number") / 4096)])
+    return carton_ranges(i, "export_order_id", ["line_number", "id"], chunk=[id_block("line_number", LINE_BLOCK_BITS)])
 
 
 def contract_numbers(t) -> DataFrame:

@@ -44,38 +44,33 @@ def _null_free(df: DataFrame, names: Sequence[str], prefix: str):
     return df, cols
 
 
-HOT_ROWS = 1_000_000  # a key with more rows than this is cut into chunks; others run one window
+#: Ids and positions are cut into blocks of this many bits for numbering and running sums.
+ID_BLOCK_BITS = 20
+LINE_BLOCK_BITS = 12
+
+
+def id_block(column: Column | str, bits: int = ID_BLOCK_BITS) -> Column:
+    """Chunk of a whole-number sort key: blocks of ``2 ** bits`` neighbouring values."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.shiftright(c.cast("bigint"), bits)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column | str, out: str,
                 chunk: Sequence | None = None, exclusive: bool = False,
-                result_type: str | None = None, hot_rows: int = HOT_ROWS,
-                hot_keys: DataFrame | None = None) -> DataFrame:
+                result_type: str | None = None) -> DataFrame:
     """Add ``out`` = Σ value over the rows of the same key up to and including this row.
 
     ``order`` must be a total order within a key; ``chunk`` (default: the first order column) must
     be non-decreasing along ``order``.  ``exclusive`` leaves out the row itself.
 
-    Keys with more than ``hot_rows`` rows (found by a partially aggregated count; the hot list has at
-    most rows / hot_rows entries) are cut into chunks with per-chunk offsets; every other key is one
-    window partition whose only chunk has offset 0.  At scale this is one large shuffle plus a small
-    hot-key side."""
+    Every key takes the same path: a window per (key, chunk), one partially aggregated total per
+    (key, chunk), and the totals' own running sum per key as the chunk's offset.  The largest task is
+    the largest chunk, or a key's chunk totals."""
     val = F.col(value) if isinstance(value, str) else value
-    chunk_exprs = _cols(chunk) if chunk is not None else _cols(order[:1])
-    base = df.withColumn("_rv", val)
-    base, key_part = _null_free(base, list(keys), "_k")
-    if hot_keys is None:
-        hot = (base.groupBy(*key_part).agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > hot_rows).select(*key_part, F.lit(True).alias("_hot")))
-    else:  # the caller already knows the hot keys (e.g. from an aggregate it computes anyway)
-        hk, _ = _null_free(hot_keys.select(*keys), list(keys), "_k")
-        hot = hk.select(*key_part).distinct().withColumn("_hot", F.lit(True))
-    # broadcast with a proven bound: at most (row count / hot_rows) hot keys
-    base = base.join(F.broadcast(hot), key_part, "left")
-    is_hot = F.col("_hot").isNotNull()
+    base, key_part = _null_free(df.withColumn("_rv", val), list(keys), "_k")
     chunk_names = []
-    for i, expr in enumerate(chunk_exprs):
-        base = base.withColumn(f"_c{i}", F.when(is_hot, expr))  # NULL (one chunk) for cold keys
+    for i, expr in enumerate(_cols(chunk) if chunk is not None else _cols(order[:1])):
+        base = base.withColumn(f"_c{i}", expr)
         chunk_names.append(f"_c{i}")
     base, chunk_part = _null_free(base, chunk_names, "_q")
     part = key_part + chunk_part
@@ -84,8 +79,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
     # explicit exchange on (key, chunk): an input already hash-partitioned by the key alone would
     # otherwise satisfy the window's clustering and keep a hot key in one task
     local = base.repartition(*part).withColumn("_local", F.sum("_rv").over(local_w))
-    totals = base.filter(is_hot).groupBy(*part).agg(F.sum("_rv").alias("_ct"))
-    # chunk offsets of hot keys: the sum of all earlier chunks (one row per hot key and chunk)
+    totals = base.groupBy(*part).agg(F.sum("_rv").alias("_ct"))
     chunk_order = []
     for flag, v in zip(chunk_part[::2], chunk_part[1::2]):
         chunk_order += [F.col(flag).desc(), F.col(v).asc()]  # NULL chunks first, like the row order
@@ -97,11 +91,24 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
         total = total - F.col("_rv")
     if result_type:
         total = total.cast(result_type)
-    return joined.withColumn(out, total).drop("_rv", "_local", "_off", "_hot", *chunk_names, *part)
+    return joined.withColumn(out, total).drop("_rv", "_local", "_off", *chunk_names, *part)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "line_number",
-                chunk: Sequence | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                chunk: Sequence | None = None) -> DataFrame:
     """1-based row number within a key, skew-safe (running count; ``order`` must be total)."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk=chunk, result_type="int",
-                       hot_rows=hot_rows)
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk=chunk, result_type="int")
+
+
+def number_all(df: DataFrame, order: Sequence[str], out: str, bits: int = ID_BLOCK_BITS) -> DataFrame:
+    """1-based row number over the whole batch in the given order, without a constant key.
+
+    Rows are numbered within blocks of the first order column (a whole number), blocks by the sum of
+    the earlier ones; only the block totals (one row per 2 ** bits values) meet in one window."""
+    df = df.withColumn("_blk", id_block(order[0], bits))
+    local = df.withColumn("_ln", F.row_number().over(Window.partitionBy("_blk").orderBy(*order)))
+    totals = df.groupBy("_blk").agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.orderBy(F.col("_blk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_blk").alias("_sb"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_so"))
+    return (local.join(starts, F.col("_blk").eqNullSafe(F.col("_sb")))
+            .withColumn(out, (F.col("_so") + F.col("_ln")).cast("bigint")).drop("_blk", "_sb", "_so", "_ln"))

@@ -15,6 +15,9 @@ from ledgerloom.functions.money import money_eps
 from ledgerloom.operators.balances import order_balances
 from ledgerloom.operators.running import running_sum
 
+#: Characters of a transaction id that cut a hot day: its kind ("payment-") and the first four digits.
+ID_PREFIX = 12
+
 AMOUNT = "decimal(24,7)"
 BALANCE = "decimal(30,7)"
 
@@ -72,9 +75,10 @@ def client_statement(t, client_id: int | None = None, balances: DataFrame | None
     if client_id is not None:
         tx = tx.filter(F.col("client_id") == F.lit(client_id))
     tx = tx.withColumn("_delta", F.col("debit") - F.col("credit"))
-    # chunks = (date, kind): a hot client is cut into at most 3 x (days) independent windows
+    # chunks = (date, kind, leading part of the id): a hot client is cut into its days, a hot day into
+    # runs of neighbouring ids
     out = running_sum(tx, ["client_id", "currency"], ["date", "sort_order", "id"], "_delta",
-                      "running_balance", chunk=["date", "sort_order"], result_type=BALANCE)
+                      "running_balance", chunk=["date", "sort_order", F.left("id", F.lit(ID_PREFIX))], result_type=BALANCE)
     out = out.drop("_delta")
     # one client's statement is returned in statement order; the all-clients form stays unsorted
     # (a global sort of every transaction would be a full range shuffle for no consumer)

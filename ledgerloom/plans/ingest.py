@@ -15,7 +15,7 @@ from ledgerloom.operators import admission as G
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators.backfill import parse_packaging
 from ledgerloom.operators.fulfilment import carton_ranges
-from ledgerloom.operators.running import number_rows
+from ledgerloom.operators.running import LINE_BLOCK_BITS, id_block, number_all, number_rows
 from ledgerloom.session import cut_lineage
 from ledgerloom.sources import sinks
 from ledgerloom.sources.schemas import PACKAGE_TYPES
@@ -65,9 +65,10 @@ PRODUCT_RULES = [
 ]
 
 
-def _rejects(df: DataFrame, reason) -> DataFrame:
+def _rejects(df: DataFrame, reason, step: int = 0) -> DataFrame:
+    """Rejected requests with a reason and the number of the step that found it."""
     r = F.lit(reason) if isinstance(reason, str) else reason
-    return df.select("request_id", r.alias("reason")).distinct()
+    return df.select("request_id", r.alias("reason"), F.lit(step).alias("step")).distinct()
 
 
 def _drop(df: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -75,17 +76,14 @@ def _drop(df: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def _first_reason(rejected: DataFrame) -> DataFrame:
-    """One row per rejected request (the first reason in step order)."""
-    return rejected.groupBy("request_id").agg(F.first("reason", ignorenulls=True).alias("reason"))
+    """One row per rejected request: the reason of the earliest step (within a step the least text)."""
+    return rejected.groupBy("request_id").agg(F.min_by("reason", F.struct("step", "reason")).alias("reason"))
 
 
 def _new_ids(df: DataFrame, existing: DataFrame, order: list[str], out: str = "id") -> DataFrame:
-    """Auto-increment: max(existing id) + running count in request order (skew-safe numbering)."""
-    mx = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mx"))
-    numbered = number_rows(df.withColumn("_all", F.lit(1)), ["_all"], order, "_n",
-                           chunk=[F.floor(F.col(order[0]) / 1048576)])
-    return (numbered.join(mx.withColumn("_all", F.lit(1)), "_all")
-            .withColumn(out, (F.col("_mx") + F.col("_n")).cast("bigint")).drop("_all", "_mx", "_n"))
+    """Auto-increment: max(existing id) + running count in request order (numbered in blocks of ids)."""
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("_mx"))
+    return number_all(df, order, "_n").withColumn(out, (F.col("_n") + top.scalar()).cast("bigint")).drop("_n")
 
 
 def _order_items(items: DataFrame, products: DataFrame, order_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,8 +93,8 @@ def _order_items(items: DataFrame, products: DataFrame, order_ids: DataFrame) ->
     bad = bad.filter(F.col("reason").isNotNull())
     ok = _drop(norm, bad).join(order_ids, "request_id")
     ok = number_rows(ok, ["request_id"], ["item_index"], "line_number",
-                     chunk=[F.floor(F.col("item_index") / 4096)])
-    ok = carton_ranges(ok, "request_id", ["line_number"], chunk=[F.floor(F.col("line_number") / 4096)])
+                     chunk=[id_block("item_index", LINE_BLOCK_BITS)])
+    ok = carton_ranges(ok, "request_id", ["line_number"], chunk=[id_block("line_number", LINE_BLOCK_BITS)])
     return ok, bad
 
 
@@ -202,10 +200,10 @@ def _structure_rows(t: Tables, ids: DataFrame, cv: DataFrame, av: DataFrame):
     ids: request_id -> shipment_id."""
     cv = cv.join(ids, "request_id")
     cv = cut_lineage(number_rows(cv, ["request_id"], ["container_index"], "line_number",
-                                 chunk=[F.floor(F.col("container_index") / 4096)]))
+                                 chunk=[id_block("container_index", LINE_BLOCK_BITS)]))
     cv = cut_lineage(_new_ids(cv, t["shipment_containers"], ["request_id", "container_index"]))
     av = cut_lineage(number_rows(av.join(ids.select("request_id"), "request_id", "left_semi"), ["request_id"],
-                                 ["alloc_index"], "line_number", chunk=[F.floor(F.col("alloc_index") / 4096)]))
+                                 ["alloc_index"], "line_number", chunk=[id_block("alloc_index", LINE_BLOCK_BITS)]))
     cmap = cv.select("request_id", "container_index", F.col("id").alias("shipment_container_id"), "shipment_id")
     av = cut_lineage(_new_ids(av.join(cmap, ["request_id", "container_index"]), t["shipment_allocations"],
                               ["request_id", "alloc_index"]))
@@ -247,22 +245,22 @@ def ingest_shipments(t: Tables, requests: DataFrame, containers: DataFrame, allo
 
 def apply_shipment_edits(t: Tables, requests: DataFrame, containers: DataFrame,
                          allocations: DataFrame) -> tuple[Tables, DataFrame]:
-    """I4: draft/ready only -> validate/structure -> admission with the shipment's own allocations
-    excluded -> header update -> replace containers and allocations.  requests carry shipment_id."""
+    """I4: draft/ready only -> validate/structure -> admission (a shipment's own quantities are free for
+    its own edit alone) -> header update -> replace containers and allocations.  requests carry
+    shipment_id; of several accepted edits of one shipment the last one stands."""
     s = t["shipments"].select(F.col("id").alias("_sid"), F.col("status").alias("_status"))
     st = requests.select("request_id", "shipment_id").join(s, F.col("shipment_id") == F.col("_sid"), "left")
     rejected = _rejects(st.filter(F.col("_status").isNull() | ~F.col("_status").isin("draft", "ready_to_ship")),
                         "only draft or ready-to-ship shipments can be edited")
     sv, cv, av, bad = _validate_shipments(_drop(requests, rejected), containers, allocations)
     rejected = rejected.unionByName(bad)
-    own = sv.select(F.col("shipment_id").alias("_own"))
-    others = t["shipment_allocations"].join(own, F.col("shipment_id") == F.col("_own"), "left_anti")
-    admitted = G.admit_shipments(t.replace(shipment_allocations=others),
-                                 av.join(sv.select("request_id", "client_id"), "request_id"))
+    admitted = G.admit_shipments(t, av.join(sv.select("request_id", "client_id"), "request_id"),
+                                 edits=sv.select("request_id", "shipment_id"))
     rejected = cut_lineage(rejected.unionByName(
         _rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason"))))
-    sv = cut_lineage(_drop(sv, rejected))
+    sv = cut_lineage(sinks.one_per_key(_drop(sv, rejected), ["shipment_id"], ["request_id"]))
     ids = sv.select("request_id", "shipment_id")
+    cv, av = (x.join(ids.select("request_id"), "request_id", "left_semi") for x in (cv, av))
     new_c, new_a, first = _structure_rows(t, ids, _drop(cv, rejected), _drop(av, rejected))
     patch = sv.join(first, "request_id", "left").select(
         F.col("shipment_id").alias("id"),

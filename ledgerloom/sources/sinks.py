@@ -14,15 +14,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, last: bool = True) -> DataFrame:
+    """One row per key: the last (or first) in ``order``; without an order the greatest (least) row.
+
+    Partially aggregated, so a key repeated in most of the rows costs one row per task.  Rows with a
+    NULL key are all kept: a unique key does not bind them."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    rank = F.struct(*[F.col(f"`{c}`") for c in (order or [])], *[F.col(f"`{c}`") for c in rows.columns])
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    pick = F.max_by(whole, rank) if last else F.min_by(whole, rank)
+    one = rows.filter(~missing).groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(pick.alias("_row"))
+    return one.select("_row.*").unionByName(rows.filter(missing))
+
+
 def append(target: DataFrame, new_rows: DataFrame) -> DataFrame:
     """Target ∪ new rows (missing columns become NULL)."""
     return target.unionByName(new_rows, allowMissingColumns=True)
 
 
-def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> DataFrame:
+def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], update_cols: Sequence[str],
+           order: Sequence[str] | None = None) -> DataFrame:
     """INSERT ... ON DUPLICATE KEY UPDATE: matched rows take ``update_cols`` from src, unmatched
-    src rows are inserted, other target rows are kept."""
-    s = src.select(*[F.col(c).alias(f"_s_{c}") for c in src.columns]).withColumn("_s_hit", F.lit(True))
+    src rows are inserted, other target rows are kept.
+
+    Source rows of one key apply one after the other in ``order`` (default: by their whole content): the
+    first is inserted if the key is new, and the last one's ``update_cols`` stand."""
+    last = one_per_key(src, keys, order)
+    first = one_per_key(src, keys, order, last=False)
+    s = last.select(*[F.col(c).alias(f"_s_{c}") for c in src.columns])
+    rest = [c for c in src.columns if c not in keys and c not in update_cols]
+    if rest:  # columns that only the insert sets come from the first row
+        f = first.select(*[F.col(k).alias(f"_f_{k}") for k in keys], *[F.col(c).alias(f"_f_{c}") for c in rest])
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & (F.col(f"_s_{k}") == F.col(f"_f_{k}"))
+        null_key = " or ".join(f"_s_{k} is null" for k in keys)
+        bound = s.filter(f"not ({null_key})").join(f, cond, "left")
+        s = bound.select(*[F.col(f"_f_{c}").alias(f"_s_{c}") if c in rest else F.col(f"_s_{c}") for c in src.columns]).unionByName(s.filter(null_key))
+    s = s.withColumn("_s_hit", F.lit(True))
     cond = None
     for k in keys:
         c = F.col(k) == F.col(f"_s_{k}")
@@ -41,20 +72,23 @@ def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], update_cols:
     return j.select(*out)
 
 
-def insert_absent(target: DataFrame, src: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """INSERT IGNORE — add src rows whose key is not in target."""
-    new = src.join(target.select(*keys), list(keys), "left_anti")
+def insert_absent(target: DataFrame, src: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """INSERT IGNORE — add src rows whose key is not in target; of one key's rows the first in ``order``."""
+    new = one_per_key(src, keys, order, last=False).join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(new, allowMissingColumns=True)
 
 
 def update_by_key(target: DataFrame, patch: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                  where=None) -> tuple[DataFrame, DataFrame]:
+                  where=None, order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Set ``cols`` from patch on matching keys (optionally only where ``where`` holds on the
-    target row); returns (updated target, rejected patch rows: unknown key or blocked by ``where``)."""
+    target row); returns (updated target, rejected patch rows: unknown key or blocked by ``where``).
+
+    Of several patch rows of one key the last in ``order`` stands."""
     t = target.withColumn("_ok", F.lit(True) if where is None else where)
-    p = patch.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in cols]).withColumn("_p_hit", F.lit(True))
+    one = one_per_key(patch, keys, order)
+    p = one.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in cols]).withColumn("_p_hit", F.lit(True))
     j = t.join(p, list(keys), "left")
-    apply = F.col("_p_hit").isNotNull() & F.col("_ok")
+    apply = F.col("_p_hit").isNotNull() & F.coalesce(F.col("_ok"), F.lit(False))
     updated = j.select(*[F.when(apply, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                          for c in target.columns])
     ok_keys = t.filter(F.col("_ok")).select(*keys)

@@ -75,29 +75,30 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(source=views)
 
 
-def materialize_domain(spark: SparkSession, sf_dir: str, out_dir: str, max_records_per_file: int = 25000) -> str:
-    """Write every domain view derived from ``sf_dir`` to ``out_dir`` (one parquet folder each).
-
-    Files are capped at ``max_records_per_file`` rows so a table is several files, as stored tables
-    are, and scans split across tasks."""
+def materialize_domain(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """Write every domain view derived from ``sf_dir`` to ``out_dir`` (one parquet folder each)."""
     from ledgerloom.sources.testdata import VIEWS
     views = build_views(spark, sf_dir)
     names = [n for n, _ in VIEWS] + ["permissions", "roles", "role_permissions"]
     for name in names:
-        (views[name].write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
-         .parquet(os.path.join(out_dir, name)))
+        views[name].write.mode("overwrite").parquet(os.path.join(out_dir, name))
     spark.createDataFrame([(sf_dir,)], "source string").write.mode("overwrite") \
         .parquet(os.path.join(out_dir, DOMAIN_MARKER))
     return out_dir
 
 
-def load_tables(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> Tables:
-    """One parquet folder per domain table, read with its declared schema and conformed (S3)."""
-    out = Tables()
+def load_tables(spark: SparkSession, path: str, names: Iterable[str] | None = None,
+                optional: Iterable[str] = ()) -> Tables:
+    """One parquet folder per domain table, read with its declared schema and conformed (S3).
+
+    An absent folder raises, unless the table is named in ``optional``."""
+    out, spare = Tables(), set(optional)
     for name in names or schemas.SCHEMAS:
         target = os.path.join(path, name)
         if not path_exists(spark, target):
-            continue
+            if name in spare:
+                continue
+            raise FileNotFoundError(f"no folder for table {name}: {target}")
         df = spark.read.parquet(target)
         out[name] = conform(df, schemas.SCHEMAS[name]) if name in schemas.SCHEMAS else df
     return out

@@ -94,7 +94,7 @@ def test_stored_domain_tables_give_the_same_results(spark, tmp_path):
     """The bench path: domain views written once, queries read the stored tables."""
     from ledgerloom.sources.tables import materialize_domain
     out = str(tmp_path / "domain")
-    materialize_domain(spark, SF001, out, max_records_per_file=500)
+    materialize_domain(spark, SF001, out)
     for name in ("executive_currency", "client_statement", "carton_ranges", "admit_payments"):
         raw = E.queries()[name](spark, SF001)
         stored = E.queries()[name](spark, out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fixtures import D, item, ledger, order
 from ledgerloom.operators import fulfilment as FU
-from ledgerloom.operators.running import number_rows, running_sum
+from ledgerloom.operators.running import number_all, number_rows, running_sum
 
 
 def _ship(spark, scns=(None, "", "  ", "SC-9", "SC-9")):
@@ -87,23 +87,19 @@ def test_running_sum_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "k string, o int, v int, rid int")
     for chunk in (None, [F.floor(F.col("o") / 7)], [F.lit(0)]):
         for exclusive in (False, True):
-            for hot_rows in (100, 10_000_000):  # hot key chunked / everything one window
-                got = running_sum(df, ["k"], ["o", "rid"], "v", "rs", chunk=chunk, exclusive=exclusive,
-                                  hot_rows=hot_rows)
-                got = {r["rid"]: r["rs"] for r in got.collect()}
-                assert got == _brute(rows, exclusive)
+            got = running_sum(df, ["k"], ["o", "rid"], "v", "rs", chunk=chunk, exclusive=exclusive)
+            assert {r["rid"]: r["rs"] for r in got.collect()} == _brute(rows, exclusive)
 
 
-def test_running_sum_with_given_hot_keys(spark):
-    rows = [("hot" if i % 3 else "x", i % 17, 1, i) for i in range(400)]
-    df = spark.createDataFrame(rows, "k string, o int, v int, rid int")
-    hot = spark.createDataFrame([("hot",)], "k string")
-    got = running_sum(df, ["k"], ["o", "rid"], "v", "rs", chunk=[F.floor(F.col("o") / 5)], hot_keys=hot)
-    assert {r["rid"]: r["rs"] for r in got.collect()} == _brute(rows)
+def test_number_all_is_the_request_order(spark):
+    rows = [(i * 7919 % 5_000_011, i % 3) for i in range(4000)] + [(-5, 0), (1 << 40, 1)]
+    df = spark.createDataFrame(rows, "request_id long, item_index int")
+    got = {(r["request_id"], r["item_index"]): r["n"] for r in number_all(df, ["request_id", "item_index"], "n", bits=8).collect()}
+    assert got == {r: i + 1 for i, r in enumerate(sorted(rows))}
 
 
 def test_number_rows(spark):
     df = spark.createDataFrame([(1, 30), (1, 10), (2, 5), (1, 20)], "g int, o int")
-    for hot in (1, 100):
-        got = sorted((r["g"], r["o"], r["n"]) for r in number_rows(df, ["g"], ["o"], "n", hot_rows=hot).collect())
+    for chunk in (None, [F.lit(0)]):
+        got = sorted((r["g"], r["o"], r["n"]) for r in number_rows(df, ["g"], ["o"], "n", chunk=chunk).collect())
         assert got == [(1, 10, 1), (1, 20, 2), (1, 30, 3), (2, 5, 1)]

@@ -167,7 +167,9 @@ def test_load_conform_and_audit(spark, tmp_path):
     assert c.columns[0] == "id" and c.schema["is_active"].dataType.simpleString() == "boolean"
     root = str(tmp_path / "ledger")
     c.write.parquet(os.path.join(root, "parties"))
-    t = tables.load_tables(spark, root)
+    with __import__("pytest").raises(FileNotFoundError):
+        tables.load_tables(spark, root)
+    t = tables.load_tables(spark, root, names=["parties", "roles"], optional=["roles"])
     assert list(t) == ["parties"] and t["parties"].collect()[0]["name"] == "Acme"
     assert tables.active(t["parties"].fillna({"is_active": True}), party_type="supplier").count() == 0
     assert tables.by_id(t["parties"], 1).count() == 1
