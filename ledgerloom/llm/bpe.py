@@ -27,8 +27,8 @@ from ledgerloom.llm.columns import byte_slices, pick, text_or_empty
 from ledgerloom.session import ship_package
 
 #: Text bytes encoded at once, and distinct pre-tokens a worker keeps resolved.
-SLICE_BYTES = 4 << 20
-STORE_ENTRIES = 400_000
+SLICE_BYTES = 2 << 20
+STORE_ENTRIES = 300_000
 
 _U = np.uint64
 

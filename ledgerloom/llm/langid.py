@@ -182,9 +182,9 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                      pa.array([b.tobytes() for _, b in each], pa.binary())], names=["lang", "at", "share"])
 
     found = (bounded_sample(rows, "lang", "doc_id", counts, bounds).select("text", "lang")
-             .mapInArrow(run, "lang string, at binary, share binary").collect())
-    found.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["share"])))
-    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in found], [r["lang"] for r in found])
+             .mapInArrow(run, "lang string, at binary, share binary").toArrow())
+    found = sorted(zip(*(found[c].to_pylist() for c in ("lang", "at", "share"))))
+    return fit([(np.frombuffer(at, np.int32), np.frombuffer(share, np.float32)) for _, at, share in found], [lang for lang, _, _ in found])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -42,8 +42,8 @@ from ledgerloom.llm.textops import TextBatch, batches, mix
 from ledgerloom.session import scratch_path, ship_package
 
 #: Tokens that a task gathers before it writes sorted runs, and bytes of text scored at once.
-RUN_TOKENS = 4_000_000
-SLICE_BYTES = 8 << 20
+RUN_TOKENS = 2_500_000
+SLICE_BYTES = 4 << 20
 OPEN_FILES = 512
 
 _U = np.uint64

@@ -151,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_good: int = SAMPLE_GOOD, sa
                 x = features(batch)
                 yield pa.RecordBatch.from_arrays([part.column(1).slice(start, stop - start), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
 
-    found = (docs.join(F.broadcast(sample), "doc_id").select("text", "quality").mapInArrow(run, "quality int, x binary").collect())
-    found.sort(key=lambda r: (r["quality"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"]) for r in found]).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r["quality"] for r in found]), counts)
+    found = docs.join(F.broadcast(sample), "doc_id").select("text", "quality").mapInArrow(run, "quality int, x binary").toArrow()
+    found = sorted(zip(*(found[c].to_pylist() for c in ("quality", "x"))))
+    x = np.array([np.frombuffer(row) for _, row in found]).reshape(-1, len(FEATURES))
+    return fit(x, np.array([y for y, _ in found], np.int64), counts)
 
 
 def with_evidence(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from ledgerloom.llm.columns import byte_slices, string_offsets, text_or_empty
 
 #: Bytes of text handled at once (a longer single text is handled whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)

@@ -205,10 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
                                                  names=["toxic", "bucket", "begin"])
 
     found = (docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-             .mapInArrow(run, "toxic int, bucket binary, begin binary").collect())
-    found.sort(key=lambda r: (r["toxic"], bytes(r["bucket"]), bytes(r["begin"])))
-    return fit([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["begin"], np.int32)) for r in found],
-               [r["toxic"] for r in found], counts)
+             .mapInArrow(run, "toxic int, bucket binary, begin binary").toArrow())
+    found = sorted(zip(*(found[c].to_pylist() for c in ("toxic", "bucket", "begin"))))
+    return fit([(np.frombuffer(bucket, np.int32), np.frombuffer(begin, np.int32)) for _, bucket, begin in found], [y for y, _, _ in found], counts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
