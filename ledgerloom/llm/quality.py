@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.columns import pick
 from ledgerloom.llm.sampling import bounded_sample, class_counts
 from ledgerloom.llm.textops import TextBatch, batches
-from ledgerloom.session import ship_package
+from ledgerloom.session import cut_lineage, ship_package
 
 #: Documented bounds of the training sample.
 SAMPLE_GOOD = 8000
@@ -195,7 +195,8 @@ def site_counts(scored: DataFrame, model: Model) -> DataFrame:
 
     ``scored``: _host, _path and ``_p``, the documents' probabilities at the global rate.
     """
-    paths = scored.groupBy("_host", "_path").agg(F.count(F.lit(1)).cast("double").alias("path_n"), F.sum("_p").alias("path_good"))
+    # one row per path, kept in the shared folder: the strengths below read it again, not the texts
+    paths = cut_lineage(scored.groupBy("_host", "_path").agg(F.count(F.lit(1)).cast("double").alias("path_n"), F.sum("_p").alias("path_good")))
     hosts = paths.groupBy("_host").agg(F.sum("path_n").alias("host_n"), F.sum("path_good").alias("host_good"))
     hosts = hosts.withColumn("rate", F.lit(model.rate))
     host_strength = hosts.agg(_strength(hosts, "host_n", "host_good", "rate")).scalar()
