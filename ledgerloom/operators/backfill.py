@@ -71,8 +71,28 @@ def backfill_bank_account(orders: DataFrame, default_account_id) -> DataFrame:
     return orders.withColumn("bank_account_id", F.coalesce(F.col("bank_account_id"), F.lit(default_account_id)))
 
 
-def parse_packaging(c) -> Column:
-    """Tolerant packaging-details parse: unparseable -> {}, missing numbers -> 0."""
-    m = F.from_json(col_(c), "map<string,string>")
-    num = lambda k: F.coalesce(m.getItem(k).try_cast("decimal(12,3)"), F.lit(0).cast("decimal(12,3)"))
-    return F.struct(num("pieces_per_pack").alias("pieces_per_pack"), num("packs_per_carton").alias("packs_per_carton"))
+#: The two canonical keys of packaging details.
+PACKAGING_KEYS = ("pieces_per_pack", "packs_per_carton")
+
+
+def _packaging(c, key: str) -> tuple[Column, Column]:
+    """(text, number) of a packaging key; text that is no JSON object has no keys, null counts as 0."""
+    text = F.from_json(col_(c), "map<string,string>").getItem(key)
+    trimmed = F.trim(text)
+    return text, F.when(text.isNull() | (trimmed == ""), F.lit(0).cast("decimal(12,3)")).otherwise(trimmed.try_cast("decimal(12,3)"))
+
+
+def packaging_errors(c) -> list[Column]:
+    """Validation errors of packaging details: each number must be one, and not negative."""
+    out = []
+    for key in PACKAGING_KEYS:
+        _, n = _packaging(c, key)
+        for bad, reason in ((n.isNull(), "not a number"), (n < 0, "below 0")):
+            out.append(F.when(bad, F.struct(F.lit(key).alias("field"), F.lit(reason).alias("reason"))))
+    return out
+
+
+def packaging_json(c) -> Column:
+    """Canonical packaging JSON, numbers written as JSON would print them."""
+    a, b = (number_text(_packaging(c, key)[1]) for key in PACKAGING_KEYS)
+    return F.concat(F.lit(f'{{"{PACKAGING_KEYS[0]}":'), a, F.lit(f',"{PACKAGING_KEYS[1]}":'), b, F.lit("}"))

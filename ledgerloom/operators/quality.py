@@ -8,25 +8,32 @@ with no shuffle; uniqueness and referential checks pre-aggregate keys before joi
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import js_trim
-from ledgerloom.sources.schemas import ORDER_STATUSES, PARTY_TYPES
+from ledgerloom.sources.schemas import ORDER_STATUSES, PACKAGE_TYPES, PARTY_TYPES
 
 DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
+#: Numbers are compared in this type before they take their own.
+WIDE = "decimal(38,10)"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One field rule.
 
-    kind: 'id' (positive integer, optional nullable), 'number' (min/max/positive, blank as 0),
-    'date' (strict yyyy-MM-dd, optional nullable), 'text' (trim, min/max length, blank -> NULL or
-    default), 'enum' (domain, default), 'email', 'bool' (default)."""
+    kind: 'id' (positive integer), 'number' (min/max/positive), 'date' (strict yyyy-MM-dd, untrimmed),
+    'text' (trimmed, min/max length, default), 'enum' (domain, default), 'email', 'bool' (default).
+
+    Numbers are read as text: blank and NULL count as 0, and bounds hold for the stored type, so a
+    value that the type cannot hold (or rounds to 0 where it must be positive) is rejected.  NULL is
+    accepted where ``nullable``; the empty text too where ``blank_null`` (it becomes NULL)."""
 
     field: str
     kind: str
@@ -41,7 +48,7 @@ class Rule:
     domain: Sequence[str] | None = None
     default: object = None
     dtype: str | None = None
-    options: dict = field(default_factory=dict)
+    blank_null: bool = False
 
 
 def _err(cond: Column, fld: str, reason: str) -> Column:
@@ -52,53 +59,58 @@ def compile_rule(r: Rule) -> tuple[Column, list[Column]]:
     """Rule -> (coerced value, possible errors)."""
     raw = F.col(r.field).cast("string")
     txt = js_trim(raw)
-    blank = raw.isNull() | (txt == "")
+    absent = raw.isNull()
+    if r.blank_null:
+        absent = absent | (raw == "")
     errs: list[Column] = []
     if r.kind in ("id", "number"):
-        if r.kind == "id" and r.nullable:
-            num = F.when(blank, F.lit(None).cast("double")).otherwise(F.expr(f"try_cast(trim({r.field}) AS double)"))
-            bad = ~blank & num.isNull()
-        else:
-            # numeric coercion: blank and NULL become 0; any other non-number is rejected
-            num = F.when(blank, F.lit(0.0)).otherwise(txt.try_cast("double"))
-            bad = num.isNull() | F.isnan(num)
-        errs.append(_err(bad, r.field, "not a number"))
-        ok = ~bad & num.isNotNull()
+        dtype = r.dtype or ("bigint" if r.kind == "id" else "decimal(14,2)")
+        # numeric coercion: blank and NULL become 0; any other non-number is rejected
+        num = F.when(raw.isNull() | (txt == ""), F.lit(0).cast(WIDE)).otherwise(txt.try_cast(WIDE))
+        if r.default is not None:
+            num = F.when(raw.isNull(), F.lit(r.default).cast(WIDE)).otherwise(num)
+        value = typed = num.try_cast(dtype)
+        if r.kind == "id" or r.integer:
+            value = F.when(num == F.floor(num), typed)
+        here = ~absent if r.nullable else F.lit(True)
+        known = here & num.isNotNull()
+        errs.append(_err(here & num.isNull(), r.field, "not a number"))
         if r.kind == "id" or r.integer:
-            errs.append(_err(ok & (num != F.floor(num)), r.field, "not an integer"))
+            errs.append(_err(known & (num != F.floor(num)), r.field, "not an integer"))
+        above = num > F.lit(str(r.max)).cast(WIDE) if r.max is not None else F.lit(False)
+        errs.append(_err(known & typed.isNull() & ~above, r.field, "out of range"))
         if r.kind == "id" or r.positive:
-            errs.append(_err(ok & (num <= 0), r.field, "must be positive"))
+            errs.append(_err(known & (F.coalesce(typed.cast(WIDE), num) <= 0), r.field, "must be positive"))
         if r.min is not None:
-            errs.append(_err(ok & (num < F.lit(r.min)), r.field, f"below {r.min:g}"))
+            errs.append(_err(known & (num < F.lit(str(r.min)).cast(WIDE)), r.field, f"below {r.min:g}"))
         if r.max is not None:
-            errs.append(_err(ok & (num > F.lit(r.max)), r.field, f"above {r.max:g}"))
-        dtype = r.dtype or ("bigint" if r.kind == "id" else "decimal(14,2)")
-        value = F.when(blank, (F.lit(None) if r.nullable else F.lit(0)).cast(dtype)) \
-            .otherwise(txt.try_cast(dtype))
-        return value, errs
+            errs.append(_err(known & above, r.field, f"above {r.max:g}"))
+        return (F.when(~absent, value) if r.nullable else value), errs
     if r.kind == "date":
-        parsed = txt.try_cast("date")
+        parsed = raw.try_cast("date")
+        bad = F.coalesce(~raw.rlike(DATE_RE), F.lit(True)) | parsed.isNull()
         if r.nullable:
-            bad = ~blank & (~txt.rlike(DATE_RE) | parsed.isNull())
-        else:
-            bad = blank | ~txt.rlike(DATE_RE) | parsed.isNull()
+            bad = ~absent & bad
         errs.append(_err(bad, r.field, "invalid date"))
-        return F.when(~bad, parsed), errs
+        return F.when(~bad & ~absent, parsed), errs
     if r.kind == "bool":
-        value = F.coalesce(F.col(r.field).cast("boolean"), F.lit(r.default if r.default is not None else False))
-        return value, errs
+        value = txt.try_cast("boolean")
+        errs.append(_err(raw.isNotNull() & value.isNull(), r.field, "not a boolean"))
+        return F.when(raw.isNull(), F.lit(bool(r.default))).otherwise(value), errs
     if r.kind in ("text", "email", "enum"):
         value = txt
         if r.default is not None:
             value = F.when(raw.isNull(), F.lit(r.default)).otherwise(value)
+        if r.blank_null:
+            value = F.when(~absent, value)
         if r.required and r.default is None and not r.nullable:
             errs.append(_err(raw.isNull(), r.field, "required"))
         if r.min_len is not None:
-            errs.append(_err(raw.isNotNull() & (F.length(value) < r.min_len), r.field, f"shorter than {r.min_len}"))
+            errs.append(_err(F.length(value) < r.min_len, r.field, f"shorter than {r.min_len}"))
         if r.max_len is not None:
             errs.append(_err(F.length(value) > r.max_len, r.field, f"longer than {r.max_len}"))
         if r.kind == "email":
-            errs.append(_err(raw.isNotNull() & ~value.rlike(EMAIL_RE), r.field, "invalid e-mail"))
+            errs.append(_err(~absent & ~txt.rlike(EMAIL_RE), r.field, "invalid e-mail"))
             value = F.lower(value)
         if r.kind == "enum":
             errs.append(_err(value.isNotNull() & ~value.isin(list(r.domain or [])), r.field, "not allowed"))
@@ -132,58 +144,118 @@ def errors_text(col: str = "errors") -> Column:
     return F.array_join(F.transform(F.col(col), lambda e: F.concat(e["field"], F.lit(":"), e["reason"])), ";")
 
 
+def _texts(names: Iterable[str], max_len: int | None = None) -> list[Rule]:
+    return [Rule(n, "text", required=False, nullable=True, max_len=max_len) for n in names]
+
+
 # Payment request rules of the ledger.
 PAYMENT_RULES = [
     Rule("order_id", "id"),
     Rule("amount", "number", positive=True, max=999999999999.99, dtype="decimal(14,2)"),
     Rule("payment_date", "date"),
-    Rule("reference_number", "text", required=False, nullable=True, max_len=120),
+    *_texts(["reference_number"], 120), *_texts(["notes"], 500),
 ]
 
-
-
 # Request rules for the master data and report filters.
 PARTY_RULES = [
     Rule("party_type", "enum", domain=PARTY_TYPES), Rule("name", "text", min_len=2),
-    Rule("contact_person", "text", required=False, nullable=True),
-    Rule("email", "email", required=False, nullable=True),
-    Rule("phone", "text", required=False, nullable=True), Rule("country", "text", required=False, nullable=True),
+    *_texts(["contact_person", "business_id", "phone"]),
+    Rule("email", "email", required=False, nullable=True, blank_null=True),
+    *_texts(["address_line_1", "address_line_2", "city", "state_region", "country", "postal_code"]),
 ]
 BANK_ACCOUNT_RULES = [
-    Rule("account_name", "text", min_len=2), Rule("beneficiary_name", "text", min_len=2),
-    Rule("bank_name", "text", min_len=2), Rule("account_number", "text", required=False, nullable=True),
-    Rule("iban", "text", required=False, nullable=True), Rule("swift_code", "text", required=False, nullable=True),
-    Rule("currency", "text", default="USD"),
+    Rule("account_name", "text", min_len=2, max_len=120), Rule("beneficiary_name", "text", min_len=2, max_len=180),
+    Rule("bank_name", "text", min_len=2, max_len=180), *_texts(["branch_name"], 180),
+    *_texts(["account_number", "iban"], 100), *_texts(["swift_code"], 60),
+    Rule("currency", "text", default="USD", min_len=3, max_len=10),
+    *_texts(["correspondent_bank"], 180), *_texts(["correspondent_account"], 100),
+    *_texts(["correspondent_swift_code"], 60), *_texts(["instructions"], 500),
 ]
 USER_RULES = [
-    Rule("name", "text", min_len=2), Rule("email", "email"), Rule("role_id", "id"),
-    Rule("phone", "text", required=False, nullable=True),
+    Rule("name", "text", min_len=2, max_len=120), Rule("email", "email"), *_texts(["phone"], 40), Rule("role_id", "id"),
 ]
+ROLE_RULES = [Rule("name", "text", min_len=2), *_texts(["description"])]
 GATE_PASS_RULES = [
-    Rule("clearing_agent_id", "id", nullable=True),
-    *[Rule(c, "text", required=False, nullable=True) for c in (
-        "transporter_name", "transporter_contact", "transporter_phone", "truck_number", "driver_name",
-        "driver_phone", "loading_address", "delivery_address")],
+    Rule("clearing_agent_id", "id", nullable=True, blank_null=True),
+    *_texts(["transporter_name", "transporter_contact", "transporter_phone", "truck_number", "driver_name",
+             "driver_phone", "loading_address", "delivery_address"]),
 ]
 REPORT_FILTER_RULES = [
-    Rule("date_from", "date", nullable=True), Rule("date_to", "date", nullable=True),
-    Rule("client_id", "id", nullable=True), Rule("status", "enum", required=False, nullable=True,
-                                                 domain=ORDER_STATUSES + [""]),
-    Rule("currency", "text", required=False, nullable=True, max_len=10),
+    Rule("date_from", "date", nullable=True, blank_null=True), Rule("date_to", "date", nullable=True, blank_null=True),
+    Rule("client_id", "id", nullable=True, blank_null=True),
+    Rule("status", "enum", required=False, nullable=True, blank_null=True, domain=ORDER_STATUSES),
+    *_texts(["currency"], 10),
 ]
 
+# Contract, shipment and product request rules.
+ORDER_RULES = [
+    Rule("client_id", "id"), Rule("customs_consignee_id", "id"), Rule("bank_account_id", "id"),
+    Rule("contract_date", "date"), Rule("valid_until", "date", nullable=True),
+    *_texts(["sales_contract_number", "payment_term"]),
+    Rule("advance_percentage", "number", min=0, max=100, dtype="decimal(5,2)"),
+    Rule("freight_amount", "number", min=0, dtype="decimal(14,2)"), Rule("currency", "text", default="USD"),
+    *_texts(["port_of_loading", "port_of_destination", "final_destination", "shipping_type", "shipped_per",
+             "freight_term", "customer_instructions", "notes"]),
+]
+ITEM_RULES = [
+    Rule("product_id", "id"), Rule("quantity", "number", positive=True, dtype="decimal(12,3)"),
+    Rule("quantity_unit", "text", default="CTN"),
+    Rule("net_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
+    Rule("gross_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
+    Rule("client_price_per_carton", "number", min=0, dtype="decimal(14,4)"),
+    Rule("customs_price_per_kg", "number", min=0, dtype="decimal(14,4)"),
+    Rule("is_sample", "bool", default=False), *_texts(["description_override"]),
+]
+SHIPMENT_RULES = [
+    Rule("client_id", "id"), Rule("customs_consignee_id", "id"),
+    Rule("also_notify_party_id", "id", nullable=True, blank_null=True), Rule("shipment_date", "date"),
+    *_texts(["gd_number", "fi_number"], 120), Rule("currency", "text", default="USD"),
+    *_texts(["port_of_loading", "port_of_destination", "final_destination", "shipping_type", "shipped_per"]),
+    *_texts(["vessel_name"], 150), *_texts(["voyage_number", "bl_number"], 100),
+    Rule("bl_date", "date", nullable=True, blank_null=True), *_texts(["freight_term", "notes"]),
+]
+CONTAINER_RULES = [
+    Rule("container_number", "text", min_len=1, max_len=120), *_texts(["container_type"], 80),
+    Rule("cbm", "number", min=0, dtype="decimal(12,3)"),
+]
+ALLOCATION_RULES = [
+    Rule("export_order_item_id", "id"), Rule("container_index", "number", min=0, integer=True, dtype="int"),
+    Rule("quantity", "number", positive=True, dtype="decimal(12,3)"),
+]
+PRODUCT_RULES = [
+    *_texts(["sku"]), Rule("name", "text", min_len=2), *_texts(["description", "hs_code"]),
+    Rule("package_type", "enum", domain=PACKAGE_TYPES, default="Jar"),
+    Rule("units_per_carton", "number", min=0, dtype="decimal(12,3)"),
+    Rule("pieces_per_unit", "number", min=0, dtype="decimal(12,3)"),
+    Rule("unit_weight_grams", "number", min=0, dtype="decimal(12,3)"),
+    Rule("net_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
+    Rule("gross_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
+    Rule("default_client_price", "number", min=0, dtype="decimal(14,4)"),
+    Rule("default_customs_price_per_kg", "number", min=0, dtype="decimal(14,4)"), *_texts(["image_url"]),
+]
+RULE_SETS = {
+    "payments": PAYMENT_RULES, "parties": PARTY_RULES, "bank_accounts": BANK_ACCOUNT_RULES, "users": USER_RULES,
+    "roles": ROLE_RULES, "gate_pass": GATE_PASS_RULES, "report_filters": REPORT_FILTER_RULES, "orders": ORDER_RULES,
+    "order_items": ITEM_RULES, "shipments": SHIPMENT_RULES, "containers": CONTAINER_RULES,
+    "allocations": ALLOCATION_RULES, "products": PRODUCT_RULES,
+}
+
+
+def judge(raw: DataFrame, rules: Sequence[Rule], keep: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """Every row with its coerced values, validity and error text (the report form of ``validate``)."""
+    compiled = [(r.field, *compile_rule(r)) for r in rules]
+    errs = [e for _, _, some in compiled for e in some] + list(extra)
+    checked = raw.select(*keep, *[v.alias(n) for n, v, _ in compiled], F.filter(F.array(*errs), lambda x: x.isNotNull()).alias("errors"))
+    return checked.select(*keep, *[n for n, _, _ in compiled], (F.size("errors") == 0).alias("is_valid"), errors_text().alias("errors"))
+
 
 def validate_payments(raw: DataFrame) -> DataFrame:
     """V1 on payment requests: every request with coerced values, validity flag and error text."""
-    values, errs = [], []
-    for r in PAYMENT_RULES:
-        v, e = compile_rule(r)
-        values.append(v.alias(r.field))
-        errs.extend(e)
-    checked = raw.select("request_id", *values, F.filter(F.array(*errs), lambda x: x.isNotNull()).alias("errors"))
-    return checked.select("request_id", "order_id", "amount", "payment_date",
-                          F.nullif(F.col("reference_number"), F.lit("")).alias("reference_number"),
-                          (F.size("errors") == 0).alias("is_valid"), errors_text().alias("errors"))
+    if "notes" not in raw.columns:
+        raw = raw.withColumn("notes", F.lit(None).cast("string"))
+    return judge(raw, PAYMENT_RULES, ["request_id"]).select(
+        "request_id", "order_id", "amount", "payment_date", F.nullif(F.col("reference_number"), F.lit("")).alias("reference_number"),
+        "is_valid", "errors")
 
 
 def unique_violations(df: DataFrame, keys: Sequence[str], target: DataFrame | None = None,

@@ -13,56 +13,30 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import blank_to_null, seal_list
 from ledgerloom.operators import admission as G
 from ledgerloom.operators import quality as Q
-from ledgerloom.operators.backfill import parse_packaging
+from ledgerloom.operators.backfill import packaging_errors, packaging_json
 from ledgerloom.operators.fulfilment import carton_ranges
 from ledgerloom.operators.running import LINE_BLOCK_BITS, id_block, number_all, number_rows
 from ledgerloom.session import cut_lineage
 from ledgerloom.sources import sinks
-from ledgerloom.sources.schemas import PACKAGE_TYPES
 from ledgerloom.sources.tables import Tables
 
-R = Q.Rule
-
-# Request rules of the ledger (field, kind, options).
-ORDER_RULES = [
-    R("client_id", "id"), R("customs_consignee_id", "id"), R("bank_account_id", "id"),
-    R("contract_date", "date"), R("valid_until", "date", nullable=True),
-    R("sales_contract_number", "text", required=False, nullable=True),
-    R("advance_percentage", "number", min=0, max=100, dtype="decimal(5,2)"),
-    R("currency", "text", default="USD"),
-]
-ITEM_RULES = [
-    R("product_id", "id"), R("quantity", "number", positive=True, dtype="decimal(12,3)"),
-    R("quantity_unit", "text", default="CTN"),
-    R("net_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
-    R("gross_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
-    R("client_price_per_carton", "number", min=0, dtype="decimal(14,4)"),
-    R("customs_price_per_kg", "number", min=0, dtype="decimal(14,4)"),
-    R("is_sample", "bool", default=False),
-]
-SHIPMENT_RULES = [
-    R("client_id", "id"), R("customs_consignee_id", "id"), R("also_notify_party_id", "id", nullable=True),
-    R("shipment_date", "date"), R("gd_number", "text", required=False, nullable=True, max_len=120),
-    R("fi_number", "text", required=False, nullable=True, max_len=120), R("currency", "text", default="USD"),
-]
-CONTAINER_RULES = [
-    R("container_number", "text", min_len=1, max_len=120),
-    R("container_type", "text", required=False, nullable=True, max_len=80),
-    R("cbm", "number", min=0, dtype="decimal(12,3)"),
-]
-ALLOCATION_RULES = [
-    R("export_order_item_id", "id"), R("container_index", "number", min=0, integer=True, dtype="int"),
-    R("quantity", "number", positive=True, dtype="decimal(12,3)"),
-]
-PRODUCT_RULES = [
-    R("sku", "text", required=False, nullable=True), R("name", "text", min_len=2),
-    R("package_type", "enum", domain=PACKAGE_TYPES, default="Jar"),
-    R("units_per_carton", "number", min=0, dtype="decimal(12,3)"),
-    R("pieces_per_unit", "number", min=0, dtype="decimal(12,3)"),
-    R("net_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
-    R("gross_weight_per_carton", "number", min=0, dtype="decimal(12,3)"),
-    R("default_client_price", "number", min=0, dtype="decimal(14,4)"),
-]
+ORDER_RULES, ITEM_RULES, SHIPMENT_RULES = Q.ORDER_RULES, Q.ITEM_RULES, Q.SHIPMENT_RULES
+CONTAINER_RULES, ALLOCATION_RULES, PRODUCT_RULES = Q.CONTAINER_RULES, Q.ALLOCATION_RULES, Q.PRODUCT_RULES
+
+
+def _complete(df: DataFrame, rules) -> DataFrame:
+    """Optional fields that a request source does not carry are NULL; a required one must be there."""
+    for r in rules:
+        if r.field not in df.columns:
+            if not (r.nullable or r.default is not None or (r.kind == "number" and not r.positive)):
+                raise ValueError(f"missing request field: {r.field}")
+            df = df.withColumn(r.field, F.lit(None).cast("string"))
+    return df
+
+
+def _childless(parents: DataFrame, children: DataFrame, reason: str, step: int) -> DataFrame:
+    """Rejects of requests without a single child row."""
+    return _rejects(parents.join(children.select("request_id").distinct(), "request_id", "left_anti"), reason, step)
 
 
 def _rejects(df: DataFrame, reason, step: int = 0) -> DataFrame:
@@ -86,21 +60,34 @@ def _new_ids(df: DataFrame, existing: DataFrame, order: list[str], out: str = "i
     return number_all(df, order, "_n").withColumn(out, (F.col("_n") + top.scalar()).cast("bigint")).drop("_n")
 
 
-def _order_items(items: DataFrame, products: DataFrame, order_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V4 + W4: normalised items with line numbers and carton ranges; rejected requests."""
+def _order_items(items: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V4 + W4: normalised items with line numbers and carton ranges; rejected requests (step 5)."""
     norm = Q.normalize_items(items, products, request_key="request_id")
-    bad = _rejects(norm.filter(F.col("request_rejected")), F.col("line_reason"))
-    bad = bad.filter(F.col("reason").isNotNull())
-    ok = _drop(norm, bad).join(order_ids, "request_id")
-    ok = number_rows(ok, ["request_id"], ["item_index"], "line_number",
-                     chunk=[id_block("item_index", LINE_BLOCK_BITS)])
-    ok = carton_ranges(ok, "request_id", ["line_number"], chunk=[id_block("line_number", LINE_BLOCK_BITS)])
-    return ok, bad
+    bad = _rejects(norm.filter(F.col("request_rejected")), F.col("line_reason"), 5).filter(F.col("reason").isNotNull())
+    ok = number_rows(_drop(norm, bad), ["request_id"], ["item_index"], "line_number", chunk=[id_block("item_index", LINE_BLOCK_BITS)])
+    return carton_ranges(ok, "request_id", ["line_number"], chunk=[id_block("line_number", LINE_BLOCK_BITS)]), bad
 
 
 ITEM_COLUMNS = ["id", "export_order_id", "product_id", "line_number", "carton_start", "carton_end", "quantity",
                 "quantity_unit", "units_per_carton", "net_weight_per_carton", "gross_weight_per_carton",
-                "client_price_per_carton", "customs_price_per_kg", "is_sample"]
+                "client_price_per_carton", "customs_price_per_kg", "is_sample", "description_override"]
+ORDER_COLUMNS = [r.field for r in ORDER_RULES]
+
+
+def _order_values(df: DataFrame) -> list:
+    """Header columns as stored: blank texts become NULL."""
+    texts = {r.field for r in ORDER_RULES if r.kind == "text"}
+    return [blank_to_null(c).alias(c) if c in texts else F.col(c) for c in ORDER_COLUMNS]
+
+
+def _judged_orders(headers: DataFrame, items: DataFrame, keep: list[str]):
+    """Typed headers and items, and what the rules reject (steps 0-2)."""
+    hv, hr = Q.validate(_complete(headers, ORDER_RULES), ORDER_RULES, keep=keep)
+    iv, ir = Q.validate(_complete(items, ITEM_RULES), ITEM_RULES, keep=["request_id", "item_index"])
+    rejected = (_rejects(hr, F.concat(F.lit("invalid contract: "), Q.errors_text()), 0)
+                .unionByName(_rejects(ir, F.concat(F.lit("invalid line: "), Q.errors_text()), 1))
+                .unionByName(_childless(headers, items, "a contract needs a line", 2)))
+    return hv, iv, rejected
 
 
 def ingest_orders(t: Tables, headers: DataFrame, items: DataFrame, prefix: str, year: int,
@@ -108,68 +95,53 @@ def ingest_orders(t: Tables, headers: DataFrame, items: DataFrame, prefix: str,
     """Validate -> active bank account -> number -> normalise items -> cartons -> append.
 
     headers: request_id + ORDER_RULES fields; items: request_id, item_index + ITEM_RULES fields."""
-    hv, hr = Q.validate(headers, ORDER_RULES, keep=["request_id"])
-    iv, ir = Q.validate(items, ITEM_RULES, keep=["request_id", "item_index"])
-    rejected = (_rejects(hr, F.concat(F.lit("invalid contract: "), Q.errors_text())).unionByName(
-        _rejects(ir, F.concat(F.lit("invalid line: "), Q.errors_text()))))
-    hv = _drop(hv, rejected)
-    hv = Q.check_bank_account(hv, t["bank_accounts"])
-    rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account"))
+    hv, iv, rejected = _judged_orders(headers, items, ["request_id"])
+    hv = Q.check_bank_account(_drop(hv, rejected), t["bank_accounts"])
+    rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account", 3))
     rejected = cut_lineage(rejected)  # step boundary: keeps later plans small and restartable
     hv = cut_lineage(_drop(hv.drop("bank_account_ok", "bank_reason"), rejected))
-    iv = cut_lineage(_drop(iv, rejected).join(hv.select("request_id"), "request_id", "left_semi"))
+    iv = _drop(iv, rejected).join(hv.select("request_id"), "request_id", "left_semi")
     # item normalisation decides the remaining rejects before any number is consumed
-    probe_ids = hv.select("request_id", F.lit(0).cast("bigint").alias("export_order_id"))
-    _, bad = _order_items(iv, t["products"], probe_ids)
-    bad = cut_lineage(bad)
+    lines, bad = _order_items(iv, t["products"])
+    lines, bad = cut_lineage(lines), cut_lineage(bad)
     rejected = rejected.unionByName(bad)
-    hv = _drop(hv, bad)
-    hv = hv.withColumn("sequence_year", F.lit(year))
+    hv = _drop(hv, bad).withColumn("sequence_year", F.lit(year))
     numbered = G.assign_numbers(hv, t["export_orders"], prefix, order=["request_id"])
     numbered = cut_lineage(_new_ids(numbered, t["export_orders"], ["request_id"]))
     order_ids = numbered.select("request_id", F.col("id").alias("export_order_id"))
-    new_items, _ = _order_items(_drop(iv, bad), t["products"], order_ids)
-    new_items = cut_lineage(new_items)
-    new_items = cut_lineage(_new_ids(new_items.drop("id") if "id" in new_items.columns else new_items,
-                                     t["export_order_items"], ["request_id", "item_index"]))
-    new_orders = numbered.select(
-        "id", "invoice_number", "sequence_number", "sequence_year", "client_id", "customs_consignee_id",
-        "bank_account_id", F.lit(created_by).cast("bigint").alias("created_by"), F.lit("draft").alias("status"),
-        "contract_date", "valid_until", blank_to_null("sales_contract_number").alias("sales_contract_number"),
-        "advance_percentage", "currency")
+    new_items = cut_lineage(_new_ids(lines.join(order_ids, "request_id"), t["export_order_items"], ["request_id", "item_index"]))
+    new_orders = numbered.select("id", "invoice_number", "sequence_number", "sequence_year",
+                                 F.lit(created_by).cast("bigint").alias("created_by"), F.lit("draft").alias("status"),
+                                 *_order_values(numbered))
     out = t.replace(export_orders=sinks.append(t["export_orders"], new_orders),
-                    export_order_items=sinks.append(t["export_order_items"],
-                                                    new_items.select(*ITEM_COLUMNS)))
+                    export_order_items=sinks.append(t["export_order_items"], new_items.select(*ITEM_COLUMNS)))
     return out, _first_reason(rejected)
 
 
 def apply_order_edits(t: Tables, headers: DataFrame, items: DataFrame) -> tuple[Tables, DataFrame]:
-    """Eligibility -> active account -> header update -> replace items (headers carry order_id)."""
-    hv, hr = Q.validate(headers, ORDER_RULES, keep=["request_id", "order_id"])
-    iv, ir = Q.validate(items, ITEM_RULES, keep=["request_id", "item_index"])
-    rejected = (_rejects(hr, F.concat(F.lit("invalid contract: "), Q.errors_text())).unionByName(
-        _rejects(ir, F.concat(F.lit("invalid line: "), Q.errors_text()))))
-    hv = _drop(hv, rejected)
-    edit_items = iv.withColumnRenamed("request_id", "request_id")
-    elig = G.check_order_edits(t, hv.select("request_id", "order_id", "client_id", "advance_percentage"),
-                               items=edit_items)
-    rejected = rejected.unionByName(_rejects(elig.filter(~F.col("accepted")), F.col("reason")))
+    """Eligibility -> active account -> header update -> replace items (headers carry order_id).
+
+    Of several accepted edits of one order the last one stands."""
+    hv, iv, rejected = _judged_orders(headers, items, ["request_id", "order_id"])
     hv = _drop(hv, rejected)
-    hv = Q.check_bank_account(hv, t["bank_accounts"])
-    rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account"))
+    elig = G.check_order_edits(t, hv.select("request_id", "order_id", "client_id", "advance_percentage"), items=iv)
+    rejected = rejected.unionByName(_rejects(elig.filter(~F.col("accepted")), F.col("reason"), 3))
+    hv = Q.check_bank_account(_drop(hv, rejected), t["bank_accounts"])
+    rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account", 4))
     rejected = cut_lineage(rejected)
     hv = cut_lineage(_drop(hv.drop("bank_account_ok", "bank_reason"), rejected))
-    order_ids = hv.select("request_id", F.col("order_id").alias("export_order_id"))
-    new_items, bad = _order_items(_drop(iv, rejected), t["products"], order_ids)
-    bad = cut_lineage(bad)
+    lines, bad = _order_items(_drop(iv, rejected).join(hv.select("request_id"), "request_id", "left_semi"), t["products"])
+    lines, bad = cut_lineage(lines), cut_lineage(bad)
     rejected = rejected.unionByName(bad)
-    hv = _drop(hv, bad)
-    new_items = cut_lineage(_drop(new_items, bad))
-    new_items = cut_lineage(_new_ids(new_items, t["export_order_items"], ["request_id", "item_index"]))
-    cols = ["client_id", "customs_consignee_id", "bank_account_id", "contract_date", "valid_until",
-            "sales_contract_number", "advance_percentage", "currency"]
-    patch = hv.select(F.col("order_id").alias("id"), *cols)
-    orders, _ = sinks.update_by_key(t["export_orders"], patch, ["id"], cols)
+    hv = cut_lineage(sinks.one_per_key(_drop(hv, bad), ["order_id"], ["request_id"]))
+    lines = lines.join(hv.select("request_id", F.col("order_id").alias("export_order_id")), "request_id")
+    new_items = cut_lineage(_new_ids(lines, t["export_order_items"], ["request_id", "item_index"]))
+    orders = t["export_orders"]
+    for c, kind in hv.select(*_order_values(hv)).dtypes:
+        if c not in orders.columns:
+            orders = orders.withColumn(c, F.lit(None).cast(kind))
+    patch = hv.select(F.col("order_id").alias("id"), *_order_values(hv))
+    orders, _ = sinks.update_by_key(orders, patch, ["id"], ORDER_COLUMNS)
     items_out = sinks.replace_children(t["export_order_items"], "export_order_id", new_items.select(*ITEM_COLUMNS),
                                        hv.select("order_id"))
     return t.replace(export_orders=orders, export_order_items=items_out), _first_reason(rejected)
@@ -177,17 +149,20 @@ def apply_order_edits(t: Tables, headers: DataFrame, items: DataFrame) -> tuple[
 
 def _shipment_structure_rejects(containers: DataFrame, allocations: DataFrame) -> DataFrame:
     s = Q.check_shipment_structure(containers, allocations)
-    return _rejects(s.filter(~F.col("is_valid")), F.col("reason"))
+    return _rejects(s.filter(~F.col("is_valid")), F.col("reason"), 5)
 
 
 def _validate_shipments(requests, containers, allocations):
-    sv, sr = Q.validate(requests, SHIPMENT_RULES, keep=[c for c in ("request_id", "shipment_id") if c in requests.columns],
+    sv, sr = Q.validate(_complete(requests, SHIPMENT_RULES), SHIPMENT_RULES,
+                        keep=[c for c in ("request_id", "shipment_id") if c in requests.columns],
                         extra=[Q.exclusive("gd_number", "fi_number", "select either a G.D. or an FI number")])
-    cv, cr = Q.validate(containers, CONTAINER_RULES, keep=["request_id", "container_index"])
+    cv, cr = Q.validate(_complete(containers, CONTAINER_RULES), CONTAINER_RULES, keep=["request_id", "container_index"])
     av, ar = Q.validate(allocations, ALLOCATION_RULES, keep=["request_id", "alloc_index"])
-    rejected = (_rejects(sr, F.concat(F.lit("invalid shipment: "), Q.errors_text()))
-                .unionByName(_rejects(cr, F.concat(F.lit("invalid container: "), Q.errors_text())))
-                .unionByName(_rejects(ar, F.concat(F.lit("invalid allocation: "), Q.errors_text()))))
+    rejected = (_rejects(sr, F.concat(F.lit("invalid shipment: "), Q.errors_text()), 0)
+                .unionByName(_rejects(cr, F.concat(F.lit("invalid container: "), Q.errors_text()), 1))
+                .unionByName(_rejects(ar, F.concat(F.lit("invalid allocation: "), Q.errors_text()), 2))
+                .unionByName(_childless(requests, containers, "a shipment needs a container", 3))
+                .unionByName(_childless(requests, allocations, "a shipment needs an allocation", 4)))
     rejected = cut_lineage(rejected.unionByName(_shipment_structure_rejects(
         _drop(cv, rejected), _drop(av, rejected).select("request_id", "export_order_item_id", "container_index"))))
     return (cut_lineage(_drop(sv, rejected)), cut_lineage(_drop(cv, rejected)), cut_lineage(_drop(av, rejected)),
@@ -214,12 +189,17 @@ def _structure_rows(t: Tables, ids: DataFrame, cv: DataFrame, av: DataFrame):
     return containers, allocations, first
 
 
-HEADER_COLUMNS = ["client_id", "customs_consignee_id", "also_notify_party_id", "shipment_date", "gd_number",
-                  "fi_number", "currency", "container_number", "container_type", "cbm"]
+HEADER_COLUMNS = [r.field for r in SHIPMENT_RULES] + ["container_number", "container_type", "cbm"]
+
+
+def _header_values() -> list:
+    """Shipment columns as stored: blank texts become NULL."""
+    texts = {r.field for r in SHIPMENT_RULES if r.kind == "text"} | {"container_type"}
+    return [blank_to_null(c).alias(c) if c in texts else F.col(c) for c in HEADER_COLUMNS]
 
 
 def ingest_shipments(t: Tables, requests: DataFrame, containers: DataFrame, allocations: DataFrame,
-                     year: int) -> tuple[Tables, DataFrame]:
+                     year: int, created_by=None) -> tuple[Tables, DataFrame]:
     """Validate (incl. G.D./FI exclusivity) -> structure -> admit allocations -> number ->
     header (first container copied) -> containers and allocations with line numbers -> append.
 
@@ -228,7 +208,7 @@ def ingest_shipments(t: Tables, requests: DataFrame, containers: DataFrame, allo
     sv, cv, av, rejected = _validate_shipments(requests, containers, allocations)
     admitted = G.admit_shipments(t, av.join(sv.select("request_id", "client_id"), "request_id"))
     rejected = cut_lineage(rejected.unionByName(
-        _rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason"))))
+        _rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason"), 6)))
     sv = _drop(sv, rejected).withColumn("sequence_year", F.lit(year))
     numbered = G.assign_numbers(sv, t["shipments"], "SHP", order=["request_id"], out="shipment_number")
     numbered = cut_lineage(_new_ids(numbered, t["shipments"], ["request_id"]))
@@ -236,7 +216,7 @@ def ingest_shipments(t: Tables, requests: DataFrame, containers: DataFrame, allo
     new_c, new_a, first = _structure_rows(t, ids, _drop(cv, rejected), _drop(av, rejected))
     header = numbered.join(first, "request_id", "left").select(
         "id", "shipment_number", "sequence_number", "sequence_year", F.lit("draft").alias("status"),
-        *[blank_to_null(c).alias(c) if c in ("gd_number", "fi_number") else F.col(c) for c in HEADER_COLUMNS])
+        F.lit(created_by).cast("bigint").alias("created_by"), *_header_values())
     out = t.replace(shipments=sinks.append(t["shipments"], header),
                     shipment_containers=sinks.append(t["shipment_containers"], new_c),
                     shipment_allocations=sinks.append(t["shipment_allocations"], new_a))
@@ -251,22 +231,24 @@ def apply_shipment_edits(t: Tables, requests: DataFrame, containers: DataFrame,
     s = t["shipments"].select(F.col("id").alias("_sid"), F.col("status").alias("_status"))
     st = requests.select("request_id", "shipment_id").join(s, F.col("shipment_id") == F.col("_sid"), "left")
     rejected = _rejects(st.filter(F.col("_status").isNull() | ~F.col("_status").isin("draft", "ready_to_ship")),
-                        "only draft or ready-to-ship shipments can be edited")
+                        "only draft or ready-to-ship shipments can be edited", -1)
     sv, cv, av, bad = _validate_shipments(_drop(requests, rejected), containers, allocations)
     rejected = rejected.unionByName(bad)
     admitted = G.admit_shipments(t, av.join(sv.select("request_id", "client_id"), "request_id"),
                                  edits=sv.select("request_id", "shipment_id"))
     rejected = cut_lineage(rejected.unionByName(
-        _rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason"))))
+        _rejects(admitted.filter(F.col("outcome") != "accepted"), F.col("reason"), 6)))
     sv = cut_lineage(sinks.one_per_key(_drop(sv, rejected), ["shipment_id"], ["request_id"]))
     ids = sv.select("request_id", "shipment_id")
     cv, av = (x.join(ids.select("request_id"), "request_id", "left_semi") for x in (cv, av))
     new_c, new_a, first = _structure_rows(t, ids, _drop(cv, rejected), _drop(av, rejected))
     patch = sv.join(first, "request_id", "left").select(
-        F.col("shipment_id").alias("id"),
-        *[blank_to_null(c).alias(c) if c in ("gd_number", "fi_number") else F.col(c) for c in HEADER_COLUMNS])
-    cols = [c for c in HEADER_COLUMNS if c in t["shipments"].columns]
-    shipments, _ = sinks.update_by_key(t["shipments"], patch.select("id", *cols), ["id"], cols)
+        F.col("shipment_id").alias("id"), *_header_values())
+    shipments = t["shipments"]
+    for c, kind in patch.dtypes:
+        if c not in shipments.columns:
+            shipments = shipments.withColumn(c, F.lit(None).cast(kind))
+    shipments, _ = sinks.update_by_key(shipments, patch, ["id"], HEADER_COLUMNS)
     replaced = sv.select("shipment_id")
     out = t.replace(shipments=shipments,
                     shipment_containers=sinks.replace_children(t["shipment_containers"], "shipment_id", new_c,
@@ -276,15 +258,20 @@ def apply_shipment_edits(t: Tables, requests: DataFrame, containers: DataFrame,
     return out, _first_reason(rejected)
 
 
+def _taken(rows: DataFrame, key: str, target: DataFrame) -> DataFrame:
+    """Rows whose key exists in the target or belongs to an earlier request of the batch."""
+    first = rows.groupBy(F.col(key).alias("_fk")).agg(F.min("request_id").alias("_first"))
+    known = target.select(F.col(key).alias("_tk")).distinct()
+    j = rows.join(first, rows[key] == first["_fk"]).join(known, rows[key] == known["_tk"], "left")
+    return j.filter(F.col("_tk").isNotNull() | (F.col("request_id") > F.col("_first"))).drop("_fk", "_first", "_tk")
+
+
 def ingest_roles(t: Tables, roles: DataFrame, mapping: DataFrame) -> tuple[Tables, DataFrame]:
     """Roles (request_id, name, description) with permission ids (request_id, permission_id)."""
-    rv, rr = Q.validate(roles, [R("name", "text", min_len=2), R("description", "text", required=False,
-                                                                   nullable=True)], keep=["request_id"])
-    rejected = _rejects(rr, F.concat(F.lit("invalid role: "), Q.errors_text()))
-    dup = Q.unique_violations(rv, ["name"], target=t["roles"])
-    rejected = rejected.unionByName(_rejects(dup, "role name already exists"))
-    rv = _drop(rv, rejected)
-    rv = _new_ids(rv, t["roles"], ["request_id"])
+    rv, rr = Q.validate(_complete(roles, Q.ROLE_RULES), Q.ROLE_RULES, keep=["request_id"])
+    rejected = _rejects(rr, F.concat(F.lit("invalid role: "), Q.errors_text()), 0)
+    rejected = rejected.unionByName(_rejects(_taken(rv, "name", t["roles"]), "role name already exists", 1))
+    rv = _new_ids(_drop(rv, rejected), t["roles"], ["request_id"])
     pairs = mapping.join(rv.select("request_id", F.col("id").alias("role_id")), "request_id") \
         .select("role_id", F.col("permission_id").cast("bigint"))
     out = t.replace(roles=sinks.append(t["roles"], rv.select("id", "name", "description")),
@@ -298,22 +285,50 @@ def replace_role_permissions(t: Tables, mapping: DataFrame, role_ids: DataFrame)
     return t.replace(role_permissions=sinks.replace_children(t["role_permissions"], "role_id", new, role_ids))
 
 
+PRODUCT_COLUMNS = [r.field for r in PRODUCT_RULES] + ["packaging_details"]
+
+
+def _judged_products(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Typed product rows with canonical packaging JSON, and what the rules reject (step 0)."""
+    if "packaging_details" not in rows.columns:
+        rows = rows.withColumn("packaging_details", F.lit(None).cast("string"))
+    errors = packaging_errors(F.col("packaging_details"))
+    pv, pr = Q.validate(_complete(rows, PRODUCT_RULES), PRODUCT_RULES, keep=[*keep, "packaging_details"], extra=errors)
+    texts = {r.field for r in PRODUCT_RULES if r.kind == "text" and r.field != "name"}
+    pv = pv.select(*keep, *[blank_to_null(c).alias(c) if c in texts else F.col(c) for c in PRODUCT_COLUMNS[:-1]],
+                   packaging_json(F.col("packaging_details")).alias("packaging_details"))
+    return pv, _rejects(pr, F.concat(F.lit("invalid product: "), Q.errors_text()), 0)
+
+
 def ingest_products(t: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:
     """Validate, tolerant packaging-JSON parse (re-serialised canonically), unique SKU, append."""
-    pv, pr = Q.validate(rows, PRODUCT_RULES, keep=["request_id", "packaging_details"])
-    rejected = _rejects(pr, F.concat(F.lit("invalid product: "), Q.errors_text()))
-    sku = pv.filter(F.col("sku").isNotNull())
-    dup = Q.unique_violations(sku, ["sku"], target=t["products"].filter(F.col("sku").isNotNull()))
-    rejected = rejected.unionByName(_rejects(dup, "sku already exists"))
-    pv = _drop(pv, rejected)
-    pk = parse_packaging(F.col("packaging_details"))
-    pv = pv.withColumn("packaging_details", F.to_json(F.struct(
-        pk["pieces_per_pack"].cast("double").alias("pieces_per_pack"),
-        pk["packs_per_carton"].cast("double").alias("packs_per_carton"))))
-    pv = _new_ids(pv, t["products"], ["request_id"]).withColumn("is_active", F.lit(True))
+    pv, rejected = _judged_products(rows, ["request_id"])
+    rejected = rejected.unionByName(_rejects(_taken(pv.filter("sku is not null"), "sku", t["products"]), "sku already exists", 1))
+    pv = _new_ids(_drop(pv, rejected), t["products"], ["request_id"]).withColumn("is_active", F.lit(True))
     return t.replace(products=sinks.append(t["products"], pv.drop("request_id"))), _first_reason(rejected)
 
 
+def apply_product_edits(t: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:
+    """I6 (update form): rows carry product_id; every field is replaced.  A SKU of another product is
+    refused, as is an unknown product; of several accepted edits of one product the last one stands."""
+    pv, rejected = _judged_products(rows, ["request_id", "product_id"])
+    p = t["products"].select(F.col("id").alias("_pid"))
+    unknown = pv.join(p, pv["product_id"] == p["_pid"], "left_anti")
+    rejected = rejected.unionByName(_rejects(unknown, "product not found", 1))
+    owners = t["products"].filter("sku is not null").select(F.col("sku").alias("_sku"), F.col("id").alias("_owner"))
+    asked = _drop(pv, rejected)
+    clash = asked.join(owners, (asked["sku"] == owners["_sku"]) & (asked["product_id"] != owners["_owner"]), "left_semi")
+    first = asked.filter("sku is not null").groupBy(F.col("sku").alias("_fs")).agg(F.min_by("product_id", "request_id").alias("_winner"))
+    later = asked.join(first, (asked["sku"] == first["_fs"]) & (asked["product_id"] != first["_winner"]), "left_semi")
+    rejected = rejected.unionByName(_rejects(clash.unionByName(later), "sku already exists", 2))
+    products = t["products"]
+    for c, kind in pv.dtypes:
+        if c in PRODUCT_COLUMNS and c not in products.columns:
+            products = products.withColumn(c, F.lit(None).cast(kind))
+    patch = _drop(pv, rejected).withColumnRenamed("product_id", "id")
+    products, _ = sinks.update_by_key(products, patch, ["id"], PRODUCT_COLUMNS, order=["request_id"])
+    return t.replace(products=products), _first_reason(rejected)
+
 
 GATE_PASS_COLUMNS = ["clearing_agent_id", "transporter_name", "transporter_contact", "transporter_phone",
                      "truck_number", "driver_name", "driver_phone", "loading_address", "delivery_address",
@@ -325,7 +340,7 @@ def apply_gate_pass(t: Tables, patches: DataFrame, target: str = "export_orders"
 
     Blank texts are stored as NULL and seal numbers as a JSON list.  Shipments accept the update
     only while not shipped/completed/cancelled; unknown ids and blocked rows come back rejected."""
-    pv, pr = Q.validate(patches, Q.GATE_PASS_RULES, keep=["request_id", "id", "seal_numbers"])
+    pv, pr = Q.validate(_complete(patches, Q.GATE_PASS_RULES), Q.GATE_PASS_RULES, keep=["request_id", "id", "seal_numbers"])
     rejected = _rejects(pr, F.concat(F.lit("invalid gate pass: "), Q.errors_text()))
     pv = _drop(pv, rejected)
     patch = pv.select("request_id", "id", "clearing_agent_id",
@@ -338,7 +353,7 @@ def apply_gate_pass(t: Tables, patches: DataFrame, target: str = "export_orders"
     where = None
     if target == "shipments":
         where = ~F.col("status").isin("shipped", "completed", "cancelled")
-    updated, missing = sinks.update_by_key(table, patch.drop("request_id"), ["id"], GATE_PASS_COLUMNS, where=where)
+    updated, missing = sinks.update_by_key(table, patch, ["id"], GATE_PASS_COLUMNS, where=where, order=["request_id"])
     rejected = rejected.unionByName(
-        _rejects(patch.join(missing.select("id"), "id", "left_semi"), "not found or cannot be edited"))
+        _rejects(patch.join(missing.select("id"), "id", "left_semi"), "not found or cannot be edited", 1))
     return t.replace(**{target: updated}), _first_reason(rejected)

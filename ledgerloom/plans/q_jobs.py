@@ -18,31 +18,26 @@ def _t(x: str) -> str:
     return TRIM.format(x=x)
 
 
-_NUM = "CASE WHEN {x} IS NULL OR {t} = '' THEN 0.0 ELSE TRY_CAST({t} AS DOUBLE) END"
+def _num(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR {_t(x)} = '' THEN CAST(0 AS DECIMAL(38,10)) ELSE TRY_CAST({_t(x)} AS DECIMAL(38,10)) END"
 
 
-def _num(x: str) -> str:
-    return _NUM.format(x=x, t=_t(x))
+_DAY = "regexp_matches(payment_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(payment_date AS DATE) IS NOT NULL"
 
 
 @register("validate_payments", with_ctes(
-    f"""SELECT request_id,
-      CASE WHEN order_id IS NULL OR {_t('order_id')} = '' THEN 0 ELSE TRY_CAST({_t('order_id')} AS BIGINT) END AS order_id,
-      {D(f"CASE WHEN amount IS NULL OR {_t('amount')} = '' THEN CAST(0 AS DECIMAL(14,2)) ELSE TRY_CAST({_t('amount')} AS DECIMAL(14,2)) END")} AS amount,
-      CASE WHEN regexp_matches({_t('payment_date')}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')
-        AND TRY_CAST({_t('payment_date')} AS DATE) IS NOT NULL THEN TRY_CAST({_t('payment_date')} AS DATE) END AS payment_date,
-      NULLIF({_t('reference_number')}, '') AS reference_number,
-      errors = '' AS is_valid, errors
+    f"""SELECT request_id, TRY_CAST(n_order AS BIGINT) AS order_id, {D('TRY_CAST(n_amount AS DECIMAL(14,2))')} AS amount,
+      CASE WHEN {_DAY} THEN TRY_CAST(payment_date AS DATE) END AS payment_date,
+      NULLIF({_t('reference_number')}, '') AS reference_number, errors = '' AS is_valid, errors
     FROM (SELECT *, concat_ws(';',
-        CASE WHEN n_order IS NULL OR isnan(n_order) THEN 'order_id:not a number' END,
-        CASE WHEN n_order IS NOT NULL AND NOT isnan(n_order) AND n_order <> floor(n_order) THEN 'order_id:not an integer' END,
-        CASE WHEN n_order IS NOT NULL AND NOT isnan(n_order) AND n_order <= 0 THEN 'order_id:must be positive' END,
-        CASE WHEN n_amount IS NULL OR isnan(n_amount) THEN 'amount:not a number' END,
-        CASE WHEN n_amount IS NOT NULL AND NOT isnan(n_amount) AND n_amount <= 0 THEN 'amount:must be positive' END,
-        CASE WHEN n_amount IS NOT NULL AND NOT isnan(n_amount) AND n_amount > 999999999999.99 THEN 'amount:above 1e+12' END,
-        CASE WHEN payment_date IS NULL OR {_t('payment_date')} = ''
-          OR NOT regexp_matches({_t('payment_date')}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')
-          OR TRY_CAST({_t('payment_date')} AS DATE) IS NULL THEN 'payment_date:invalid date' END,
+        CASE WHEN n_order IS NULL THEN 'order_id:not a number' END,
+        CASE WHEN n_order <> floor(n_order) THEN 'order_id:not an integer' END,
+        CASE WHEN n_order IS NOT NULL AND TRY_CAST(n_order AS BIGINT) IS NULL THEN 'order_id:out of range' END,
+        CASE WHEN n_order <= 0 THEN 'order_id:must be positive' END,
+        CASE WHEN n_amount IS NULL THEN 'amount:not a number' END,
+        CASE WHEN COALESCE(CAST(TRY_CAST(n_amount AS DECIMAL(14,2)) AS DECIMAL(38,10)), n_amount) <= 0 THEN 'amount:must be positive' END,
+        CASE WHEN n_amount > 999999999999.99 THEN 'amount:above 1e+12' END,
+        CASE WHEN NOT COALESCE({_DAY}, FALSE) THEN 'payment_date:invalid date' END,
         CASE WHEN length({_t('reference_number')}) > 120 THEN 'reference_number:longer than 120' END) AS errors
       FROM (SELECT *, {_num('order_id')} AS n_order, {_num('amount')} AS n_amount FROM raw_payments) r0) r"""))
 def q_validate_payments(t):

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 # Enum domains of the ledger.
 ORDER_STATUSES = ["draft", "confirmed", "in_production", "ready_to_ship", "shipped", "completed", "cancelled"]
 SHIPMENT_STATUSES = ["draft", "ready_to_ship", "shipped", "completed", "cancelled"]
-PARTY_TYPES = ["client", "customs_consignee", "clearing_agent", "notify_party"]
+PARTY_TYPES = ["client", "customs_consignee", "notify_party", "clearing_agent"]
 PACKAGE_TYPES = ["Jar", "Pouch", "Box"]
 DOCUMENT_ACTIONS = ["previewed", "printed", "downloaded"]
 ORDER_DOCUMENT_TYPES = [
@@ -18,7 +18,11 @@ SHIPMENT_DOCUMENT_TYPES = ORDER_DOCUMENT_TYPES[1:]
 
 _TS = "created_at timestamp, updated_at timestamp"
 
+# Stored columns and their types.
 _DDL = {
+    "company_settings": "id tinyint, company_name string, tagline string, address string, phone string, email string, "
+                        "website string, bank_details string, default_sale_terms string, invoice_prefix string, "
+                        "updated_at timestamp",
     "permissions": "id bigint, permission_key string, module_name string, action_name string, description string",
     "roles": f"id bigint, name string, description string, is_system boolean, {_TS}",
     "role_permissions": "role_id bigint, permission_id bigint",
@@ -41,7 +45,12 @@ _DDL = {
                      "contract_date date, valid_until date, sales_contract_number string, payment_term string, "
                      "advance_percentage decimal(5,2), freight_amount decimal(14,2), currency string, "
                      "port_of_loading string, port_of_destination string, final_destination string, "
-                     "clearing_agent_id bigint, seal_numbers array<string>, notes string, "
+                     "shipping_type string, shipped_per string, vessel_name string, voyage_number string, bl_number string, "
+                     "bl_date date, container_number string, container_type string, cbm decimal(12,3), "
+                     "freight_term string, truck_number string, driver_name string, driver_phone string, "
+                     "clearing_agent_id bigint, transporter_name string, transporter_contact string, "
+                     "transporter_phone string, loading_address string, delivery_address string, "
+                     "seal_numbers string, customer_instructions string, shipping_instructions string, notes string, "
                      f"confirmed_at timestamp, {_TS}",
     "export_order_items": "id bigint, export_order_id bigint, product_id bigint, line_number int, carton_start int, "
                           "carton_end int, quantity decimal(12,3), quantity_unit string, units_per_carton decimal(12,3), "
@@ -50,11 +59,17 @@ _DDL = {
                           f"is_sample boolean, description_override string, {_TS}",
     "shipments": "id bigint, shipment_number string, sequence_number int, sequence_year int, client_id bigint, "
                  "customs_consignee_id bigint, also_notify_party_id bigint, created_by bigint, status string, "
-                 "shipment_date date, gd_number string, fi_number string, currency string, "
-                 "clearing_agent_id bigint, cbm decimal(12,3), seal_numbers array<string>, notes string, "
-                 f"container_number string, container_type string, {_TS}",
+                 "shipment_date date, gd_number string, fi_number string, currency string, port_of_loading string, "
+                 "port_of_destination string, final_destination string, "
+                 "shipping_type string, shipped_per string, vessel_name string, voyage_number string, bl_number string, "
+                 "bl_date date, container_number string, container_type string, cbm decimal(12,3), "
+                 "freight_term string, truck_number string, driver_name string, driver_phone string, "
+                 "clearing_agent_id bigint, transporter_name string, transporter_contact string, "
+                 "transporter_phone string, loading_address string, delivery_address string, "
+                 "seal_numbers string, shipping_instructions string, notes string, "
+                 f"{_TS}",
     "shipment_containers": "id bigint, shipment_id bigint, line_number int, container_number string, "
-                           f"container_type string, cbm decimal(12,3), seal_numbers array<string>, {_TS}",
+                           f"container_type string, cbm decimal(12,3), seal_numbers string, {_TS}",
     "shipment_allocations": "id bigint, shipment_id bigint, shipment_container_id bigint, "
                             "export_order_item_id bigint, line_number int, quantity decimal(12,3), created_at timestamp",
     "order_payments": "id bigint, export_order_id bigint, amount decimal(14,2), payment_date date, "

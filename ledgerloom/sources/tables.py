@@ -119,9 +119,14 @@ def load_jdbc_table(spark: SparkSession, url: str, table: str, name: str, partit
     return conform(df, schemas.SCHEMAS[name]) if name in schemas.SCHEMAS else df
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """S3: project onto a target schema; missing columns become typed NULLs, extra columns drop."""
+def conform(df: DataFrame, schema: T.StructType, drop: Iterable[str] = ()) -> DataFrame:
+    """S3: project onto a target schema; missing columns become typed NULLs.
+
+    Columns that the schema does not declare raise, unless they are named in ``drop``."""
     present = {c.lower(): c for c in df.columns}
+    extra = set(present) - {f.name.lower() for f in schema.fields} - {c.lower() for c in drop}
+    if extra:
+        raise ValueError(f"columns outside the schema: {sorted(extra)}")
     cols = []
     for field in schema.fields:
         src = present.get(field.name.lower())

@@ -21,7 +21,9 @@ ITM = ("request_id long, item_index int, product_id string, quantity string, qua
 def test_ingest_orders(spark):
     t = ledger(spark, [order(1, year=2024, seq=7)], [item(1, 1, "1", "1")])
     headers = spark.createDataFrame([
-        (1, "1", "100", "1", "2024-03-01", "", "  ", "25", None),     # ok
+        (1, "1", "100", "1", "2024-03-01", None, "  ", "25", None),   # ok
+        (6, "1", "100", "1", "2024-03-01", "", None, "25", None),     # a blank date is no date
+        (7, "1", "100", "1", "2024-03-01", None, None, "25", None),   # no line
         (2, "1", "100", "2", "2024-03-02", None, None, "0", "EUR"),   # inactive bank account
         (3, "1", "100", "1", "2024-02-30", None, None, "0", "USD"),   # bad date
         (4, "1", "100", "1", "2024-03-04", None, "SC-1", "0", "USD"),  # inactive product on a line
@@ -30,14 +32,15 @@ def test_ingest_orders(spark):
     items = spark.createDataFrame([
         (1, 0, "1", "2.5", None, "1", "1.2", "10", "0.5", False), (1, 1, "1", "3", None, "1", "1.2", "10", "0.5", True),
         (2, 0, "1", "1", None, "1", "1", "1", "1", False), (3, 0, "1", "1", None, "1", "1", "1", "1", False),
-        (4, 0, "2", "1", None, "1", "1", "1", "1", False), (5, 0, "1", "4", None, "1", "1", "1", "1", False),
+        (4, 0, "2", "1", None, "1", "1", "1", "1", False),
+        (6, 0, "1", "4", None, "1", "1", "1", "1", False), (5, 0, "1", "4", None, "1", "1", "1", "1", False),
     ], ITM)
     prods = [(1, "S1", "P1", "d", "h", "Jar", Dm("6"), Dm("1"), None, Dm("1"), Dm("1"), True),
              (2, "S2", "P2", "d", "h", "Jar", Dm("6"), Dm("1"), None, Dm("1"), Dm("1"), False)]
     t = t.replace(products=spark.createDataFrame(prods, t["products"].schema))
     out, rejected = I.ingest_orders(t, headers, items, "EXP", 2024)
     rej = {r["request_id"]: r["reason"] for r in rejected.collect()}
-    assert set(rej) == {2, 3, 4}
+    assert set(rej) == {2, 3, 4, 6, 7} and rej[7] == "a contract needs a line" and "valid_until" in rej[6]
     assert rej[2] == "select an active bank account" and rej[4] == "product inactive"
     new = {r["id"]: r for r in out["export_orders"].filter("id > 1").collect()}
     assert [new[k]["invoice_number"] for k in sorted(new)] == ["EXP-008/2024", "EXP-009/2024"]
@@ -111,7 +114,55 @@ def test_roles_and_products(spark):
     pout, prej = I.ingest_products(t, rows)
     assert {r["request_id"] for r in prej.collect()} == {2, 3, 4}
     new = pout["products"].filter("name = 'Chili Jar'").collect()[0]
-    assert new["packaging_details"] == '{"pieces_per_pack":0.0,"packs_per_carton":0.0}' and new["id"] == 2
+    assert new["packaging_details"] == '{"pieces_per_pack":0,"packs_per_carton":0}' and new["id"] == 2
+
+
+def test_first_name_and_sku_win_and_products_update(spark):
+    t = ledger(spark, [order(1)])
+    roles = spark.createDataFrame([(2, "Auditor", None), (1, "Auditor", "first"), (3, "Clerk", None)], "request_id long, name string, description string")
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (2, 5)], "request_id long, permission_id long")
+    out, rej = I.ingest_roles(t, roles, pairs)
+    assert [r["request_id"] for r in rej.collect()] == [2]
+    assert out["roles"].filter("name = 'Auditor'").collect()[0]["description"] == "first"
+    assert out["role_permissions"].filter("role_id = 6").count() == 1
+    base = ("Jar", "6", "12", "1", "1.2", "3")
+    schema = ("request_id long, product_id long, sku string, name string, packaging_details string, description string, package_type string, "
+              "units_per_carton string, pieces_per_unit string, net_weight_per_carton string, gross_weight_per_carton string, default_client_price string")
+    new = spark.createDataFrame([(1, None, "N1", "First", '{"pieces_per_pack": -5}', "d", *base), (2, None, "N1", "Second", '{"pieces_per_pack": "abc"}', "d", *base),
+                                 (3, None, "N1", "Third", '{"pieces_per_pack": "10", "packs_per_carton": 2.5}', "kept", *base),
+                                 (4, None, "N1", "Fourth", None, "d", *base)], schema)
+    made, rej = I.ingest_products(t, new.drop("product_id"))
+    assert {r["request_id"] for r in rej.collect()} == {1, 2, 4}
+    third = made["products"].filter("sku = 'N1'").collect()[0]
+    assert third["packaging_details"] == '{"pieces_per_pack":10,"packs_per_carton":2.5}' and third["description"] == "kept"
+    edits = spark.createDataFrame([(1, 2, "SKU-1", "Clash", None, "d", *base), (2, 2, "N2", "Mine", None, "d", *base), (3, 99, "N3", "None", None, "d", *base),
+                                   (4, 2, "N2", "Mine again", None, "d", *base)], schema)
+    done, rej = I.apply_product_edits(made, edits)
+    assert {r["request_id"]: r["reason"] for r in rej.collect()} == {1: "sku already exists", 3: "product not found"}
+    assert done["products"].filter("id = 2").collect()[0]["name"] == "Mine again" and done["products"].count() == 2
+
+
+def test_contract_fields_survive_and_an_edit_cannot_empty_it(spark):
+    t = ledger(spark, [order(1)], [item(1, 1, "1", "10")])
+    header = spark.createDataFrame([(1, "1", "100", "1", "2024-03-01", "0", "USD", "CIF", "12.5", "Karachi", "Hamburg", "  ")],
+                                   "request_id long, client_id string, customs_consignee_id string, bank_account_id string, contract_date string, "
+                                   "advance_percentage string, currency string, payment_term string, freight_amount string, port_of_loading string, "
+                                   "port_of_destination string, notes string")
+    line = spark.createDataFrame([(1, 0, "1", "2", None, "1", "1", "1", "1", False, "Special")], ITM + ", description_override string")
+    out, rej = I.ingest_orders(t, header, line, "EXP", 2024, created_by=7)
+    assert rej.count() == 0
+    row = out["export_orders"].filter("created_by = 7").collect()[0]
+    assert (row["payment_term"], row["freight_amount"], row["port_of_loading"], row["port_of_destination"], row["notes"]) == (
+        "CIF", Dm("12.50"), "Karachi", "Hamburg", None)
+    assert out["export_order_items"].filter("description_override = 'Special'").count() == 1
+    edits = header.select("*", F.lit(1).cast("long").alias("order_id"))
+    edits = edits.unionByName(edits.withColumn("request_id", F.lit(2).cast("long")))
+    two = line.unionByName(line.withColumn("request_id", F.lit(2).cast("long")).withColumn("quantity", F.lit("9")))
+    same, rej = I.apply_order_edits(t, edits, two.limit(0))
+    assert {r["reason"] for r in rej.collect()} == {"a contract needs a line"} and same["export_order_items"].count() == 1
+    done, rej = I.apply_order_edits(t, edits, two)
+    assert rej.count() == 0 and done["export_orders"].count() == 1
+    assert [r["quantity"] for r in done["export_order_items"].collect()] == [Dm("9")]
 
 
 def test_payment_stream_matches_batch(spark):
