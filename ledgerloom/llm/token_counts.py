@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.columns import pick
+from ledgerloom.session import cut_lineage
 
 RANGE_BITS = 12
 
@@ -29,6 +30,7 @@ def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     truncated_tokens (all documents cut at L), total_docs, total_tokens.
     """
     counts = pick(lengths, {column: "long"}).groupBy(F.col(column).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = cut_lineage(counts)  # one row per distinct length: the texts are encoded once
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("range", F.shiftright("n_tokens", RANGE_BITS))
     ranges = counts.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
