@@ -92,6 +92,12 @@ FKS = [
     ("items.product", "export_order_items", "product_id", "products", False),
     ("payments.order", "order_payments", "export_order_id", "export_orders", False),
     ("payments.user", "order_payments", "created_by", "users", True),
+    ("shipments.client", "shipments", "client_id", "parties", False),
+    ("shipments.clearing_agent", "shipments", "clearing_agent_id", "parties", True),
+    ("containers.shipment", "shipment_containers", "shipment_id", "shipments", False),
+    ("allocations.shipment", "shipment_allocations", "shipment_id", "shipments", False),
+    ("document_events.user", "document_events", "user_id", "users", False),
+    ("document_events.order", "document_events", "target_id", "export_orders", False),
     ("shipments.consignee", "shipments", "customs_consignee_id", "parties", False),
     ("shipments.notify", "shipments", "also_notify_party_id", "parties", True),
     ("allocations.container", "shipment_allocations", "shipment_container_id", "shipment_containers", True),
@@ -207,12 +213,164 @@ def q_admit_payments(t):
     return G.admit_payments(t, req, include_existing=False)
 
 
-@register("admit_shipments")
+# Edits of draft and ready shipments: more of their own lines, a share of the neighbouring shipment's
+# lines, then less of their own again.
+SHIPMENT_EDITS = """
+SELECT s.id * 10 AS request_id, s.id AS shipment_id, s.client_id, a.export_order_item_id,
+  CAST(a.quantity * 1.6 AS decimal(12,3)) AS quantity
+FROM {shipments} s JOIN {shipment_allocations} a ON a.shipment_id = s.id WHERE s.status IN ('draft', 'ready_to_ship')
+UNION ALL
+SELECT s.id * 10 + 1, s.id, s.client_id, a.export_order_item_id, CAST(a.quantity * 0.7 AS decimal(12,3))
+FROM {shipments} s JOIN {shipment_allocations} a ON a.shipment_id = s.id + 1 AND s.id % 100 < 99
+WHERE s.status IN ('draft', 'ready_to_ship')
+UNION ALL
+SELECT s.id * 10 + 2, s.id, s.client_id, a.export_order_item_id, CAST(a.quantity * 0.5 AS decimal(12,3))
+FROM {shipments} s JOIN {shipment_allocations} a ON a.shipment_id = s.id WHERE s.status IN ('draft', 'ready_to_ship')"""
+
+
+def _replay_sql(asked: str) -> str:
+    """The requests of ``asked`` (request_id, client_id, ship, line, need) replayed one by one per client.
+
+    The state is what has been taken of each line beyond its start (``used``) and what each shipment
+    holds now (``held``); a request sees its own shipment's holding as free."""
+    steps = {
+        "asked": asked,
+        "start_room": """SELECT i.id AS line, o.client_id AS owner, o.status,
+            i.quantity - COALESCE((SELECT SUM(sa.quantity) FROM shipment_allocations sa JOIN shipments s ON s.id = sa.shipment_id
+              WHERE sa.export_order_item_id = i.id AND s.status <> 'cancelled'), 0) AS room
+            FROM export_order_items i JOIN export_orders o ON o.id = i.export_order_id""",
+        "own_lines": """SELECT ship, line, SUM(q) AS own FROM (
+              SELECT DISTINCT ship, line, 0 AS q FROM asked WHERE ship IS NOT NULL
+              UNION ALL SELECT shipment_id, export_order_item_id, quantity FROM shipment_allocations) GROUP BY ship, line""",
+        "wanted": """SELECT r.request_id, r.client_id, r.ship, o.line, COALESCE(n.need, 0) AS need, n.need IS NOT NULL AS is_asked, o.own
+            FROM (SELECT DISTINCT request_id, client_id, ship FROM asked WHERE ship IS NOT NULL) r JOIN own_lines o ON o.ship = r.ship
+            LEFT JOIN (SELECT request_id, line, SUM(need) AS need FROM asked GROUP BY 1, 2) n ON n.request_id = r.request_id AND n.line = o.line
+            UNION ALL
+            SELECT request_id, client_id, NULL, line, SUM(need), TRUE, 0 FROM asked WHERE ship IS NULL GROUP BY 1, 2, 4""",
+        "turns": """SELECT w.request_id, w.client_id, row_number() OVER (PARTITION BY w.client_id ORDER BY w.request_id) AS turn,
+              bool_or(is_asked AND l.line IS NULL) AS missing,
+              list({'line': w.line, 'tag': COALESCE(CAST(w.ship AS VARCHAR), 'new') || ':' || CAST(w.line AS VARCHAR), 'need': CAST(w.need AS DECIMAL(22,3)),
+                'own': CAST(w.own AS DECIMAL(22,3)), 'room': CAST(l.room AS DECIMAL(22,3)), 'edit': w.ship IS NOT NULL,
+                'fault': CASE WHEN NOT w.is_asked THEN NULL WHEN l.owner <> w.client_id THEN 'foreign client' WHEN l.status = 'cancelled' THEN 'cancelled contract' END}
+                ORDER BY w.line) AS wants
+            FROM wanted w LEFT JOIN start_room l ON l.line = w.line GROUP BY w.request_id, w.client_id""",
+        "play": """SELECT client_id, CAST(0 AS BIGINT) AS turn, MAP {CAST(-1 AS BIGINT): CAST(0 AS DECIMAL(22,3))} AS used,
+              MAP {'': CAST(0 AS DECIMAL(22,3))} AS held, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS reason
+            FROM (SELECT DISTINCT client_id FROM turns)
+            UNION ALL
+            SELECT client_id, turn,
+              CASE WHEN reason IS NULL THEN map_concat(used, map_from_entries(list_transform(wants, lambda w: {'k': w.line,
+                'v': CAST(COALESCE(used[w.line], 0) + w.need - CASE WHEN w.edit THEN COALESCE(held[w.tag], w.own) ELSE 0 END AS DECIMAL(22,3))}))) ELSE used END,
+              CASE WHEN reason IS NULL THEN map_concat(held, map_from_entries(list_transform(list_filter(wants, lambda w: w.edit),
+                lambda w: {'k': w.tag, 'v': w.need}))) ELSE held END,
+              request_id, reason
+            FROM (SELECT q.*, p.used, p.held, CASE WHEN q.missing THEN 'missing line' ELSE list_filter(list_transform(q.wants, lambda w:
+                CASE WHEN w.fault IS NOT NULL THEN w.fault
+                  WHEN w.need > 0 AND w.need > w.room - COALESCE(p.used[w.line], 0) + CASE WHEN w.edit THEN COALESCE(p.held[w.tag], w.own) ELSE 0 END + 0.0001 THEN 'short' END),
+                lambda x: x IS NOT NULL)[1] END AS reason
+              FROM play p JOIN turns q ON q.client_id = p.client_id AND q.turn = p.turn + 1) step""",
+    }
+    return with_ctes("SELECT request_id, client_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, reason "
+                     "FROM play WHERE turn > 0", extra=steps).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("admit_shipments", _replay_sql(
+    "SELECT request_id, client_id, CAST(NULL AS BIGINT) AS ship, export_order_item_id AS line, quantity AS need FROM shipment_requests"))
 def q_admit_shipments(t):
-    """Allocation requests admitted all-or-nothing in request order per client (rows-only check)."""
+    """G3 (and A28): allocation requests admitted all-or-nothing in request order."""
     return G.admit_shipments(t, t["shipment_requests"])
 
 
+@register("shipment_edits", _replay_sql(
+    "SELECT request_id, client_id, shipment_id AS ship, export_order_item_id AS line, quantity AS need FROM ("
+    + SHIPMENT_EDITS.format(shipments="shipments", shipment_allocations="shipment_allocations") + ") e"))
+def q_shipment_edits(t):
+    """I4 admission: edits in request order, each with its own shipment's quantities free for itself."""
+    spark = t["shipments"].sparkSession
+    edits = spark.sql(SHIPMENT_EDITS, shipments=t["shipments"], shipment_allocations=t["shipment_allocations"])
+    return G.admit_shipments(t, edits, edits=edits.select("request_id", "shipment_id").distinct())
+
+
+_SEQUENCE = "CASE {k} WHEN 0 THEN 'confirmed' WHEN 1 THEN CASE WHEN {i} % 3 = 0 THEN 'cancelled' ELSE 'in_production' END WHEN 2 THEN 'draft' ELSE 'cancelled' END"
+
+
+@register("order_status_sequence", with_ctes(
+    f"""SELECT o.id * 4 + k.k AS request_id, o.id AS order_id, s.status AS requested_status, o.status AS current_status,
+      CASE WHEN was = 'cancelled' THEN s.status = 'cancelled' WHEN s.status = 'cancelled' THEN NOT bound ELSE TRUE END AS accepted,
+      CASE WHEN was = 'cancelled' THEN 'cancelled' WHEN s.status = 'cancelled' AND bound THEN held ELSE s.status END AS new_status
+    FROM (SELECT o.id, o.status,
+        EXISTS (SELECT 1 FROM shipment_allocations sa JOIN export_order_items i ON i.id = sa.export_order_item_id
+          JOIN shipments sh ON sh.id = sa.shipment_id WHERE i.export_order_id = o.id AND sh.status <> 'cancelled')
+        OR EXISTS (SELECT 1 FROM order_payments p WHERE p.export_order_id = o.id) AS bound FROM export_orders o) o
+    CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) k
+    CROSS JOIN LATERAL (SELECT {_SEQUENCE.format(k='k.k', i='o.id')} AS status) s
+    CROSS JOIN LATERAL (SELECT CASE WHEN o.status = 'cancelled' OR (NOT bound AND k.k > 1 AND o.id % 3 = 0) THEN 'cancelled' END AS was,
+      CASE WHEN k.k = 0 THEN o.status WHEN k.k = 1 THEN 'confirmed' WHEN o.id % 3 = 0 AND k.k = 2 THEN 'confirmed' WHEN k.k = 2 THEN 'in_production'
+        ELSE 'draft' END AS held) w"""))
+def q_order_status_sequence(t):
+    """Four requests per order in a row; cancelled is terminal inside the batch."""
+    o = t["export_orders"].select(F.col("id").alias("order_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    req = o.select((F.col("order_id") * 4 + F.col("k")).alias("request_id"), "order_id", F.expr(_SEQUENCE.format(k="k", i="order_id")).alias("status"))
+    return G.apply_order_status(t, req, f"{AS_OF} 00:00:00").select(
+        "request_id", "order_id", "requested_status", "current_status", "accepted", "new_status")
+
+
+@register("insert_absent", with_ctes(
+    """SELECT id, name FROM parties WHERE id % 4 <> 0
+    UNION ALL
+    SELECT p.id, MIN(concat(p.name, ' ', CAST(k.k AS VARCHAR))) FROM parties p CROSS JOIN (SELECT unnest([1, 2]) AS k) k
+    WHERE p.id % 4 = 0 GROUP BY p.id"""))
+def q_insert_absent(t):
+    """Every party offered twice to a table that lacks a quarter of them; the first offer is inserted."""
+    p = t["parties"].select("id", "name")
+    offers = p.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).select("id", F.concat("name", F.lit(" "), F.col("k").cast("string")).alias("name"))
+    return sinks.insert_absent(p.filter(F.col("id") % 4 != 0), offers, ["id"], order=["name"])
+
+
+@register("update_orders", with_ctes(
+    f"""SELECT id, CASE WHEN id % 3 = 0 AND status <> 'cancelled' THEN 'EUR' ELSE currency END AS currency,
+      {D("CASE WHEN id % 3 = 0 AND status <> 'cancelled' THEN 20 ELSE advance_percentage END")} AS advance_percentage
+    FROM export_orders"""))
+def q_update_orders(t):
+    """Two patches for every third order; the later one stands, cancelled orders refuse both."""
+    o = t["export_orders"].select("id", "currency", "advance_percentage", "status")
+    patch = (o.filter(F.col("id") % 3 == 0).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+             .select("id", "n", F.when(F.col("n") == 1, "GBP").otherwise("EUR").alias("currency"),
+                     (F.col("n") * 10).cast("decimal(5,2)").alias("advance_percentage")))
+    out, _ = sinks.update_by_key(o, patch, ["id"], ["currency", "advance_percentage"], where=F.col("status") != "cancelled", order=["n"])
+    return out.select("id", "currency", "advance_percentage")
+
+
+@register("replace_children", with_ctes(
+    f"""SELECT id, export_order_id, {D('quantity')} AS quantity FROM export_order_items WHERE export_order_id % 5 <> 0
+    UNION ALL
+    SELECT id + 1000000000000, export_order_id, {D('quantity * 2')} FROM export_order_items WHERE export_order_id % 5 = 0 AND line_number = 1
+      AND export_order_id % 10 = 0"""))
+def q_replace_children(t):
+    """The lines of every fifth order are replaced, half of them by nothing."""
+    i = t["export_order_items"].select("id", "export_order_id", "line_number", "quantity")
+    new = (i.filter((F.col("export_order_id") % 10 == 0) & (F.col("line_number") == 1))
+           .select((F.col("id") + 1000000000000).alias("id"), "export_order_id", "line_number", (F.col("quantity") * 2).cast("decimal(13,3)").alias("quantity")))
+    gone = t["export_orders"].filter(F.col("id") % 5 == 0).select("id")
+    return sinks.replace_children(i, "export_order_id", new, gone).select("id", "export_order_id", "quantity")
+
+
+@register("requested_per_line", with_ctes(
+    f"SELECT request_id, export_order_item_id, {D('SUM(quantity)')} AS requested FROM shipment_requests GROUP BY 1, 2"))
+def q_requested_per_line(t):
+    """Requested quantity per request and line, over all containers."""
+    return G.requested_per_line(t["shipment_requests"])
+
+
+@register("revised_totals", with_ctes(
+    f"""SELECT export_order_id AS request_id, {D('CAST(SUM(CASE WHEN is_sample THEN 0 ELSE quantity * client_price_per_carton END) AS DECIMAL(24,7))')} AS revised_total
+    FROM export_order_items WHERE line_number <= 3 GROUP BY 1"""))
+def q_revised_totals(t):
+    """Order totals of proposed item sets (the first three lines of every order)."""
+    i = t["export_order_items"].filter(F.col("line_number") <= 3)
+    return G.revised_totals(i.select(F.col("export_order_id").alias("request_id"), "quantity", "client_price_per_carton", "is_sample"))
+
+
 _STATUS_REQ = "CASE id % 3 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'confirmed' ELSE 'draft' END"
 
 
