@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import MONEY_SUM, TOTAL, money_eps, percent_of
 
 HEADER = ["id", "client_id", "invoice_number", "contract_date", "valid_until", "status", "currency",
-          "advance_percentage"]
+          "advance_percentage", "port_of_destination", "final_destination"]
 
 
 def line_value() -> Column:

@@ -188,7 +188,7 @@ def ledger_payments(t, client_id: int | None = None) -> DataFrame:
     j = _payments_enriched(t)
     if client_id is not None:
         j = j.filter(F.col("client_id") == F.lit(client_id))
-    out = j.select("id", "client_id", "order_id", "amount", "payment_date", "reference_number", "recorded_by")
+    out = j.select("id", "client_id", "order_id", "amount", "payment_date", "reference_number", "notes", "recorded_by")
     return sort_if(out, client_id is not None, F.col("payment_date").desc(), F.col("id").desc())
 
 
@@ -261,7 +261,7 @@ def payment_history(t, f: Filters | None = None, balances: DataFrame | None = No
                    "payment_date", "client_id", "client_name", "order_id", "invoice_number", "status",
                    "currency", F.lit("later_receipt").alias("payment_type"),
                    F.col("amount").cast(MONEY_SUM).alias("amount"), "reference_number",
-                   F.lit(None).cast("string").alias("notes"), "recorded_by"))
+                   "notes", "recorded_by"))
     hist = adv.unionByName(pay)
     return sort_if(payment_filter(hist, f), ordered, F.col("payment_date").desc(), F.col("id").desc())
 

@@ -53,7 +53,7 @@ def statement_transactions(t, balances: DataFrame | None = None) -> DataFrame:
             .select(F.col("r.id").alias("id"), "date", F.col("r.sort_order").alias("sort_order"), "client_id",
                     "order_id", "invoice_number", "currency", F.col("r.type").alias("type"),
                     F.col("r.description").alias("description"), F.col("r.reference_number").alias("reference_number"),
-                    null_s.alias("recorded_by"), F.col("r.debit").alias("debit"), F.col("r.credit").alias("credit")))
+                    null_s.alias("notes"), null_s.alias("recorded_by"), F.col("r.debit").alias("debit"), F.col("r.credit").alias("credit")))
     o = (t["export_orders"].filter(F.col("status") != "cancelled")
          .select(F.col("id").alias("_oid"), F.col("client_id"), "invoice_number", "currency"))
     u = t["users"].select(F.col("id").alias("_uid"), F.col("name").alias("recorded_by"))
@@ -64,7 +64,7 @@ def statement_transactions(t, balances: DataFrame | None = None) -> DataFrame:
                     F.col("payment_date").alias("date"), F.lit(3).alias("sort_order"), F.col("client_id"),
                     F.col("export_order_id").alias("order_id"), "invoice_number", "currency",
                     F.lit("payment").alias("type"), F.lit("Received payment").alias("description"),
-                    "reference_number", "recorded_by",
+                    "reference_number", "notes", "recorded_by",
                     F.lit(0).cast(AMOUNT).alias("debit"), F.col("amount").cast(AMOUNT).alias("credit")))
     return rows.unionByName(pays)
 
@@ -98,7 +98,7 @@ def statement_party(t, client_id: int) -> DataFrame:
     """R4 header: the party, which must be a client (inactive allowed); empty means not found."""
     p = t["parties"]
     return (p.filter((F.col("id") == F.lit(client_id)) & (F.col("party_type") == "client"))
-            .select("id", "name", "contact_person", "phone", "country"))
+            .select("id", "name", "contact_person", "phone", "email", "country"))
 
 
 def statement_bundle(t, client_id: int) -> dict[str, DataFrame]:

@@ -33,6 +33,8 @@ SELECT o_orderkey AS id,
   cast(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 10 WHEN '3' THEN 25
     WHEN '4' THEN 33.33 ELSE 100 END AS decimal(5,2)) AS advance_percentage,
   CASE o_orderstatus WHEN 'F' THEN 'USD' WHEN 'O' THEN 'EUR' ELSE 'GBP' END AS currency,
+  concat('Port ', cast(o_custkey % 7 AS string)) AS port_of_destination,
+  CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE concat('City ', cast(o_custkey % 11 AS string)) END AS final_destination,
   cast(year(o_orderdate) AS int) AS sequence_year,
   cast(o_orderkey % 997 + 1 AS int) AS sequence_number
 FROM {orders}"""),
@@ -62,6 +64,7 @@ SELECT event_id AS id,
   cast(cast(value AS decimal(10,2)) * 97 AS decimal(14,2)) AS amount,
   cast(ts AS date) AS payment_date,
   concat('REF-', cast(event_id AS string)) AS reference_number,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('Note ', cast(user_id AS string)) END AS notes,
   user_id AS created_by
 FROM {events}
 WHERE event_type = 'purchase'"""),
@@ -69,6 +72,7 @@ WHERE event_type = 'purchase'"""),
 SELECT c_custkey AS id, 'client' AS party_type, c_name AS name, n_name AS country,
   concat('Contact ', cast(c_custkey AS string)) AS contact_person,
   concat('+00-', cast(c_custkey AS string)) AS phone,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('c', cast(c_custkey AS string), '@example.test') END AS email,
   concat('Street ', cast(c_nationkey AS string)) AS address_line_1,
   n_name AS city,
   c_acctbal >= 0 AS is_active
@@ -76,11 +80,13 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 UNION ALL
 SELECT 1000000000 + s_suppkey, 'customs_consignee', s_name, n_name,
   concat('Contact ', cast(s_suppkey AS string)), concat('+00-', cast(s_suppkey AS string)),
+  concat('s', cast(s_suppkey AS string), '@example.test'),
   concat('Street ', cast(s_nationkey AS string)), n_name, s_acctbal >= 0
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 UNION ALL
 SELECT 2000000000 + s_suppkey, 'clearing_agent', concat('Agent ', s_name), n_name,
   concat('Agent contact ', cast(s_suppkey AS string)), concat('+00-9', cast(s_suppkey AS string)),
+  CAST(NULL AS string),
   concat('Street ', cast(s_nationkey AS string)), n_name, s_suppkey % 8 <> 0
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 WHERE s_suppkey % 4 = 0"""),
