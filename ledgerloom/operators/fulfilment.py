@@ -246,15 +246,8 @@ def contract_numbers(t) -> DataFrame:
                  .alias("sales_contract_number")))
 
 
-def shipment_header(t) -> DataFrame:
-    """P9 + A13-A15, A17: shipment header with container list, distinct types, cbm, contract list."""
-    s = t["shipments"]
-    sc = t["shipment_containers"]
-    cont = sc.groupBy(F.col("shipment_id").alias("_sid")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "container_number"))),
-                                 lambda x: x["container_number"]), ", ").alias("container_number"),
-        F.array_join(F.array_sort(F.collect_set("container_type")), ", ").alias("container_type"),
-        F.sum("cbm").cast("decimal(22,3)").alias("cbm"))
+def _contract_lists(t) -> DataFrame:
+    """Per shipment its distinct contract numbers, by contract date."""
     a = t["shipment_allocations"].select("shipment_id", "export_order_item_id")
     i = t["export_order_items"].select(F.col("id").alias("_iid"), "export_order_id")
     o = t["export_orders"].select(F.col("id").alias("_oid"), "contract_date",
@@ -262,9 +255,21 @@ def shipment_header(t) -> DataFrame:
     per_contract = (a.join(i, a["export_order_item_id"] == i["_iid"], "inner")
                     .join(o, F.col("export_order_id") == o["_oid"], "inner")
                     .groupBy("shipment_id", "_cn").agg(F.min("contract_date").alias("_d")))
-    contracts = per_contract.groupBy(F.col("shipment_id").alias("_ssid")).agg(
+    return per_contract.groupBy(F.col("shipment_id").alias("_ssid")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_cn"))), lambda x: x["_cn"]), ", ")
         .alias("sales_contract_number"))
+
+
+def shipment_header(t, contracts: bool = True) -> DataFrame:
+    """P9 + A13-A15, A17: shipment header with container list, distinct types, cbm, contract list
+    (``contracts=False`` leaves the list out for callers that derive it from the lines)."""
+    s = t["shipments"]
+    sc = t["shipment_containers"]
+    cont = sc.groupBy(F.col("shipment_id").alias("_sid")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "container_number"))),
+                                 lambda x: x["container_number"]), ", ").alias("container_number"),
+        F.array_join(F.array_sort(F.collect_set("container_type")), ", ").alias("container_type"),
+        F.sum("cbm").cast("decimal(22,3)").alias("cbm"))
     p = t["parties"]
     c = p.select(F.col("id").alias("_c"), F.col("name").alias("client_name"),
                  F.col("country").alias("client_country"))
@@ -273,16 +278,19 @@ def shipment_header(t) -> DataFrame:
     anp = p.select(F.col("id").alias("_anp"), F.col("name").alias("also_notify_party_name"))
     ca = p.select(F.col("id").alias("_ca"), F.col("name").alias("clearing_agent_name"),
                   F.col("phone").alias("clearing_agent_phone"))
-    return (s.join(c, s["client_id"] == c["_c"], "inner")
+    head = (s.join(c, s["client_id"] == c["_c"], "inner")
             .join(cc, s["customs_consignee_id"] == cc["_cc"], "inner")
             .join(anp, s["also_notify_party_id"] == anp["_anp"], "left")
             .join(ca, s["clearing_agent_id"] == ca["_ca"], "left")
-            .join(cont, s["id"] == cont["_sid"], "left")
-            .join(contracts, s["id"] == contracts["_ssid"], "left")
+            .join(cont, s["id"] == cont["_sid"], "left"))
+    if contracts:
+        lists = _contract_lists(t)
+        head = head.join(lists, head["id"] == lists["_ssid"], "left").drop("_ssid")
+    return (head
             .withColumn("cbm", F.coalesce(F.col("cbm"), F.lit(0).cast("decimal(22,3)")))
             .withColumn("invoice_number", F.col("shipment_number"))
             .withColumn("contract_date", F.col("shipment_date"))
-            .drop("_c", "_cc", "_anp", "_ca", "_sid", "_ssid"))
+            .drop("_c", "_cc", "_anp", "_ca", "_sid"))
 
 
 def shipment_containers_of(t, shipment_id: int | None = None) -> DataFrame:
@@ -320,14 +328,13 @@ def shipment_detail(t) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("line_number").alias("_a"),
                                                          F.struct(*cont.columns).alias("v")))),
                     lambda x: x["v"]).alias("containers"))
-    cn = contract_numbers(t).withColumnRenamed("shipment_id", "_cnsid") \
-        .withColumnRenamed("sales_contract_number", "_scn")
-    h = shipment_header(t)
+    h = shipment_header(t, contracts=False)
+    # items are in (container line, line) order: their first appearances are the contract list
+    numbers = F.array_distinct(F.filter(F.transform("items", lambda x: x["contract_number"]), lambda x: x.isNotNull() & (x != "")))
     return (h.join(nested, h["id"] == nested["_lsid"], "left")
             .join(cnest, h["id"] == cnest["_csid"], "left")
-            .join(cn, h["id"] == cn["_cnsid"], "left")
-            .withColumn("sales_contract_number", F.coalesce(F.col("_scn"), F.lit("")))
+            .withColumn("sales_contract_number", F.coalesce(F.array_join(numbers, ", "), F.lit("")))
             .withColumn("items", F.coalesce(F.col("items"), F.array()))
             .withColumn("containers", F.coalesce(F.col("containers"), F.array()))
-            .drop("_lsid", "_csid", "_cnsid", "_scn"))
+            .drop("_lsid", "_csid"))
 
