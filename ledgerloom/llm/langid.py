@@ -32,11 +32,11 @@ from ledgerloom.session import ship_package
 
 UNKNOWN = "und"
 #: Documented bound of the training sample, over all languages.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 1500
 GRAMS = (2, 3, 4)
 BUCKET_BITS = 15
 DIMENSIONS = 16
-EPOCHS = 6
+EPOCHS = 12
 RATE = 0.5
 #: Share of calibration rows that the threshold may reject, and its upper limit.
 REJECT_SHARE = 0.001
