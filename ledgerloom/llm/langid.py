@@ -126,7 +126,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed:
     table[:-1] = embed @ layer
     logits = np.array([share @ table[at] + bias for at, share in (features[i] for i in held)])
     table[:-1] += bias  # the mean of rows then holds the bias
-    grid = np.geomspace(0.25, 8, 41)
+    grid = np.geomspace(0.5, 8, 41)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     score = _softmax(logits / temperature).max(axis=1)
