@@ -97,11 +97,16 @@ RESTRICTED_ITEM_FIELDS = {
 }
 
 
-def restrict(df: DataFrame, view: str, permissions: Iterable[str]) -> DataFrame:
-    """A gate-pass-only user sees a column subset (nested items too); others see everything."""
+def restrict(df: DataFrame, view: str, permissions: Iterable[str], absent: Iterable[str] = ()) -> DataFrame:
+    """A gate-pass-only user sees a column subset (nested items too); others see everything.
+
+    A column of the subset that the table lacks raises, unless it is named in ``absent``."""
     perms = set(permissions)
     if not (GATE_PASS_VIEW in perms and DOCS_PREVIEW not in perms and ORDERS_EDIT not in perms):
         return df
+    missing = set(RESTRICTED_COLUMNS[view]) - set(df.columns) - set(absent)
+    if missing:
+        raise ValueError(f"{view} lacks columns: {sorted(missing)}")
     keep = [c for c in RESTRICTED_COLUMNS[view] if c in df.columns]
     out = df.select(*keep)
     if "items" in keep and view in RESTRICTED_ITEM_FIELDS:

@@ -86,12 +86,15 @@ def test_access_matrix_and_restrictions(spark):
                                "id long, invoice_number string, status string, contract_date date, client_name string, "
                                "total_packages decimal(10,2), total_net_weight decimal(10,2), "
                                "total_gross_weight decimal(10,2), client_value decimal(10,2)")
-    assert "client_value" not in A.restrict(df, "order_list", ["gate_pass.view"]).columns
+    with __import__("pytest").raises(ValueError):
+        A.restrict(df, "order_list", ["gate_pass.view"])
+    lacking = [c for c in A.RESTRICTED_COLUMNS["order_list"] if c not in df.columns]
+    assert "client_value" not in A.restrict(df, "order_list", ["gate_pass.view"], absent=lacking).columns
     assert "client_value" in A.restrict(df, "order_list", ["gate_pass.view", "documents.preview"]).columns
     assert "client_value" in A.restrict(df, "order_list", ["gate_pass.view", "orders.edit"]).columns
     nested = spark.createDataFrame([(1, [(1, "p", Dm("5"))])],
                                    "id long, items array<struct<id:long, product_name:string, client_value:decimal(10,2)>>")
-    r = A.restrict(nested, "order_detail", ["gate_pass.view"])
+    r = A.restrict(nested, "order_detail", ["gate_pass.view"], absent=A.RESTRICTED_COLUMNS["order_detail"])
     assert r.schema["items"].dataType.elementType.fieldNames() == ["id", "product_name"]
 
 
