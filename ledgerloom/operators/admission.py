@@ -173,7 +173,8 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
                        "_before_sum", chunk=[id_block("request_id")], exclusive=True, result_type=STATE)
     before = F.col("_r0") - F.col("_before_sum")
     # the prefix sum is exact up to the first request that does not fit (or meets a paid order)
-    live = live.withColumn("_fits", (before > money_eps()) & (F.col("amount") <= before))
+    # the batch with its prefix sums is read four times below: kept in the shared folder
+    live = cut_lineage(live.withColumn("_fits", (before > money_eps()) & (F.col("amount") <= before)))
     first_bad = live.filter(~F.col("_fits")).groupBy(F.col("order_id").alias("_boid")).agg(F.min("request_id").alias("_bad"))
     live = live.join(first_bad, live["order_id"] == first_bad["_boid"], "left")
     in_prefix = F.col("_bad").isNull() | (F.col("request_id") < F.col("_bad"))
