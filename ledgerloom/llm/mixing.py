@@ -29,6 +29,7 @@ BLOCK_CHARS = 1 << 17
 QUANTA = 1000
 TEMPER = 0.5
 MOST_SOURCES = 256
+RESULT = ("_slot", "_start", "block", "share", "period")
 #: Documents are numbered within chunks of ids, chunks within groups (see ``running_start``).
 CHUNK_BITS = (10, 14, 20)
 
@@ -118,14 +119,23 @@ def running_start(rows: DataFrame, key: str, place: str, value: str, out: str, b
 
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, quanta: int = QUANTA,
         temper: float = TEMPER) -> DataFrame:
-    """The documents with _slot and _start, block, share and period; ``(_slot, _start, doc_id)`` is the mixed order.
+    """The documents with _slot, _start, block, share and period; ``(_slot, _start, doc_id)`` is the mixed order.
 
     ``targets``: weight by source; without it a source's weight is its size to the power ``temper``.
-    Other columns of ``docs`` are carried along (names starting with ``_mix`` are taken).
+    Other columns of ``docs`` are carried along; those named like a result column give way to it.
     """
+    rows = _placed(docs, targets, block_chars, quanta, temper)
+    kept = [c for c in docs.columns if c not in RESULT]
+    return rows.select(*[F.col("_mix_row").getField(c).alias(c) for c in kept], *RESULT)
+
+
+def _placed(docs: DataFrame, targets: Mapping[str, float] | None, block_chars: int, quanta: int, temper: float) -> DataFrame:
+    """_mix_row (the whole row, so that no column name can clash), _mix_id and the result columns."""
+    order_id = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "n_chars", *[c for c in ("lang",) if c in docs.columns]))
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
     size = F.greatest(F.coalesce(F.col("n_chars").cast("long"), _long(0)), _long(0))
-    base = docs.withColumn("_mix_key", key).withColumn("_mix_size", size)
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row"), key.alias("_mix_key"), size.alias("_mix_size"),
+                       order_id.alias("_mix_place"), F.col("doc_id").alias("_mix_id"))
     totals = base.groupBy(F.col("_mix_key").alias("key")).agg(F.sum("_mix_size").alias("chars"))
     if targets is None:
         weight = F.pow(F.greatest(F.col("chars"), _long(1)).cast("double"), F.lit(temper))
@@ -140,21 +150,19 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block_chars
     share = F.greatest(F.round(F.col("weight") / F.lit(found["w"] or 1.0) * quanta), F.lit(1.0)).cast("long")
     whole = whole.select("key", share.alias("share"), F.greatest(F.ceil(F.col("chars") / block_chars), _long(1)).alias("blocks"))
     phases = F.broadcast(plan(whole).withColumnRenamed("key", "_mix_plan"))
-    place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "n_chars", *[c for c in ("lang",) if c in docs.columns]))
-    rows = running_start(base.withColumn("_mix_place", place), "_mix_key", "_mix_place", "_mix_size", "_start")
+    rows = running_start(base, "_mix_key", "_mix_place", "_mix_size", "_start")
     rows = rows.join(phases, F.col("_mix_key") == F.col("_mix_plan"))
     block = F.least(F.floor(F.col("_start") / block_chars), F.col("blocks") - 1)
     rows = rows.withColumn("block", block).withColumn("_mix_phase", F.get(F.filter("phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["upto"])), F.lit(0)))
     past = F.col("block") - F.col("_mix_phase.first")
     slot = (F.col("_mix_phase.begin") + F.floor(past / F.col("_mix_phase.share")) * F.col("_mix_phase.period")
             + F.get(F.col("_mix_phase.slots"), (past % F.col("_mix_phase.share")).cast("int")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], slot.alias("_slot"), "_start", "block",
-                       F.col("_mix_phase.share").alias("share"), F.col("_mix_phase.period").alias("period"))
+    return rows.select("_mix_row", "_mix_id", slot.alias("_slot"), "_start", "block", F.col("_mix_phase.share").alias("share"),
+                       F.col("_mix_phase.period").alias("period"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, targets: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, quanta: int = QUANTA,
+          temper: float = TEMPER) -> DataFrame:
     """The same rows and columns, sorted in the mixed order."""
-    clash = [c for c in ("_slot", "_start", "block", "share", "period") if c in docs.columns]
-    if clash:
-        raise ValueError(f"reserved columns: {clash}")
-    return mix(docs, **options).orderBy("_slot", "_start", F.col("doc_id").asc_nulls_last()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _placed(docs, targets, block_chars, quanta, temper)
+    return rows.orderBy("_slot", "_start", F.col("_mix_id").asc_nulls_last()).select(*[F.col("_mix_row").getField(c).alias(c) for c in docs.columns])

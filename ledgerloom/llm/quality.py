@@ -41,6 +41,7 @@ BINS = 16
 RIDGE = 2.0
 STEPS = 30
 KEEP = 0.35
+RESULT = ("_evidence", "_host_rate", "_path_rate", "_quality", "_kept")
 #: Limits of a beta prior's strength (documents).
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e6
 
@@ -209,18 +210,21 @@ def site_counts(scored: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, model: Model, host: Column, path: Column, keep: float = KEEP, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (default: all) and _evidence, _host_rate, _path_rate, _quality (posterior), _kept.
+    """The carried columns (default: all; those named like a result give way to it) and _evidence, _host_rate, _path_rate, _quality (posterior), _kept.
 
     The texts are read twice and not shuffled by this function: the second pass meets one row per path.
     """
     carry = list(docs.columns if carry is None else carry)
+    # carried columns travel under numbers, so that no name of theirs can meet one used here
+    numbered = [f"_c{i}" for i in range(len(carry))]
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, numbered)], F.col("text"), host.alias("_host"), path.alias("_path"))
     marked = lambda c: F.concat(F.when(c.isNull(), "n").otherwise("s"), F.coalesce(c.cast("string"), F.lit("")))
     prior = F.lit(float(np.log(model.rate / (1 - model.rate))))
     logistic = lambda z: 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    sited = docs.withColumn("_host", marked(host)).withColumn("_path", marked(path))
+    sited = docs.withColumn("_host", marked(F.col("_host"))).withColumn("_path", marked(F.col("_path")))
     probability = logistic(F.col("_evidence") + prior)
     sites = site_counts(with_evidence(sited, model, ["_host", "_path"]).withColumn("_p", probability), model)
-    scored = with_evidence(sited, model, [*carry, "_host", "_path"]).withColumn("_p", probability)
+    scored = with_evidence(sited, model, [*numbered, "_host", "_path"]).withColumn("_p", probability)
     sites = sites.withColumnsRenamed({"_host": "_site_host", "_path": "_site_path"})
     rows = scored.join(sites, (F.col("_host") == F.col("_site_host")) & (F.col("_path") == F.col("_site_path")))
     host_rate = (F.col("host_good") - F.col("_p") + F.col("host_strength") * model.rate) / (F.col("host_n") - 1 + F.col("host_strength"))
@@ -228,4 +232,4 @@ def classify(docs: DataFrame, model: Model, host: Column, path: Column, keep: fl
     path_rate = (F.col("path_good") - F.col("_p") + F.col("path_strength") * F.col("_host_rate")) / (F.col("path_n") - 1 + F.col("path_strength"))
     rows = rows.withColumn("_path_rate", F.greatest(F.least(path_rate, F.lit(1 - 1e-6)), F.lit(1e-6)))
     rows = rows.withColumn("_quality", logistic(F.col("_evidence") + _logit(F.col("_path_rate"))))
-    return rows.select(*[F.col(f"`{c}`") for c in carry], "_evidence", "_host_rate", "_path_rate", "_quality", (F.col("_quality") >= keep).alias("_kept"))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(carry, numbered) if c not in RESULT], "_evidence", "_host_rate", "_path_rate", "_quality", (F.col("_quality") >= keep).alias("_kept"))

@@ -16,7 +16,7 @@ def docs_of(spark):
         df = spark.createDataFrame(full, DOCS)
         if extra:
             from pyspark.sql import functions as F
-            for name in ("id", "score", "ids", "rank", "k1", "class_id", "_p", "share_of"):
+            for name in ("id", "score", "ids", "rank", "k1", "class_id", "_p", "block", "share", "_host", "host_n", "_c0", "_start", "phases"):
                 df = df.withColumn(name, F.lit("x"))
         return df
     return make

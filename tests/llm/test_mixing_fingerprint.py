@@ -33,7 +33,7 @@ def schedule(share, blocks):
 @pytest.mark.parametrize("targets", [None, {"hot": 5, "a": 3, "b": 1.5}])
 def test_mix_is_the_edf_schedule(spark, targets):
     rows = [(i, None if i % 17 == 0 else ["a", "b", "hot", "hot", "c"][i % 5], (i * 37) % 90, "t") for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, block_of string")
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, blocks string").withColumn("share", F.lit("x"))
     out = mixing.mix(docs, targets=targets, block_chars=500, quanta=50).collect()
     assert len(out) == len(rows)
     totals, share = collections.Counter(), {}
@@ -47,7 +47,9 @@ def test_mix_is_the_edf_schedule(spark, targets):
     for r in sorted(out, key=lambda r: r.doc_id):
         assert r._start == starts[r.source or ""]
         starts[r.source or ""] += r.n_chars
-    order = [r.doc_id for r in mixing.mixed(docs, targets=targets, block_chars=500, quanta=50).collect()]
+    sorted_rows = mixing.mixed(docs, targets=targets, block_chars=500, quanta=50)
+    assert sorted_rows.columns == docs.columns and {r.share for r in sorted_rows.collect()} == {"x"}
+    order = [r.doc_id for r in sorted_rows.collect()]
     assert order == [r.doc_id for r in sorted(out, key=lambda r: (r._slot, r._start, r.doc_id))]
 
 
