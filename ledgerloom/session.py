@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,7 +78,12 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_ledgerloom_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-zip-"), "ledgerloom.zip")
+    base = checkpoint_dir(spark)  # a mounted shared folder if there is one; Spark serves the file either way
+    folder = "/" + base[len("file:"):].lstrip("/") if base.startswith("file:") else base
+    if "://" in folder:
+        folder = tempfile.gettempdir()
+    target = os.path.join(folder, f"package-{uuid.uuid4().hex}", "ledgerloom.zip")
+    os.makedirs(os.path.dirname(target))
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, names in os.walk(here):
             for name in names:
