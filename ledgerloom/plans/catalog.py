@@ -43,6 +43,7 @@ def _load_modules() -> None:
     from ledgerloom.plans import q_access  # noqa: F401
     from ledgerloom.plans import q_jobs  # noqa: F401
     from ledgerloom.plans import q_validation  # noqa: F401
+    from ledgerloom.plans import q_parts  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:
