@@ -228,12 +228,12 @@ SELECT s.id * 10 + 2, s.id, s.client_id, a.export_order_item_id, CAST(a.quantity
 FROM {shipments} s JOIN {shipment_allocations} a ON a.shipment_id = s.id WHERE s.status IN ('draft', 'ready_to_ship')"""
 
 
-def _replay_sql(asked: str) -> str:
+def replay_parts(asked: str) -> dict[str, str]:
     """The requests of ``asked`` (request_id, client_id, ship, line, need) replayed one by one per client.
 
     The state is what has been taken of each line beyond its start (``used``) and what each shipment
     holds now (``held``); a request sees its own shipment's holding as free."""
-    steps = {
+    return {
         "asked": asked,
         "start_room": """SELECT i.id AS line, o.client_id AS owner, o.status,
             i.quantity - COALESCE((SELECT SUM(sa.quantity) FROM shipment_allocations sa JOIN shipments s ON s.id = sa.shipment_id
@@ -270,8 +270,11 @@ def _replay_sql(asked: str) -> str:
                 lambda x: x IS NOT NULL)[1] END AS reason
               FROM play p JOIN turns q ON q.client_id = p.client_id AND q.turn = p.turn + 1) step""",
     }
+
+
+def _replay_sql(asked: str) -> str:
     return with_ctes("SELECT request_id, client_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, reason "
-                     "FROM play WHERE turn > 0", extra=steps).replace("WITH ", "WITH RECURSIVE ", 1)
+                     "FROM play WHERE turn > 0", extra=replay_parts(asked)).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @register("admit_shipments", _replay_sql(

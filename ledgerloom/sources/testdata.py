@@ -132,6 +132,7 @@ SELECT id,
     WHEN 3 THEN 'completed' ELSE 'cancelled' END AS status,
   make_date(cast(1990 + id % 100 AS int), 6, 30) AS shipment_date,
   cast(1990 + id % 100 AS int) AS sequence_year,
+  cast(id % 997 + 1 AS int) AS sequence_number,
   'USD' AS currency
 FROM (SELECT DISTINCT shipment_id AS id FROM {allocation_source}) s"""),
     ("shipment_containers", """
