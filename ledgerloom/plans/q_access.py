@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import access as A
 from ledgerloom.operators import fulfilment as FU
 from ledgerloom.plans.catalog import register, with_ctes
-from ledgerloom.plans.q_fulfilment import ORDER_LIST_SQL
+from ledgerloom.plans.q_fulfilment import _ORDER_PARTS, ORDER_LIST_SQL
 
 EFFECTIVE_SQL = """SELECT u.id AS user_id, p.permission_key
 FROM users u JOIN role_permissions rp ON rp.role_id = u.role_id JOIN permissions p ON p.id = rp.permission_id
@@ -56,7 +56,7 @@ def q_gate_pass_users(t):
 
 @register("order_list_gate_pass", with_ctes(
     f"""SELECT id, invoice_number, status, contract_date, client_name, total_packages, total_net_weight,
-      total_gross_weight FROM ({ORDER_LIST_SQL}) x""", "alloc_active"))
+      total_gross_weight FROM ({ORDER_LIST_SQL}) x""", "alloc_active", extra=_ORDER_PARTS))
 def q_order_list_gate_pass(t):
     """The order list as a gate-pass-only user sees it."""
     return A.restrict(FU.order_list(t), "order_list", ["orders.view", "gate_pass.view", "gate_pass.edit"],
