@@ -20,9 +20,13 @@ from ledgerloom.operators.balances import Filters, order_balances, order_filter
 _SHARED = "_shared"
 
 
-def executive(t, f: Filters | None = None) -> dict[str, DataFrame]:
-    """R2: currency summary, status summary, monthly sales, top clients — one balance computation."""
-    shared = order_filter(order_balances(t), f).persist(StorageLevel.MEMORY_AND_DISK)
+def executive(t, f: Filters | None = None, keep: bool = True) -> dict[str, DataFrame]:
+    """R2: currency summary, status summary, monthly sales, top clients — one balance computation.
+
+    ``keep`` holds the balances until ``release``; without it every part derives them."""
+    shared = order_filter(order_balances(t), f)
+    if keep:
+        shared = shared.persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "currencySummary": R.executive_currency(t, None, shared),
         "statusSummary": R.executive_status(t, None, shared),
@@ -32,9 +36,11 @@ def executive(t, f: Filters | None = None) -> dict[str, DataFrame]:
     }
 
 
-def dashboard(t, as_of) -> dict[str, object]:
+def dashboard(t, as_of, keep: bool = True) -> dict[str, object]:
     """Stats, financial summary, status summary, monthly exports, recent orders and payments."""
-    shared = order_balances(t).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = order_balances(t)
+    if keep:
+        shared = shared.persist(StorageLevel.MEMORY_AND_DISK)
     one = F.lit(1).alias("_k")
     counters = (R.order_stats(t).select(one, "*").join(R.master_counts(t).select(one, "*"), "_k")
                 .drop("_k"))  # two one-row aggregates side by side

@@ -103,7 +103,7 @@ def _parts(bundle: dict, columns: dict[str, tuple[str, str]]):
     *BAL, extra={"live": "SELECT * FROM balances WHERE status <> 'cancelled'"}))
 def q_executive_bundle(t):
     """R2: the four parts of the executive report over one balance relation."""
-    return _parts(bundles.executive(t), {"currencySummary": ("currency", "remaining_amount"), "statusSummary": ("status", "order_count"),
+    return _parts(bundles.executive(t, keep=False), {"currencySummary": ("currency", "remaining_amount"), "statusSummary": ("status", "order_count"),
                                          "monthlySales": ("concat(month, ' ', currency)", "total_amount"),
                                          "topClients": ("concat(cast(client_id AS string), ' ', currency)", "total_amount")})
 
@@ -120,6 +120,6 @@ def q_executive_bundle(t):
         ORDER BY payment_date DESC, receipt_id DESC LIMIT 5))""", *NBAL, extra={"receipts": _RECEIPTS}))
 def q_dashboard_bundle(t):
     """The parts of the dashboard."""
-    return _parts(bundles.dashboard(t, AS_OF), {
+    return _parts(bundles.dashboard(t, AS_OF, keep=False), {
         "stats": ("'total'", "total"), "financialSummary": ("currency", "paid_amount"), "statusSummary": ("status", "order_count"),
         "monthlyExports": ("concat(month, ' ', currency)", "total_amount"), "recentOrders": ("id", "remaining_amount"), "recentPayments": ("id", "amount")})
