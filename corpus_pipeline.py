@@ -1,15 +1,19 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage but the last returns the columns of ``documents`` for the rows that it keeps; the mixing
-stage keeps all rows and returns them in the mixed order.  Import errors are not caught here:
-``__spark_entry__`` decides whether the pipeline is registered.
+stage keeps all rows and returns them in the mixed order, and the last stage returns each row's place
+in the order that was written.  Import errors are not caught here: ``__spark_entry__`` decides whether
+the pipeline is registered.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from itertools import accumulate
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +51,35 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, as digests."""
-    return bpe.digests(docs, vocabulary())
+    """Token ids of every whole text, as digests, and its position (from 0) in the order written before."""
+    return bpe.digests(in_written_order(docs, {"doc_id": "long", "text": "string"}), vocabulary(), keep=("doc_id", "position"))
+
+
+def in_written_order(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The named columns and ``position``, the number of rows before this one in the Parquet as written.
+
+    A sorted table is written as one file per range, numbered in order, but a scan packs files by size:
+    so a row's position is its file's first position (by part number) and its index within the file.
+    Rows that were not read from Parquet files have a null position.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return pick(docs, columns).withColumn("position", F.lit(None).cast("long"))
+    named = docs.withColumns({"_file": F.col("_metadata.file_path"), "_index": F.col("_metadata.row_index")})
+    # One row per file: the driver lists the files anyway.
+    sizes = sorted(named.groupBy("_file").count().collect(), key=lambda r: part_number(r["_file"]))
+    firsts = accumulate((r["count"] for r in sizes), initial=0)
+    starts = docs.sparkSession.createDataFrame([(r["_file"], first) for r, first in zip(sizes, firsts)], "_file string, _first long")
+    placed = pick(named, columns | {"_file": "string", "_index": "long"}).join(F.broadcast(starts), "_file")
+    return placed.select(*columns, (F.col("_first") + F.col("_index")).alias("position"))
+
+
+def part_number(path: str) -> tuple[int, str]:
+    """Sort key of a written file: its task's number, then its name (one task's files count up in it)."""
+    name = path.rsplit("/", 1)[-1]
+    found = re.match(r"part-(\d+)", name)
+    return int(found[1]) if found else 0, name
 
 
 STAGES = [

@@ -290,8 +290,8 @@ def token_lengths(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return _over_texts(pick(docs, {"doc_id": "long", "text": "string"}), "text", ["doc_id"], vocabulary, "n_tokens long", row)
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256.
+def digests(docs: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The kept long columns, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256.
 
     The ids are decoded again from the vocabulary, not from the text.
     """
@@ -303,5 +303,5 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return [pa.array(np.diff(begin)),
                 pa.array([sha(raw[a:b].data).hexdigest() for a, b in zip(begin[:-1], begin[1:])], pa.string()),
                 pa.array([sha(back[a:b].data).hexdigest() for a, b in zip(cut[:-1], cut[1:])], pa.string())]
-    return _over_texts(pick(docs, {"doc_id": "long", "text": "string"}), "text", ["doc_id"], vocabulary,
+    return _over_texts(pick(docs, dict.fromkeys(keep, "long") | {"text": "string"}), "text", keep, vocabulary,
                        "n_tokens long, ids_sha256 string, decoded_sha256 string", row)

@@ -171,6 +171,22 @@ def test_pipeline_of_odd_rows(spark, docs_of):
             now.count()
 
 
+def test_pipeline_returns_the_mixed_position(spark, sf01, tmp_path):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mixed(spark, docs, sf01).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 2
+    out = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mixed")), sf01).collect()
+    slots = {(r.doc_id): (r.slot, r.chars_before, r.doc_id) for r in catalog.queries()["op3_mixing"](spark, sf01).collect()}
+    assert sorted(r.position for r in out) == list(range(len(slots)))
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == sorted(slots, key=slots.get)
+    assert corpus_pipeline.part_number("file:/x/part-100000-a-c000.parquet") > corpus_pipeline.part_number("file:/x/part-99999-b-c000.parquet")
+
+
 def test_every_operator_is_registered():
     names = set(catalog.queries())
     assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 11)) and len(names) == 10
