@@ -1,15 +1,18 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL functions only.
+"""Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents, in id order, are cut into blocks of about ``BLOCK_CHARS`` characters (a
-document belongs to the block in which it starts).  Target weights become whole shares of a period;
+document belongs to the block in which it starts).  Target weights become whole shares of a period, so
+fine that rounding moves no source by more than 2 ** -20 of a block over all slots (``fine_quanta``);
 block ``c`` (from 0) of a source with share w of a period W is released at slot floor(c W / w) and due
 by slot ceil((c + 1) W / w).  Earliest deadline first over released blocks meets every deadline, so
-after every slot each source has had its share to within less than one block.  The order of one
-period repeats, so a block's slot is a formula of its number and no task orders more than a period.
+after every slot each source has had its share to within less than one block.
 
 When a source runs out the others go on: from that slot a new plan starts with the shares of the
-sources that are left.  The plan is made from one small row (the sources' totals) by SQL folds; it has
-at most one phase per source.  No document is dropped or repeated.
+sources that are left.  No document is dropped or repeated.
+
+Documents are summed, numbered and given their slots by DataFrame and SQL functions only.  The plan
+itself is sequential: the driver makes it from one row per source (``plan``), in a time that grows with
+blocks x log(sources), and sends back the slots of each run of ``PLAN_BLOCKS`` blocks.
 
 Defined cases: a null source is a source of its own; null or negative n_chars count as 0 characters; a
 null doc_id is ordered by a hash of its other columns; equal ids are ordered by size; sources without
@@ -19,83 +22,131 @@ sources raise ``ValueError`` (name a coarser column instead).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from array import array
+from bisect import bisect_right
+from collections.abc import Mapping, Sequence
+from heapq import heappop, heappush
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 BLOCK_CHARS = 1 << 17
-#: Quanta that the shares are rounded to, and the exponent of sizes where no targets are given.
+#: Least number of quanta that the shares are rounded to, and the exponent of sizes where no targets are given.
 QUANTA = 1000
 TEMPER = 0.5
 MOST_SOURCES = 256
+#: Blocks in one row of the plan, and the most blocks of a plan that is broadcast (16 bytes each).
+PLAN_BLOCKS = 1 << 10
+BROADCAST_BLOCKS = 1 << 19
 RESULT = ("_slot", "_start", "block", "share", "period")
 #: Documents are numbered within chunks of ids, chunks within groups (see ``running_start``).
 CHUNK_BITS = (10, 14, 20)
 
 
-def _let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _long(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("long")
 
 
-def period_order(active: Column, w: Column, zeros: Column, period: Column) -> Column:
-    """Source number of each slot of one period, by earliest deadline first."""
-    def slot(state: Column, t: Column) -> Column:
-        def had(i):
-            return F.get(state["had"], i)
-        ready = F.filter(active, lambda i: F.floor(had(i) * period / F.get(w, i)) <= t)
-        first = F.array_min(F.transform(ready, lambda i: F.struct(F.ceil((had(i) + 1) * period / F.get(w, i)).alias("due"), i.alias("i"))))
-        return _let(first["i"], lambda i: F.struct(
-            F.transform(state["had"], lambda x, j: x + F.when(j == i, _long(1)).otherwise(_long(0))).alias("had"),
-            F.concat(state["order"], F.array(i)).alias("order")))
-
-    return F.aggregate(F.sequence(_long(0), period - 1), F.struct(zeros.alias("had"), F.expr("cast(array() as array<int>)").alias("order")),
-                       slot, lambda s: s["order"])
-
-
-def plan(totals: DataFrame) -> DataFrame:
-    """(key, blocks, phases) of sources (key, share, blocks): which blocks go to which slots.
-
-    A phase says: blocks ``first`` to ``upto`` - 1 start at slot ``begin``; block ``first + c`` goes to
-    ``begin + floor(c / share) * period + slots[c mod share]``.
+class Fresh:
+    """Sources without a block in this phase, by falling share; the least number among the first few."""
+
+    def __init__(self, shares: Sequence[int]):
+        self.order = sorted(range(len(shares)), key=lambda i: -shares[i])
+        self.place = [0] * len(shares)
+        for at, i in enumerate(self.order):
+            self.place[i] = at
+        self.falling = [-shares[i] for i in self.order]
+        self.none = len(shares)
+        self.width = 1 << max(0, len(shares) - 1).bit_length()
+        self.tree = [self.none] * self.width + self.order + [self.none] * (self.width - len(shares))
+        for at in range(self.width - 1, 0, -1):
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def put(self, i: int, there: bool) -> None:
+        at = self.width + self.place[i]
+        self.tree[at] = i if there else self.none
+        while at > 1:
+            at //= 2
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def earliest(self, period: int) -> tuple[int, int] | None:
+        """(deadline of the first block, number) of the source that is due first."""
+        if self.tree[1] == self.none:
+            return None
+        at = 1
+        while at < self.width:
+            at = 2 * at if self.tree[2 * at] < self.none else 2 * at + 1
+        due = -(period // self.falling[at - self.width])
+        # All with a share of period / due or more are due by the same slot.
+        low, high, least = self.width, self.width + bisect_right(self.falling, period // -due), self.none
+        while low < high:
+            if low & 1:
+                least = min(least, self.tree[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                least = min(least, self.tree[high])
+            low //= 2
+            high //= 2
+        return due, least
+
+
+def schedule(shares: Sequence[int], blocks: Sequence[int]) -> tuple[list[array], list[array]]:
+    """Slot and period of each block of each source by earliest deadline first (ties: the first source)."""
+    slots, periods = [array("q") for _ in shares], [array("q") for _ in shares]
+    fresh, period, begin = Fresh(shares), sum(shares), 0
+    had, used, waiting, ready = [0] * len(shares), [], [], []
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot - begin:
+            i = heappop(waiting)[1]
+            heappush(ready, (-(-(had[i] + 1) * period // shares[i]), i))
+        first = fresh.earliest(period)
+        if first is None or ready and ready[0] < first:
+            i = heappop(ready)[1]
+        else:
+            i = first[1]
+            fresh.put(i, False)
+            used.append(i)
+        slots[i].append(slot)
+        periods[i].append(period)
+        had[i] += 1
+        if len(slots[i]) < blocks[i]:
+            heappush(waiting, (had[i] * period // shares[i], i))
+            continue
+        # This source has run out: a new plan for the others.
+        period, begin = period - shares[i], slot + 1
+        for j in used:
+            had[j] = 0
+            if j != i:
+                fresh.put(j, True)
+        used, waiting, ready = [], [], []
+    return slots, periods
+
+
+def fine_quanta(sources: int, blocks: int, least: int) -> int:
+    """Quanta by which rounding moves a source by 2 ** -20 blocks at most over all slots (2 ** 52 is all of a double)."""
+    return max(least, min(blocks * (sources + 1) << 20, 1 << 52))
+
+
+def plan(sources: Sequence[Row], quanta: int) -> list[tuple]:
+    """(key, run, last, share, slots, periods) of sources (key, weight, blocks): a row for each run of blocks.
+
+    Block ``last`` is repeated once, for documents without characters after the end of the last block.
     """
-    row = totals.agg(F.sort_array(F.collect_list(F.struct("key", F.col("share").cast("long").alias("w"), F.col("blocks").cast("long").alias("n")))).alias("s"))
-    row = row.filter(F.size("s") > 0).select("s", F.col("s.w").alias("w"), F.col("s.n").alias("n"), F.transform("s", lambda _: _long(0)).alias("zeros"),
-                                             F.sequence(F.lit(0), F.size("s") - 1).alias("numbers"))
-    w, n, zeros, numbers = F.col("w"), F.col("n"), F.col("zeros"), F.col("numbers")
-    phase_type = "array<struct<first:bigint,upto:bigint,begin:bigint,period:bigint,share:bigint,slots:array<bigint>>>"
-
-    def phase(state: Column, _: Column) -> Column:
-        active = F.filter(numbers, lambda i: F.get(state["done"], i) < F.get(n, i))
-        return F.when(F.size(active) == 0, state).otherwise(_let(active, lambda a: _let(
-            F.aggregate(a, _long(0), lambda x, i: x + F.get(w, i)), lambda period: _let(
-                period_order(a, w, zeros, period), lambda order: _let(
-                    F.transform(numbers, lambda i: F.filter(F.sequence(_long(0), period - 1), lambda t: F.get(order, t.cast("int")) == i)),
-                    lambda slots: _ended(state, a, period, slots))))))
-
-    def _ended(state, a, period, slots):
-        def last(i):
-            left = F.get(n, i) - F.get(state["done"], i) - 1
-            share = F.get(w, i)
-            return F.floor(left / share) * period + F.get(F.get(slots, i), (left % share).cast("int"))
-        return _let(F.array_min(F.transform(a, last)) + 1, lambda length: _let(
-            F.transform(numbers, lambda i: F.when(F.size(F.get(slots, i)) == 0, _long(0)).otherwise(
-                F.floor(length / period) * F.get(w, i) + F.size(F.filter(F.get(slots, i), lambda t: t < length % period)))),
-            lambda count: F.struct(
-                (state["begin"] + length).alias("begin"),
-                F.zip_with(state["done"], count, lambda x, y: x + y).alias("done"),
-                F.transform(state["phases"], lambda x, i: F.when(F.get(count, i) == 0, x).otherwise(F.concat(x, F.array(F.struct(
-                    F.get(state["done"], i).alias("first"), (F.get(state["done"], i) + F.get(count, i)).alias("upto"), state["begin"].alias("begin"),
-                    period.alias("period"), F.get(w, i).alias("share"), F.get(slots, i).alias("slots")))))).alias("phases"))))
-
-    start = F.struct(_long(0).alias("begin"), zeros.alias("done"), F.transform(zeros, lambda _: F.expr(f"cast(array() as {phase_type})")).alias("phases"))
-    row = row.select("s", F.aggregate(numbers, start, phase, lambda s: s["phases"]).alias("phases"))
-    return row.select(F.posexplode("s").alias("i", "one"), "phases").select("one.key", F.col("one.n").alias("blocks"), F.get("phases", F.col("i")).alias("phases"))
+    sources = sorted(sources, key=lambda r: r["key"].encode())
+    blocks = [r["blocks"] for r in sources]
+    weight = math.fsum(r["weight"] for r in sources) or 1.0
+    quanta = fine_quanta(len(sources), sum(blocks), quanta)
+    shares = [max(round(r["weight"] / weight * quanta), 1) for r in sources]
+    rows = []
+    for r, share, slots, periods in zip(sources, shares, *schedule(shares, blocks)):
+        slots.append(slots[-1])
+        periods.append(periods[-1])
+        for first in range(0, len(slots), PLAN_BLOCKS):
+            part = slice(first, first + PLAN_BLOCKS)
+            rows.append((r["key"], first // PLAN_BLOCKS, r["blocks"] - 1, share, slots[part].tolist(), periods[part].tolist()))
+    return rows
 
 
 def running_start(rows: DataFrame, key: str, place: str, value: str, out: str, bits: tuple[int, ...] = CHUNK_BITS) -> DataFrame:
@@ -143,22 +194,20 @@ def _placed(docs: DataFrame, targets: Mapping[str, float] | None, block_chars: i
         given = F.create_map(*[F.lit(x) for name, v in targets.items() for x in (f"s{name}", float(v))]) if targets else F.expr("cast(map() as map<string,double>)")
         weight = F.coalesce(F.element_at(given, F.col("key")), F.lit(0.0))
     whole = totals.withColumn("weight", weight)
-    # One small row per source: their number is checked before the plan is broadcast.
-    found = whole.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
-    if found["n"] > MOST_SOURCES:
-        raise ValueError(f"{found['n']} sources; at most {MOST_SOURCES} can be mixed")
-    share = F.greatest(F.round(F.col("weight") / F.lit(found["w"] or 1.0) * quanta), F.lit(1.0)).cast("long")
-    whole = whole.select("key", share.alias("share"), F.greatest(F.ceil(F.col("chars") / block_chars), _long(1)).alias("blocks"))
-    phases = F.broadcast(plan(whole).withColumnRenamed("key", "_mix_plan"))
+    # One small row per source.
+    sources = whole.select("key", "weight", F.greatest(F.ceil(F.col("chars") / block_chars), _long(1)).alias("blocks")).collect()
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"{len(sources)} sources; at most {MOST_SOURCES} can be mixed")
+    runs = docs.sparkSession.createDataFrame(
+        plan(sources, quanta), "_mix_plan string, _mix_run long, _mix_last long, share long, _mix_slots array<long>, _mix_periods array<long>", verifySchema=False)
+    if sum(r["blocks"] for r in sources) <= BROADCAST_BLOCKS:
+        runs = F.broadcast(runs)
     rows = running_start(base, "_mix_key", "_mix_place", "_mix_size", "_start")
-    rows = rows.join(phases, F.col("_mix_key") == F.col("_mix_plan"))
-    block = F.least(F.floor(F.col("_start") / block_chars), F.col("blocks") - 1)
-    rows = rows.withColumn("block", block).withColumn("_mix_phase", F.get(F.filter("phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["upto"])), F.lit(0)))
-    past = F.col("block") - F.col("_mix_phase.first")
-    slot = (F.col("_mix_phase.begin") + F.floor(past / F.col("_mix_phase.share")) * F.col("_mix_phase.period")
-            + F.get(F.col("_mix_phase.slots"), (past % F.col("_mix_phase.share")).cast("int")))
-    return rows.select("_mix_row", "_mix_id", slot.alias("_slot"), "_start", "block", F.col("_mix_phase.share").alias("share"),
-                       F.col("_mix_phase.period").alias("period"))
+    rows = rows.withColumn("_mix_block", F.floor(F.col("_start") / block_chars))
+    rows = rows.join(runs, (F.col("_mix_key") == F.col("_mix_plan")) & (F.floor(F.col("_mix_block") / PLAN_BLOCKS) == F.col("_mix_run")))
+    at = (F.col("_mix_block") % PLAN_BLOCKS).cast("int")
+    return rows.select("_mix_row", "_mix_id", F.get("_mix_slots", at).alias("_slot"), "_start", F.least("_mix_block", "_mix_last").alias("block"), "share",
+                       F.get("_mix_periods", at).alias("period"))
 
 
 def mixed(docs: DataFrame, targets: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, quanta: int = QUANTA,

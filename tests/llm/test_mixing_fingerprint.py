@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 import struct
 
@@ -65,6 +66,29 @@ def test_mix_defined_cases(spark):
         mixing.mix(many)
 
 
+def test_mix_keeps_the_given_targets_over_many_slots(spark):
+    targets = {"a": 0.9992, "b": 0.0004, "c": 0.0004}
+    rows = [(i, "a" if i < 8992 else "bc"[i % 2], 10) for i in range(9000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, n_chars long"), targets=targets, block_chars=10).collect()
+    had = collections.Counter()
+    for t, r in enumerate(sorted(out, key=lambda r: r._slot), 1):
+        assert r._slot == t - 1
+        had[r.source] += 1
+        if t <= 7500:  # before any source runs out
+            assert all(abs(had[k] - w * t) < 1 + 2 ** -20 for k, w in targets.items())
+
+
+def test_plan_is_the_edf_schedule():
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.randrange(1, 30)
+        share = {k: rng.choice([1, 2, 3, rng.randrange(1, 1000)]) for k in range(n)}
+        blocks = {k: rng.choice([1, 1, rng.randrange(1, 60)]) for k in range(n)}
+        slot, _ = schedule(share, blocks)
+        got, _ = mixing.schedule(list(share.values()), list(blocks.values()))
+        assert {(k, c): x for k in range(n) for c, x in enumerate(got[k])} == slot
+
+
 def _signed(x):
     return x - (1 << 64) if x >> 63 else x
 
