@@ -47,7 +47,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix of sources at tempered weights."""
-    return mixing.mixed(pick(docs, COLUMNS))
+    return mixing.mixed(pick(docs, COLUMNS), most_sources=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot of every document's block in the mix of sources at tempered weights."""
     docs = pick(table(spark, sf_dir, "documents"), {"doc_id": "long", "lang": "string", "source": "string", "n_chars": "long"})
-    return (mixing.mix(docs).withColumnRenamed("_slot", "slot").withColumnRenamed("_start", "chars_before").drop("lang"))
+    return (mixing.mix(docs, most_sources=None).withColumnRenamed("_slot", "slot").withColumnRenamed("_start", "chars_before").drop("lang"))
 
 
 @query

@@ -16,8 +16,9 @@ blocks x log(sources), and sends back the slots of each run of ``PLAN_BLOCKS`` b
 
 Defined cases: a null source is a source of its own; null or negative n_chars count as 0 characters; a
 null doc_id is ordered by a hash of its other columns; equal ids are ordered by size; sources without
-a given target get one quantum; an empty table gives an empty result; more than ``MOST_SOURCES``
-sources raise ``ValueError`` (name a coarser column instead).
+a given target get one quantum; an empty table gives an empty result; any number of sources is mixed
+with ``most_sources=None`` (as the registered queries do); a caller who leaves it at ``MOST_SOURCES``
+is told of more by a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -169,18 +170,19 @@ def running_start(rows: DataFrame, key: str, place: str, value: str, out: str, b
 
 
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, quanta: int = QUANTA,
-        temper: float = TEMPER) -> DataFrame:
+        temper: float = TEMPER, most_sources: int | None = MOST_SOURCES) -> DataFrame:
     """The documents with _slot, _start, block, share and period; ``(_slot, _start, doc_id)`` is the mixed order.
 
-    ``targets``: weight by source; without it a source's weight is its size to the power ``temper``.
+    ``most_sources``: raise ``ValueError`` for more, None for any number.  ``targets``: weight by source; without it a source's weight is its size to the power ``temper``.
     Other columns of ``docs`` are carried along; those named like a result column give way to it.
     """
-    rows = _placed(docs, targets, block_chars, quanta, temper)
+    rows = _placed(docs, targets, block_chars, quanta, temper, most_sources)
     kept = [c for c in docs.columns if c not in RESULT]
     return rows.select(*[F.col("_mix_row").getField(c).alias(c) for c in kept], *RESULT)
 
 
-def _placed(docs: DataFrame, targets: Mapping[str, float] | None, block_chars: int, quanta: int, temper: float) -> DataFrame:
+def _placed(docs: DataFrame, targets: Mapping[str, float] | None, block_chars: int, quanta: int, temper: float,
+            most_sources: int | None) -> DataFrame:
     """_mix_row (the whole row, so that no column name can clash), _mix_id and the result columns."""
     order_id = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "n_chars", *[c for c in ("lang",) if c in docs.columns]))
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
@@ -196,8 +198,8 @@ def _placed(docs: DataFrame, targets: Mapping[str, float] | None, block_chars: i
     whole = totals.withColumn("weight", weight)
     # One small row per source.
     sources = whole.select("key", "weight", F.greatest(F.ceil(F.col("chars") / block_chars), _long(1)).alias("blocks")).collect()
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"{len(sources)} sources; at most {MOST_SOURCES} can be mixed")
+    if most_sources is not None and len(sources) > most_sources:
+        raise ValueError(f"{len(sources)} sources; at most {most_sources} are allowed")
     runs = docs.sparkSession.createDataFrame(
         plan(sources, quanta), "_mix_plan string, _mix_run long, _mix_last long, share long, _mix_slots array<long>, _mix_periods array<long>", verifySchema=False)
     if sum(r["blocks"] for r in sources) <= BROADCAST_BLOCKS:
@@ -211,7 +213,7 @@ def _placed(docs: DataFrame, targets: Mapping[str, float] | None, block_chars: i
 
 
 def mixed(docs: DataFrame, targets: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, quanta: int = QUANTA,
-          temper: float = TEMPER) -> DataFrame:
+          temper: float = TEMPER, most_sources: int | None = MOST_SOURCES) -> DataFrame:
     """The same rows and columns, sorted in the mixed order."""
-    rows = _placed(docs, targets, block_chars, quanta, temper)
+    rows = _placed(docs, targets, block_chars, quanta, temper, most_sources)
     return rows.orderBy("_slot", "_start", F.col("_mix_id").asc_nulls_last()).select(*[F.col("_mix_row").getField(c).alias(c) for c in docs.columns])

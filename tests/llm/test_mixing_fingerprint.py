@@ -78,6 +78,20 @@ def test_mix_keeps_the_given_targets_over_many_slots(spark):
             assert all(abs(had[k] - w * t) < 1 + 2 ** -20 for k, w in targets.items())
 
 
+def test_queries_mix_any_number_of_sources(spark, tmp_path):
+    from corpus_pipeline import mixed
+    from ledgerloom.llm import catalog
+    rows = [(i, "t", "en", f"host{i % 600}", 100_000 + 7 * (i % 600)) for i in range(2400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.queries()["op3_mixing"](spark, str(tmp_path)).collect()
+    share = {r.source: r.share for r in out}
+    slot, worst = schedule(share, collections.Counter({k: -(-4 * (100_000 + 7 * int(k[4:])) // mixing.BLOCK_CHARS) for k in share}))
+    assert len(out) == 2400 and len(share) == 600 and worst < 1
+    assert all(r.slot == slot[r.source, r.block] for r in out)
+    order = [r.doc_id for r in mixed(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()]
+    assert order == [r.doc_id for r in sorted(out, key=lambda r: (r.slot, r.chars_before, r.doc_id))]
+
+
 def test_plan_is_the_edf_schedule():
     rng = random.Random(1)
     for _ in range(200):
