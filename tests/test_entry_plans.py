@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from fixtures import SF001
 
 #: Queries of the training-data operators; their own tests cover them, and this file works without them.
 LLM = {n for n in E.queries() if n == "pipeline" or re.match(r"op[0-9]+_", n)}

@@ -4,7 +4,7 @@ from decimal import Decimal as Dm
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from fixtures import SF001
 from fixtures import D, item, ledger, order, payment
 from ledgerloom.functions.text import seal_list, slug
 from ledgerloom.operators import admission as G
