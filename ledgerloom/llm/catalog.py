@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, fingerprint, langid, lm, mixing, ngram_join, quality, token_counts, toxicity
+from ledgerloom.llm import ann, bpe, fingerprint, langid, lm, mixing, ngram_join, oracles, quality, resample, token_counts, toxicity
 from ledgerloom.llm.columns import crc_mod, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_sentences", "worst_start", "worst_end", "worst_score"))
 
 
+@query
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and draw of every document towards the benchmark's word features."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_resample"] = oracles.RESAMPLE
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
