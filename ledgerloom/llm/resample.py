@@ -111,7 +111,7 @@ def _trim(counts: Counter, to: int) -> Counter:
     return Counter(dict(counts.most_common(to)))
 
 
-def frequent(texts: DataFrame, buckets: int = BUCKETS, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS) -> Head:
+def frequent(texts: DataFrame, buckets: int = BUCKETS, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS, counted: int = COUNTED) -> Head:
     """The head: the most frequent words and pairs among those that tasks report as frequent.
 
     Every text is read.  A task holds a bounded number of counts (rare ones give way), and the driver
@@ -129,15 +129,15 @@ def frequent(texts: DataFrame, buckets: int = BUCKETS, head_words: int = HEAD_WO
                 often = np.argsort(-counts, kind="stable")[:OFFERED_PAIRS * 4]
                 for code, c in zip(codes[often].tolist(), counts[often].tolist()):
                     pairs[names[code // n], names[code % n]] += c
-                words = _trim(words, COUNTED // 2) if len(words) > COUNTED else words
-                pairs = _trim(pairs, COUNTED // 2) if len(pairs) > COUNTED else pairs
+                words = _trim(words, counted // 2) if len(words) > counted else words
+                pairs = _trim(pairs, counted // 2) if len(pairs) > counted else pairs
         offer = [(a, None, c) for a, c in words.most_common(OFFERED_WORDS)] + [(a, b, c) for (a, b), c in pairs.most_common(OFFERED_PAIRS)]
         for start in range(0, len(offer), 4096):
             a, b, c = zip(*offer[start:start + 4096])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["a", "b", "n"])
 
-    counted = texts.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    top = [counted.filter(kind).orderBy(F.col("n").desc(), "a", "b").limit(limit).select("a", "b").collect()
+    offered = texts.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    top = [offered.filter(kind).orderBy(F.col("n").desc(), "a", "b").limit(limit).select("a", "b").collect()
            for kind, limit in ((F.col("b").isNull(), head_words), (F.col("b").isNotNull(), head_pairs))]
     return Head({bytes(r.a): zlib.crc32(bytes(r.a) + b" ") for r in top[0]},
                 {(bytes(r.a), bytes(r.b)): zlib.crc32(bytes(r.a) + b" " + bytes(r.b)) % buckets for r in top[1]})
@@ -191,7 +191,7 @@ def weigh(docs: DataFrame, gain: list[int], head, buckets: int = BUCKETS) -> Dat
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = FRACTION_PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED,
-             buckets: int = BUCKETS) -> DataFrame:
+             buckets: int = BUCKETS, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS, counted: int = COUNTED) -> DataFrame:
     """doc_id, n_features, weight, score, rank (null: not drawn) and n_words of every document of (doc_id, text).
 
     Of the N documents with ``least_words`` or more, floor(percent N / 100) are drawn.  ``target``: (text).
@@ -200,7 +200,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = FRACTION_PERCENT
     ship_package(spark)
     docs = pick(docs, {"doc_id": "long", "text": "string"})
     texts, wanted = docs.select("text"), pick(target, {"text": "string"})
-    head = spark.sparkContext.broadcast(frequent(texts, buckets))
+    head = spark.sparkContext.broadcast(frequent(texts, buckets, head_words, head_pairs, counted))
     gain = gains(bucket_totals(texts, head, buckets), bucket_totals(wanted, head, buckets), buckets)
     digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8)
     noise = F.floor(-1000 * F.log(-F.log((F.conv(digits, 16, 10).cast("double") + 0.5) / 4294967296)))

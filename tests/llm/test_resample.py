@@ -36,19 +36,23 @@ def shown(rows):
 
 
 @pytest.mark.parametrize("head", [resample.HEAD_WORDS, 3])
-def test_rows_are_those_of_the_plain_definition(spark, docs_of, monkeypatch, head):
-    monkeypatch.setattr(resample, "HEAD_WORDS", head)
-    monkeypatch.setattr(resample, "HEAD_PAIRS", head)
-    monkeypatch.setattr(resample, "COUNTED", 40)
+def test_rows_are_those_of_the_plain_definition(spark, docs_of, head):
     rows = [(i, " ".join(f"Wort{(i * j * 7) % (5 + i % 90)}" for j in range(i % 60))) for i in range(200)]
     rows += [(300, "Ärger MIT Ümlaut x2 ÀB,cd-ef_gh " * 9), (301, "long " * 40000), (302, ""), (303, None), (304, "?! .. \x00"), (None, "null id " * 15),
              (None, "another null id " * 15), (305, "tie " * 30), (305, "tie " * 30), (-9, "a b c " * 10)]
     target = ["Wort3 Wort4 wort5", None, "", "ärger mit", "tie tie"]
     wanted = spark.createDataFrame([(t, "x") for t in target], "text string, doc_id string")
-    got = resample.resample(docs_of(rows), wanted).collect()
+    got = resample.resample(docs_of(rows), wanted, head_words=head, head_pairs=head, counted=40).collect()
     assert shown([r.doc_id, r.n_features, r.weight, r.score, r["rank"], r.n_words] for r in got) == shown(plain(rows, target))
 
 
+def test_head_is_bounded_and_holds_exact_states(spark):
+    texts = spark.createDataFrame([("The cat and the cat. " * 50,), ("the dog",), (None,)], "text string")
+    head = resample.frequent(texts, head_words=2, head_pairs=1)
+    assert head.states == {b"the": zlib.crc32(b"the "), b"cat": zlib.crc32(b"cat ")}
+    assert head.pairs == {(b"the", b"cat"): zlib.crc32(b"the cat") % 10000}
+
+
 def test_empty_sides(spark, docs_of):
     rows = [(i, f"some words of text {i} " * 8) for i in range(9)]
     none = spark.createDataFrame([], "text string")
