@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, fingerprint, langid, lm, mixing, ngram_join, oracles, quality, resample, token_counts, toxicity
+from ledgerloom.llm import ann, bpe, centroids, fingerprint, langid, lm, mixing, ngram_join, oracles, quality, resample, sharding, token_counts, toxicity
 from ledgerloom.llm.columns import crc_mod, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,12 +104,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_sentences", "worst_start", "worst_end", "worst_score"))
 
 
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document: equal row counts, equal texts together."""
+    return sharding.shard_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, squared distance and centroid digest of every vector of 64 components."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and draw of every document towards the benchmark's word features."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLE["op12_centroids"] = oracles.centroids()
 ORACLE["op13_resample"] = oracles.RESAMPLE
 
 

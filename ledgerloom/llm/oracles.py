@@ -35,3 +35,26 @@ ranked AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION B
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN place END AS rank, n_words
 FROM ranked
 """
+
+
+def centroids(count: int = 40, rounds: int = 5, components: int = 64) -> str:
+    """Rounds of assignment and exact floored means, one CTE each."""
+    ctes = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {components})""",
+            f"""at0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {count}))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""own{r} AS MATERIALIZED (
+  SELECT row, arg_min(c, d * 1000 + c) AS c, min(d) AS d
+  FROM (SELECT row, c, list_sum(list_transform(list_zip(k.v, a.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept k, at{r} a) GROUP BY row)""")
+        if r < rounds:
+            ctes.append(f"""at{r + 1} AS MATERIALIZED (
+  SELECT a.c, coalesce(m.v, a.v) AS v FROM at{r} a LEFT JOIN (
+    SELECT c, list(CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END ORDER BY i) AS v FROM (
+      SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, {components + 1})) AS i FROM kept JOIN own{r} USING (row)) GROUP BY c, i)
+    GROUP BY c) m ON m.c = a.c)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, digest AS centroid_sha256
+FROM own{rounds} JOIN kept USING (row) JOIN (SELECT c, sha256(array_to_string(v, ',')) AS digest FROM at{rounds}) USING (c)
+"""
