@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.columns import pick
 from ledgerloom.llm.textops import batches
-from ledgerloom.operators.positions import with_position
+from ledgerloom.operators.positions import stored, with_position
 from ledgerloom.session import ship_package
 
 BUCKETS = 10_000
@@ -54,6 +54,10 @@ OFFERED_WORDS = 1 << 11
 OFFERED_PAIRS = 1 << 12
 #: Distinct words and pairs whose counts a task holds at once while it looks for candidates.
 COUNTED = 1 << 17
+#: Bytes of text that are cut into words at once (a longer single text is cut whole), and the size from which a
+#: word's CRC is taken by itself.
+SLICE_BYTES = 1 << 22
+LONG_WORD = 64
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -82,7 +86,8 @@ class Words:
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(batch.data[inside].tobytes())])
         coded = column.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.distinct: list[bytes] = coded.dictionary.to_pylist()
+        self.column = coded.dictionary
+        self.distinct: list[bytes] = self.column.to_pylist()
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Code (first word * number of words + second word) and place of each pair within a text."""
@@ -92,18 +97,56 @@ class Words:
         return self.codes[at] * len(self.distinct) + self.codes[at + 1] if len(at) else at, at
 
 
+def _crc_steps() -> np.ndarray:
+    """CRC-32 of one more byte: the table of the reflected polynomial 0xEDB88320."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ np.where(table & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return table
+
+
+_STEPS = _crc_steps()
+
+
+def continued(states: np.ndarray, words: np.ndarray, column: pa.Array) -> np.ndarray:
+    """The CRCs that ``states`` (unsigned 32 bits) reach over the bytes of the numbered words of ``column``."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    size = np.diff(offsets)[words]
+    order = np.argsort(-size, kind="stable")
+    start, size, crc = offsets[words[order]], size[order], states[order].astype(np.uint32) ^ np.uint32(0xFFFFFFFF)
+    long = int(np.searchsorted(-size, -LONG_WORD, "left"))
+    for j in range(int(size[long]) if long < len(size) else 0):
+        stop = int(np.searchsorted(-size, -j, "left"))  # words of more than j bytes
+        now = crc[long:stop]
+        crc[long:stop] = _STEPS[(now ^ data[start[long:stop] + j]) & np.uint32(0xFF)] ^ (now >> np.uint32(8))
+    out = np.empty(len(crc), np.uint32)
+    crc ^= np.uint32(0xFFFFFFFF)
+    for i in range(long):
+        crc[i] = zlib.crc32(data[start[i]:start[i] + size[i]], int(states[order[i]]))
+    out[order] = crc
+    return out
+
+
 def feature_buckets(words: Words, head: Head, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of every word, bucket of every pair, place of every pair's first word)."""
     spaced = [head.states.get(w) for w in words.distinct]
-    spaced = [zlib.crc32(w + b" ") if s is None else s for w, s in zip(words.distinct, spaced)]
+    spaced = np.array([zlib.crc32(w + b" ") if s is None else s for w, s in zip(words.distinct, spaced)], np.uint32)
     alone = np.array([zlib.crc32(w) % buckets for w in words.distinct], np.int64)
     codes, at = words.pairs()
     pair_codes, back = np.unique(codes, return_inverse=True)
-    n, names, known = max(len(words.distinct), 1), words.distinct, head.pairs
-    resolved = np.zeros(len(pair_codes), np.int64)
-    for i, (a, b) in enumerate(zip((pair_codes // n).tolist(), (pair_codes % n).tolist())):
-        found = known.get((names[a], names[b]))
-        resolved[i] = zlib.crc32(names[b], spaced[a]) % buckets if found is None else found
+    n, number = max(len(words.distinct), 1), {w: i for i, w in enumerate(words.distinct)}
+    resolved = np.full(len(pair_codes), -1, np.int64)
+    # Head: the slice's codes of the frequent pairs whose words it has.
+    known = [(number[a] * n + number[b], bucket) for (a, b), bucket in head.pairs.items() if a in number and b in number]
+    if known and len(pair_codes):
+        code, bucket = np.array(known, np.int64).T
+        place = np.minimum(np.searchsorted(pair_codes, code), len(pair_codes) - 1)
+        there = pair_codes[place] == code
+        resolved[place[there]] = bucket[there]
+    tail = np.flatnonzero(resolved < 0)
+    if len(tail):
+        resolved[tail] = continued(spaced[pair_codes[tail] // n], pair_codes[tail] % n, words.column) % np.uint32(buckets)
     return alone[words.codes] if len(words.codes) else words.codes, resolved[back], at
 
 
@@ -120,7 +163,7 @@ def frequent(texts: DataFrame, buckets: int = BUCKETS, head_words: int = HEAD_WO
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = Counter(), Counter()
         for part in parts:
-            for _, _, batch in batches(part.column(0)):
+            for _, _, batch in batches(part.column(0), limit=SLICE_BYTES):
                 w = Words(batch)
                 names, n = w.distinct, max(len(w.distinct), 1)
                 for i, c in enumerate(np.bincount(w.codes, minlength=len(names)).tolist()):
@@ -136,7 +179,8 @@ def frequent(texts: DataFrame, buckets: int = BUCKETS, head_words: int = HEAD_WO
             a, b, c = zip(*offer[start:start + 4096])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["a", "b", "n"])
 
-    offered = texts.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # Bounded by the number of tasks; written, so that texts are read once for both tables.
+    offered = stored(texts.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "resample-head")
     top = [offered.filter(kind).orderBy(F.col("n").desc(), "a", "b").limit(limit).select("a", "b").collect()
            for kind, limit in ((F.col("b").isNull(), head_words), (F.col("b").isNotNull(), head_pairs))]
     return Head({bytes(r.a): zlib.crc32(bytes(r.a) + b" ") for r in top[0]},
@@ -148,7 +192,7 @@ def bucket_totals(texts: DataFrame, head, buckets: int = BUCKETS) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(buckets, np.int64)
         for part in parts:
-            for _, _, batch in batches(part.column(0)):
+            for _, _, batch in batches(part.column(0), limit=SLICE_BYTES):
                 alone, paired, _ = feature_buckets(Words(batch), head.value, buckets)
                 totals += np.bincount(alone, minlength=buckets) + np.bincount(paired, minlength=buckets)
         full = np.flatnonzero(totals)
@@ -175,7 +219,7 @@ def weigh(docs: DataFrame, gain: list[int], head, buckets: int = BUCKETS) -> Dat
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start, stop, batch in batches(part.column(1)):
+            for start, stop, batch in batches(part.column(1), limit=SLICE_BYTES):
                 words = Words(batch)
                 alone, paired, at = feature_buckets(words, head.value, buckets)
                 sums = np.concatenate([[0], np.cumsum(values.value[alone])])[words.first]
@@ -204,7 +248,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = FRACTION_PERCENT
     gain = gains(bucket_totals(texts, head, buckets), bucket_totals(wanted, head, buckets), buckets)
     digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8)
     noise = F.floor(-1000 * F.log(-F.log((F.conv(digits, 16, 10).cast("double") + 0.5) / 4294967296)))
-    scored = weigh(docs, gain, head, buckets).withColumn("score", F.col("weight") + noise)
+    # Narrow rows, written before they are sorted: a sort reads its input twice.
+    scored = stored(weigh(docs, gain, head, buckets), "resample-weights").withColumn("score", F.col("weight") + noise)
     # Short documents are behind all that take part, so one order serves both.
     part = F.col("n_words") >= least_words
     placed = with_position(scored, (~part).asc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "n_features", "weight")
