@@ -2,22 +2,20 @@
 
 Each job takes a DataFrame of requests and returns one row per request with an outcome and a
 reason.  Only payment and allocation admission are order-dependent; both resolve every
-uncontended key set-based (prefix sums) and fold just the contended ones.
+uncontended key with prefix sums and the contended ones in rounds of prefix sums, so no key and no chain
+of keys is one task.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import MONEY_EPS, QTY_EPS, QTY_SUM, money_eps
+from ledgerloom.functions.money import QTY_EPS, QTY_SUM, money_eps
 from ledgerloom.functions.text import pad3
 from ledgerloom.operators.balances import order_totals, payment_totals, with_balances
-from ledgerloom.operators.components import components
 from ledgerloom.operators.running import id_block, number_rows, running_sum
-from ledgerloom.session import cut_lineage, scratch_path, ship_package
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources.sinks import update_by_key
 
 STATE = "decimal(30,7)"
@@ -92,37 +90,81 @@ def assign_numbers(new: DataFrame, existing: DataFrame, prefix: str, year_col: s
 
 # ---------------------------------------------------------------- G2 payments
 
-def _payment_scan(batches):
-    """Sequential payment rule over rows sorted by (order_id, request_id), streamed batch by batch:
-    only the current order's remaining amount is carried, never the order's requests."""
-    import pandas as pd
-    from decimal import Decimal
-
-    eps = Decimal(MONEY_EPS)
-    current, r = None, None
-    for pdf in batches:
-        ids, orders, amounts, outcomes, before, after = [], [], [], [], [], []
-        for oid, rid, amt, r0 in zip(pdf["order_id"], pdf["request_id"], pdf["amount"], pdf["_r0"]):
-            if oid != current:
-                current, r = oid, Decimal(r0)
-            before.append(r)
-            if r <= eps:
-                outcomes.append("fully_paid")
-            elif Decimal(amt) - r > eps:
-                outcomes.append("exceeds")
-            else:
-                outcomes.append("accepted")
-                r = max(r - Decimal(amt), Decimal(0))
-            after.append(r)
-            ids.append(int(rid))
-            orders.append(int(oid))
-            amounts.append(amt)
-        yield pd.DataFrame({"request_id": ids, "order_id": orders, "amount": amounts, "outcome": outcomes,
-                            "remaining_before": before, "remaining_after": after})
-
-
-_SCAN_SCHEMA = ("request_id long, order_id long, amount decimal(14,2), outcome string, "
-                "remaining_before decimal(30,7), remaining_after decimal(30,7)")
+#: An order's undecided requests are folded in one row up to this number; longer tails are first cut in phases.
+FOLD_REQUESTS = 512
+
+
+def _fold_tails(tails: DataFrame) -> DataFrame:
+    """The sequential payment rule over each order's requests in one row (at most ``FOLD_REQUESTS`` of them)."""
+    zero = F.lit(0).cast(STATE)
+    arrived = F.sort_array(F.collect_list(F.struct("request_id", "amount")))
+    rows = tails.groupBy("order_id").agg(F.first("_r").alias("_r"), arrived.alias("_requests"))
+
+    def step(acc, x):
+        r = acc["r"]
+        outcome = F.when(r <= money_eps(), "fully_paid").when(x["amount"] - r > money_eps(), "exceeds").otherwise("accepted")
+        after = F.when(outcome == "accepted", F.greatest((r - x["amount"]).cast(STATE), zero)).otherwise(r)
+        done = F.struct(x["request_id"].alias("request_id"), x["amount"].alias("amount"), outcome.alias("outcome"),
+                        r.alias("remaining_before"), after.alias("remaining_after"))
+        return F.struct(after.alias("r"), F.concat(acc["done"], F.array(done)).alias("done"))
+
+    empty = F.array().cast("array<struct<request_id:bigint,amount:decimal(14,2),outcome:string,remaining_before:decimal(30,7),remaining_after:decimal(30,7)>>")
+    folded = F.aggregate("_requests", F.struct(F.col("_r").alias("r"), empty.alias("done")), step)
+    return rows.select("order_id", F.explode(folded["done"]).alias("d")).select("d.request_id", "order_id", *[f"d.{c}" for c in _OUTCOME[2:]])
+
+
+_OUTCOME = ["request_id", "order_id", "amount", "outcome", "remaining_before", "remaining_after"]
+
+
+def _payment_phase(tails: DataFrame) -> DataFrame:
+    """One phase of long tails (order_id, request_id, amount, _r: what is left before the tail's first request).
+
+    Let L < _r <= 2 L.  While more than L is left, every request of at most L is accepted, so what is left
+    before a request is a prefix sum; the first larger request that fits ends the phase, as does the request
+    that leaves L or less.  So what is left at least halves in a phase, however long the tail is, and each
+    phase is prefix sums by chunks and one least request per order.  Adds the outcome columns (NULL: behind
+    the phase) and _next, what is left then."""
+    unit = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_r").cast("double"))) - 1).cast(STATE)
+    # the logarithm is a double: at its edge the power may be one too high or too low
+    unit = F.when(unit >= F.col("_r"), (unit / 2).cast(STATE)).when(unit * 2 < F.col("_r"), (unit * 2).cast(STATE)).otherwise(unit)
+    rows = tails.withColumn("_unit", unit).withColumn("_small", F.col("amount") <= F.col("_unit"))
+    rows = rows.withColumn("_taken", F.when(F.col("_small"), F.col("amount")).otherwise(F.lit(0)).cast("decimal(14,2)"))
+    rows = running_sum(rows, ["order_id"], ["request_id"], "_taken", "_sum", chunk=[id_block("request_id")], exclusive=True, result_type=STATE)
+    before = (F.col("_r") - F.col("_sum")).cast(STATE)
+    fits = ~F.col("_small") & (F.col("amount") - before <= money_eps())
+    ends = fits | (F.col("_small") & (before - F.col("amount") <= F.col("_unit")))
+    rows = cut_lineage(rows.withColumn("_before", before).withColumn("_ends", ends))
+    left = F.greatest((F.col("_before") - F.col("amount")).cast(STATE), F.lit(0).cast(STATE))
+    last = rows.filter("_ends").groupBy(F.col("order_id").alias("_lo")).agg(F.min_by(F.struct("request_id", left.alias("left")), "request_id").alias("_last"))
+    rows = rows.join(last, rows["order_id"] == last["_lo"], "left")
+    inside = F.col("_last").isNull() | (F.col("request_id") <= F.col("_last.request_id"))
+    accepted = F.col("_small") | (F.col("request_id") == F.col("_last.request_id"))
+    return rows.select("request_id", "order_id", "amount", F.when(inside, F.when(accepted, "accepted").otherwise("exceeds")).alias("outcome"),
+                       F.col("_before").alias("remaining_before"), F.when(F.coalesce(accepted, F.lit(False)), left).otherwise(F.col("_before")).alias("remaining_after"),
+                       F.col("_last.left").alias("_next"))
+
+
+def _settle_payments(tails: DataFrame) -> DataFrame:
+    """Outcomes of the orders' tails (order_id, request_id, amount, _r), each in request order."""
+    out = None
+    while True:
+        tails = tails.withColumn("_paid", F.col("_r") <= money_eps())
+        sizes = tails.filter("not _paid").groupBy(F.col("order_id").alias("_so")).agg(F.count(F.lit(1)).alias("_n"))
+        tails = cut_lineage(tails.join(sizes, tails["order_id"] == sizes["_so"], "left").drop("_so"))
+        out = _union(out, tails.filter("_paid").select("request_id", "order_id", "amount", F.lit("fully_paid").alias("outcome"),
+                                                      F.col("_r").alias("remaining_before"), F.col("_r").alias("remaining_after")))
+        open_rows = tails.filter("not _paid")
+        out = out.unionByName(_fold_tails(open_rows.filter(F.col("_n") <= FOLD_REQUESTS)).select(*_OUTCOME))
+        long = open_rows.filter(F.col("_n") > FOLD_REQUESTS)
+        if long.isEmpty():
+            return out
+        phase = cut_lineage(_payment_phase(long.select("order_id", "request_id", "amount", "_r")))
+        out = out.unionByName(phase.filter("outcome is not null").select(*_OUTCOME))
+        tails = phase.filter("outcome is null").select("order_id", "request_id", "amount", F.col("_next").alias("_r"))
+
+
+def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
 
 
 def _of_orders(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -148,10 +190,9 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
 
     invalid_amount (≤ 0) / unknown_order / cancelled / fully_paid (remaining ≤ 0.004) /
     exceeds (amount − remaining > 0.004) / accepted (consumes).  Only the requested orders are read.
-    An order's leading requests are accepted with a prefix sum as long as they all fit; the rest of its
-    requests, from the first that does not, go through the ordered scan, which starts with what the
-    prefix left."""
-    ship_package(requests.sparkSession)
+    An order's leading requests are accepted with a prefix sum as long as they all fit.  From the first
+    that does not, long tails go through phases that at least halve what is left (``_payment_phase``), and
+    what is then a short tail is folded in one row."""
     t = requested_orders(t, requests)
     totals = order_totals(t, ["id", "status", "advance_percentage"])
     bal = with_balances(totals, payment_totals(t["order_payments"]) if include_existing else None)
@@ -185,13 +226,8 @@ def admit_payments(t, requests: DataFrame, include_existing: bool = True) -> Dat
     left = live.filter(F.col("request_id") == F.col("_bad")).select(F.col("order_id").alias("_loid"), before.cast(STATE).alias("_left"))
     hard = live.filter(~in_prefix).select("request_id", "order_id", "amount")
     hard = hard.join(left.dropDuplicates(["_loid"]), hard["order_id"] == F.col("_loid"), "inner")
-    # one ordered scan per order; the partition holds many orders, memory holds one Arrow batch plus
-    # the running remaining amount (the external sort spills if needed)
-    folded = (hard.select("order_id", "request_id", "amount", F.col("_left").alias("_r0"))
-              .repartition("order_id").sortWithinPartitions("order_id", "request_id")
-              .mapInPandas(_payment_scan, _SCAN_SCHEMA))
-    hard_out = folded.select("request_id", "order_id", "amount", "outcome", "remaining_before", "remaining_after")
-    return static.unionByName(easy).unionByName(hard_out)
+    tails = hard.select("order_id", "request_id", "amount", F.col("_left").alias("_r"))
+    return static.unionByName(easy).unionByName(_settle_payments(tails))
 
 
 # ---------------------------------------------------------------- G3 allocations
@@ -218,11 +254,10 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
     shipment's allocations: its own quantities count as free for that request alone, and are given back
     only if it is accepted.
 
-    Lines on which even the sum of all demands fits are decided set-based; requests meeting on the other
-    lines are scanned in order, one scan per group of lines that requests connect."""
+    Lines on which even the sum of all demands fits are decided at once; requests meeting on the other
+    lines are decided in rounds (``_reserve``)."""
     from ledgerloom.operators.fulfilment import allocated_qty
 
-    ship_package(requests.sparkSession)
     rq = F.col("requested")
     per_line = (requests.groupBy("request_id", "export_order_item_id")
                 .agg(F.sum("quantity").cast(QTY_SUM).alias("requested"), F.max("client_id").alias("client_id")))
@@ -273,16 +308,7 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
         # quantities have at most 3 decimals: integer thousandths are exact
         (rq * 1000).cast("bigint").alias("requested"), (F.col("own") * 1000).cast("bigint").alias("own"),
         (F.col("_left") * 1000).cast("bigint").alias("left"), F.col("_reason").alias("static_reason")))
-    # lines that a request connects are one group; a line met by single-line requests only is its own
-    heads = rows.groupBy("request_id").agg(F.min("export_order_item_id").alias("b"))
-    edges = rows.join(heads, "request_id").select(F.col("export_order_item_id").alias("a"), "b")
-    groups = components(edges, scratch_path(rows.sparkSession, f"line-groups-{uuid.uuid4().hex}"))
-    grouped = (rows.join(groups, rows["export_order_item_id"] == groups["node"], "left")
-               .withColumn("line_group", F.coalesce("root", "export_order_item_id")))
-    # the scan carries a group's remaining quantities and the rows of the request being decided
-    scanned = (grouped.select("line_group", "client_id", "request_id", "export_order_item_id", "shipment_id", "requested", "own", "left", "static_reason")
-               .repartition("line_group").sortWithinPartitions("line_group", "request_id", "export_order_item_id")
-               .mapInPandas(_allocation_scan, "request_id long, client_id long, outcome string, reason string"))
+    scanned = _reserve(rows, edits is not None)
     in_scan = rows.select("request_id").distinct()
     rest = decided.join(in_scan, "request_id", "left_anti").select(
         "request_id", F.col("_rclient").alias("client_id"), F.when(F.col("_reason").isNull(), "accepted").otherwise("rejected").alias("outcome"),
@@ -290,51 +316,78 @@ def admit_shipments(t, requests: DataFrame, exclude_shipment_id: int | None = No
     return rest.unionByName(scanned)
 
 
-def _allocation_scan(batches):
-    """Sequential all-or-nothing rule in integer thousandths over rows sorted by
-    (line_group, request_id, line); state = what is left of each line and held by each edited shipment.
-
-    A row with ``static_reason`` belongs to a request rejected by a later line; it is reported short
-    if one of these earlier lines is short, else with its static reason, and it never consumes."""
-    import pandas as pd
-
-    group, left, held = None, {}, {}
-    request, client, static, pending = None, None, None, []
-    out = {"request_id": [], "client_id": [], "outcome": [], "reason": []}
-
-    def decide():
-        enough = all(need == 0 or need <= left[line] + held.get((ship, line), 0) for line, ship, need in pending)
-        accepted = enough and static is None
-        if accepted:
-            for line, ship, need in pending:
-                left[line] += held.get((ship, line), 0) - need
-                if ship is not None:
-                    held[ship, line] = need
-        out["request_id"].append(int(request))
-        out["client_id"].append(int(client))
-        out["outcome"].append("accepted" if accepted else "rejected")
-        out["reason"].append(None if accepted else static if enough else "short")
-
-    for pdf in batches:
-        for g, cid, rid, line, ship, need, own, rem, st in pdf.itertuples(index=False):
-            if pending and rid != request:
-                decide()  # before the group switch: the pending request belongs to the old group
-                pending = []
-            if g != group:
-                group, left, held = g, {}, {}
-            ship = None if pd.isna(ship) else int(ship)
-            left.setdefault(line, int(rem))
-            if ship is not None:
-                held.setdefault((ship, line), int(own))
-            request, client, static = rid, cid, st if isinstance(st, str) else None
-            pending.append((line, ship, int(need)))
-        if out["request_id"]:
-            yield pd.DataFrame(out)
-            out = {k: [] for k in out}
-    if pending:
-        decide()
-    if out["request_id"]:
-        yield pd.DataFrame(out)
+def _reserve(rows: DataFrame, with_edits: bool) -> DataFrame:
+    """(request_id, client_id, outcome, reason) of the requests of ``rows``, as if decided one after the other.
+
+    Rows: request_id, client_id, export_order_item_id, shipment_id (edits), requested, own, left (whole
+    thousandths), static_reason (the request is refused by a later line anyhow; it never consumes).
+
+    Rounds: on each line, earlier undecided requests take at most the sum of their demands and give back at
+    most the sum of what their shipments hold.  A request that fits on all its lines even if all of them take
+    is accepted; one that is short on a line even if all of them give back is refused.  The first undecided
+    request of all its lines is always decided, and so are all those ahead of the first that may not fit; the
+    lines' sums are running sums by chunks of requests, so neither a line nor a chain of lines is one task."""
+    state, out = rows, None
+    while True:
+        judged = cut_lineage(_judge_requests(state, with_edits))
+        done = judged.filter("outcome is not null")
+        out = _union(out, done.select("request_id", "client_id", "outcome", "reason").distinct())
+        if judged.filter("outcome is null").isEmpty():
+            return out
+        state = _after_round(judged, with_edits)
+
+
+def _judge_requests(state: DataFrame, with_edits: bool) -> DataFrame:
+    """The undecided rows with the outcome and reason of requests that are certain now (else NULL)."""
+    line, need, own = "export_order_item_id", F.col("requested"), F.col("own")
+    consumes = F.col("static_reason").isNull()
+    if with_edits:
+        # of one shipment's edits the first knows what the shipment holds; later ones wait, with the widest bounds
+        turn = state.filter("shipment_id is not null").groupBy(F.col("shipment_id").alias("_ts")).agg(F.min("request_id").alias("_turn"))
+        most = (state.filter("shipment_id is not null").groupBy(F.col("shipment_id").alias("_ms"), F.col(line).alias("_ml"))
+                .agg(F.greatest(F.max("requested"), F.max("own")).alias("_most")))
+        state = (state.join(turn, state["shipment_id"] == turn["_ts"], "left")
+                 .join(most, (F.col("shipment_id") == F.col("_ms")) & (F.col(line) == F.col("_ml")), "left").drop("_ts", "_ms", "_ml"))
+        waits = F.coalesce(F.col("request_id") > F.col("_turn"), F.lit(False))
+        takes = F.when(consumes, F.when(waits, need).otherwise(F.greatest(need - own, F.lit(0))))
+        gives = F.when(consumes, F.when(waits, F.col("_most")).otherwise(F.greatest(own - need, F.lit(0))))
+    else:
+        waits, takes, gives = F.lit(False), F.when(consumes, need), None
+    chunk = [id_block("request_id")]
+    state = state.withColumn("_waits", waits).withColumn("_takes", F.coalesce(takes, F.lit(0)).cast("bigint"))
+    if gives is not None:
+        state = state.withColumn("_gives", F.coalesce(gives, F.lit(0)).cast("bigint"))
+    state = running_sum(state, [line], ["request_id"], "_takes", "_taken", chunk=chunk, exclusive=True, result_type="bigint")
+    low, high = F.col("left") - F.col("_taken"), F.col("left")
+    if gives is not None:
+        state = running_sum(state, [line], ["request_id"], "_gives", "_given", chunk=chunk, exclusive=True, result_type="bigint")
+        high = high + F.col("_given")
+    fits = (need == 0) | (need <= low + own)
+    short = (need > 0) & (need > high + own)
+    certain = state.groupBy(F.col("request_id").alias("_cr")).agg(
+        F.max("_waits").alias("_w"), F.bool_and(fits).alias("_fits"), F.bool_or(short).alias("_short"), F.max("static_reason").alias("_static"))
+    outcome = (F.when(F.col("_w"), F.lit(None)).when(F.col("_short"), "rejected")
+               .when(F.col("_fits"), F.when(F.col("_static").isNull(), "accepted").otherwise("rejected")))
+    certain = certain.select("_cr", outcome.alias("outcome"), F.when(F.col("_short"), "short").otherwise(F.col("_static")).alias("_why"))
+    return (state.join(certain, state["request_id"] == certain["_cr"])
+            .select("client_id", "request_id", line, "shipment_id", "requested", "own", "left", "static_reason", "outcome",
+                    F.when(F.col("outcome").isNotNull(), F.col("_why")).alias("reason")))
+
+
+def _after_round(judged: DataFrame, with_edits: bool) -> DataFrame:
+    """The undecided rows with what is left of each line, and what shipments hold, before each request.
+
+    A request may be decided ahead of earlier ones, so only later requests see what it took or gave."""
+    accepted = F.coalesce(F.col("outcome") == "accepted", F.lit(False))
+    spent = F.when(accepted, F.col("requested") - F.col("own")).otherwise(F.lit(0)).cast("bigint")
+    rows = running_sum(judged, ["export_order_item_id"], ["request_id"], spent, "_spent", chunk=[id_block("request_id")], exclusive=True, result_type="bigint")
+    taken = judged.filter("outcome = 'accepted'")
+    rest = rows.filter("outcome is null").withColumn("left", F.col("left") - F.col("_spent")).drop("outcome", "reason", "_spent")
+    if with_edits:
+        held = taken.filter("shipment_id is not null").select(F.col("shipment_id").alias("_hs"), F.col("export_order_item_id").alias("_hl"), F.col("requested").alias("_held"))
+        rest = (rest.join(held, (F.col("shipment_id") == F.col("_hs")) & (F.col("export_order_item_id") == F.col("_hl")), "left")
+                .withColumn("own", F.coalesce("_held", "own")))
+    return rest.select("client_id", "request_id", "export_order_item_id", "shipment_id", "requested", "own", "left", "static_reason")
 
 
 # ---------------------------------------------------------------- G4-G9 state rules
