@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import js_trim
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources.schemas import ORDER_STATUSES, PACKAGE_TYPES, PARTY_TYPES
 
 DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -125,9 +126,12 @@ def exclusive(a: str, b: str, message: str = "choose one, not both") -> Column:
     return _err(F.coalesce(fa != "", F.lit(False)) & F.coalesce(fb != "", F.lit(False)), a, message)
 
 
-def validate(df: DataFrame, rules: Sequence[Rule], keep: Iterable[str] = (), extra: Sequence[Column] = ()) \
+def validate(df: DataFrame, rules: Sequence[Rule], keep: Iterable[str] = (), extra: Sequence[Column] = (), once: bool = False) \
         -> tuple[DataFrame, DataFrame]:
-    """V1: apply rules; returns (valid, rejected) with coerced columns and an ``errors`` array."""
+    """V1: apply rules; returns (valid, rejected) with coerced columns and an ``errors`` array.
+
+    ``once``: the judged rows are kept in the shared folder, so that jobs which read both sides several times
+    compile and evaluate the rules once."""
     values, errs = [], []
     for r in rules:
         v, e = compile_rule(r)
@@ -136,6 +140,8 @@ def validate(df: DataFrame, rules: Sequence[Rule], keep: Iterable[str] = (), ext
     errs.extend(extra)
     checked = df.select(*[F.col(k) for k in keep], *values,
                         F.filter(F.array(*errs), lambda x: x.isNotNull()).alias("errors"))
+    if once:
+        checked = cut_lineage(checked)
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 

@@ -45,6 +45,7 @@ def _load_modules() -> None:
     from ledgerloom.plans import q_validation  # noqa: F401
     from ledgerloom.plans import q_parts  # noqa: F401
     from ledgerloom.plans import q_ingest  # noqa: F401
+    from ledgerloom.plans import q_changes  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:

@@ -82,8 +82,8 @@ def _order_values(df: DataFrame) -> list:
 
 def _judged_orders(headers: DataFrame, items: DataFrame, keep: list[str]):
     """Typed headers and items, and what the rules reject (steps 0-2)."""
-    hv, hr = Q.validate(_complete(headers, ORDER_RULES), ORDER_RULES, keep=keep)
-    iv, ir = Q.validate(_complete(items, ITEM_RULES), ITEM_RULES, keep=["request_id", "item_index"])
+    hv, hr = Q.validate(_complete(headers, ORDER_RULES), ORDER_RULES, keep=keep, once=True)
+    iv, ir = Q.validate(_complete(items, ITEM_RULES), ITEM_RULES, keep=["request_id", "item_index"], once=True)
     rejected = (_rejects(hr, F.concat(F.lit("invalid contract: "), Q.errors_text()), 0)
                 .unionByName(_rejects(ir, F.concat(F.lit("invalid line: "), Q.errors_text()), 1))
                 .unionByName(_childless(headers, items, "a contract needs a line", 2)))
@@ -155,9 +155,9 @@ def _shipment_structure_rejects(containers: DataFrame, allocations: DataFrame) -
 def _validate_shipments(requests, containers, allocations):
     sv, sr = Q.validate(_complete(requests, SHIPMENT_RULES), SHIPMENT_RULES,
                         keep=[c for c in ("request_id", "shipment_id") if c in requests.columns],
-                        extra=[Q.exclusive("gd_number", "fi_number", "select either a G.D. or an FI number")])
-    cv, cr = Q.validate(_complete(containers, CONTAINER_RULES), CONTAINER_RULES, keep=["request_id", "container_index"])
-    av, ar = Q.validate(allocations, ALLOCATION_RULES, keep=["request_id", "alloc_index"])
+                        extra=[Q.exclusive("gd_number", "fi_number", "select either a G.D. or an FI number")], once=True)
+    cv, cr = Q.validate(_complete(containers, CONTAINER_RULES), CONTAINER_RULES, keep=["request_id", "container_index"], once=True)
+    av, ar = Q.validate(allocations, ALLOCATION_RULES, keep=["request_id", "alloc_index"], once=True)
     rejected = (_rejects(sr, F.concat(F.lit("invalid shipment: "), Q.errors_text()), 0)
                 .unionByName(_rejects(cr, F.concat(F.lit("invalid container: "), Q.errors_text()), 1))
                 .unionByName(_rejects(ar, F.concat(F.lit("invalid allocation: "), Q.errors_text()), 2))
@@ -268,7 +268,7 @@ def _taken(rows: DataFrame, key: str, target: DataFrame) -> DataFrame:
 
 def ingest_roles(t: Tables, roles: DataFrame, mapping: DataFrame) -> tuple[Tables, DataFrame]:
     """Roles (request_id, name, description) with permission ids (request_id, permission_id)."""
-    rv, rr = Q.validate(_complete(roles, Q.ROLE_RULES), Q.ROLE_RULES, keep=["request_id"])
+    rv, rr = Q.validate(_complete(roles, Q.ROLE_RULES), Q.ROLE_RULES, keep=["request_id"], once=True)
     rejected = _rejects(rr, F.concat(F.lit("invalid role: "), Q.errors_text()), 0)
     rejected = rejected.unionByName(_rejects(_taken(rv, "name", t["roles"]), "role name already exists", 1))
     rv = _new_ids(_drop(rv, rejected), t["roles"], ["request_id"])
@@ -293,7 +293,7 @@ def _judged_products(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, DataF
     if "packaging_details" not in rows.columns:
         rows = rows.withColumn("packaging_details", F.lit(None).cast("string"))
     errors = packaging_errors(F.col("packaging_details"))
-    pv, pr = Q.validate(_complete(rows, PRODUCT_RULES), PRODUCT_RULES, keep=[*keep, "packaging_details"], extra=errors)
+    pv, pr = Q.validate(_complete(rows, PRODUCT_RULES), PRODUCT_RULES, keep=[*keep, "packaging_details"], extra=errors, once=True)
     texts = {r.field for r in PRODUCT_RULES if r.kind == "text" and r.field != "name"}
     pv = pv.select(*keep, *[blank_to_null(c).alias(c) if c in texts else F.col(c) for c in PRODUCT_COLUMNS[:-1]],
                    packaging_json(F.col("packaging_details")).alias("packaging_details"))
