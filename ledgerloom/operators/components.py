@@ -32,9 +32,10 @@ def components(edges: DataFrame, base: str, rounds: int = ROUNDS) -> DataFrame:
         small.write.mode("overwrite").parquet(path)
         state = spark.read.parquet(path)
         # one star per component exactly when no root is itself a member and no member has two roots
-        shape = state.agg(F.count("a").alias("n"), F.countDistinct("a").alias("d")).first()
-        inner = state.select(F.col("b").alias("a")).distinct().join(state.select("a").distinct(), "a", "left_semi").limit(1).count()
-        if shape["n"] == shape["d"] and not inner:
+        sides = F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("member"), F.lit(0).alias("root")),
+                                  F.struct(F.col("b").alias("x"), F.lit(0).alias("member"), F.lit(1).alias("root")))).alias("s")
+        roles = state.select(sides).groupBy("s.x").agg(F.sum("s.member").alias("member"), F.max("s.root").alias("root"))
+        if not roles.agg(F.max((F.col("member") + F.col("root")) > 1)).first()[0]:
             break
     else:
         raise RuntimeError("components did not settle")
