@@ -144,7 +144,7 @@ def predict(model: Model, column: pa.Array, batch: TextBatch) -> tuple[np.ndarra
     k = len(model.languages)
     known = has_letter(column, batch)
     if not k:
-        return np.full(batch.rows, -1), np.zeros(batch.rows), np.ones(batch.rows, bool)
+        return np.full(batch.rows, -1), np.zeros(batch.rows), ~known  # a model that has learned nothing rejects nothing
     sums = np.zeros((batch.rows, k))
     counts = np.zeros(batch.rows)
     full = np.flatnonzero(np.diff(batch.offsets) > 0)
@@ -181,7 +181,8 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                     [part.column(1).slice(start, stop - start), pa.array([a.tobytes() for a, _ in each], pa.binary()),
                      pa.array([b.tobytes() for _, b in each], pa.binary())], names=["lang", "at", "share"])
 
-    found = (bounded_sample(rows, "lang", "doc_id", counts, bounds).select("text", "lang")
+    # The draw is by id and text: null and repeated ids do not stand or fall together.
+    found = (bounded_sample(rows.withColumn("hash", F.xxhash64("text")), "lang", ["doc_id", "hash"], counts, bounds).select("text", "lang")
              .mapInArrow(run, "lang string, at binary, share binary").toArrow())
     found = sorted(zip(*(found[c].to_pylist() for c in ("lang", "at", "share"))))
     return fit([(np.frombuffer(at, np.int32), np.frombuffer(share, np.float32)) for _, at, share in found], [lang for lang, _, _ in found])

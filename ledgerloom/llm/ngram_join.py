@@ -1,29 +1,34 @@
-"""N-gram Jaccard join of documents by banded MinHash, verified exactly.
+"""N-gram Jaccard join of documents by a MinHash LSH forest, verified exactly.
 
 A document is the set of its five-word shingles (ASCII letters lower-cased, words cut at white space;
 fewer than five words make one shingle).  Two documents are linked when the Jaccard similarity of their
 sets is at least the threshold.
 
-1. One pass hashes every whole text: a key of the shingle set and, for each of ``TREES`` bands, one hash
-   of its MinHash values.  Documents with equal sets form one *text*, kept by its least id and weighted by
-   its number of documents.
-2. Texts with equal hashes of a band are candidates: each is joined to the band's least text (a star, not
-   all pairs).  Connected stars are candidate groups.  The number of MinHash values in a band is fixed
-   before any data is seen: the largest, up to ``MOST_DEPTH``, at which pairs at the threshold meet in
-   some band with the target recall (``prefix_depth``: 6 for 0.8, 24, 8 and 0.999).  This is not an LSH
-   forest: no longer labels are kept, sorted or shortened by what is found.
-3. Candidate groups are verified on exact sets, made from the candidates' texts only.  A group is cut
-   into bands of set size (a text can reach the threshold in its own band and the two beside it), and
-   large bands into blocks; each pair of blocks is one task.  A task gives each text its number of
+1. One pass hashes every whole text: a key of the shingle set and, for each of ``TREES`` trees, a label of
+   ``MOST_DEPTH`` MinHash values of two bytes, one behind the other, so that labels in byte order are the
+   tree's sorted prefix trie and a trie node is a prefix.  Documents with equal sets form one *text*, known
+   by its key (never by a document's id) and weighted by its number of documents.
+2. Texts that share a node of the shortest prefix allowed (``prefix_depth``: the one at which pairs just at
+   the threshold meet with the target recall) are kept with their exact sets, once.
+3. The forest is searched from the deepest prefix.  Texts of one node are candidates: each is joined to the
+   node's least text (a star, not all pairs), connected stars are candidate groups, and groups are verified
+   on the exact sets.  What is found gives the recall reached: a verified pair of similarity s shares a
+   prefix of d values in some tree with probability 1 - (1 - s^d)^trees, so found pairs stand for the sum of
+   the inverse probabilities.  While that recall is below the target (or nothing is found), prefixes are
+   shortened by one value; only groups that grow are verified again.  At the shortest prefix it ends.
+4. A group is cut into bands of set size (a text can reach the threshold in its own band and the two beside
+   it), and large bands into blocks; each pair of blocks is one task.  A task gives each text its number of
    linked documents and the least text that it is joined to, never pairs.
-4. Classes are the connected components of exact links.
+5. Classes are the connected components of exact links.
 
 Result: one row per document with its class (the least doc_id of it), its number of linked documents,
-copies included, and the class's numbers of documents and texts.
+copies included, and the class's numbers of documents and texts; ``class_key`` tells classes apart and
+``text_hash`` the texts of one id.
 
 Defined cases: null text is the empty text; texts without a word share no shingle and are linked to
 nothing, not even to one another; a repeated row is one more document of its text; rows that share a
-doc_id but not a text share their links; rows with a null doc_id are kept, alone, with a null class.
+doc_id but not a text belong to their texts' classes, which may then bear the same class_id; rows with a
+null doc_id are kept, alone, with a null class.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.columns import pick
 from ledgerloom.llm.textops import batches, chain, mix
 from ledgerloom.operators.components import components
+from ledgerloom.operators.positions import with_position
 from ledgerloom.session import scratch_path, ship_package
 
 SHINGLE_WORDS = 5
@@ -47,6 +53,8 @@ THRESHOLD = 0.8
 TREES = 24
 MOST_DEPTH = 8
 TARGET_RECALL = 0.999
+#: Bins of similarity, from the threshold to 1, in which found pairs are counted.
+SIMILARITY_BINS = 50
 #: Shingles and texts per block of a large band.
 BLOCK_SHINGLES = 200_000
 BLOCK_TEXTS = 1024
@@ -79,15 +87,6 @@ def shingle_sets(batch, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndar
     return hashes, np.searchsorted(doc, np.arange(batch.rows + 1))
 
 
-def _combine(rows: np.ndarray) -> np.ndarray:
-    """One hash of each column of a (values, documents) matrix."""
-    out = np.zeros(rows.shape[1], np.uint64)
-    with np.errstate(over="ignore"):
-        for row in rows:
-            out = mix(out * _U(0x9E3779B97F4A7C15) + row)
-    return out
-
-
 def signatures(hashes: np.ndarray, begin: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """MinHash values (trees * depth, documents with a shingle)."""
     full = begin[:-1][np.diff(begin) > 0]
@@ -100,7 +99,7 @@ def signatures(hashes: np.ndarray, begin: np.ndarray, trees: int, depth: int) ->
 
 
 def sketch(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
-    """id, set key (two 64-bit numbers) and the hash of each band, of texts with a shingle."""
+    """id, hash of the text, set key (two 64-bit numbers) and the trees' labels, of texts with a shingle."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for start, stop, batch in batches(part.column(1)):
@@ -109,33 +108,33 @@ def sketch(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
                 if not len(full):
                     continue
                 signature = signatures(hashes, begin, trees, depth)
-                labels = np.array([_combine(signature[t * depth:(t + 1) * depth]) for t in range(trees)])
+                labels = (signature >> _U(8)).astype(np.uint16).T.astype(">u2").copy()
                 with np.errstate(over="ignore"):
                     key = [np.add.reduceat(mix(hashes + _U(c)), begin[:-1][full]) for c in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(start, stop - start).take(pa.array(full)), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * trees, pa.int32()), pa.array(labels.T.ravel().view(np.int64)))],
-                    names=["id", "k1", "k2", "labels"])
+                    [*[part.column(i).slice(start, stop - start).take(pa.array(full)) for i in (0, 2)], pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)),
+                     pa.array([row.tobytes() for row in labels], pa.binary())],
+                    names=["id", "text_hash", "k1", "k2", "labels"])
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, labels array<long>")
+    return docs.mapInArrow(run, "id long, text_hash long, k1 long, k2 long, labels binary")
 
 
 def exact_sets(texts: DataFrame, words: int) -> DataFrame:
-    """id, root, weight, n and the set of rows (id, root, weight, text)."""
+    """tid, weight, n and the set of rows (tid, weight, text)."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start, stop, batch in batches(part.column(3)):
+            for start, stop, batch in batches(part.column(2)):
                 hashes, begin = shingle_sets(batch, words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i).slice(start, stop - start) for i in range(3)]
+                    [part.column(i).slice(start, stop - start) for i in range(2)]
                     + [pa.array(np.diff(begin)), pa.array([hashes[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())],
-                    names=["id", "root", "weight", "n", "grams"])
+                    names=["tid", "weight", "n", "grams"])
 
-    return texts.select("id", "root", "weight", "text").mapInArrow(run, "id long, root long, weight long, n long, grams binary")
+    return texts.select("tid", "weight", "text").mapInArrow(run, "tid long, weight long, n long, grams binary")
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray], threshold: float):
-    """Pairs (i, j) of sets with Jaccard similarity at least the threshold, one left set at a time.
+    """(i, all j with Jaccard similarity at least the threshold, their similarities), one left set at a time.
 
     Right sets are laid end to end; a left set marks its hashes in the common dictionary, and one
     running sum counts the marks in every right set.
@@ -153,25 +152,29 @@ def compare(left: list[np.ndarray], right: list[np.ndarray], threshold: float):
         low = np.searchsorted(sizes[order], len(own) * threshold * (1 - 1e-12), "left")
         high = np.searchsorted(sizes[order], len(own) / threshold * (1 + 1e-12), "right")
         if low >= high:
-            yield i, order[:0]
+            yield i, order[:0], np.zeros(0)
             continue
         mark[own] = 1
         common = np.add.reduceat(mark[flat[begin[low]:begin[high]]], begin[low:high] - begin[low])
         mark[own] = 0
         union = len(own) + sizes[order][low:high] - common
-        yield i, order[low:high][common >= threshold * union - 1e-9]
+        hit = common >= threshold * union - 1e-9
+        yield i, order[low:high][hit], common[hit] / union[hit]
 
 
 def _verified(threshold: float):
-    """Group function: links within one block, or between two, of a candidate group."""
+    """Group function: links within one block, or between two, of a candidate group.
+
+    Besides a row per text it returns a row per similarity bin (id -1 - bin) with twice its number of pairs."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
-        ids, weight, side = group["id"].to_numpy(), group["weight"].to_numpy(), group["side"].to_numpy()
+        ids, weight, side = group["tid"].to_numpy(), group["weight"].to_numpy(), group["side"].to_numpy()
         own = bool(group["same"].iloc[0])
         left = np.arange(len(ids)) if own else np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
         linked = np.zeros(len(ids), np.int64)
         parent = np.arange(len(ids))
+        bins = np.zeros(SIMILARITY_BINS, np.int64)
 
         def root(x):
             while parent[x] != x:
@@ -180,47 +183,41 @@ def _verified(threshold: float):
             return x
 
         if len(left) and len(right):
-            for i, found in compare([sets[x] for x in left], [sets[x] for x in right], threshold):
+            for i, found, alike in compare([sets[x] for x in left], [sets[x] for x in right], threshold):
                 a, b = left[i], right[found]
-                b = b[b != a] if own else b
+                if own:
+                    b, alike = b[b != a], alike[b != a]
                 linked[a] += weight[b].sum()
                 if not own:
                     linked[b] += weight[a]
+                at = np.clip(((alike - threshold) / max(1 - threshold, 1e-9) * SIMILARITY_BINS).astype(np.int64), 0, SIMILARITY_BINS - 1)
+                bins += np.bincount(at, minlength=SIMILARITY_BINS) * (1 if own else 2)
                 for x in b:
                     p, q = root(a), root(x)
                     if p != q:
                         parent[max(p, q)] = min(p, q)
         group_of = np.array([root(x) for x in range(len(ids))], np.int64)
         least = pd.Series(ids).groupby(group_of).transform("min").to_numpy() if len(ids) else ids
-        return pd.DataFrame({"id": ids, "linked": linked, "joined": least})
+        full = np.flatnonzero(bins)
+        return pd.DataFrame({"root": group["root"].iloc[0], "id": np.concatenate([ids, -1 - full]), "linked": np.concatenate([linked, bins[full]]), "joined": np.concatenate([least, -1 - full])})
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, trees: int = TREES,
-         most_depth: int = MOST_DEPTH, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, class_docs, class_texts of every document; see the module text."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    base = scratch_path(spark, f"ngram-join-{uuid.uuid4().hex}")
+def reached_recall(pairs: dict[int, int], depth: int, trees: int, threshold: float) -> float:
+    """Share of the wanted pairs that prefixes of ``depth`` find, by the similarities (bins) of those found."""
+    low = [threshold + (1 - threshold) * b / SIMILARITY_BINS for b in pairs]
+    wanted = sum(n / (1 - (1 - s ** depth) ** trees) for s, n in zip(low, pairs.values()))
+    return sum(pairs.values()) / wanted if wanted else 0.0
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
 
-    docs = pick(docs, {"doc_id": "long", "text": "string"})
-    depth = prefix_depth(threshold, trees, most_depth, recall)
-    rows = stored(sketch(docs.filter("doc_id is not null"), trees, depth, words), "sketch")
-    # Equal sets: one text, kept by its least document.
-    texts = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    member = stored(rows.select("id", "k1", "k2").join(texts, ["k1", "k2"]).select("id", "rep"), "member")
-    reps = member.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")).withColumnRenamed("rep", "id")
-    # Equal bands: a star from their texts to the least text.
-    nodes = (rows.join(reps, "id", "left_semi").select("id", F.posexplode("labels").alias("tree", "label")))
-    heads = nodes.groupBy("tree", "label").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last")
-    stars = nodes.join(heads.drop("last"), ["tree", "label"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    groups = components(stars, f"{base}/candidates").withColumnRenamed("node", "id")
-    chosen = groups.join(reps, "id")
-    sets = stored(exact_sets(docs.withColumnRenamed("doc_id", "id").join(chosen, "id").dropDuplicates(["id", "text"]), words), "sets").filter("n > 0")
+def _nodes(labels: DataFrame, trees: int, most: int, depth: int) -> DataFrame:
+    """tid (or whatever else ``labels`` has) and the trie node of each tree at this depth, as one number."""
+    each = F.array(*[F.xxhash64(F.lit(t), F.substring("labels", 1 + 2 * t * most, 2 * depth)) for t in range(trees)])
+    return labels.withColumn("node", F.explode(each)).drop("labels")
+
+
+def _cells(sets: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``sets`` (root, tid, weight, n, grams) dealt to the pairs of blocks that they meet in."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold))) + F.lit(1e-9)).cast("int")
     sets = sets.withColumn("band", band)
     cells = (sets.groupBy("root", "band").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
@@ -228,7 +225,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WOR
     above = cells.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = cells.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
     cells = cells.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
-    sized = sets.join(cells, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sized = sets.join(cells, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
 
     # A task compares blocks p and q of one band, or (up) block p of a band with block q of the next.
     def cell(low, p, q, up, side, same):
@@ -241,25 +238,89 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WOR
     own = each(F.col("parts"), lambda x: cell(F.col("band"), F.least(x, F.col("part")), F.greatest(x, F.col("part")), False, x < F.col("part"), x == F.col("part")))
     up = each(F.col("above"), lambda x: cell(F.col("band"), F.col("part"), x, True, F.lit(0), F.lit(False)))
     down = each(F.col("below"), lambda x: cell(F.col("band") - 1, x, F.col("part"), True, F.lit(1), F.lit(False)))
-    placed = sized.select("root", "id", "weight", "grams", F.explode(F.concat(own, up, down)).alias("c")).select("root", "id", "weight", "grams", "c.*")
-    found = stored(placed.groupBy("root", "low", "p", "q", "up")
-                   .applyInPandas(_verified(threshold), "id long, linked long, joined long"), "found")
+    return sized.select("root", "tid", "weight", "grams", F.explode(F.concat(own, up, down)).alias("c")).select("root", "tid", "weight", "grams", "c.*")
+
+
+def _search(sets: DataFrame, labels: DataFrame, store, base: str, threshold: float, trees: int, most: int, shortest: int, recall: float) -> DataFrame:
+    """id, linked, joined of the verified texts, by prefixes from ``most`` values down; see the module text."""
+    groups, found = None, None
+    for depth in range(most, shortest - 1, -1):
+        placed = labels if groups is None else labels.join(groups, "tid", "left")
+        root = F.col("tid") if groups is None else F.coalesce("root", "tid")
+        nodes = _nodes(placed.select(root.alias("at"), "labels"), trees, most, depth)
+        heads = nodes.groupBy("node").agg(F.min("at").alias("head"), F.max("at").alias("last")).filter("head <> last").drop("last")
+        stars = nodes.join(heads, "node").select(F.col("at").alias("a"), F.col("head").alias("b")).distinct()
+        grown = components(stars, f"{base}/candidates-{depth}").withColumnsRenamed({"node": "old", "root": "new"})
+        if groups is None:
+            groups = grown.select(F.col("old").alias("tid"), F.col("new").alias("root"))
+            again = groups
+        else:
+            # Texts that were alone have no group yet; groups that grew are verified again as a whole.
+            every = labels.select("tid").join(groups, "tid", "left").select("tid", F.coalesce("root", "tid").alias("old"), F.col("root").isNotNull().alias("was"))
+            every = store(every.join(grown, "old", "left").select("tid", F.coalesce("new", "old").alias("root"), F.col("new").isNotNull().alias("grew"), "was"), f"groups-{depth}")
+            groups = every.filter("grew or was").select("tid", "root")
+            again = every.filter("grew").select("tid", "root")
+            found = found.join(grown.select("old"), found["root"] == F.col("old"), "left_anti")
+        checked = (_cells(sets.join(again, "tid"), threshold).groupBy("root", "low", "p", "q", "up")
+                   .applyInPandas(_verified(threshold), "root long, id long, linked long, joined long"))
+        found = store(checked if found is None else found.unionByName(checked), f"found-{depth}")
+        pairs = {-1 - r.id: r.n // 2 for r in found.filter("id < 0").groupBy("id").agg(F.sum("linked").alias("n")).collect()}
+        if pairs and reached_recall(pairs, depth, trees, threshold) >= recall:
+            break
+    return found.filter("id >= 0")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, trees: int = TREES,
+         most_depth: int = MOST_DEPTH, recall: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, class_docs, class_texts of every document; see the module text."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    base = scratch_path(spark, f"ngram-join-{uuid.uuid4().hex}")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    docs = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("text_hash", F.xxhash64("text"))
+    shortest = prefix_depth(threshold, trees, most_depth, recall)
+    rows = stored(sketch(docs.filter("doc_id is not null"), trees, most_depth, words), "sketch")
+    # Equal sets: one text, with a number of its own and its least document.
+    least = F.min(F.struct("id", "text_hash"))
+    texts = with_position(rows.groupBy("k1", "k2").agg(least.alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels")), out="tid")
+    member = stored(rows.select("id", "text_hash", "k1", "k2").join(texts.select("k1", "k2", "tid"), ["k1", "k2"]).select("id", "text_hash", "tid"), "member")
+    # Texts that share a node of the shortest prefix with another: only they can be found at any depth.
+    nodes = _nodes(texts.select("tid", "labels"), trees, most_depth, shortest)
+    shared = nodes.groupBy("node").agg(F.min("tid").alias("head"), F.max("tid").alias("last")).filter("head <> last").select("node")
+    close = nodes.join(shared, "node").select("tid").distinct()
+    chosen = stored(texts.join(close, "tid").select("tid", "weight", "labels", F.col("rep.id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")), "close")
+    named = docs.join(chosen.select("tid", "weight", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["tid"])
+    sets = stored(exact_sets(named, words), "sets")
+    found = _search(sets, chosen.select("tid", "labels"), stored, base, threshold, trees, most_depth, shortest, recall)
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     classes = components(found.select(F.col("id").alias("a"), F.col("joined").alias("b")), f"{base}/classes").withColumnRenamed("node", "id")
-    text_class = (reps.join(linked, "id", "left").join(classes, "id", "left")
-                  .select(F.col("id").alias("rep"), F.coalesce("root", "id").alias("class_id"), "weight", F.coalesce("linked", F.lit(0)).alias("linked")))
-    sizes = text_class.groupBy("class_id").agg(F.sum("weight").alias("class_docs"), F.count(F.lit(1)).alias("class_texts"))
-    full = (member.join(text_class.join(sizes, "class_id"), "rep")
-            .select(F.col("id").alias("doc_id"), "class_id", (F.col("linked") + F.col("weight") - 1).alias("n_links"), "class_docs", "class_texts"))
+    text_class = (texts.select(F.col("tid").alias("id"), "weight", "rep").join(linked, "id", "left").join(classes, "id", "left")
+                  .select(F.col("id").alias("tid"), F.coalesce("root", "id").alias("class_key"), "weight", F.col("rep.id").alias("rep"), F.coalesce("linked", F.lit(0)).alias("linked")))
+    sizes = text_class.groupBy("class_key").agg(F.sum("weight").alias("class_docs"), F.count(F.lit(1)).alias("class_texts"), F.min("rep").alias("class_id"))
+    full = (member.join(text_class.join(sizes, "class_key"), "tid")
+            .select(F.col("id").alias("doc_id"), "class_id", (F.col("linked") + F.col("weight") - 1).alias("n_links"), "class_docs", "class_texts", "class_key", "text_hash"))
     # Documents without a shingle, or without an id, are alone.
     alone = docs.filter(F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
     one = F.lit(1).cast("long")
-    return full.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-                                         one.alias("class_docs"), one.alias("class_texts")))
+    return full.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), one.alias("class_docs"),
+                                         one.alias("class_texts"), F.lit(None).cast("long").alias("class_key"), "text_hash"))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents whose id is their class's least one (one row each), and those without an id."""
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One document of each class, and every document that is alone without a word or an id.
+
+    Kept is the class's least (doc_id, text_hash); of rows repeated under it the least by their other columns."""
+    columns = docs.columns
+    docs = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    best = (classes.filter("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+            .select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_kept")).distinct())
+    rest = [F.col(f"`{c}`").cast("string") for c in columns if c not in ("doc_id", "text")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    kept = docs.join(best, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
+    one = kept.groupBy("doc_id", "_hash").agg(F.min_by(whole, F.struct(*rest, "text")).alias("row")).select("row.*")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return one.unionByName(docs.filter(F.col("doc_id").isNull() | ~worded).drop("_hash"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.columns import pick
-from ledgerloom.llm.sampling import bounded_sample, class_counts
+from ledgerloom.llm.sampling import labelled_sample
 from ledgerloom.llm.textops import TextBatch, batches
 from ledgerloom.session import cut_lineage, ship_package
 
@@ -142,9 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_good: int = SAMPLE_GOOD, sa
     ship_package(docs.sparkSession)
     docs = pick(docs, {"doc_id": "long", "text": "string"})
     labels = pick(labels, {"doc_id": "long", "quality": "int"}).filter("quality in (0, 1)")
-    rows = labels.join(docs.select("doc_id").distinct(), "doc_id")
-    counts = class_counts(rows.select("quality"), "quality")
-    sample = bounded_sample(rows, "quality", "doc_id", counts, {1: sample_good, 0: sample_bad})
+    sample, counts = labelled_sample(docs, labels, "quality", {1: sample_good, 0: sample_bad})
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -152,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_good: int = SAMPLE_GOOD, sa
                 x = features(batch)
                 yield pa.RecordBatch.from_arrays([part.column(1).slice(start, stop - start), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
 
-    found = docs.join(F.broadcast(sample), "doc_id").select("text", "quality").mapInArrow(run, "quality int, x binary").toArrow()
+    found = sample.mapInArrow(run, "quality int, x binary").toArrow()
     found = sorted(zip(*(found[c].to_pylist() for c in ("quality", "x"))))
     x = np.array([np.frombuffer(row) for _, row in found]).reshape(-1, len(FEATURES))
     return fit(x, np.array([y for y, _ in found], np.int64), counts)

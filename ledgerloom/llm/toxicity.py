@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.columns import pick
-from ledgerloom.llm.sampling import bounded_sample, class_counts
+from ledgerloom.llm.sampling import labelled_sample
 from ledgerloom.llm.textops import TextBatch, batches
 from ledgerloom.session import ship_package
 
@@ -185,15 +185,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], true_count
 def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
     """Fit on a bounded sample of documents (doc_id, text) with labels (doc_id, toxic).
 
-    The sample is drawn among the labels of present documents (ids only), so it is small enough to be
-    broadcast to the texts: its expected size is at most the two bounds.
+    Its expected size is at most the two bounds, whatever ids are repeated.
     """
     ship_package(docs.sparkSession)
     docs = pick(docs, {"doc_id": "long", "text": "string"})
     labels = pick(labels, {"doc_id": "long", "toxic": "int"}).filter("toxic in (0, 1)")
-    rows = labels.join(docs.select("doc_id").distinct(), "doc_id")
-    counts = class_counts(rows.select("toxic"), "toxic")
-    sample = bounded_sample(rows, "toxic", "doc_id", counts, {1: sample_toxic, 0: sample_clean})
+    sample, counts = labelled_sample(docs, labels, "toxic", {1: sample_toxic, 0: sample_clean})
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -204,8 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
                 yield pa.RecordBatch.from_arrays([part.column(1).slice(start, stop - start), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
                                                  names=["toxic", "bucket", "begin"])
 
-    found = (docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-             .mapInArrow(run, "toxic int, bucket binary, begin binary").toArrow())
+    found = sample.mapInArrow(run, "toxic int, bucket binary, begin binary").toArrow()
     found = sorted(zip(*(found[c].to_pylist() for c in ("toxic", "bucket", "begin"))))
     return fit([(np.frombuffer(bucket, np.int32), np.frombuffer(begin, np.int32)) for _, bucket, begin in found], [y for y, _, _ in found], counts)
 

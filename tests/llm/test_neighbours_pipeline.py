@@ -128,6 +128,31 @@ def test_join_of_nothing(spark, docs_of):
         assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == [(i, i, 0) for i, _ in rows]
 
 
+def test_no_text_is_lost_under_a_repeated_id(spark, docs_of):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    docs = docs_of([(5, x), (5, y), (9, x), (11, y), (5, x), (7, "z " * 30)])
+    classes = ngram_join.join(docs)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in classes.collect()) == [(5, 5, 1), (5, 5, 2), (5, 5, 2), (7, 7, 0), (9, 5, 2), (11, 5, 1)]
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(docs, classes).collect()) == sorted([(5, x), (5, y), (7, "z " * 30)])
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark, docs_of, monkeypatch):
+    searched = []
+    plain = ngram_join.reached_recall
+    monkeypatch.setattr(ngram_join, "reached_recall", lambda pairs, depth, *a: searched.append(depth) or plain(pairs, depth, *a))
+    base = [f"w{i}" for i in range(200)]
+    near = [(i, " ".join(base[:199] + [f"end{i}"])) for i in range(5)]  # all but one shingle shared
+    far = [(10 + i, " ".join([*base[:90 - i], f"v{i}", *base[91 - i:]])) for i in range(9)]
+    assert all(r.n_links == 4 for r in ngram_join.join(docs_of(near)).collect()) and searched == [8]
+    searched.clear()
+    cut = [(20 + i, " ".join(f"q{j}" if j != 9 + 10 * i else f"u{i}" for j in range(100))) for i in range(8)]  # similarity 0.81
+    rows = cut + far[:2]
+    out = ngram_join.join(docs_of(rows)).collect()
+    assert searched == sorted(searched, reverse=True) and searched[0] == 8 and len(searched) > 1
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == sorted(brute_links(rows))
+    assert plain({}, 8, 24, 0.8) == 0 and plain({49: 10}, 8, 24, 0.8) > 0.999 > plain({0: 10}, 8, 24, 0.8)
+
+
 def test_prefixes_are_shortened_to_the_target():
     assert ngram_join.prefix_depth(0.8, 24, 8, 0.999) == 6
     assert ngram_join.prefix_depth(0.8, 24, 8, 0.5) == 8
@@ -171,6 +196,35 @@ def test_pipeline_of_odd_rows(spark, docs_of):
             now.count()
 
 
+def test_pipeline_with_null_and_repeated_ids_keeps_what_a_plain_version_keeps(spark, sf01):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    whole = {name: stage(spark, docs, sf01) for name, stage in corpus_pipeline.STAGES[:1]}["language ID"].select("text").distinct().count()
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        odd = docs.withColumn("doc_id", ids)
+        kept = corpus_pipeline.languages(spark, odd, sf01)
+        assert kept.select("text").distinct().count() >= 0.97 * whole
+    alike = docs.withColumn("doc_id", F.lit(7).cast("long"))
+    texts = [r.text for r in corpus_pipeline.one_of_each(spark, alike, sf01).collect()]
+    rows = [(i, r.text) for i, r in enumerate(docs.collect())]
+    classes = {c for i, c, _ in brute_links(rows)}
+    assert abs(len(texts) - len(classes)) <= 0.01 * len(classes)
+    assert len(set(texts)) >= 0.99 * len({rows[c][1] for c in classes})
+
+
+def test_samples_are_bounded_whatever_ids_are_repeated(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm import sampling
+    rows = spark.range(4000).select(F.lit(3).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(3, 1), (3, 1), (None, 0)], "doc_id long, quality int")
+    sample, counts = sampling.labelled_sample(rows, labels, "quality", {1: 200, 0: 50})
+    assert counts == {1: 4000} and 20 < sample.count() < 300
+    nulls = rows.select(F.lit(None).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.xxhash64("text").alias("hash"))
+    assert 20 < sampling.bounded_sample(nulls, "lang", ["doc_id", "hash"], {"en": 4000}, {"en": 200}).count() < 300
+
+
 def test_pipeline_returns_the_mixed_position(spark, sf01, tmp_path):
     import corpus_pipeline
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
@@ -189,7 +243,7 @@ def test_pipeline_returns_the_mixed_position(spark, sf01, tmp_path):
 
 def test_every_operator_is_registered():
     names = set(catalog.queries())
-    assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 11)) and len(names) == 10
+    assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 14)) and len(names) == 13
 
 
 def test_entry_works_without_the_package(tmp_path):
