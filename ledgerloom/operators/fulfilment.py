@@ -14,7 +14,7 @@ from ledgerloom.functions.money import QTY_SUM, qty_eps
 from ledgerloom.functions.ordering import sort_if
 from ledgerloom.functions.text import contract_number_expr
 from ledgerloom.operators.balances import line_value
-from ledgerloom.operators.running import LINE_BLOCK_BITS, id_block, running_sum
+from ledgerloom.operators.running import LINE_BLOCK_BITS, id_block, number_rows, running_sum
 
 WEIGHT = "decimal(26,6)"
 VALUE = "decimal(30,7)"
@@ -302,6 +302,39 @@ def shipment_containers_of(t, shipment_id: int | None = None) -> DataFrame:
                    shipment_id is not None, "shipment_id", "line_number")
 
 
+#: Lines of one page of a nested view.
+PAGE_LINES = 1000
+
+
+def paged(lines: DataFrame, parent: str, order: list[str], page_lines: int = PAGE_LINES) -> DataFrame:
+    """(parent, page, first_line, lines): the parent's lines in order, at most ``page_lines`` in a row.
+
+    Lines are numbered by chunks, so neither a row nor a task holds more of a large parent than a page or a
+    chunk; the last order column is a number that tells lines apart."""
+    columns = [c for c in lines.columns if c != parent]
+    numbered = number_rows(lines, [parent], order, "_place", chunk=[id_block(order[0], LINE_BLOCK_BITS)])
+    page = F.floor((F.col("_place") - 1) / page_lines).cast("int")
+    entry = F.struct(F.col("_place"), F.struct(*columns).alias("line"))
+    pages = numbered.groupBy(parent, page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("_lines"))
+    return pages.select(parent, "page", (F.col("page") * page_lines + 1).alias("first_line"), F.transform("_lines", lambda x: x["line"]).alias("lines"))
+
+
+def order_detail_pages(t, page_lines: int = PAGE_LINES) -> DataFrame:
+    """R6 in pages: (order, page) rows of at most ``page_lines`` lines, each with the order's number and names."""
+    pages = paged(order_lines(t), "export_order_id", ["line_number", "id"], page_lines)
+    h = order_header(t).select("id", "invoice_number", "client_name", "customs_consignee_name")
+    return h.join(pages, h["id"] == pages["export_order_id"]).drop("export_order_id")
+
+
+def shipment_detail_pages(t, page_lines: int = PAGE_LINES) -> DataFrame:
+    """R7 in pages: (shipment, page) rows of at most ``page_lines`` lines with their carton ranges."""
+    lines = shipment_cartons(t).withColumn("_first", F.col("container_line_number") * (1 << 32) + F.col("line_number"))
+    pages = paged(lines, "shipment_id", ["_first", "id"], page_lines)
+    pages = pages.withColumn("lines", F.transform("lines", lambda x: x.dropFields("_first")))
+    h = shipment_header(t, contracts=False).select("id", "shipment_number", "client_name")
+    return h.join(pages, h["id"] == pages["shipment_id"]).drop("shipment_id")
+
+
 def order_detail(t) -> DataFrame:
     """Order header + nested lines (one row per order; the item list is the order's own lines)."""
     lines = order_lines(t)

@@ -100,15 +100,32 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, out: str =
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk=chunk, result_type="int")
 
 
-def number_all(df: DataFrame, order: Sequence[str], out: str, bits: int = ID_BLOCK_BITS) -> DataFrame:
+#: Levels of blocks above the first: block totals are summed within larger blocks, and so on, until the
+#: last level has at most 2 ** (63 - bits - sum) blocks for ids of 64 bits.
+NUMBER_LEVELS = (14, 14)
+
+
+def number_all(df: DataFrame, order: Sequence[str], out: str, bits: int = ID_BLOCK_BITS, levels: Sequence[int] = NUMBER_LEVELS) -> DataFrame:
     """1-based row number over the whole batch in the given order, without a constant key.
 
-    Rows are numbered within blocks of the first order column (a whole number), blocks by the sum of
-    the earlier ones; only the block totals (one row per 2 ** bits values) meet in one window."""
+    Rows are numbered within blocks of the first order column (a whole number), blocks within larger blocks and
+    so on; ids that are scattered over all of 64 bits have few blocks left at the last level, which is the only
+    window without a key.  NULLs of the first order column come first."""
     df = df.withColumn("_blk", id_block(order[0], bits))
     local = df.withColumn("_ln", F.row_number().over(Window.partitionBy("_blk").orderBy(*order)))
     totals = df.groupBy("_blk").agg(F.count(F.lit(1)).alias("_bn"))
-    before = Window.orderBy(F.col("_blk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("_blk").alias("_sb"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_so"))
+    starts = _starts(totals, list(levels)).select(F.col("_blk").alias("_sb"), F.col("_start").alias("_so"))
     return (local.join(starts, F.col("_blk").eqNullSafe(F.col("_sb")))
             .withColumn(out, (F.col("_so") + F.col("_ln")).cast("bigint")).drop("_blk", "_sb", "_so", "_ln"))
+
+
+def _starts(totals: DataFrame, levels: list[int]) -> DataFrame:
+    """(_blk, _start): rows of all earlier blocks (_blk, _bn), by blocks of blocks."""
+    before = lambda w: F.coalesce(F.sum("_bn").over(w.orderBy(F.col("_blk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not levels:
+        return totals.select("_blk", before(Window.partitionBy()).alias("_start"))
+    grouped = totals.withColumn("_up", id_block("_blk", levels[0]))
+    above = grouped.groupBy(F.col("_up").alias("_blk")).agg(F.sum("_bn").alias("_bn"))
+    offsets = _starts(above, levels[1:]).select(F.col("_blk").alias("_ub"), F.col("_start").alias("_us"))
+    inside = grouped.withColumn("_in", before(Window.partitionBy("_up")))
+    return inside.join(offsets, F.col("_up").eqNullSafe(F.col("_ub"))).select("_blk", (F.col("_in") + F.col("_us")).alias("_start"))

@@ -46,6 +46,8 @@ def _load_modules() -> None:
     from ledgerloom.plans import q_parts  # noqa: F401
     from ledgerloom.plans import q_ingest  # noqa: F401
     from ledgerloom.plans import q_changes  # noqa: F401
+    from ledgerloom.plans import q_store  # noqa: F401
+    from ledgerloom.plans import q_ordered  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:

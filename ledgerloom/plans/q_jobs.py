@@ -119,11 +119,7 @@ def _orphans_sql() -> str:
 @register("orphans", with_ctes(_orphans_sql()))
 def q_orphans(t):
     """Foreign-key orphans across the ledger tables."""
-    out = None
-    for label, child, fk, parent, nullable in FKS:
-        o = Q.orphans(t[child], fk, t[parent], nullable=nullable, label=label)
-        out = o if out is None else out.unionByName(o)
-    return out
+    return Q.all_orphans(t, FKS)
 
 
 @register("shipment_structure", with_ctes(
@@ -366,12 +362,15 @@ def q_requested_per_line(t):
 
 
 @register("revised_totals", with_ctes(
-    f"""SELECT export_order_id AS request_id, {D('CAST(SUM(CASE WHEN is_sample THEN 0 ELSE quantity * client_price_per_carton END) AS DECIMAL(24,7))')} AS revised_total
-    FROM export_order_items WHERE line_number <= 3 GROUP BY 1"""))
+    f"""SELECT export_order_id AS request_id, {D('CAST(SUM(CASE WHEN is_sample OR line_number = 5 THEN 0 WHEN line_number % 3 = 0 THEN 2 * quantity * client_price_per_carton ELSE quantity * client_price_per_carton END) AS DECIMAL(24,7))')} AS revised_total
+    FROM export_order_items GROUP BY 1"""))
 def q_revised_totals(t):
-    """Order totals of proposed item sets (the first three lines of every order)."""
-    i = t["export_order_items"].filter(F.col("line_number") <= 3)
-    return G.revised_totals(i.select(F.col("export_order_id").alias("request_id"), "quantity", "client_price_per_carton", "is_sample"))
+    """Order totals of proposed item sets: every order's lines, some doubled, fifth lines as samples."""
+    n = F.col("line_number")
+    proposed = t["export_order_items"].select(
+        F.col("export_order_id").alias("request_id"), F.when(n % 3 == 0, F.col("quantity") * 2).otherwise(F.col("quantity")).cast("decimal(12,3)").alias("quantity"),
+        "client_price_per_carton", (F.col("is_sample") | (n == 5)).alias("is_sample"))
+    return G.revised_totals(proposed)
 
 
 _STATUS_REQ = "CASE id % 3 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'confirmed' ELSE 'draft' END"

@@ -56,13 +56,14 @@ def q_allocated_qty_excluding(t):
 @register("unique_against_target", with_ctes(
     """SELECT id, lower(name) AS name, COUNT(*) OVER (PARTITION BY lower(name)) > 1 AS in_batch,
       lower(name) IN (SELECT lower(name) FROM parties WHERE party_type = 'client') AS in_target
-    FROM (SELECT id, IF(id % 2 = 0, upper(name), name || ' & Co') AS name FROM parties WHERE party_type <> 'client' OR id % 3 = 0) b
+    FROM (SELECT id, CASE id % 3 WHEN 0 THEN upper(name) WHEN 1 THEN name || ' & Co' ELSE 'Shared ' || CAST(CAST(floor(id / 4) AS BIGINT) AS VARCHAR) END AS name FROM parties) b
     QUALIFY in_batch OR in_target"""))
 def q_unique_against_target(t):
     """V3: names of a batch that exist among the clients, or twice in the batch, whatever their case."""
     p = t["parties"]
-    batch = (p.filter((F.col("party_type") != "client") | (F.col("id") % 3 == 0))
-             .select("id", F.when(F.col("id") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" & Co"))).alias("name")))
+    spelling = (F.when(F.col("id") % 3 == 0, F.upper("name")).when(F.col("id") % 3 == 1, F.concat("name", F.lit(" & Co")))
+                .otherwise(F.concat(F.lit("Shared "), F.floor(F.col("id") / 4).cast("bigint").cast("string"))))
+    batch = p.select("id", spelling.alias("name"))
     return Q.unique_violations(batch, ["name"], target=p.filter(F.col("party_type") == "client"), lower=["name"]).select("id", "name", "in_batch", "in_target")
 
 

@@ -1,4 +1,4 @@
-"""Write-side table operations.
+"""Write-side table operations (S5-S11; ``store.py`` persists them and appends audit rows, S12).
 
 Every operation is a pure DataFrame -> DataFrame transformation (keyed joins and unions) so it
 can be planned, tested and retried; ``write_table`` persists a result into the shared table folder.
@@ -142,12 +142,6 @@ def replace_children(child: DataFrame, parent_key: str, new_rows: DataFrame, rep
     return kept.unionByName(new_rows, allowMissingColumns=True)
 
 
-def append_audit(events: DataFrame, path: str, ts_col: str = "created_at") -> None:
-    """Append audit rows partitioned by event date."""
-    (events.withColumn("event_date", F.to_date(F.col(ts_col)))
-     .write.mode("append").partitionBy("event_date").parquet(path))
-
-
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist a table into the shared table folder (parquet)."""
     df.write.mode(mode).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +138,34 @@ def conform(df: DataFrame, schema: T.StructType, drop: Iterable[str] = ()) -> Da
     return df.select(*cols)
 
 
+def load_versions(spark: SparkSession, path: str, schema: T.StructType, renames: Mapping[int, Mapping[str, str]] | None = None,
+                  domains: Mapping[int, Mapping[str, Iterable[str]]] | None = None) -> DataFrame:
+    """S1 + S3: a table whose folders ``version=N`` were written under different schema versions, as one table.
+
+    Each version is read with the schema of its own files, its old column names are mapped (``renames``: version
+    -> old name -> name) and its rows conformed to ``schema`` (missing columns NULL, other types cast).  Adds
+    ``version`` and ``outside_domain``: the columns whose value the version's enum ``domains`` do not know."""
+    parts = []
+    for version in sorted(_versions(spark, path)):
+        df = spark.read.option("mergeSchema", "true").parquet(os.path.join(path, f"version={version}"))
+        df = df.withColumnsRenamed(dict((renames or {}).get(version, {})))
+        known = (domains or {}).get(version, {})
+        unknown = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(values)), F.lit(c)) for c, values in known.items()]
+        outside = F.concat_ws(",", *unknown) if unknown else F.lit("")
+        parts.append(conform(df, schema).withColumns({"version": F.lit(version), "outside_domain": outside}))
+    if not parts:
+        raise FileNotFoundError(f"no version folders in {path}")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``version=N`` folders (listed through the path's file system)."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hpath)
+    names = [s.getPath().getName() for s in listed]
+    return [int(n.split("=", 1)[1]) for n in names if n.startswith("version=")]
+
+
 def enum_violations(df: DataFrame, column: str, domain: Iterable[str]) -> DataFrame:
     """S3 (enum side): rows whose value lies outside an (extended) enum domain."""
     return df.filter(F.col(column).isNotNull() & ~F.col(column).isin(list(domain)))

@@ -165,6 +165,7 @@ SELECT event_id AS id,
   user_id,
   CASE event_type WHEN 'view' THEN 'previewed' WHEN 'click' THEN 'printed'
     WHEN 'purchase' THEN 'downloaded' ELSE 'shredded' END AS action_name,
+  ts AS created_at,
   CASE WHEN event_id % 8 < 4 THEN 'sale_contract' WHEN event_id % 8 < 6 THEN 'gate_pass'
     ELSE 'client_packing_list' END AS document_type
 FROM {events}"""),

@@ -71,12 +71,12 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plans_python_only_in_sequential_scans(spark):
+def test_no_python_in_any_plan(spark):
     for name, build in LEDGER.items():
         plan = _plan(build(spark, SF001))
         python = any(k in plan for k in ("FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython",
                                           "MapInPandas"))
-        assert python == (name in ("admit_shipments", "shipment_edits", "admit_payments")), name
+        assert not python, name
 
 
 def test_no_single_partition_windows(spark):

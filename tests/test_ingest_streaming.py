@@ -212,7 +212,7 @@ def test_apply_order_edits(spark):
 
 
 def test_load_conform_and_audit(spark, tmp_path):
-    from ledgerloom.sources import sinks, tables
+    from ledgerloom.sources import store, tables
     raw = spark.createDataFrame([(1, "Acme", "client")], "ID long, name string, party_type string")
     c = tables.conform(raw, __import__("ledgerloom.sources.schemas", fromlist=["x"]).SCHEMAS["parties"])
     assert c.columns[0] == "id" and c.schema["is_active"].dataType.simpleString() == "boolean"
@@ -227,7 +227,7 @@ def test_load_conform_and_audit(spark, tmp_path):
     ev = spark.createDataFrame([(1, 5, "printed", "2024-01-02 10:00:00")],
                                "id long, user_id long, action_name string, created_at string") \
         .withColumn("created_at", F.to_timestamp("created_at"))
-    sinks.append_audit(ev, os.path.join(root, "audit"))
-    sinks.append_audit(ev, os.path.join(root, "audit"))
+    store.append_audit(ev, os.path.join(root, "audit"), 1)
+    store.append_audit(ev, os.path.join(root, "audit"), 2)
     back = spark.read.parquet(os.path.join(root, "audit"))
     assert back.count() == 2 and "event_date" in back.columns
