@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import with_optional
 from ledgerloom.sources.schemas import DOCUMENT_ACTIONS, ORDER_DOCUMENT_TYPES, SHIPMENT_DOCUMENT_TYPES
 
 GATE_PASS_VIEW = "gate_pass.view"
@@ -118,10 +119,10 @@ def restrict(df: DataFrame, view: str, permissions: Iterable[str], absent: Itera
 
 def users_with_roles(t, ordered: bool = False) -> DataFrame:
     """Users with their role name, by name."""
-    u, r = t["users"], t["roles"]
+    u, r = with_optional(t["users"], "users", ["phone", "last_login_at", "created_at"]), t["roles"]
     return (u.join(r.select(F.col("id").alias("_rid"), F.col("name").alias("role_name")),
                    u["role_id"] == F.col("_rid"), "inner")
-            .select("id", "name", "email", "role_id", "role_name", "is_active")
+            .select("id", "name", "email", "phone", "is_active", "last_login_at", "created_at", "role_id", "role_name")
             .transform(lambda d: d.orderBy("name", "id") if ordered else d))
 
 

@@ -18,6 +18,7 @@ def backfill_containers(shipments: DataFrame, containers: DataFrame) -> DataFram
     own = F.col("container_number") if "container_number" in shipments.columns else F.lit(None).cast("string")
     ctype = F.col("container_type") if "container_type" in shipments.columns else F.lit(None).cast("string")
     cbm = F.col("cbm") if "cbm" in shipments.columns else F.lit(None).cast("decimal(12,3)")
+    seals = F.col("seal_numbers") if "seal_numbers" in shipments.columns else F.lit(None).cast("string")
     return missing.select(
         (F.col("id") * 10 + NEW_CONTAINER_LINE).alias("id"),
         F.col("id").alias("shipment_id"),
@@ -25,7 +26,8 @@ def backfill_containers(shipments: DataFrame, containers: DataFrame) -> DataFram
         F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("CONTAINER-"), F.col("id").cast("string")))
         .alias("container_number"),
         ctype.alias("container_type"),
-        cbm.cast("decimal(12,3)").alias("cbm"))
+        cbm.cast("decimal(12,3)").alias("cbm"),
+        seals.alias("seal_numbers"))
 
 
 def backfill_allocation_containers(allocations: DataFrame, containers: DataFrame) -> DataFrame:

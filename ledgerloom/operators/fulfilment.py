@@ -14,6 +14,7 @@ from ledgerloom.functions.money import QTY_SUM, qty_eps
 from ledgerloom.functions.ordering import sort_if
 from ledgerloom.functions.text import contract_number_expr
 from ledgerloom.operators.balances import line_value
+from ledgerloom.sources.tables import with_optional
 from ledgerloom.operators.running import LINE_BLOCK_BITS, id_block, number_rows, running_sum
 
 WEIGHT = "decimal(26,6)"
@@ -79,18 +80,18 @@ def order_list(t, ordered: bool = False) -> DataFrame:
         F.sum(line_value()).cast(VALUE).alias("client_value"),
         F.sum(q).cast(QTY_SUM).alias("contracted_quantity"),
         F.sum("allocated_quantity").cast(QTY_SUM).alias("shipped_quantity"))
-    o = t["export_orders"].select("id", "invoice_number", "sales_contract_number", "status", "contract_date",
-                                  "currency", "client_id", "customs_consignee_id")
+    o = with_optional(t["export_orders"], "export_orders", ["created_at"]).select(
+        "id", "invoice_number", "sales_contract_number", "status", "contract_date", "created_at", "currency", "client_id", "customs_consignee_id")
     c, cc = _party_names(t, "client"), _party_names(t, "customs_consignee")
     j = (o.join(c, o["client_id"] == c["_client_id"], "inner")
          .join(cc, o["customs_consignee_id"] == cc["_customs_consignee_id"], "inner")
          .join(per_order, o["id"] == per_order["export_order_id"], "left"))
     zero = {"total_packages": QTY_SUM, "total_net_weight": WEIGHT, "total_gross_weight": WEIGHT,
             "client_value": VALUE, "contracted_quantity": QTY_SUM, "shipped_quantity": QTY_SUM}
-    out = j.select("id", "invoice_number", "sales_contract_number", "status", "contract_date", "currency",
+    out = j.select("id", "invoice_number", "sales_contract_number", "status", "contract_date", "created_at", "currency",
                    "client_name", "customs_consignee_name",
                    *[F.coalesce(F.col(k), F.lit(0).cast(v)).alias(k) for k, v in zero.items()])
-    return sort_if(out, ordered, F.col("id").desc())
+    return sort_if(out, ordered, F.col("created_at").desc(), F.col("id").desc())
 
 
 def shipment_list(t, ordered: bool = False) -> DataFrame:
@@ -109,41 +110,46 @@ def shipment_list(t, ordered: bool = False) -> DataFrame:
                            .otherwise(F.lit(0))).cast(VALUE).alias("client_value")))
     containers = (t["shipment_containers"].groupBy(F.col("shipment_id").alias("_csid"))
                   .agg(F.count(F.lit(1)).alias("container_count")))
-    s = t["shipments"].select("id", "shipment_number", "status", "shipment_date", "currency", "client_id")
+    s = with_optional(t["shipments"], "shipments", ["created_at"]).select(
+        "id", "shipment_number", "status", "shipment_date", "created_at", "currency", "client_id")
     c = _party_names(t, "client")
     j = (s.join(c, s["client_id"] == c["_client_id"], "inner")
          .join(per_ship, s["id"] == per_ship["shipment_id"], "left")
          .join(containers, s["id"] == containers["_csid"], "left"))
-    out = (j.select("id", "shipment_number", "status", "shipment_date", "currency", "client_name",
+    out = (j.select("id", "shipment_number", "status", "shipment_date", "created_at", "currency", "client_name",
                      F.coalesce("contract_count", F.lit(0)).alias("contract_count"),
                      F.coalesce("container_count", F.lit(0)).alias("container_count"),
                      F.coalesce("total_packages", F.lit(0).cast(QTY_SUM)).alias("total_packages"),
                      F.coalesce("total_net_weight", F.lit(0).cast(WEIGHT)).alias("total_net_weight"),
                      F.coalesce("total_gross_weight", F.lit(0).cast(WEIGHT)).alias("total_gross_weight"),
                      F.coalesce("client_value", F.lit(0).cast(VALUE)).alias("client_value")))
-    return sort_if(out, ordered, F.col("id").desc())
+    return sort_if(out, ordered, F.col("created_at").desc(), F.col("id").desc())
+
+
+#: Bank account columns of the order header, in the account's own names, and the header's where they differ.
+BANK_COLUMNS = {"account_name": "bank_account_name", "beneficiary_name": "bank_beneficiary_name", "bank_name": "bank_name", "branch_name": "bank_branch_name",
+                "account_number": "bank_account_number", "iban": "bank_iban", "swift_code": "bank_swift_code", "currency": "bank_currency",
+                "correspondent_bank": "correspondent_bank", "correspondent_account": "correspondent_account",
+                "correspondent_swift_code": "correspondent_swift_code", "instructions": "bank_instructions"}
+_PLACE = {"name": "name", "address_line_1": "address", "city": "city", "country": "country"}
+_CONTACT = {"name": "name", "phone": "phone", "contact_person": "contact"}
+
+
+def _in_role(rows: DataFrame, parties: DataFrame, key: str, role: str, columns: dict, how: str = "left") -> DataFrame:
+    """The rows with the columns of the party that ``key`` names, prefixed by its role."""
+    p = parties.select(F.col("id").alias("_party"), *[F.col(c).alias(f"{role}_{n}") for c, n in columns.items()])
+    return rows.join(p, F.col(key) == F.col("_party"), how).drop("_party")
 
 
 def order_header(t) -> DataFrame:
     """Denormalised order header (client, consignee, clearing agent, bank account columns)."""
-    o = t["export_orders"]
     p = t["parties"]
-    c = p.select(F.col("id").alias("_c"), F.col("name").alias("client_name"),
-                 F.col("address_line_1").alias("client_address"), F.col("city").alias("client_city"),
-                 F.col("country").alias("client_country"))
-    cc = p.select(F.col("id").alias("_cc"), F.col("name").alias("customs_consignee_name"),
-                  F.col("address_line_1").alias("customs_consignee_address"),
-                  F.col("city").alias("customs_consignee_city"), F.col("country").alias("customs_consignee_country"))
-    ca = p.select(F.col("id").alias("_ca"), F.col("name").alias("clearing_agent_name"),
-                  F.col("phone").alias("clearing_agent_phone"),
-                  F.col("contact_person").alias("clearing_agent_contact"))
-    ba = t["bank_accounts"].select(F.col("id").alias("_ba"), F.col("account_name").alias("bank_account_name"),
-                                   F.col("currency").alias("bank_currency"))
-    return (o.join(c, o["client_id"] == c["_c"], "inner")
-            .join(cc, o["customs_consignee_id"] == cc["_cc"], "inner")
-            .join(ca, o["clearing_agent_id"] == ca["_ca"], "left")
-            .join(ba, o["bank_account_id"] == ba["_ba"], "left")
-            .drop("_c", "_cc", "_ca", "_ba"))
+    accounts = with_optional(t["bank_accounts"], "bank_accounts", BANK_COLUMNS)
+    accounts = accounts.select(F.col("id").alias("_account"), *[F.col(c).alias(n) for c, n in BANK_COLUMNS.items()])
+    h = _in_role(t["export_orders"], p, "client_id", "client", _PLACE, "inner")
+    h = _in_role(h, p, "customs_consignee_id", "customs_consignee", _PLACE, "inner")
+    h = _in_role(h, p, "clearing_agent_id", "clearing_agent", _CONTACT)
+    return h.join(accounts, F.col("bank_account_id") == F.col("_account"), "left").drop("_account")
 
 
 def line_measures(df: DataFrame, qty: str = "quantity", with_remaining: bool = True) -> DataFrame:
@@ -164,17 +170,19 @@ def line_measures(df: DataFrame, qty: str = "quantity", with_remaining: bool = T
                                    * F.col("customs_price_per_kg")).cast(CUSTOMS)))
 
 
+def _product_columns(t) -> DataFrame:
+    """Product columns of a line, under their names there."""
+    p = with_optional(t["products"], "products", ["image_url", "packaging_details"])
+    renamed = ("description", "unit_weight_grams", "pieces_per_unit", "package_type", "packaging_details", "image_url")
+    return p.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"), "hs_code", *[F.col(c).alias(f"product_{c}") for c in renamed])
+
+
 def order_lines(t, ordered: bool = False) -> DataFrame:
     """P12 + P10: items with product attributes, allocated quantity and line measures, by line."""
-    i = t["export_order_items"].select("id", "export_order_id", "product_id", "line_number", "quantity",
-                                       "quantity_unit", "units_per_carton", "net_weight_per_carton",
-                                       "gross_weight_per_carton", "client_price_per_carton",
-                                       "customs_price_per_kg", "is_sample")
-    p = t["products"].select(F.col("id").alias("_pid"), F.col("name").alias("product_name"), "hs_code",
-                             F.col("description").alias("product_description"),
-                             F.col("unit_weight_grams").alias("product_unit_weight_grams"),
-                             F.col("pieces_per_unit").alias("product_pieces_per_unit"),
-                             F.col("package_type").alias("product_package_type"))
+    i = with_optional(t["export_order_items"], "export_order_items", ["description_override", "carton_start", "carton_end"]).select(
+        "id", "export_order_id", "product_id", "line_number", "carton_start", "carton_end", "quantity", "quantity_unit", "units_per_carton",
+        "net_weight_per_carton", "gross_weight_per_carton", "client_price_per_carton", "customs_price_per_kg", "is_sample", "description_override")
+    p = _product_columns(t)
     j = _with_allocated(i.join(p, i["product_id"] == p["_pid"], "inner").drop("_pid"), allocated_qty(t))
     return sort_if(line_measures(j), ordered, "export_order_id", "line_number")
 
@@ -188,11 +196,10 @@ def shipment_lines(t, shipment_id: int | None = None) -> DataFrame:
                                          F.col("line_number").alias("container_line_number"),
                                          "container_number", "container_type",
                                          F.col("cbm").alias("container_cbm"))
-    i = t["export_order_items"].select(F.col("id").alias("_iid"), "export_order_id", "product_id",
-                                       "quantity_unit", "units_per_carton", "net_weight_per_carton",
-                                       "gross_weight_per_carton", "client_price_per_carton",
-                                       "customs_price_per_kg", "is_sample")
-    p = t["products"].select(F.col("id").alias("_pid"), F.col("name").alias("product_name"), "hs_code")
+    i = with_optional(t["export_order_items"], "export_order_items", ["description_override"]).select(
+        F.col("id").alias("_iid"), "export_order_id", "product_id", "quantity_unit", "units_per_carton", "net_weight_per_carton",
+        "gross_weight_per_carton", "client_price_per_carton", "customs_price_per_kg", "is_sample", "description_override")
+    p = _product_columns(t)
     o = t["export_orders"].select(F.col("id").alias("contract_id"),
                                   contract_number_expr().alias("contract_number"))
     j = (a.join(sc, a["shipment_container_id"] == sc["_scid"], "inner")
@@ -271,18 +278,11 @@ def shipment_header(t, contracts: bool = True) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("container_type")), ", ").alias("container_type"),
         F.sum("cbm").cast("decimal(22,3)").alias("cbm"))
     p = t["parties"]
-    c = p.select(F.col("id").alias("_c"), F.col("name").alias("client_name"),
-                 F.col("country").alias("client_country"))
-    cc = p.select(F.col("id").alias("_cc"), F.col("name").alias("customs_consignee_name"),
-                  F.col("country").alias("customs_consignee_country"))
-    anp = p.select(F.col("id").alias("_anp"), F.col("name").alias("also_notify_party_name"))
-    ca = p.select(F.col("id").alias("_ca"), F.col("name").alias("clearing_agent_name"),
-                  F.col("phone").alias("clearing_agent_phone"))
-    head = (s.join(c, s["client_id"] == c["_c"], "inner")
-            .join(cc, s["customs_consignee_id"] == cc["_cc"], "inner")
-            .join(anp, s["also_notify_party_id"] == anp["_anp"], "left")
-            .join(ca, s["clearing_agent_id"] == ca["_ca"], "left")
-            .join(cont, s["id"] == cont["_sid"], "left"))
+    head = _in_role(s.drop("container_number", "container_type", "cbm"), p, "client_id", "client", _PLACE, "inner")
+    head = _in_role(head, p, "customs_consignee_id", "customs_consignee", _PLACE, "inner")
+    head = _in_role(head, p, "also_notify_party_id", "also_notify_party", _PLACE)
+    head = _in_role(head, p, "clearing_agent_id", "clearing_agent", _CONTACT)
+    head = head.join(cont, head["id"] == cont["_sid"], "left")
     if contracts:
         lists = _contract_lists(t)
         head = head.join(lists, head["id"] == lists["_ssid"], "left").drop("_ssid")
@@ -290,15 +290,15 @@ def shipment_header(t, contracts: bool = True) -> DataFrame:
             .withColumn("cbm", F.coalesce(F.col("cbm"), F.lit(0).cast("decimal(22,3)")))
             .withColumn("invoice_number", F.col("shipment_number"))
             .withColumn("contract_date", F.col("shipment_date"))
-            .drop("_c", "_cc", "_anp", "_ca", "_sid"))
+            .drop("_sid"))
 
 
 def shipment_containers_of(t, shipment_id: int | None = None) -> DataFrame:
     """Containers of a shipment (all when None) by line."""
-    sc = t["shipment_containers"]
+    sc = with_optional(t["shipment_containers"], "shipment_containers", ["seal_numbers"])
     if shipment_id is not None:
         sc = sc.filter(F.col("shipment_id") == F.lit(shipment_id))
-    return sort_if(sc.select("id", "shipment_id", "line_number", "container_number", "container_type", "cbm"),
+    return sort_if(sc.select("id", "shipment_id", "line_number", "container_number", "container_type", "cbm", "seal_numbers"),
                    shipment_id is not None, "shipment_id", "line_number")
 
 

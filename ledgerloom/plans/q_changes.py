@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import access as A
 from ledgerloom.plans import ingest as I
 from ledgerloom.plans.catalog import D, register, with_ctes
 from ledgerloom.plans.q_jobs import replay_parts
@@ -234,6 +235,107 @@ def q_ingest_roles(t):
     return _parts(roles=roles, grants=grants, requests=_rejected(rejected))
 
 
+@register("role_matrix_after_ingest", with_ctes(
+    f"""SELECT r.id, r.name, COALESCE(array_to_string(list_sort(list_distinct(list(p.permission_key) FILTER (p.permission_key IS NOT NULL))), ','), '') AS permission_keys
+    FROM (SELECT CAST(id AS BIGINT) AS id, name FROM roles UNION ALL SELECT id, name FROM made) r
+    LEFT JOIN (SELECT CAST(role_id AS BIGINT) AS rid, permission_id FROM role_permissions UNION ALL
+      SELECT m.id, g.permission_id FROM made m JOIN ({_plain(ROLE_GRANTS, 'users')}) g ON g.request_id = m.request_id) g ON g.rid = r.id
+    LEFT JOIN permissions p ON p.id = g.permission_id GROUP BY r.id, r.name""", extra=_ROLE_PARTS))
+def q_role_matrix_after_ingest(t):
+    """A20 over roles made from the given users (I5): role -> sorted permission keys."""
+    out, _ = I.ingest_roles(t, _asked(t, ROLE_REQUESTS, "users"), _asked(t, ROLE_GRANTS, "users"))
+    return A.role_permissions_matrix(out).select("id", "name", "permission_keys")
+
+
+# ---------------------------------------------------------------- I1, I3 with headers, lines and rejects
+
+_NEW_PARTS = {k: v for k, v in _ORDER_PARTS.items() if k in ("asked", "asked_lines", "line_facts")} | {
+    "judged": """SELECT a.*, CASE WHEN a.client_id = '0' OR a.bank_account_id IS NULL THEN 'invalid contract: ' || concat_ws(';',
+          CASE WHEN a.client_id = '0' THEN 'client_id:must be positive' END, CASE WHEN a.bank_account_id IS NULL THEN 'bank_account_id:must be positive' END)
+        WHEN f.nothing THEN 'invalid line: product_id:must be positive' WHEN f.request_id IS NULL THEN 'a contract needs a line'
+        WHEN b.id IS NULL THEN 'select an active bank account' ELSE f.fault END AS reason
+      FROM asked a LEFT JOIN line_facts f ON f.request_id = a.request_id LEFT JOIN bank_accounts b ON b.is_active AND b.id = CAST(a.bank_account_id AS BIGINT)""",
+    "made": "SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM judged WHERE reason IS NULL",
+    "lines": """SELECT m.n AS parent, l.*, row_number() OVER (PARTITION BY l.request_id ORDER BY item_index) AS pos, row_number() OVER (ORDER BY l.request_id, item_index) AS n,
+        CAST(SUM(CAST(floor(quantity) AS BIGINT)) OVER (PARTITION BY l.request_id ORDER BY item_index) AS BIGINT) AS upto
+      FROM made m JOIN asked_lines l ON l.request_id = m.request_id""",
+}
+
+
+@register("ingest_orders_changes", with_ctes(
+    f"""SELECT 'orders' AS source, 'inserted' AS change, (SELECT MAX(id) FROM export_orders) + n AS id, printf('NEW-%03d/2024', n) AS invoice_number, 'draft' AS status,
+      CAST(1 AS BIGINT) AS created_by, CAST(client_id AS BIGINT) AS client_id, CAST(bank_account_id AS BIGINT) AS bank_account_id, CAST(contract_date AS DATE) AS contract_date,
+      NULLIF(trim(sales_contract_number), '') AS sales_contract_number, CAST(advance_percentage AS DOUBLE) AS advance_percentage, currency, NULL AS export_order_id,
+      NULL AS product_id, NULL AS line_number, NULL AS carton_start, NULL AS carton_end, CAST(NULL AS DOUBLE) AS quantity, CAST(NULL AS DOUBLE) AS units_per_carton, NULL AS reason
+    FROM made
+    UNION ALL BY NAME
+    SELECT 'items' AS source, 'inserted' AS change, (SELECT MAX(id) FROM export_order_items) + n AS id, (SELECT MAX(id) FROM export_orders) + parent AS export_order_id, product_id,
+      pos AS line_number, IF(floor(quantity) = 0, NULL, upto - CAST(floor(quantity) AS BIGINT) + 1) AS carton_start, IF(floor(quantity) = 0, NULL, upto) AS carton_end,
+      {D('quantity')} AS quantity, {D('units')} AS units_per_carton FROM lines
+    UNION ALL BY NAME
+    SELECT 'requests' AS source, 'rejected' AS change, request_id AS id, reason FROM judged WHERE reason IS NOT NULL""", extra=_NEW_PARTS))
+def q_ingest_orders_changes(t):
+    """I1 whole: every contract sent in as a new request; headers, lines with cartons, and rejects."""
+    headers = _asked(t, EDIT_HEADERS, "export_orders").drop("order_id")
+    out, rejected = I.ingest_orders(t, headers, _asked(t, EDIT_LINES, "export_order_items"), "NEW", 2024, created_by=1)
+    orders = changes(t["export_orders"], out["export_orders"], ["id"]).select(
+        "change", "id", "invoice_number", "status", "created_by", "client_id", "bank_account_id", "contract_date", "sales_contract_number", "advance_percentage", "currency")
+    items = changes(t["export_order_items"], out["export_order_items"], ["id"]).select(
+        "change", "id", "export_order_id", "product_id", "line_number", "carton_start", "carton_end", "quantity", "units_per_carton")
+    return _parts(orders=orders, items=items, requests=_rejected(rejected))
+
+
+_LOADED = """SELECT request_id, MAX(client_id) AS client_id FROM shipment_requests GROUP BY 1"""
+_SHIP_FAULTS = """SELECT l.request_id, CASE WHEN l.client_id = 0 THEN 'invalid shipment: client_id:must be positive'
+      WHEN b.request_id IS NULL THEN 'a shipment needs a container' WHEN b.numbers < b.boxes THEN 'container numbers must be unique'
+      WHEN a.unknown THEN 'allocation references an unavailable container' WHEN a.twice THEN 'a line may appear once per container'
+      WHEN a.used < b.boxes THEN 'every container needs an allocation' END AS reason
+    FROM loaded l LEFT JOIN (SELECT request_id, COUNT(*) AS boxes, COUNT(DISTINCT lower(container_number)) AS numbers FROM request_containers GROUP BY 1) b ON b.request_id = l.request_id
+    LEFT JOIN (SELECT request_id, bool_or(NOT there) AS unknown, bool_or(n > 1) AS twice, COUNT(DISTINCT container_index) FILTER (WHERE there) AS used FROM (
+        SELECT request_id, container_index, export_order_item_id, COUNT(*) AS n,
+          (request_id, container_index) IN (SELECT (request_id, container_index) FROM request_containers) AS there FROM shipment_requests GROUP BY 1, 2, 3) GROUP BY 1) a
+      ON a.request_id = l.request_id"""
+
+
+@register("ingest_shipments_changes", with_ctes(
+    f"""SELECT 'shipments' AS source, 'inserted' AS change, (SELECT MAX(id) FROM shipments) + n AS id, printf('SHP-%03d/2024', n) AS shipment_number, 'draft' AS status, client_id,
+      container_number, container_type, CAST(1.5 AS DOUBLE) AS cbm, NULL AS shipment_id, NULL AS line_number, NULL AS shipment_container_id, NULL AS export_order_item_id,
+      CAST(NULL AS DOUBLE) AS quantity, NULL AS reason FROM made JOIN boxes USING (request_id) WHERE pos = 1
+    UNION ALL BY NAME
+    SELECT 'containers' AS source, 'inserted' AS change, box_id AS id, (SELECT MAX(id) FROM shipments) + n AS shipment_id, pos AS line_number, container_number,
+      container_type, CAST(1.5 AS DOUBLE) AS cbm FROM made JOIN boxes USING (request_id)
+    UNION ALL BY NAME
+    SELECT 'allocations' AS source, 'inserted' AS change, (SELECT MAX(id) FROM shipment_allocations) + row_number() OVER (ORDER BY r.request_id, r.export_order_item_id) AS id,
+      (SELECT MAX(id) FROM shipments) + m.n AS shipment_id, row_number() OVER (PARTITION BY r.request_id ORDER BY r.export_order_item_id) AS line_number,
+      box_id AS shipment_container_id, r.export_order_item_id, {D('r.quantity')} AS quantity
+    FROM shipment_requests r JOIN made m ON m.request_id = r.request_id JOIN boxes b ON b.request_id = r.request_id AND b.container_index = r.container_index
+    UNION ALL BY NAME
+    SELECT 'requests' AS source, 'rejected' AS change, request_id AS id, reason
+    FROM (SELECT * FROM faults UNION ALL SELECT request_id, reason FROM play WHERE turn > 0) f WHERE reason IS NOT NULL""",
+    extra={"loaded": _LOADED, "faults": _SHIP_FAULTS} | replay_parts(
+        "SELECT request_id, client_id, CAST(NULL AS BIGINT) AS ship, export_order_item_id AS line, quantity AS need FROM shipment_requests "
+        "WHERE request_id IN (SELECT request_id FROM faults WHERE reason IS NULL)") | {
+        "made": "SELECT request_id, client_id, row_number() OVER (ORDER BY request_id) AS n FROM play WHERE turn > 0 AND reason IS NULL",
+        "boxes": """SELECT request_id, container_index, container_number, NULL AS container_type, row_number() OVER (PARTITION BY request_id ORDER BY container_index) AS pos,
+            (SELECT MAX(id) FROM shipment_containers) + row_number() OVER (ORDER BY request_id, container_index) AS box_id
+          FROM request_containers WHERE request_id IN (SELECT request_id FROM made)"""}).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_ingest_shipments_changes(t):
+    """I3 whole: every shipment request; headers, containers, allocations with line numbers, and rejects."""
+    r = t["shipment_requests"]
+    requests = r.groupBy("request_id").agg(F.max("client_id").cast("string").alias("client_id")).withColumns({
+        "customs_consignee_id": F.lit("1000000001"), "shipment_date": F.lit("2024-04-01"), "gd_number": F.lit("GD"), "currency": F.lit(None).cast("string")})
+    boxes = t["request_containers"].withColumn("cbm", F.lit("1.5"))
+    loads = r.select("request_id", F.col("export_order_item_id").alias("alloc_index"),
+                     *[F.col(c).cast("string").alias(c) for c in ("export_order_item_id", "container_index", "quantity")])
+    out, rejected = I.ingest_shipments(t, requests, boxes, loads, 2024, created_by=1)
+    heads = changes(t["shipments"], out["shipments"], ["id"]).select("change", "id", "shipment_number", "status", "client_id", "container_number", "container_type", "cbm")
+    made = changes(t["shipment_containers"], out["shipment_containers"], ["id"]).select(
+        "change", "id", "shipment_id", "line_number", "container_number", "container_type", "cbm")
+    packed = changes(t["shipment_allocations"], out["shipment_allocations"], ["id"]).select(
+        "change", "id", "shipment_id", "line_number", "shipment_container_id", "export_order_item_id", "quantity")
+    return _parts(shipments=heads, containers=made, allocations=packed, requests=_rejected(rejected))
+
+
 # ---------------------------------------------------------------- I6 products
 
 _PRODUCT_FIELDS = """CASE WHEN id % 10 = 3 THEN ' q' ELSE concat(name, ' II') END AS name, description, hs_code,

@@ -485,7 +485,7 @@ def q_max_sequence(t):
 
 _NEW_CONTAINERS = """SELECT s.id * 10 AS id, s.id AS shipment_id, 1 AS line_number,
       concat('CONTAINER-', CAST(s.id AS VARCHAR)) AS container_number, CAST(NULL AS VARCHAR) AS container_type,
-      CAST(NULL AS DOUBLE) AS cbm
+      CAST(NULL AS DOUBLE) AS cbm, s.seal_numbers
     FROM shipments s WHERE NOT EXISTS (SELECT 1 FROM legacy_containers c WHERE c.shipment_id = s.id)"""
 
 
@@ -595,3 +595,19 @@ def q_cascade_delete(t):
     ids = t["export_orders"].filter(F.col("status") == "draft").select("id")
     out = sinks.cascade_delete(tables, "export_orders", ids)
     return out["export_order_items"].select("id", "export_order_id")
+
+
+@register("cascade_delete_shipments", with_ctes(
+    """SELECT 'shipments' AS source, id, id AS shipment_id FROM shipments WHERE id % 3 <> 0
+    UNION ALL SELECT 'containers', id, shipment_id FROM shipment_containers WHERE shipment_id % 3 <> 0
+    UNION ALL SELECT 'allocations', id, shipment_id FROM shipment_allocations WHERE shipment_id % 3 <> 0
+    UNION ALL SELECT 'audit', id, target_id FROM document_events WHERE NOT on_order AND NOT (target_id % 3 = 0 AND target_id IN (SELECT id FROM shipments))"""))
+def q_cascade_delete_shipments(t):
+    """Every third shipment deleted with its containers, allocations and audit rows (what is left of each)."""
+    audit = t["document_events"].filter("not on_order").select("id", F.col("target_id").alias("shipment_id"), "user_id", "action_name")
+    tables = {n: t[n] for n in ("shipments", "shipment_containers", "shipment_allocations")} | {"shipment_document_audit_logs": audit}
+    out = sinks.cascade_delete(tables, "shipments", t["shipments"].filter(F.col("id") % 3 == 0).select("id"))
+    parts = {"shipments": out["shipments"].select("id", F.col("id").alias("shipment_id")), "containers": out["shipment_containers"],
+             "allocations": out["shipment_allocations"], "audit": out["shipment_document_audit_logs"]}
+    rows = [df.select(F.lit(name).alias("source"), "id", "shipment_id") for name, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])

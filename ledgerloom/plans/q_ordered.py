@@ -57,16 +57,18 @@ def q_ledger_payments_ordered(t):
     return with_position(R.ledger_payments(t).select("id", "client_id", "payment_date", "amount"), F.col("client_id"), F.col("payment_date").desc(), F.col("id").desc())
 
 
-@_ordered("order_list_ordered", "order_list", "id, invoice_number, client_name, client_value", "id DESC")
+@_ordered("order_list_ordered", "order_list", "id, invoice_number, client_name, client_value", "created_at DESC, id DESC")
 def q_order_list_ordered(t):
     """The order list, newest first."""
-    return with_position(FU.order_list(t).select("id", "invoice_number", "client_name", "client_value"), F.col("id").desc())
+    rows = FU.order_list(t).select("id", "invoice_number", "client_name", "client_value", "created_at")
+    return with_position(rows, F.col("created_at").desc(), F.col("id").desc()).drop("created_at")
 
 
-@_ordered("shipment_list_ordered", "shipment_list", "id, shipment_number, contract_count, total_packages", "id DESC")
+@_ordered("shipment_list_ordered", "shipment_list", "id, shipment_number, contract_count, total_packages", "created_at DESC, id DESC")
 def q_shipment_list_ordered(t):
     """The shipment list, newest first."""
-    return with_position(FU.shipment_list(t).select("id", "shipment_number", "contract_count", "total_packages"), F.col("id").desc())
+    rows = FU.shipment_list(t).select("id", "shipment_number", "contract_count", "total_packages", "created_at")
+    return with_position(rows, F.col("created_at").desc(), F.col("id").desc()).drop("created_at")
 
 
 @register("active_parties_ordered", with_ctes(f"SELECT id, party_type, name, {_place('party_type, name, id')} FROM parties WHERE is_active"))

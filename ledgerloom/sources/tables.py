@@ -197,5 +197,11 @@ def has_columns(df: DataFrame, names: Iterable[str]) -> bool:
     return all(n in df.columns for n in names)
 
 
+def with_optional(df: DataFrame, table: str, names: Iterable[str]) -> DataFrame:
+    """The table with the named columns of its declared schema; those it lacks are typed NULLs."""
+    kinds = {f.name: f.dataType for f in schemas.SCHEMAS[table].fields}
+    return df.withColumns({n: F.lit(None).cast(kinds[n]) for n in names if n not in df.columns})
+
+
 def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)

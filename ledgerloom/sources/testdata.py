@@ -36,7 +36,8 @@ SELECT o_orderkey AS id,
   concat('Port ', cast(o_custkey % 7 AS string)) AS port_of_destination,
   CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE concat('City ', cast(o_custkey % 11 AS string)) END AS final_destination,
   cast(year(o_orderdate) AS int) AS sequence_year,
-  cast(o_orderkey % 997 + 1 AS int) AS sequence_number
+  cast(o_orderkey % 997 + 1 AS int) AS sequence_number,
+  cast(concat(cast(cast(o_orderdate AS date) AS string), ' 0', cast(o_orderkey % 9 AS string), ':15:00') AS timestamp) AS created_at
 FROM {orders}"""),
     ("export_order_items", """
 SELECT l_orderkey * 1000 + line_number AS id,
@@ -51,6 +52,7 @@ SELECT l_orderkey * 1000 + line_number AS id,
   cast(cast(l_extendedprice AS decimal(14,2)) * cast(0.01 AS decimal(3,2)) AS decimal(14,4)) AS client_price_per_carton,
   cast(l_discount AS decimal(14,4)) AS customs_price_per_kg,
   (l_returnflag = 'A' AND l_linenumber = 1) AS is_sample,
+  CASE WHEN l_partkey % 6 = 0 THEN concat('Special ', cast(l_partkey AS string)) END AS description_override,
   l_shipdate, l_returnflag, l_linestatus, l_linenumber
 FROM (
   SELECT l_orderkey, l_partkey, l_quantity, l_tax, l_extendedprice, l_discount, l_returnflag,
@@ -105,6 +107,7 @@ SELECT p_partkey AS id,
     WHEN 3 THEN '{{}}' ELSE 'not json' END AS packaging_details,
   cast(p_size * 25 AS decimal(12,3)) AS unit_weight_grams,
   cast(p_retailprice AS decimal(14,4)) AS default_client_price,
+  CASE WHEN p_partkey % 3 = 0 THEN concat('/images/', cast(p_partkey AS string), '.jpg') END AS image_url,
   p_partkey % 11 <> 0 AS is_active
 FROM {part}"""),
     ("allocation_source", """
@@ -133,7 +136,9 @@ SELECT id,
   make_date(cast(1990 + id % 100 AS int), 6, 30) AS shipment_date,
   cast(1990 + id % 100 AS int) AS sequence_year,
   cast(id % 997 + 1 AS int) AS sequence_number,
-  'USD' AS currency
+  'USD' AS currency,
+  CASE WHEN id % 6 = 0 THEN concat('["H', cast(id AS string), '"]') END AS seal_numbers,
+  cast(concat(cast(make_date(cast(1990 + id % 100 AS int), 6, 30) AS string), ' 0', cast(id % 7 AS string), ':30:00') AS timestamp) AS created_at
 FROM (SELECT DISTINCT shipment_id AS id FROM {allocation_source}) s"""),
     ("shipment_containers", """
 SELECT id,
@@ -141,7 +146,8 @@ SELECT id,
   cast(id % 10 AS int) AS line_number,
   concat('CN-', cast(id AS string)) AS container_number,
   CASE WHEN id % 10 = 1 THEN '20FT' ELSE '40HC' END AS container_type,
-  cast((id % 10) * 10.5 AS decimal(12,3)) AS cbm
+  cast((id % 10) * 10.5 AS decimal(12,3)) AS cbm,
+  CASE WHEN id % 2 = 0 THEN concat('["S', cast(id AS string), '"]') END AS seal_numbers
 FROM (SELECT DISTINCT shipment_container_id AS id FROM {allocation_source}) c"""),
     ("legacy_containers", """
 SELECT * FROM {shipment_containers} WHERE shipment_id % 7 <> 0"""),
@@ -150,13 +156,26 @@ SELECT id,
   concat('user-', cast(id AS string)) AS name,
   concat('user', cast(id AS string), '@example.test') AS email,
   id % 5 + 1 AS role_id,
-  id % 9 <> 0 AS is_active
+  id % 9 <> 0 AS is_active,
+  CASE WHEN id % 4 > 0 THEN concat('+1-', cast(id AS string)) END AS phone,
+  CASE WHEN id % 3 > 0 THEN cast(concat('2024-01-0', cast(id % 9 + 1 AS string), ' 08:00:00') AS timestamp) END AS last_login_at,
+  cast(concat('2023-0', cast(id % 9 + 1 AS string), '-01 00:00:00') AS timestamp) AS created_at
 FROM (SELECT DISTINCT user_id AS id FROM {events}) u"""),
     ("bank_accounts", """
 SELECT cast(n_nationkey + 1 AS bigint) AS id,
   concat('ACCOUNT-', n_name) AS account_name,
   CASE n_regionkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency,
-  n_nationkey % 6 <> 5 AS is_active
+  n_nationkey % 6 <> 5 AS is_active,
+  concat('Beneficiary ', n_name) AS beneficiary_name,
+  concat('Bank of ', n_name) AS bank_name,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'Main branch' END AS branch_name,
+  concat('00-', cast(n_nationkey AS string)) AS account_number,
+  concat('IB', cast(n_nationkey * 1111 AS string)) AS iban,
+  concat('SW', cast(n_nationkey AS string)) AS swift_code,
+  CASE WHEN n_nationkey % 3 = 0 THEN concat('Correspondent ', n_name) END AS correspondent_bank,
+  CASE WHEN n_nationkey % 3 = 0 THEN concat('C-', cast(n_nationkey AS string)) END AS correspondent_account,
+  CASE WHEN n_nationkey % 3 = 0 THEN concat('CS', cast(n_nationkey AS string)) END AS correspondent_swift_code,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'Quote the invoice number' END AS instructions
 FROM {nation}"""),
     ("document_events", """
 SELECT event_id AS id,
