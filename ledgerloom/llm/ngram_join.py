@@ -14,8 +14,9 @@ sets is at least the threshold.
    node's least text (a star, not all pairs), connected stars are candidate groups, and groups are verified
    on the exact sets.  What is found gives the recall reached: a verified pair of similarity s shares a
    prefix of d values in some tree with probability 1 - (1 - s^d)^trees, so found pairs stand for the sum of
-   the inverse probabilities.  While that recall is below the target (or nothing is found), prefixes are
-   shortened by one value; only groups that grow are verified again.  At the shortest prefix it ends.
+   the inverse probabilities.  While that recall is below the target, prefixes are shortened to the longest at
+   which the pairs found so far let it be expected (to the shortest if nothing is found); only groups that
+   grow are verified again.  At the shortest prefix it ends.
 4. A group is cut into bands of set size (a text can reach the threshold in its own band and the two beside
    it), and large bands into blocks; each pair of blocks is one task.  A task gives each text its number of
    linked documents and the least text that it is joined to, never pairs.
@@ -203,11 +204,20 @@ def _verified(threshold: float):
     return run
 
 
-def reached_recall(pairs: dict[int, int], depth: int, trees: int, threshold: float) -> float:
-    """Share of the wanted pairs that prefixes of ``depth`` find, by the similarities (bins) of those found."""
-    low = [threshold + (1 - threshold) * b / SIMILARITY_BINS for b in pairs]
-    wanted = sum(n / (1 - (1 - s ** depth) ** trees) for s, n in zip(low, pairs.values()))
-    return sum(pairs.values()) / wanted if wanted else 0.0
+def expected_recall(pairs: dict[int, int], found_at: int, depth: int, trees: int, threshold: float) -> float:
+    """Share of the wanted pairs that prefixes of ``depth`` find, by the pairs (per similarity bin) found at ``found_at``."""
+    meet = lambda s, d: 1 - (1 - s ** d) ** trees
+    wanted = {threshold + (1 - threshold) * b / SIMILARITY_BINS: n for b, n in pairs.items()}
+    wanted = {s: n / meet(s, found_at) for s, n in wanted.items()}
+    return sum(n * meet(s, depth) for s, n in wanted.items()) / sum(wanted.values()) if wanted else 0.0
+
+
+def next_depth(pairs: dict[int, int], depth: int, shortest: int, trees: int, threshold: float, recall: float) -> int:
+    """The longest prefix at which the target recall is expected (``depth``: it is reached); ``shortest`` if nothing was found."""
+    for shorter in range(depth, shortest, -1):
+        if expected_recall(pairs, depth, shorter, trees, threshold) >= recall:
+            return shorter
+    return shortest
 
 
 def _nodes(labels: DataFrame, trees: int, most: int, depth: int) -> DataFrame:
@@ -243,8 +253,8 @@ def _cells(sets: DataFrame, threshold: float) -> DataFrame:
 
 def _search(sets: DataFrame, labels: DataFrame, store, base: str, threshold: float, trees: int, most: int, shortest: int, recall: float) -> DataFrame:
     """id, linked, joined of the verified texts, by prefixes from ``most`` values down; see the module text."""
-    groups, found = None, None
-    for depth in range(most, shortest - 1, -1):
+    groups, found, depth, reached = None, None, most, False
+    while not reached:
         placed = labels if groups is None else labels.join(groups, "tid", "left")
         root = F.col("tid") if groups is None else F.coalesce("root", "tid")
         nodes = _nodes(placed.select(root.alias("at"), "labels"), trees, most, depth)
@@ -265,8 +275,8 @@ def _search(sets: DataFrame, labels: DataFrame, store, base: str, threshold: flo
                    .applyInPandas(_verified(threshold), "root long, id long, linked long, joined long"))
         found = store(checked if found is None else found.unionByName(checked), f"found-{depth}")
         pairs = {-1 - r.id: r.n // 2 for r in found.filter("id < 0").groupBy("id").agg(F.sum("linked").alias("n")).collect()}
-        if pairs and reached_recall(pairs, depth, trees, threshold) >= recall:
-            break
+        shorter = next_depth(pairs, depth, shortest, trees, threshold, recall)
+        depth, reached = shorter, shorter == depth
     return found.filter("id >= 0")
 
 

@@ -138,8 +138,8 @@ def test_no_text_is_lost_under_a_repeated_id(spark, docs_of):
 
 def test_prefixes_are_shortened_until_the_recall_is_reached(spark, docs_of, monkeypatch):
     searched = []
-    plain = ngram_join.reached_recall
-    monkeypatch.setattr(ngram_join, "reached_recall", lambda pairs, depth, *a: searched.append(depth) or plain(pairs, depth, *a))
+    plain = ngram_join.next_depth
+    monkeypatch.setattr(ngram_join, "next_depth", lambda pairs, depth, *a: searched.append(depth) or plain(pairs, depth, *a))
     base = [f"w{i}" for i in range(200)]
     near = [(i, " ".join(base[:199] + [f"end{i}"])) for i in range(5)]  # all but one shingle shared
     far = [(10 + i, " ".join([*base[:90 - i], f"v{i}", *base[91 - i:]])) for i in range(9)]
@@ -150,7 +150,8 @@ def test_prefixes_are_shortened_until_the_recall_is_reached(spark, docs_of, monk
     out = ngram_join.join(docs_of(rows)).collect()
     assert searched == sorted(searched, reverse=True) and searched[0] == 8 and len(searched) > 1
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == sorted(brute_links(rows))
-    assert plain({}, 8, 24, 0.8) == 0 and plain({49: 10}, 8, 24, 0.8) > 0.999 > plain({0: 10}, 8, 24, 0.8)
+    assert plain({}, 8, 6, 24, 0.8, 0.999) == 6 and plain({49: 10}, 8, 6, 24, 0.8, 0.999) == 8 and plain({0: 10}, 8, 6, 24, 0.8, 0.999) == 6
+    assert plain({0: 10}, 8, 6, 24, 0.8, 0.99) == 7 and plain({0: 10}, 6, 6, 24, 0.8, 0.9999) == 6
 
 
 def test_prefixes_are_shortened_to_the_target():
