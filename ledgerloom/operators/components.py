@@ -25,10 +25,11 @@ def components(edges: DataFrame, base: str, rounds: int = ROUNDS) -> DataFrame:
         each_way = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
         both = state.select(each_way).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # sorted joins: a broadcast in every round would pass through the driver
+        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = large.join(least, "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        small = large.join(least.hint("merge"), "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         path = f"{base}/edges-{number}"
         small.write.mode("overwrite").parquet(path)
         state = spark.read.parquet(path)

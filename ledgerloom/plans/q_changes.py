@@ -100,12 +100,12 @@ _ORDER_PARTS = {
 @register("apply_order_edits", with_ctes(
     f"""SELECT 'orders' AS source, 'updated' AS change, order_id AS id, CAST(client_id AS BIGINT) AS client_id, CAST(bank_account_id AS BIGINT) AS bank_account_id,
       CAST(contract_date AS DATE) AS contract_date, CAST(valid_until AS DATE) AS valid_until, NULLIF(trim(sales_contract_number), '') AS sales_contract_number,
-      CAST(advance_percentage AS DOUBLE) AS advance_percentage, CAST(0 AS DOUBLE) AS freight_amount, currency, port_of_destination, NULL AS final_destination,
+      CAST(advance_percentage AS DOUBLE) AS advance_percentage, CAST(0 AS DOUBLE) AS freight_amount, currency, port_of_destination, CAST(NULL AS VARCHAR) AS final_destination,
       NULL AS export_order_id, NULL AS product_id, NULL AS line_number, NULL AS carton_start, NULL AS carton_end, CAST(NULL AS DOUBLE) AS quantity,
       CAST(NULL AS DOUBLE) AS units_per_carton, CAST(NULL AS DOUBLE) AS client_price_per_carton, NULL AS is_sample, NULL AS reason
     FROM standing
     UNION ALL BY NAME
-    SELECT 'items' AS source, 'inserted' AS change, (SELECT MAX(id) FROM export_order_items) + n AS id, order_id AS export_order_id, product_id, pos AS line_number,
+    SELECT 'items' AS source, 'inserted' AS change, (SELECT MAX(id) FROM export_order_items) + n AS id, order_id AS export_order_id, product_id, CAST(pos AS INTEGER) AS line_number,
       IF(floor(quantity) = 0, NULL, upto - CAST(floor(quantity) AS BIGINT) + 1) AS carton_start, IF(floor(quantity) = 0, NULL, upto) AS carton_end,
       {D('quantity')} AS quantity, {D('units')} AS units_per_carton, {D('price')} AS client_price_per_carton, is_sample
     FROM fresh
@@ -171,14 +171,14 @@ _SHIP_PARTS = {
       NULL AS line_number, NULL AS shipment_container_id, NULL AS export_order_item_id, CAST(NULL AS DOUBLE) AS quantity, NULL AS reason
     FROM won w JOIN new_boxes b ON b.request_id = w.request_id AND b.pos = 1
     UNION ALL BY NAME
-    SELECT 'containers' AS source, 'inserted' AS change, id, request_id AS shipment_id, pos AS line_number, container_number, container_type, CAST(cbm AS DOUBLE) AS cbm
+    SELECT 'containers' AS source, 'inserted' AS change, id, request_id AS shipment_id, CAST(pos AS INTEGER) AS line_number, container_number, container_type, CAST(cbm AS DOUBLE) AS cbm
     FROM new_boxes
     UNION ALL BY NAME
     SELECT 'containers' AS source, 'deleted' AS change, id, shipment_id, line_number, container_number, container_type, {D('cbm')} AS cbm
     FROM shipment_containers WHERE shipment_id IN (SELECT shipment_id FROM won)
     UNION ALL BY NAME
     SELECT 'allocations' AS source, 'inserted' AS change, (SELECT MAX(id) FROM shipment_allocations) + row_number() OVER (ORDER BY l.request_id, l.alloc_index) AS id,
-      l.request_id AS shipment_id, row_number() OVER (PARTITION BY l.request_id ORDER BY l.alloc_index) AS line_number, b.id AS shipment_container_id,
+      l.request_id AS shipment_id, CAST(row_number() OVER (PARTITION BY l.request_id ORDER BY l.alloc_index) AS INTEGER) AS line_number, b.id AS shipment_container_id,
       l.line AS export_order_item_id, {D('l.quantity')} AS quantity
     FROM loads l JOIN new_boxes b ON b.request_id = l.request_id AND b.container_index = l.container_index
     UNION ALL BY NAME
@@ -270,7 +270,7 @@ _NEW_PARTS = {k: v for k, v in _ORDER_PARTS.items() if k in ("asked", "asked_lin
     FROM made
     UNION ALL BY NAME
     SELECT 'items' AS source, 'inserted' AS change, (SELECT MAX(id) FROM export_order_items) + n AS id, (SELECT MAX(id) FROM export_orders) + parent AS export_order_id, product_id,
-      pos AS line_number, IF(floor(quantity) = 0, NULL, upto - CAST(floor(quantity) AS BIGINT) + 1) AS carton_start, IF(floor(quantity) = 0, NULL, upto) AS carton_end,
+      CAST(pos AS INTEGER) AS line_number, IF(floor(quantity) = 0, NULL, upto - CAST(floor(quantity) AS BIGINT) + 1) AS carton_start, IF(floor(quantity) = 0, NULL, upto) AS carton_end,
       {D('quantity')} AS quantity, {D('units')} AS units_per_carton FROM lines
     UNION ALL BY NAME
     SELECT 'requests' AS source, 'rejected' AS change, request_id AS id, reason FROM judged WHERE reason IS NOT NULL""", extra=_NEW_PARTS))
@@ -302,11 +302,11 @@ _SHIP_FAULTS = """SELECT l.request_id, CASE WHEN l.client_id = 0 THEN 'invalid s
       container_number, container_type, CAST(1.5 AS DOUBLE) AS cbm, NULL AS shipment_id, NULL AS line_number, NULL AS shipment_container_id, NULL AS export_order_item_id,
       CAST(NULL AS DOUBLE) AS quantity, NULL AS reason FROM made JOIN boxes USING (request_id) WHERE pos = 1
     UNION ALL BY NAME
-    SELECT 'containers' AS source, 'inserted' AS change, box_id AS id, (SELECT MAX(id) FROM shipments) + n AS shipment_id, pos AS line_number, container_number,
+    SELECT 'containers' AS source, 'inserted' AS change, box_id AS id, (SELECT MAX(id) FROM shipments) + n AS shipment_id, CAST(pos AS INTEGER) AS line_number, container_number,
       container_type, CAST(1.5 AS DOUBLE) AS cbm FROM made JOIN boxes USING (request_id)
     UNION ALL BY NAME
     SELECT 'allocations' AS source, 'inserted' AS change, (SELECT MAX(id) FROM shipment_allocations) + row_number() OVER (ORDER BY r.request_id, r.export_order_item_id) AS id,
-      (SELECT MAX(id) FROM shipments) + m.n AS shipment_id, row_number() OVER (PARTITION BY r.request_id ORDER BY r.export_order_item_id) AS line_number,
+      (SELECT MAX(id) FROM shipments) + m.n AS shipment_id, CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY r.export_order_item_id) AS INTEGER) AS line_number,
       box_id AS shipment_container_id, r.export_order_item_id, {D('r.quantity')} AS quantity
     FROM shipment_requests r JOIN made m ON m.request_id = r.request_id JOIN boxes b ON b.request_id = r.request_id AND b.container_index = r.container_index
     UNION ALL BY NAME
@@ -316,7 +316,7 @@ _SHIP_FAULTS = """SELECT l.request_id, CASE WHEN l.client_id = 0 THEN 'invalid s
         "SELECT request_id, client_id, CAST(NULL AS BIGINT) AS ship, export_order_item_id AS line, quantity AS need FROM shipment_requests "
         "WHERE request_id IN (SELECT request_id FROM faults WHERE reason IS NULL)") | {
         "made": "SELECT request_id, client_id, row_number() OVER (ORDER BY request_id) AS n FROM play WHERE turn > 0 AND reason IS NULL",
-        "boxes": """SELECT request_id, container_index, container_number, NULL AS container_type, row_number() OVER (PARTITION BY request_id ORDER BY container_index) AS pos,
+        "boxes": """SELECT request_id, container_index, container_number, CAST(NULL AS VARCHAR) AS container_type, row_number() OVER (PARTITION BY request_id ORDER BY container_index) AS pos,
             (SELECT MAX(id) FROM shipment_containers) + row_number() OVER (ORDER BY request_id, container_index) AS box_id
           FROM request_containers WHERE request_id IN (SELECT request_id FROM made)"""}).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_ingest_shipments_changes(t):
