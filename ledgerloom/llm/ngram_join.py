@@ -234,8 +234,8 @@ def _cells(sets: DataFrame, threshold: float) -> DataFrame:
              .select("root", "band", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")))
     above = cells.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = cells.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    cells = cells.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
-    sized = sets.join(cells, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
+    cells = cells.join(above.hint("merge"), ["root", "band"], "left").join(below.hint("merge"), ["root", "band"], "left")
+    sized = sets.join(cells.hint("merge"), ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
 
     # A task compares blocks p and q of one band, or (up) block p of a band with block q of the next.
     def cell(low, p, q, up, side, same):
@@ -255,23 +255,23 @@ def _search(sets: DataFrame, labels: DataFrame, store, base: str, threshold: flo
     """id, linked, joined of the verified texts, by prefixes from ``most`` values down; see the module text."""
     groups, found, depth, reached = None, None, most, False
     while not reached:
-        placed = labels if groups is None else labels.join(groups, "tid", "left")
+        placed = labels if groups is None else labels.join(groups.hint("merge"), "tid", "left")
         root = F.col("tid") if groups is None else F.coalesce("root", "tid")
         nodes = _nodes(placed.select(root.alias("at"), "labels"), trees, most, depth)
         heads = nodes.groupBy("node").agg(F.min("at").alias("head"), F.max("at").alias("last")).filter("head <> last").drop("last")
-        stars = nodes.join(heads, "node").select(F.col("at").alias("a"), F.col("head").alias("b")).distinct()
+        stars = nodes.join(heads.hint("merge"), "node").select(F.col("at").alias("a"), F.col("head").alias("b")).distinct()
         grown = components(stars, f"{base}/candidates-{depth}").withColumnsRenamed({"node": "old", "root": "new"})
         if groups is None:
             groups = grown.select(F.col("old").alias("tid"), F.col("new").alias("root"))
             again = groups
         else:
             # Texts that were alone have no group yet; groups that grew are verified again as a whole.
-            every = labels.select("tid").join(groups, "tid", "left").select("tid", F.coalesce("root", "tid").alias("old"), F.col("root").isNotNull().alias("was"))
-            every = store(every.join(grown, "old", "left").select("tid", F.coalesce("new", "old").alias("root"), F.col("new").isNotNull().alias("grew"), "was"), f"groups-{depth}")
+            every = labels.select("tid").join(groups.hint("merge"), "tid", "left").select("tid", F.coalesce("root", "tid").alias("old"), F.col("root").isNotNull().alias("was"))
+            every = store(every.join(grown.hint("merge"), "old", "left").select("tid", F.coalesce("new", "old").alias("root"), F.col("new").isNotNull().alias("grew"), "was"), f"groups-{depth}")
             groups = every.filter("grew or was").select("tid", "root")
             again = every.filter("grew").select("tid", "root")
-            found = found.join(grown.select("old"), found["root"] == F.col("old"), "left_anti")
-        checked = (_cells(sets.join(again, "tid"), threshold).groupBy("root", "low", "p", "q", "up")
+            found = found.join(grown.select("old").hint("merge"), found["root"] == F.col("old"), "left_anti")
+        checked = (_cells(sets.join(again.hint("merge"), "tid"), threshold).groupBy("root", "low", "p", "q", "up")
                    .applyInPandas(_verified(threshold), "root long, id long, linked long, joined long"))
         found = store(checked if found is None else found.unionByName(checked), f"found-{depth}")
         pairs = {-1 - r.id: r.n // 2 for r in found.filter("id < 0").groupBy("id").agg(F.sum("linked").alias("n")).collect()}
@@ -297,21 +297,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WOR
     # Equal sets: one text, with a number of its own and its least document.
     least = F.min(F.struct("id", "text_hash"))
     texts = with_position(rows.groupBy("k1", "k2").agg(least.alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels")), out="tid")
-    member = stored(rows.select("id", "text_hash", "k1", "k2").join(texts.select("k1", "k2", "tid"), ["k1", "k2"]).select("id", "text_hash", "tid"), "member")
+    member = stored(rows.select("id", "text_hash", "k1", "k2").join(texts.select("k1", "k2", "tid").hint("merge"), ["k1", "k2"]).select("id", "text_hash", "tid"), "member")
     # Texts that share a node of the shortest prefix with another: only they can be found at any depth.
     nodes = _nodes(texts.select("tid", "labels"), trees, most_depth, shortest)
     shared = nodes.groupBy("node").agg(F.min("tid").alias("head"), F.max("tid").alias("last")).filter("head <> last").select("node")
-    close = nodes.join(shared, "node").select("tid").distinct()
-    chosen = stored(texts.join(close, "tid").select("tid", "weight", "labels", F.col("rep.id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")), "close")
+    close = nodes.join(shared.hint("merge"), "node").select("tid").distinct()
+    chosen = stored(texts.join(close.hint("merge"), "tid").select("tid", "weight", "labels", F.col("rep.id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")), "close")
     named = docs.join(chosen.select("tid", "weight", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["tid"])
     sets = stored(exact_sets(named, words), "sets")
     found = _search(sets, chosen.select("tid", "labels"), stored, base, threshold, trees, most_depth, shortest, recall)
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     classes = components(found.select(F.col("id").alias("a"), F.col("joined").alias("b")), f"{base}/classes").withColumnRenamed("node", "id")
-    text_class = (texts.select(F.col("tid").alias("id"), "weight", "rep").join(linked, "id", "left").join(classes, "id", "left")
+    text_class = (texts.select(F.col("tid").alias("id"), "weight", "rep").join(linked.hint("merge"), "id", "left").join(classes.hint("merge"), "id", "left")
                   .select(F.col("id").alias("tid"), F.coalesce("root", "id").alias("class_key"), "weight", F.col("rep.id").alias("rep"), F.coalesce("linked", F.lit(0)).alias("linked")))
     sizes = text_class.groupBy("class_key").agg(F.sum("weight").alias("class_docs"), F.count(F.lit(1)).alias("class_texts"), F.min("rep").alias("class_id"))
-    full = (member.join(text_class.join(sizes, "class_key"), "tid")
+    full = (member.join(text_class.join(sizes.hint("merge"), "class_key").hint("merge"), "tid")
             .select(F.col("id").alias("doc_id"), "class_id", (F.col("linked") + F.col("weight") - 1).alias("n_links"), "class_docs", "class_texts", "class_key", "text_hash"))
     # Documents without a shingle, or without an id, are alone.
     alone = docs.filter(F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
