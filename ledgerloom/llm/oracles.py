@@ -55,6 +55,6 @@ def centroids(count: int = 40, rounds: int = 5, components: int = 64) -> str:
       SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, {components + 1})) AS i FROM kept JOIN own{r} USING (row)) GROUP BY c, i)
     GROUP BY c) m ON m.c = a.c)""")
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, digest AS centroid_sha256
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, digest AS centroid_sha256
 FROM own{rounds} JOIN kept USING (row) JOIN (SELECT c, sha256(array_to_string(v, ',')) AS digest FROM at{rounds}) USING (c)
 """
