@@ -56,6 +56,8 @@ MOST_DEPTH = 8
 TARGET_RECALL = 0.999
 #: Bins of similarity, from the threshold to 1, in which found pairs are counted.
 SIMILARITY_BINS = 50
+#: Bytes of text hashed at once (a longer single text is hashed whole).
+SLICE_BYTES = 1 << 18
 #: Shingles and texts per block of a large band.
 BLOCK_SHINGLES = 200_000
 BLOCK_TEXTS = 1024
@@ -103,7 +105,7 @@ def sketch(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
     """id, hash of the text, set key (two 64-bit numbers) and the trees' labels, of texts with a shingle."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start, stop, batch in batches(part.column(1)):
+            for start, stop, batch in batches(part.column(1), limit=SLICE_BYTES):
                 hashes, begin = shingle_sets(batch, words)
                 full = np.flatnonzero(np.diff(begin) > 0)
                 if not len(full):
@@ -124,7 +126,7 @@ def exact_sets(texts: DataFrame, words: int) -> DataFrame:
     """tid, weight, n and the set of rows (tid, weight, text)."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start, stop, batch in batches(part.column(2)):
+            for start, stop, batch in batches(part.column(2), limit=SLICE_BYTES):
                 hashes, begin = shingle_sets(batch, words)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i).slice(start, stop - start) for i in range(2)]
