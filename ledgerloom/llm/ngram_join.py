@@ -272,7 +272,11 @@ def _search(sets: DataFrame, labels: DataFrame, store, base: str, threshold: flo
             every = store(every.join(grown.hint("merge"), "old", "left").select("tid", F.coalesce("new", "old").alias("root"), F.col("new").isNotNull().alias("grew"), "was"), f"groups-{depth}")
             groups = every.filter("grew or was").select("tid", "root")
             again = every.filter("grew").select("tid", "root")
-            found = found.join(grown.select("old").hint("merge"), found["root"] == F.col("old"), "left_anti")
+            # Texts are matched by their own number and bins summed per group first: a large group's rows stay spread.
+            texts = found.filter("id >= 0").join(every.filter("grew").select(F.col("tid").alias("id")).hint("merge"), "id", "left_anti")
+            counts = found.filter("id < 0").groupBy("root", "id").agg(F.sum("linked").alias("linked")).withColumn("joined", F.col("id"))
+            counts = counts.join(grown.select("old").hint("merge"), counts["root"] == F.col("old"), "left_anti")
+            found = texts.select("root", "id", "linked", "joined").unionByName(counts)
         checked = (_cells(sets.join(again.hint("merge"), "tid"), threshold).groupBy("root", "low", "p", "q", "up")
                    .applyInPandas(_verified(threshold), "root long, id long, linked long, joined long"))
         found = store(checked if found is None else found.unionByName(checked), f"found-{depth}")
