@@ -13,7 +13,8 @@ bounded size, which returns k rows per query; the k best per query are kept at t
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null id, take no part; only vectors of the query's dimension are compared; rows with the
-query's own id are not its candidates; rows repeated under one id are candidates each.
+query's own id are not its candidates; rows repeated under one id are candidates each, and have a list
+each if they are queries.
 """
 
 from __future__ import annotations
@@ -99,10 +100,11 @@ def _search_block(k: int):
         out = []
         if len(vectors) and len(queries):
             index = Index(vectors["id"].to_numpy(np.int64), np.stack(vectors["v"].to_numpy()).astype(np.float64))
-            for own, vector in zip(queries["id"].to_numpy(np.int64), queries["v"]):
+            for row, own, vector in zip(queries["row"].to_numpy(np.int64), queries["id"].to_numpy(np.int64), queries["v"]):
                 ids, scores = index.search(np.asarray(vector, np.float64), int(own), k)
-                out.append(pd.DataFrame({"query_id": np.full(len(ids), own), "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+                out.append(pd.DataFrame({"row": np.full(len(ids), row), "query_id": np.full(len(ids), own), "vec_id": ids, "score": scores}))
+        none = np.zeros(0, np.int64)
+        return pd.concat(out) if out else pd.DataFrame({"row": none, "query_id": none, "vec_id": none, "score": np.zeros(0)})
     return run
 
 
@@ -120,9 +122,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     parts = max(1, -(-sizes[0] // BLOCK_VECTORS))
     asks = max(1, -(-sizes[1] // BLOCK_QUERIES))
     base = base.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-    asked = asked.withColumn("q", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(asks))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("row", F.monotonically_increasing_id())  # a list for each query row, also of one id
+    asked = asked.withColumn("q", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(asks))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     key = ["dim", "b", "q"]
     base, asked = (df.withColumn("b", F.col("b").cast("int")).withColumn("q", F.col("q").cast("int")) for df in (base, asked))
-    found = base.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search_block(k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
+    found = base.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search_block(k), "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

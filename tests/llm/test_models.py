@@ -254,3 +254,60 @@ def test_lm_beats_base_on_held_out(spark, sf01):
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert len(out) == 1000 and len({r.train_tokens for r in out}) == 1
+
+
+# ------------------------------------------------------------------ scores against plain versions
+
+TEXTS = ["The Cat sat, on the mat!", "é à", "", "12 34", "a", "Der Hund. Die Katze? Ja", "long " * 300, "mixed\tWORDS\nand lines"]
+
+
+def test_language_scores_are_the_plain_average(spark, sf01):
+    from ledgerloom.llm import langid
+    model = langid.train(spark.read.parquet(f"{sf01}/documents.parquet"))
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    for i, text in enumerate(TEXTS):
+        data = bytes(langid._CLEAN[b] for b in bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()))
+        rows = []
+        for size in langid.GRAMS:
+            for at in range(len(data) - size + 1):
+                gram, code = data[at:at + size], size
+                if all(b == 0x20 for b in gram):
+                    continue
+                for b in gram:
+                    code = (code * 0x01000193 & 0xFFFFFFFF) ^ b
+                rows.append(model.table[(code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS)].astype(float))
+        if not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        z = sum(rows) / len(rows) / model.temperature if rows else np.zeros(len(model.languages))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].lang_pred == model.languages[int(p.argmax())] and got[i].score == pytest.approx(p.max(), abs=1e-5)
+
+
+def test_toxicity_scores_are_the_plain_noisy_or(spark, sf01):
+    from ledgerloom.llm import toxicity
+    from ledgerloom.llm.textops import TextBatch
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf01}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.limit(30).collect()] + [(10_000 + i, t) for i, t in enumerate(TEXTS)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hashed = lambda w: int(TextBatch(np.frombuffer(w, np.uint8), np.array([0, len(w)])).span_hashes(np.array([0]), np.array([len(w)]))[0]) >> (64 - toxicity.BUCKET_BITS)
+    for doc_id, text in rows:
+        data = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        sentences, words, word = [], [], b""
+        for b in [*data, None]:
+            inside = b is not None and toxicity._WORD[b] not in (0x20, *range(9, 14))
+            if inside:
+                word += bytes([toxicity._WORD[b]])
+                continue
+            words, word = (words + [word] if word else words), b""
+            if b is None or toxicity._BREAK[b]:
+                sentences, words = (sentences + [words] if words else sentences), []
+        clean = 1.0
+        for s in sentences:
+            features = [hashed(w) for w in s] + [hashed(w[:n]) for n in toxicity.PREFIXES for w in s if len(w) > n]
+            clean *= 1 - 1 / (1 + np.exp(-(sum(model.weights[f] for f in features) + model.bias)))
+        odds = np.log(max(1 - clean, 1e-9)) - np.log(clean)
+        assert got[doc_id].n_sentences == len(sentences)
+        assert got[doc_id].score == pytest.approx(1 / (1 + np.exp(-(model.slope * odds + model.shift))), abs=1e-4)

@@ -46,6 +46,13 @@ def test_search_defined_cases(spark):
     assert ann.nearest(df.limit(0), df, 5).count() == 0 and ann.nearest(df, df.limit(0), 5).count() == 0
 
 
+def test_repeated_query_ids_have_a_list_each(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df.filter("vec_id = 50"), 5).collect())
+    assert got == {(50, 1, 1): 1, (50, 2, 3): 2, (50, 3, 2): 1, (50, 1, 2): 1, (50, 3, 1): 1}
+
+
 def test_search_recall_on_given_vectors(spark, sf01, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_VECTORS", 150)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
