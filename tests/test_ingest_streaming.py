@@ -187,6 +187,12 @@ def test_payment_stream_matches_batch(spark):
     expect = {r["request_id"]: r["outcome"] for r in admit_payments(t, batch).collect()}
     assert got == expect == {1: "accepted", 2: "exceeds", 3: "exceeds", 4: "accepted"}
     assert spark.read.parquet(pay).count() == 2
+    b3 = [(1, 1, Dm("1"), D(2024, 5, 3), None, 1), (5, 2, Dm("1"), D(2024, 5, 3), None, 1), (5, 2, Dm("1"), D(2024, 5, 3), None, 1)]
+    spark.createDataFrame(b3, schema).coalesce(1).write.parquet(os.path.join(src, "b3"))
+    start_payment_stream(spark, t, os.path.join(src, "*"), pay, outc, os.path.join(base, "ckpt"), available_now=True).awaitTermination()
+    last = spark.read.parquet(outc).filter("request_id = 5 or outcome = 'duplicate_request'").collect()
+    assert sorted((r["request_id"], r["outcome"]) for r in last) == [(1, "duplicate_request"), (5, "accepted")]
+    assert sorted(r["id"] for r in spark.read.parquet(pay).collect()) == [1, 4, 5]
 
 
 def test_apply_order_edits(spark):
