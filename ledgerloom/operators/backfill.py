@@ -19,7 +19,7 @@ def backfill_containers(shipments: DataFrame, containers: DataFrame) -> DataFram
     ctype = F.col("container_type") if "container_type" in shipments.columns else F.lit(None).cast("string")
     cbm = F.col("cbm") if "cbm" in shipments.columns else F.lit(None).cast("decimal(12,3)")
     seals = F.col("seal_numbers") if "seal_numbers" in shipments.columns else F.lit(None).cast("string")
-    return missing.select(
+    new = missing.select(
         (F.col("id") * 10 + NEW_CONTAINER_LINE).alias("id"),
         F.col("id").alias("shipment_id"),
         F.lit(1).alias("line_number"),
@@ -28,6 +28,8 @@ def backfill_containers(shipments: DataFrame, containers: DataFrame) -> DataFram
         ctype.alias("container_type"),
         cbm.cast("decimal(12,3)").alias("cbm"),
         seals.alias("seal_numbers"))
+    carries = "seal_numbers" in {*containers.columns, *shipments.columns}
+    return new if carries else new.drop("seal_numbers")
 
 
 def backfill_allocation_containers(allocations: DataFrame, containers: DataFrame) -> DataFrame:
