@@ -11,23 +11,14 @@ the rows are numbered as they are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import scratch_path
+from ledgerloom.session import stored
 
 _ROW_BITS = 33  # monotonically_increasing_id: the task's number above, the row's number within the task below
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table of the shared folder."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_position(df: DataFrame, *order: Column, out: str = "position") -> DataFrame:
     """Add ``out``: the number of rows before this one in the given order (from 0)."""
     row = "_position_row"
