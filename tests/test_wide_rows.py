@@ -41,7 +41,29 @@ def test_steps_are_kept_compressed(spark, tmp_path):
 
 def test_a_job_numbers_the_raw_lines_once(spark):
     """Lines and allocations are read from the tables kept for the job, not derived again for every use."""
-    for name in ("shipment_header", "shipment_lines", "order_detail", "order_status_apply"):
+    for name in ("shipment_header", "shipment_lines", "order_status_apply"):
         plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"lineitem\.parquet", plan), name
     assert from_testdata(spark, SF001)["export_order_items"].count() == E.queries()["line_measures"](spark, SF001).count()
+
+
+def test_a_few_named_parties_are_not_dealt_with_all_rows(spark):
+    """Rows that name few parties of many: only these are kept and broadcast, unnamed ones stay without a party."""
+    rows = spark.range(100).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("agent_id"))
+    parties = spark.range(200_000).select("id", F.concat(F.lit("party "), F.col("id")).alias("name")).repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        got = FU._in_role(rows, parties, "agent_id", "agent", {"name": "name"})
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        names = {r["id"]: r["agent_name"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert names == {i: None if i % 3 == 0 else f"party {i % 2}" for i in range(100)}
+
+
+def test_status_requests_are_joined_once(spark):
+    """What orders hold is not joined again for each of the later steps, nor sorted in one task with them."""
+    for name in ("order_status_sequence", "order_status_apply", "order_eligibility"):
+        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "events.parquet" not in plan and "orders.parquet" not in plan, name
