@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from fixtures import SF001
 from ledgerloom.operators import fulfilment as FU
-from ledgerloom.session import cut_lineage
+from ledgerloom.session import kept
 from ledgerloom.sources.tables import from_testdata
 
 
@@ -32,10 +32,10 @@ def test_pages_of_short_long_and_null_parents(spark):
 def test_steps_are_kept_compressed(spark, tmp_path):
     """A checkpoint of these rows holds 16 MB; written as a table they are far smaller, and the same."""
     rows = spark.range(500_000).select("id", F.lit(7).alias("a"), F.lit("text").alias("b"))
-    kept = cut_lineage(rows)
-    assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
-    assert kept.exceptAll(rows).isEmpty() and kept.count() == 500_000
-    twice = cut_lineage(rows.select("id", "id", F.lit(None).alias("none")))  # no table can hold these
+    step = kept(rows)
+    assert "FileScan parquet" in step._jdf.queryExecution().executedPlan().toString()
+    assert step.exceptAll(rows).isEmpty() and step.count() == 500_000
+    twice = kept(rows.select("id", "id", F.lit(None).alias("none")))  # no table can hold these
     assert twice.count() == 500_000
 
 
