@@ -98,12 +98,21 @@ RESTRICTED_ITEM_FIELDS = {
 }
 
 
+def _restricted(permissions: Iterable[str]) -> bool:
+    perms = set(permissions)
+    return GATE_PASS_VIEW in perms and DOCS_PREVIEW not in perms and ORDERS_EDIT not in perms
+
+
+def item_fields(view: str, permissions: Iterable[str]) -> list[str] | None:
+    """The item fields of a view that a user with these permissions sees (None: all)."""
+    return RESTRICTED_ITEM_FIELDS.get(view) if _restricted(permissions) else None
+
+
 def restrict(df: DataFrame, view: str, permissions: Iterable[str], absent: Iterable[str] = ()) -> DataFrame:
     """A gate-pass-only user sees a column subset (nested items too); others see everything.
 
     A column of the subset that the table lacks raises, unless it is named in ``absent``."""
-    perms = set(permissions)
-    if not (GATE_PASS_VIEW in perms and DOCS_PREVIEW not in perms and ORDERS_EDIT not in perms):
+    if not _restricted(permissions):
         return df
     missing = set(RESTRICTED_COLUMNS[view]) - set(df.columns) - set(absent)
     if missing:

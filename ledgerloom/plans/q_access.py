@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import access as A
 from ledgerloom.operators import fulfilment as FU
-from ledgerloom.plans.catalog import LINES, ORACLE, register, with_ctes
+from ledgerloom.plans.catalog import DEALT_LINES, ORACLE, register, with_ctes
 from ledgerloom.plans.q_fulfilment import _ORDER_PARTS, ORDER_LIST_SQL, stamped
 from ledgerloom.sources.schemas import DOCUMENT_ACTIONS, ORDER_DOCUMENT_TYPES, SHIPMENT_DOCUMENT_TYPES
 
@@ -107,10 +107,11 @@ _SEEN_SHIPMENT = [*_SEEN, "shipment_number", "container_number", "container_type
 _SHIPMENT_FIELDS = [*_LINE_FIELDS, "shipment_container_id", "container_number", "container_type"]
 
 
-@register("shipment_detail_gate_pass", _detail_sql("shipment_header", "shipment_lines", "shipment_id", _SEEN_SHIPMENT, _SHIPMENT_FIELDS, ["items", "containers"]), keep=LINES)
+@register("shipment_detail_gate_pass", _detail_sql("shipment_header", "shipment_lines", "shipment_id", _SEEN_SHIPMENT, _SHIPMENT_FIELDS, ["items", "containers"]), keep=DEALT_LINES)
 def q_shipment_detail_gate_pass(t):
     """The shipment detail as a gate-pass-only user sees it, line by line."""
-    d = A.restrict(FU.shipment_detail(t), "shipment_detail", GATE_PASS_ONLY, absent=_NO_GATE_PASS)
+    full = FU.shipment_detail(t, fields=A.item_fields("shipment_detail", GATE_PASS_ONLY))
+    d = A.restrict(full, "shipment_detail", GATE_PASS_ONLY, absent=_NO_GATE_PASS)
     return _detail_lines(d, _SEEN_SHIPMENT, _SHIPMENT_FIELDS)
 
 

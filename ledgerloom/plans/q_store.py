@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import access as A
 from ledgerloom.operators import fulfilment as FU
 from ledgerloom.operators.balances import order_balances
-from ledgerloom.plans.catalog import BAL, D, LINES, ORACLE, register, with_ctes
+from ledgerloom.plans.catalog import BAL, D, DEALT_LINES, ORACLE, register, with_ctes
 from ledgerloom.plans.q_parts import ORDER_ID
 from ledgerloom.plans.q_reports import BAL_COLS, BAL_MONEY
 from ledgerloom.session import scratch_path
@@ -128,7 +128,7 @@ def q_order_detail_pages(t):
       FROM shipment_allocations a JOIN shipment_containers b ON b.id = a.shipment_container_id JOIN export_order_items i ON i.id = a.export_order_item_id
       JOIN products p ON p.id = i.product_id JOIN export_orders o ON o.id = i.export_order_id) a ON a.shipment_id = h.id
     JOIN shipment_containers box ON box.id = a.shipment_container_id
-    WHERE h.client_id IN (SELECT id FROM parties) AND h.customs_consignee_id IN (SELECT id FROM parties)"""), keep=LINES)
+    WHERE h.client_id IN (SELECT id FROM parties) AND h.customs_consignee_id IN (SELECT id FROM parties)"""), keep=DEALT_LINES)
 def q_shipment_detail_pages(t):
     """R7 in pages, flattened: every line with its page, place and cartons."""
     d = FU.shipment_detail_pages(t).select("id", "shipment_number", "page", "first_line", F.posexplode("lines").alias("at", "i"))
