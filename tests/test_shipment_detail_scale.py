@@ -86,6 +86,8 @@ def test_kept_items_meet_their_contracts_where_they_lie(spark, no_broadcast):
 
 
 def test_flattened_shipments_deal_only_what_they_show(spark):
+    plan = _plan(E.queries()["shipment_detail_lines"](spark, SF001))
+    assert not [c for c in ("p_name", "p_brand", "l_extendedprice", "client_price_per_carton") if c in plan]
     plan = _plan(E.queries()["shipment_detail_gate_pass"](spark, SF001))
     assert "p_name" in plan and not [c for c in ("p_brand", "p_type", "client_price_per_carton") if c in plan]
 
