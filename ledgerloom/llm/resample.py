@@ -53,10 +53,10 @@ HEAD_PAIRS = 1 << 14
 OFFERED_WORDS = 1 << 11
 OFFERED_PAIRS = 1 << 12
 #: Distinct words and pairs whose counts a task holds at once while it looks for candidates.
-COUNTED = 1 << 17
-#: Bytes of text that are cut into words at once (a longer single text is cut whole), and the size from which a
-#: word's CRC is taken by itself.
-SLICE_BYTES = 1 << 22
+COUNTED = 1 << 16
+#: Bytes of text that are cut into words at once (a longer single text is cut whole; a slice takes some 20 times its
+#: bytes in arrays), and the size from which a word's CRC is taken by itself.
+SLICE_BYTES = 1 << 20
 LONG_WORD = 64
 
 _INSIDE = np.zeros(256, bool)

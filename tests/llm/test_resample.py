@@ -61,3 +61,19 @@ def test_empty_sides(spark, docs_of):
     assert resample.resample(docs_of(rows).limit(0), none).collect() == []
     nulls = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert [(r.n_features, r.weight, r["rank"]) for r in resample.resample(nulls, none).collect()] == [(0, 0, None)]
+
+
+def test_words_of_a_slice_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ledgerloom.llm.textops import batches
+    column = pa.array([" ".join(f"wort{i * j % 9973}" for j in range(400)) for i in range(2500)])
+    head = resample.Head({}, {})
+    tracemalloc.start()
+    for _, _, batch in batches(column, limit=resample.SLICE_BYTES):
+        resample.feature_buckets(resample.Words(batch), head, resample.BUCKETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert column.nbytes > 8 << 20 and peak < 40 << 20
