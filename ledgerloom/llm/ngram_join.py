@@ -228,15 +228,28 @@ def _nodes(labels: DataFrame, trees: int, most: int, depth: int) -> DataFrame:
     return labels.withColumn("node", F.explode(each)).drop("labels")
 
 
-def _cells(sets: DataFrame, threshold: float) -> DataFrame:
+def _blocks(sizes: DataFrame) -> DataFrame:
+    """root, band and its number of blocks (``parts``), with those of the bands ``above`` and ``below`` it (null: no such band).
+
+    ``sizes``: root, band, n of every text.  Each band tells its number to itself and to both neighbours, in one aggregate."""
+    cells = (sizes.groupBy("root", "band").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+             .select("root", "band", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("count")))
+    none = F.lit(None).cast("int")
+
+    def told(band, **to):
+        return F.struct(band.alias("band"), *[to.get(c, none).alias(c) for c in ("parts", "above", "below")])
+
+    every = F.array(told(F.col("band"), parts=F.col("count")), told(F.col("band") - 1, above=F.col("count")), told(F.col("band") + 1, below=F.col("count")))
+    return (cells.select("root", F.explode(every).alias("e")).select("root", "e.*").groupBy("root", "band")
+            .agg(*[F.max(c).alias(c) for c in ("parts", "above", "below")]).filter("parts is not null"))
+
+
+def _cells(sets: DataFrame, threshold: float, store) -> DataFrame:
     """The rows of ``sets`` (root, tid, weight, n, grams) dealt to the pairs of blocks that they meet in."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold))) + F.lit(1e-9)).cast("int")
     sets = sets.withColumn("band", band)
-    cells = (sets.groupBy("root", "band").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-             .select("root", "band", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")))
-    above = cells.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    below = cells.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    cells = cells.join(above.hint("merge"), ["root", "band"], "left").join(below.hint("merge"), ["root", "band"], "left")
+    # Written: one small row per band, so that the join below is a plan of its own.
+    cells = store(_blocks(sets.select("root", "band", "n")))
     sized = sets.join(cells.hint("merge"), ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
 
     # A task compares blocks p and q of one band, or (up) block p of a band with block q of the next.
@@ -277,7 +290,7 @@ def _search(sets: DataFrame, labels: DataFrame, store, base: str, threshold: flo
             counts = found.filter("id < 0").groupBy("root", "id").agg(F.sum("linked").alias("linked")).withColumn("joined", F.col("id"))
             counts = counts.join(grown.select("old").hint("merge"), counts["root"] == F.col("old"), "left_anti")
             found = texts.select("root", "id", "linked", "joined").unionByName(counts)
-        checked = (_cells(sets.join(again.hint("merge"), "tid"), threshold).groupBy("root", "low", "p", "q", "up")
+        checked = (_cells(sets.join(again.hint("merge"), "tid"), threshold, lambda df: store(df, f"blocks-{depth}")).groupBy("root", "low", "p", "q", "up")
                    .applyInPandas(_verified(threshold), "root long, id long, linked long, joined long"))
         found = store(checked if found is None else found.unionByName(checked), f"found-{depth}")
         pairs = {-1 - r.id: r.n // 2 for r in found.filter("id < 0").groupBy("id").agg(F.sum("linked").alias("n")).collect()}
@@ -295,14 +308,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WOR
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     docs = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("text_hash", F.xxhash64("text"))
     shortest = prefix_depth(threshold, trees, most_depth, recall)
     rows = stored(sketch(docs.filter("doc_id is not null"), trees, most_depth, words), "sketch")
-    # Equal sets: one text, with a number of its own and its least document.
+    # Equal sets: one text, with a number of its own and its least document.  Steps that later ones read more than
+    # once are written, as each of them would otherwise hold the whole step in its plan, once for each time.
     least = F.min(F.struct("id", "text_hash"))
-    texts = with_position(rows.groupBy("k1", "k2").agg(least.alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels")), out="tid")
+    texts = stored(with_position(rows.groupBy("k1", "k2").agg(least.alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels")), out="tid"), "texts")
     member = stored(rows.select("id", "text_hash", "k1", "k2").join(texts.select("k1", "k2", "tid").hint("merge"), ["k1", "k2"]).select("id", "text_hash", "tid"), "member")
     # Texts that share a node of the shortest prefix with another: only they can be found at any depth.
     nodes = _nodes(texts.select("tid", "labels"), trees, most_depth, shortest)
@@ -316,6 +330,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WOR
     classes = components(found.select(F.col("id").alias("a"), F.col("joined").alias("b")), f"{base}/classes").withColumnRenamed("node", "id")
     text_class = (texts.select(F.col("tid").alias("id"), "weight", "rep").join(linked.hint("merge"), "id", "left").join(classes.hint("merge"), "id", "left")
                   .select(F.col("id").alias("tid"), F.coalesce("root", "id").alias("class_key"), "weight", F.col("rep.id").alias("rep"), F.coalesce("linked", F.lit(0)).alias("linked")))
+    text_class = stored(text_class, "text-classes")
     sizes = text_class.groupBy("class_key").agg(F.sum("weight").alias("class_docs"), F.count(F.lit(1)).alias("class_texts"), F.min("rep").alias("class_id"))
     full = (member.join(text_class.join(sizes.hint("merge"), "class_key").hint("merge"), "tid")
             .select(F.col("id").alias("doc_id"), "class_id", (F.col("linked") + F.col("weight") - 1).alias("n_links"), "class_docs", "class_texts", "class_key", "text_hash"))

@@ -17,10 +17,13 @@ def components(edges: DataFrame, base: str, rounds: int = ROUNDS) -> DataFrame:
     a node of very many edges costs its edges once; the edges of each round are a written table
     under ``base`` (a shared folder)."""
     spark = edges.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    path = f"{base}/edges"
-    now.write.mode("overwrite").parquet(path)
-    state = spark.read.parquet(path)
+    state = written(now, "edges")
     for number in range(rounds):
         each_way = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
         both = state.select(each_way).select("e.a", "e.b")
@@ -30,9 +33,7 @@ def components(edges: DataFrame, base: str, rounds: int = ROUNDS) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(least.hint("merge"), "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        path = f"{base}/edges-{number}"
-        small.write.mode("overwrite").parquet(path)
-        state = spark.read.parquet(path)
+        state = written(small, f"edges-{number}")
         # one star per component exactly when no root is itself a member and no member has two roots
         sides = F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("member"), F.lit(0).alias("root")),
                                   F.struct(F.col("b").alias("x"), F.lit(0).alias("member"), F.lit(1).alias("root")))).alias("s")

@@ -177,6 +177,23 @@ def test_components_of_a_long_path(spark, tmp_path):
 
 # ------------------------------------------------------------------ pipeline and entry
 
+def test_blocks_tell_their_neighbours_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 10)
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 2)
+    rows = [(1, 4, 5)] * 3 + [(1, 5, 25)] + [(1, 7, 3)] + [(2, 5, 1)]
+    blocks = ngram_join._blocks(spark.createDataFrame(rows, "root long, band int, n long"))
+    assert sorted(map(tuple, blocks.select("root", "band", "parts", "above", "below").collect())) == [
+        (1, 4, 2, 3, None), (1, 5, 3, None, 2), (1, 7, 1, None, None), (2, 5, 1, None, None)]
+    assert "Join" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_steps_keep_the_plan_of_the_classes_small(spark, docs_of):
+    near = " ".join(f"w{i}" for i in range(60))
+    classes = ngram_join.join(docs_of([(1, near), (2, near + " x"), (3, "other words of a text"), (4, None)]))
+    assert classes._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in classes.collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+
+
 def test_pipeline_stages(spark, sf01, tmp_path):
     import corpus_pipeline
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
