@@ -14,8 +14,8 @@ from ledgerloom.functions.text import blank_to_null, seal_list
 from ledgerloom.operators import admission as G
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators.backfill import packaging_errors, packaging_json
-from ledgerloom.operators.fulfilment import carton_ranges
-from ledgerloom.operators.running import LINE_BLOCK_BITS, id_block, number_all, number_rows
+from ledgerloom.operators.fulfilment import numbered_cartons
+from ledgerloom.operators.running import number_all, number_lines
 from ledgerloom.session import kept
 from ledgerloom.sources import sinks
 from ledgerloom.sources.tables import Tables
@@ -61,11 +61,13 @@ def _new_ids(df: DataFrame, existing: DataFrame, order: list[str], out: str = "i
 
 
 def _order_items(items: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V4 + W4: normalised items with line numbers and carton ranges; rejected requests (step 5)."""
-    norm = Q.normalize_items(items, products, request_key="request_id")
-    bad = _rejects(norm.filter(F.col("request_rejected")), F.col("line_reason"), 5).filter(F.col("reason").isNotNull())
-    ok = number_rows(_drop(norm, bad), ["request_id"], ["item_index"], "line_number", chunk=[id_block("item_index", LINE_BLOCK_BITS)])
-    return carton_ranges(ok, "request_id", ["line_number"], chunk=[id_block("line_number", LINE_BLOCK_BITS)]), bad
+    """V4 + W4: normalised items with line numbers and carton ranges; rejected requests (step 5).
+
+    A request is rejected whole when any of its lines is.  The judged lines are written once: they tell both what
+    is rejected and what is numbered."""
+    judged = kept(Q.judge_items(items, products))
+    bad = kept(_rejects(judged.filter(F.col("line_reason").isNotNull() & F.col("request_id").isNotNull()), F.col("line_reason"), 5))
+    return kept(numbered_cartons(_drop(judged.drop("line_reason"), bad), "request_id", "item_index")), bad
 
 
 ITEM_COLUMNS = ["id", "export_order_id", "product_id", "line_number", "carton_start", "carton_end", "quantity",
@@ -100,10 +102,8 @@ def ingest_orders(t: Tables, headers: DataFrame, items: DataFrame, prefix: str,
     rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account", 3))
     rejected = kept(rejected)  # step boundary: keeps later plans small and restartable
     hv = kept(_drop(hv.drop("bank_account_ok", "bank_reason"), rejected))
-    iv = _drop(iv, rejected).join(hv.select("request_id"), "request_id", "left_semi")
-    # item normalisation decides the remaining rejects before any number is consumed
-    lines, bad = _order_items(iv, t["products"])
-    lines, bad = kept(lines), kept(bad)
+    # lines of the headers that stand; item normalisation decides the remaining rejects before any number is consumed
+    lines, bad = _order_items(iv.join(hv.select("request_id"), "request_id", "left_semi"), t["products"])
     rejected = rejected.unionByName(bad)
     hv = _drop(hv, bad).withColumn("sequence_year", F.lit(year))
     numbered = G.assign_numbers(hv, t["export_orders"], prefix, order=["request_id"])
@@ -130,8 +130,7 @@ def apply_order_edits(t: Tables, headers: DataFrame, items: DataFrame) -> tuple[
     rejected = rejected.unionByName(_rejects(hv.filter(~F.col("bank_account_ok")), "select an active bank account", 4))
     rejected = kept(rejected)
     hv = kept(_drop(hv.drop("bank_account_ok", "bank_reason"), rejected))
-    lines, bad = _order_items(_drop(iv, rejected).join(hv.select("request_id"), "request_id", "left_semi"), t["products"])
-    lines, bad = kept(lines), kept(bad)
+    lines, bad = _order_items(iv.join(hv.select("request_id"), "request_id", "left_semi"), t["products"])
     rejected = rejected.unionByName(bad)
     hv = kept(sinks.one_per_key(_drop(hv, bad), ["order_id"], ["request_id"]))
     lines = lines.join(hv.select("request_id", F.col("order_id").alias("export_order_id")), "request_id")
@@ -174,11 +173,9 @@ def _structure_rows(t: Tables, ids: DataFrame, cv: DataFrame, av: DataFrame):
 
     ids: request_id -> shipment_id."""
     cv = cv.join(ids, "request_id")
-    cv = kept(number_rows(cv, ["request_id"], ["container_index"], "line_number",
-                                 chunk=[id_block("container_index", LINE_BLOCK_BITS)]))
+    cv = kept(number_lines(cv, "request_id", "container_index"))
     cv = kept(_new_ids(cv, t["shipment_containers"], ["request_id", "container_index"]))
-    av = kept(number_rows(av.join(ids.select("request_id"), "request_id", "left_semi"), ["request_id"],
-                                 ["alloc_index"], "line_number", chunk=[id_block("alloc_index", LINE_BLOCK_BITS)]))
+    av = kept(number_lines(av.join(ids.select("request_id"), "request_id", "left_semi"), "request_id", "alloc_index"))
     cmap = cv.select("request_id", "container_index", F.col("id").alias("shipment_container_id"), "shipment_id")
     av = kept(_new_ids(av.join(cmap, ["request_id", "container_index"]), t["shipment_allocations"],
                               ["request_id", "alloc_index"]))

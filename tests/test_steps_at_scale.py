@@ -8,6 +8,7 @@ import __spark_entry__ as E
 from fixtures import SF001
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators.running import number_all
+from ledgerloom.plans import ingest as I
 from ledgerloom.session import STEP_SETTINGS, kept
 from ledgerloom.sources.changes import changes
 
@@ -91,3 +92,27 @@ def test_request_structure_is_counted_in_steps(spark):
 
 def test_order_lines_number_the_raw_lines_once(spark):
     assert "lineitem" not in _plan(E.queries()["order_lines"](spark, SF001))
+
+
+def test_contract_lines_are_judged_and_numbered_in_written_steps(spark):
+    """The plan of the numbered lines held sixteen copies of what made them; a large request is numbered by chunks."""
+    items = spark.range(5000).select(F.lit(1).cast("long").alias("request_id"), F.col("id").alias("item_index"), F.lit(7).cast("long").alias("product_id"),
+                                     F.lit(1.5).cast("decimal(12,3)").alias("quantity"))
+    more = spark.createDataFrame([(2, 4, 7, "0.5"), (2, 9, 7, "3"), (2, 1, 7, "2"), (3, 0, 7, "1"), (3, 1, 8, "1"), (3, 2, 9, "1")],
+                                 "request_id long, item_index long, product_id long, q string")
+    items = items.unionByName(more.withColumn("quantity", F.col("q").cast("decimal(12,3)")).drop("q"))
+    products = spark.createDataFrame([(7, "a", 6, True), (8, "b", 6, False)], "id long, name string, u int, is_active boolean")
+    lines, bad = I._order_items(items, products.select("*", F.col("u").cast("decimal(12,3)").alias("units_per_carton")))
+    assert "Join" not in _plan(lines) and "Join" not in _plan(bad)
+    assert sorted(map(tuple, bad.collect())) == [(3, "product inactive", 5), (3, "product unavailable", 5)]
+    got = {(r["request_id"], r["item_index"]): (r["line_number"], r["carton_start"], r["carton_end"]) for r in lines.collect()}
+    assert got == {(1, i): (i + 1, i + 1, i + 1) for i in range(5000)} | {(2, 1): (1, 1, 2), (2, 4): (2, None, None), (2, 9): (3, 3, 5)}
+
+
+def test_rows_without_an_error_make_no_array_of_errors(spark):
+    rules = [Q.Rule("amount", "number", positive=True, dtype="decimal(12,3)"), Q.Rule("name", "text", min_len=2)]
+    rows = spark.createDataFrame([(1, "7", "ab"), (2, "x", "a")], "request_id long, amount string, name string")
+    valid, rejected = Q.validate(rows, rules, keep=["request_id"])
+    assert re.search(r"isnotnull\(coalesce\(.*\)\) THEN array\(", _plan(rejected, "optimizedPlan"))
+    assert [r["request_id"] for r in valid.collect()] == [1]
+    assert [(r["request_id"], len(r["errors"])) for r in rejected.collect()] == [(2, 2)]
