@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from fixtures import SF001
+from ledgerloom.operators import admission as G
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators.running import number_all
 from ledgerloom.plans import ingest as I
-from ledgerloom.session import STEP_SETTINGS, kept
+from ledgerloom.plans.catalog import REQUESTS
+from ledgerloom.session import STEP_SETTINGS, kept, path_exists, release
 from ledgerloom.sources.changes import changes
+from ledgerloom.sources.tables import from_testdata
 
 
 def _plan(df, kind="executedPlan"):
@@ -116,3 +119,42 @@ def test_rows_without_an_error_make_no_array_of_errors(spark):
     assert re.search(r"isnotnull\(coalesce\(.*\)\) THEN array\(", _plan(rejected, "optimizedPlan"))
     assert [r["request_id"] for r in valid.collect()] == [1]
     assert [(r["request_id"], len(r["errors"])) for r in rejected.collect()] == [(2, 2)]
+
+
+def test_rejects_are_written_before_both_sides_of_the_structure_are_cut(spark, monkeypatch):
+    """What the rules reject was worked out again for containers and allocations."""
+    seen = {}
+    monkeypatch.setattr(I, "_shipment_structure_rejects", lambda c, a: seen.update(c=_plan(c, "optimizedPlan"), a=_plan(a, "optimizedPlan"))
+                        or c.select("request_id", F.lit("x").alias("reason"), F.lit(5).alias("step")).limit(0))
+    requests = spark.createDataFrame([(1, "7", "8", "2024-01-01"), (2, "0", "8", "2024-01-01"), (3, "7", "8", "2024-01-01")],
+                                     "request_id long, client_id string, customs_consignee_id string, shipment_date string")
+    boxes = spark.createDataFrame([(1, 0, "A", "1"), (2, 0, "B", "1")], "request_id long, container_index int, container_number string, cbm string")
+    loads = spark.createDataFrame([(r, 0, "5", "0", "1") for r in (1, 2, 3)], "request_id long, alloc_index long, export_order_item_id string, container_index string, quantity string")
+    sv, cv, av, rejected = I._validate_shipments(requests, boxes, loads)
+    assert seen["c"].count("Join") == 1 and seen["a"].count("Join") == 1
+    assert [r["request_id"] for r in sv.collect()] == [1] and cv.count() == 2 and av.count() == 3
+    assert sorted((r["request_id"], r["reason"]) for r in rejected.collect()) == [(2, "invalid shipment: client_id:must be positive"), (3, "a shipment needs a container")]
+
+
+def test_earlier_requests_of_a_line_are_summed_in_one_exchange(spark):
+    rows = spark.range(0, 300, 1, 3).select((F.col("id") % 5).alias("export_order_item_id"), F.col("id").alias("request_id"), F.col("id").alias("a"), F.lit(1).alias("b"))
+    sums = {"a": "_a", "b": "_b"}
+    one = G._earlier(rows, sums, False)
+    assert _plan(one).count("Exchange hashpartitioning") == 1 and "Join" not in _plan(one)
+    got = {r["request_id"]: (r["_a"], r["_b"]) for r in one.collect()}
+    assert got == {i: (sum(range(i % 5, i, 5)), i // 5) for i in range(300)}
+    assert got == {r["request_id"]: (r["_a"], r["_b"]) for r in G._earlier(rows, sums, True).collect()}
+
+
+def test_a_released_step_leaves_no_files(spark):
+    step = kept(spark.range(3))
+    path = step._written
+    assert path_exists(spark, path)
+    release(step, spark.range(2))
+    assert not path_exists(spark, path)
+
+
+def test_shipment_requests_are_written_once_for_an_ingest(spark):
+    t = from_testdata(spark, SF001, REQUESTS)
+    assert "Join" not in _plan(t["shipment_requests"]) and "Aggregate" not in _plan(t["request_containers"])
+    assert "lineitem" not in _plan(E.queries()["ingest_shipments"](spark, SF001))
