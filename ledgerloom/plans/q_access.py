@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import access as A
 from ledgerloom.operators import fulfilment as FU
-from ledgerloom.plans.catalog import DEALT_LINES, ORACLE, register, with_ctes
+from ledgerloom.plans.catalog import DEALT_LINES, LINES, ORACLE, register, with_ctes
 from ledgerloom.plans.q_fulfilment import _ORDER_PARTS, ORDER_LIST_SQL, stamped
 from ledgerloom.sources.schemas import DOCUMENT_ACTIONS, ORDER_DOCUMENT_TYPES, SHIPMENT_DOCUMENT_TYPES
 
@@ -96,10 +96,11 @@ def _detail_sql(header: str, lines: str, parent: str, columns: list[str], fields
             f"{', '.join('l.' + f for f in fields)} FROM ({ORACLE[header]}) h JOIN ({ORACLE[lines]}) l ON l.{parent} = h.id")
 
 
-@register("order_detail_gate_pass", _detail_sql("order_header", "order_lines", "export_order_id", _SEEN, _LINE_FIELDS, ["items"]))
+@register("order_detail_gate_pass", _detail_sql("order_header", "order_lines", "export_order_id", _SEEN, _LINE_FIELDS, ["items"]), keep=LINES)
 def q_order_detail_gate_pass(t):
     """The order detail as a gate-pass-only user sees it, line by line."""
-    d = A.restrict(FU.order_detail(t), "order_detail", GATE_PASS_ONLY, absent=_NO_GATE_PASS)
+    full = FU.order_detail(t, fields=A.item_fields("order_detail", GATE_PASS_ONLY), steps=True)
+    d = A.restrict(full, "order_detail", GATE_PASS_ONLY, absent=_NO_GATE_PASS)
     return _detail_lines(d, _SEEN, _LINE_FIELDS)
 
 

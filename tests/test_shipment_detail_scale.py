@@ -110,3 +110,25 @@ def test_gate_pass_fields_are_those_of_the_restricted_view(spark):
     some = A.restrict(FU.shipment_detail(t, fields=fields), "shipment_detail", GATE_PASS_ONLY, absent=absent)
     assert some.schema == whole.schema and some.collect() == whole.collect()
     assert A.item_fields("shipment_detail", [*GATE_PASS_ONLY, "orders.edit"]) is None
+
+
+def test_details_in_steps_leave_one_written_table_of_dealt_lines(spark, no_broadcast):
+    """The last job of a detail held all shuffles of its lines at a time: joins, products and dealing."""
+    t = _shipment(spark, _lines(7))
+    for nested in (FU.shipment_detail, FU.order_detail):
+        plan = _plan(nested(t, steps=True))
+        assert "REPARTITION_BY_COL" not in plan and "hashpartitioning(product_id" not in plan and "dealt_lines" in plan
+        assert nested(t, steps=True).orderBy("id").collect() == nested(t).orderBy("id").collect()
+    assert "lineitem" not in _plan(E.queries()["order_detail"](spark, SF001)) + _plan(E.queries()["order_detail_gate_pass"](spark, SF001))
+
+
+def test_order_gate_pass_fields_are_those_of_the_restricted_view(spark):
+    t = _shipment(spark, _lines(7))
+    fields = A.item_fields("order_detail", GATE_PASS_ONLY)
+    absent = A.RESTRICTED_COLUMNS["order_detail"]
+    for steps in (False, True):
+        some = A.restrict(FU.order_detail(t, fields=fields, steps=steps), "order_detail", GATE_PASS_ONLY, absent=absent)
+        whole = A.restrict(FU.order_detail(t), "order_detail", GATE_PASS_ONLY, absent=absent)
+        assert some.columns == whole.columns and sorted(map(str, some.collect())) == sorted(map(str, whole.collect()))
+    shown = FU.order_detail(t, fields=["id", "client_value"], steps=True).orderBy("id").collect()
+    assert [[x.client_value for x in r["items"]] for r in shown] == [[x.client_value for x in r["items"]] for r in FU.order_detail(t).orderBy("id").collect()]
