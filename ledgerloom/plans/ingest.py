@@ -111,7 +111,8 @@ def ingest_orders(t: Tables, headers: DataFrame, items: DataFrame, prefix: str,
     numbered = G.assign_numbers(hv, t["export_orders"], prefix, order=["request_id"])
     numbered = kept(_new_ids(numbered, t["export_orders"], ["request_id"]))
     order_ids = numbered.select("request_id", F.col("id").alias("export_order_id"))
-    new_items = kept(_new_ids(lines.join(order_ids, "request_id"), t["export_order_items"], ["request_id", "item_index"]))
+    # of a request sent in twice the lines of its first contract come first
+    new_items = kept(_new_ids(lines.join(order_ids, "request_id"), t["export_order_items"], ["request_id", "item_index", "export_order_id"]))
     release(lines)
     new_orders = numbered.select("id", "invoice_number", "sequence_number", "sequence_year",
                                  F.lit(created_by).cast("bigint").alias("created_by"), F.lit("draft").alias("status"),
